@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, language, licenses, matroska, mixing, packing, sharding, urls
+from . import embeddings, jaccard, language, licenses, matroska, mixing, packing, sharding, urls
 
 
 VOCABULARY = "word_bpe_49k.json"
@@ -26,6 +26,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_docs(spark, sf_dir))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(_docs(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(_docs(spark, sf_dir), public_tokenizers.path(VOCABULARY))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
