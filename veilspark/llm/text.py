@@ -15,6 +15,7 @@ import pyarrow as pa
 
 BLOCK_BYTES = 2 << 20
 U = np.uint64
+PLACE_BITS = 28
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 
@@ -131,7 +132,9 @@ def window_argmin(values: np.ndarray, width: int) -> np.ndarray:
     windows double up until two of them cover the full width.  Which place wins depends on
     the window's content alone.
     """
-    bits = U(max(22, len(values).bit_length()))
+    if len(values) >> PLACE_BITS:
+        raise ValueError("block too long")
+    bits = U(PLACE_BITS)  # the same for all blocks, or equal windows could choose differently
     low = (U(1) << bits) - U(1)
     best, have = (values & ~low) | np.arange(len(values), dtype=U), 1
     while have < width:
