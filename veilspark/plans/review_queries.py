@@ -400,7 +400,7 @@ def package_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("package_id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("recipient_id"), F.when(F.col("c_custkey") % 4 == 0, "exported").otherwise("scanned").alias("status"))
     n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("profile_id"))
     r = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
-    return views.search_packages(c, n, r, " an", "open").select("package_id", "recipient", "profile")
+    return views.search_packages(c, n, r, " Ca", "open").select("package_id", "recipient", "profile")
 
 
 def finding_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -473,7 +473,7 @@ SELECT p_partkey, CASE WHEN r > l AND bt > t THEN l END AS x, CASE WHEN r > l AN
     "finding_facets": f"WITH {FILES_SQL}, {_member_ctes()} SELECT DISTINCT 'category' AS facet, category AS value FROM ev UNION SELECT 'method', CASE WHEN ordinal >= 1000 THEN 'protected-term' ELSE 'rule' END FROM ev",
     "redaction_counts": f"WITH {FILES_SQL}, {all_hits_sql()} SELECT category, count(*) AS redactions FROM hits WHERE start % 3 = 0 GROUP BY category",
     "review_progress": f"WITH t AS ({_T()}), d AS (SELECT {_DECIDED_SQL} FROM t) SELECT count(*) AS total, count(CASE WHEN decision <> 'open' THEN 1 END) AS decided, CAST(round(count(CASE WHEN decision <> 'open' THEN 1 END) * 100.0 / count(*)) AS BIGINT) AS percent, count(CASE WHEN decision NOT IN ('open', 'redact') THEN 1 END) AS settled FROM d",
-    "package_search": "SELECT c_custkey AS package_id, n_name AS recipient, r_name AS profile FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE contains(lower(c_name || ' ' || n_name || ' ' || r_name), 'an') AND c_custkey % 4 <> 0",
+    "package_search": "SELECT c_custkey AS package_id, n_name AS recipient, r_name AS profile FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE contains(lower(c_name || ' ' || n_name || ' ' || r_name), 'ca') AND c_custkey % 4 <> 0",
     "finding_labels": f"""WITH {FILES_SQL}, {_member_ctes()}, a AS (SELECT file_id, ordinal, category, arg_min(CASE WHEN trim(regexp_replace(quote, '[{rules.ZERO_WIDTH}]', '', 'g')) <> '' THEN quote END, start) AS quote, min(start) AS s, count(*) AS n FROM ev GROUP BY file_id, ordinal, category)
 SELECT file_id, CAST(ordinal AS BIGINT) AS ordinal, quote, 'line ' || (CASE WHEN ordinal >= 1000 THEN 0 ELSE length(substr(text, 1, s)) - length(replace(substr(text, 1, s), chr(10), '')) END + 1) AS place, upper(substr(replace(category, '-', ' '), 1, 1)) || substr(replace(category, '-', ' '), 2) AS category, n || ' hit' || CASE WHEN n = 1 THEN '' ELSE 's' END AS hits FROM a JOIN files USING (file_id)""",
     "byte_labels": """WITH a AS (SELECT o_orderkey, o_orderkey * o_orderkey * o_orderkey % 7000000000 + o_orderkey % 2000 AS v FROM orders), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN v % 1024 ELSE v END AS n FROM a)
