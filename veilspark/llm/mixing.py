@@ -18,7 +18,7 @@ added column (copy, n_copies, shuffle_key) is replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEED = 20_25
@@ -37,9 +37,9 @@ def _hash_long(*parts: Column) -> Column:
 def rates(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
     """One row per bucket: pieces (how many numbers are summed) and the CDF of one piece."""
     sizes = docs.groupBy(_bucket(weights).alias("bucket")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).alias("bytes"))
-    total = sizes.agg(F.sum("bytes").alias("total"))
+    whole = F.sum("bytes").over(Window.partitionBy(F.lit(1)))  # over one row a bucket
     share = F.create_map(*[x for k, v in [*weights.items(), ("", 1 - sum(weights.values()))] for x in (F.lit(k), F.lit(float(v)))])
-    r = sizes.crossJoin(F.broadcast(total)).withColumn("rate", F.when(F.col("bytes") > 0, share[F.col("bucket")] * F.col("total") / F.col("bytes")).otherwise(F.lit(1.0)))
+    r = sizes.withColumn("total", whole).withColumn("rate", F.when(F.col("bytes") > 0, share[F.col("bucket")] * F.col("total") / F.col("bytes")).otherwise(F.lit(1.0)))
     r = r.withColumn("pieces", F.greatest(F.lit(1), F.ceil(F.col("rate") / MAX_MEAN)).cast("int")).withColumn("mean", F.col("rate") / F.col("pieces"))
     start = F.struct(F.exp(-F.col("mean")).alias("p"), F.array(F.exp(-F.col("mean"))).alias("cdf"))
     step = lambda a, k: F.struct((a.p * F.col("mean") / k).alias("p"), F.concat(a.cdf, F.array(F.element_at(a.cdf, -1) + a.p * F.col("mean") / k)).alias("cdf"))
