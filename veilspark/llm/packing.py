@@ -122,4 +122,4 @@ def pack_documents(docs: DataFrame, path: str, size: int = SEQUENCE, group_bytes
         return pa.Table.from_arrays([table.column("doc_id").combine_chunks().take(pa.array(doc)), pa.array(start), pa.array(n), pa.array(ids, pa.binary()), pa.array(lengths[doc]), pa.array((group << 32) + seq), pa.array(offset)], schema=PIECE)
 
     tokens = token_table(docs, path).withColumn("grp", F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.lit(groups)).cast("long"))
-    return tokens.groupBy("grp").applyInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return tokens.repartition(groups, "grp").groupBy("grp").applyInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
