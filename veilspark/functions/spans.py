@@ -28,9 +28,6 @@ def hits(text: Column | str, pattern: str, gate: str | None = None) -> Column:
     every match holds; texts without it are not searched.
     """
     text = _c(text)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(found.alias("quote"), F.slice(gaps, F.lit(1), F.size(found)).alias("gap"))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), no_hits().alias("out"))
 
     def step(acc: Column, pair: Column) -> Column:
@@ -38,10 +35,13 @@ def hits(text: Column | str, pattern: str, gate: str | None = None) -> Column:
         e = s + F.length(pair["quote"])
         return F.struct(e.cast("bigint").alias("at"), F.concat(acc["out"], F.array(F.struct(s.cast("bigint").alias("start"), e.cast("bigint").alias("end"), pair["quote"].alias("quote")))).alias("out"))
 
-    some = F.size(found) > 0
-    if gate is not None:
-        some = text.contains(gate) & some
-    return F.when(some, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(no_hits())
+    def placed(found: Column) -> Column:
+        pairs = F.arrays_zip(found.alias("quote"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("gap"))
+        return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(no_hits())
+
+    # The matches become a lambda variable, so the search runs once; texts without any are not split.
+    found = F.element_at(F.transform(F.array(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), placed), 1)
+    return found if gate is None else F.when(text.contains(gate), found).otherwise(no_hits())
 
 
 def count_of(text: Column, mark: str) -> Column:

@@ -41,8 +41,8 @@ CARRIED = "file_id long, category string, ordinal long, finding_id string, decis
 
 
 def _carry(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    left, right = left.sort_values("ordinal", kind="stable"), right.sort_values("ordinal", kind="stable")
-    free = {i: (set(k), f, d) for i, (k, f, d) in enumerate(zip(right["keys"], right["finding_id"], right["decision"]))}
+    left, right = left.sort_values("ordinal", kind="stable"), right.sort_values("old_ordinal", kind="stable")
+    free = {i: (set(k), f, d) for i, (k, f, d) in enumerate(zip(right["old_keys"], right["finding_id"], right["decision"]))}
     by_key: dict[str, list[int]] = {}
     for i, (ks, _, _) in free.items():
         for k in ks:
@@ -65,7 +65,9 @@ def carry_decisions(candidates: DataFrame, previous: DataFrame) -> DataFrame:
     """
     new = candidates.select("file_id", "category", "ordinal", keys("evidence").alias("keys"))
     old = previous.where("not manual").select("file_id", "category", "ordinal", "finding_id", "decision", keys("evidence").alias("keys"))
-    carried = new.groupBy("file_id", "category").cogroup(old.groupBy("file_id", "category")).applyInPandas(_carry, CARRIED)
+    # Both may come from one plan, so the older side gets columns of its own.
+    old = old.toDF("old_file", "old_category", "old_ordinal", "finding_id", "decision", "old_keys")
+    carried = new.groupBy("file_id", "category").cogroup(old.groupBy("old_file", "old_category")).applyInPandas(_carry, CARRIED)
     return carried.unionByName(previous.where("manual").select("file_id", "category", F.col("ordinal").cast("long").alias("ordinal"), "finding_id", "decision"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -59,12 +60,14 @@ def member_order(candidates: list[list[dict]]) -> list[list[int]]:
     return groups
 
 
-def _merge_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("ordinal", kind="stable")
-    rows = pdf.to_dict("records")
-    evidence = [[dict(e.asDict() if hasattr(e, "asDict") else e) for e in r["evidence"]] for r in rows]
+def _plain(e: object) -> dict:
+    return dict(e.asDict() if hasattr(e, "asDict") else e)
+
+
+def _merged(file_id: int, category: str, rows: list[dict]) -> list[tuple]:
+    evidence = [[_plain(e) for e in r["evidence"]] for r in rows]
     out = []
-    for group in member_order(evidence):
+    for group in member_order(evidence) if len(rows) > 1 else [[0]]:
         members = [rows[i] for i in group]
         winner = next((m for m in members if m["method"] in RULE_METHODS), members[0])
         seen, detections = set(), []
@@ -73,19 +76,27 @@ def _merge_group(pdf: pd.DataFrame) -> pd.DataFrame:
             if key not in seen:
                 seen.add(key)
                 detections.append({"method": rows[i]["method"], "rule_id": rows[i]["rule_id"], "evidence": evidence[i]})
-        groups = [m["group_id"] for m in members if m["group_id"] is not None and m["group_id"] == m["group_id"]]
-        out.append((members[0]["file_id"], members[0]["category"], int(min(m["ordinal"] for m in members)), winner["title"], winner["reason"], groups[0] if groups else None, [int(m["ordinal"]) for m in members], detections))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in ("file_id", "category", "ordinal", "title", "reason", "group_id", "members", "detections")])
+        group_id = next((m["group_id"] for m in members if m["group_id"] is not None), None)
+        out.append((file_id, category, min(m["ordinal"] for m in members), winner["title"], winner["reason"], group_id, [m["ordinal"] for m in members], detections))
+    return out
+
+
+def _merge_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["file_id", "category", "ordinal", "title", "reason", "group_id", "members", "detections"]
+    for batch in batches:
+        rows = [x for f, c, found in zip(batch["file_id"], batch["category"], batch["found"]) for x in _merged(f, c, [_plain(r) for r in found])]
+        yield pd.DataFrame(rows, columns=names)
 
 
 def merge(candidates: DataFrame) -> DataFrame:
     """One finding for each set of candidates joined by overlapping evidence.
 
     ``candidates``: file_id, ordinal (input order), category, title, reason, group_id, method,
-    rule_id, evidence.  A group is one category of one file, bounded by the scan's hit limits.
+    rule_id, evidence.  A row is one category of one file, bounded by the scan's hit limits, and
+    many rows share an Arrow batch.
     """
-    source = candidates.select("file_id", "ordinal", "category", "title", "reason", "group_id", "method", "rule_id", "evidence")
-    return source.groupBy("file_id", "category").applyInPandas(_merge_group, MERGED)
+    found = F.array_sort(F.collect_list(F.struct("ordinal", "title", "reason", "group_id", "method", "rule_id", "evidence")), lambda a, b: F.when(a["ordinal"] < b["ordinal"], -1).when(a["ordinal"] > b["ordinal"], 1).otherwise(0))
+    return candidates.groupBy("file_id", "category").agg(found.alias("found")).mapInPandas(_merge_rows, MERGED)
 
 
 def merge_members(candidates: DataFrame) -> DataFrame:
