@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.functions import regex
-from veilspark.operators import ai, export, ocr
-from veilspark.plans.inputs import FILES_SQL, files, hits_sql, line_sql, quote
+from veilspark.functions import regex, spans
+from veilspark.operators import ai, ocr
+from veilspark.plans.inputs import FILES_SQL, files, hits_sql, quote
 from veilspark.sources import uploads
 
 # -- model layer
@@ -135,8 +135,6 @@ def word_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ocr_hits(words: DataFrame) -> DataFrame:
     """Hits of a letter pair in OCR text, some beyond its end."""
     text = words.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda w: w["text"]), " ").alias("text"))
-    from veilspark.functions import spans
-
     h = text.select("file_id", F.posexplode(spans.hits("text", "an [a-z]")).alias("hit", "h"))
     return h.select("file_id", F.col("hit").cast("long").alias("hit"), F.when(F.col("hit") % 5 == 4, F.col("h.start") + 100000).otherwise(F.col("h.start")).alias("start"), F.when(F.col("hit") % 5 == 4, F.col("h.end") + 100000).otherwise(F.col("h.end")).alias("end"), F.col("h.quote").alias("quote"))
 
@@ -148,8 +146,6 @@ def hit_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quote_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = ocr.word_offsets(ocr.ocr_result(ocr_words(spark, sf_dir)))
-    from veilspark.functions import spans
-
     text = w.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ").alias("text"))
     h = text.select("file_id", F.posexplode(spans.hits("text", "[a-z]+ the [a-z]+")).alias("hit", "h")).select("file_id", F.col("hit").cast("long").alias("hit"), F.col("h.start").alias("start"), F.col("h.end").alias("end"))
     return ocr.quote_regions(h, w).select("file_id", "hit", F.col("line").cast("long").alias("line"), "x", "y", "w", "h", "quote")
@@ -221,10 +217,6 @@ def text_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", uploads.decode(F.col("content")).alias("text"), uploads.decode_lenient(F.col("content")).alias("lenient"))
 
 
-def _kind_sql() -> str:
-    return uploads.KIND_SQL
-
-
 QUERIES = {f.__name__: f for f in (locality, line_chunks, size_gate, quote_ground, quote_fold, quotes_dropped, mock_findings, related_suggestions, ai_status, chunk_merge, ocr_lines, ocr_low_confidence, ocr_text, word_offsets, hit_boxes, quote_regions, ocr_into_document, box_iou, ocr_tsv, file_kind, upload_ingest, text_decode)}
 
 _HOST = f"([{', '.join(map(quote, HOST_KINDS))}])[page_id % {len(HOSTS)} + 1]"
@@ -251,7 +243,7 @@ SELECT file_id, count(*) AS words FROM words a WHERE NOT EXISTS (SELECT 1 FROM l
     "box_iou": """WITH a AS (SELECT p_partkey, CAST(p_partkey % 10 AS DOUBLE) AS x, CAST(p_partkey % 7 AS DOUBLE) AS y, CAST(8 AS DOUBLE) AS w, CAST(p_partkey % 5 + 1 AS DOUBLE) AS h, CAST(p_partkey % 6 AS DOUBLE) AS x2, CAST(p_partkey % 4 AS DOUBLE) AS y2, CAST(p_partkey % 9 + 1 AS DOUBLE) AS w2, CAST(5 AS DOUBLE) AS h2 FROM part),
 b AS (SELECT *, greatest(0, least(x + w, x2 + w2) - greatest(x, x2)) * greatest(0, least(y + h, y2 + h2) - greatest(y, y2)) AS i FROM a) SELECT p_partkey, round(i / (w * h + w2 * h2 - i), 9) AS iou FROM b""",
     "ocr_tsv": _tsv_sql(),
-    "file_kind": _kind_sql(),
+    "file_kind": uploads.KIND_SQL,
     "upload_ingest": "WITH a AS (SELECT CAST(floor(page_id / 60) AS BIGINT) AS package_id, page_id AS ordinal, html, row_number() OVER (PARTITION BY floor(page_id / 60) ORDER BY page_id) AS n FROM pages) SELECT package_id, ordinal, 'txt' AS extension, sha256(html) AS sha256, CAST(strlen(html) AS BIGINT) AS size FROM a WHERE n <= 50",
     "text_decode": "SELECT page_id, CASE WHEN page_id % 7 <> 0 THEN url END AS text, CASE WHEN page_id % 7 = 0 THEN url || chr(65533) || 'A' ELSE url END AS lenient FROM pages",
 }

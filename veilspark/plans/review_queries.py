@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilspark.functions import spans
-from veilspark.operators import carry, export, package, policy, review, rules, terms, views
+from veilspark.functions import regex, spans
+from veilspark.operators import carry, export, package, policy, related, review, rules, terms, views
 from veilspark.operators import merge as merging
-from veilspark.plans.inputs import FILES_SQL, SNIPPETS, files, quote
-from veilspark.plans.rule_queries import TERMS, VALID_SQL, all_hits_sql, slug_sql, valid_hits_sql
+from veilspark.plans.inputs import FILES_SQL, files, hits_sql, quote
+from veilspark.plans.rule_queries import TERMS, all_hits_sql, slug_sql, term_sql, valid_hits_sql
 
 CONTACT_RULES = tuple(rules.BY_ID[i] for i in ("email", "phone", "credit-card", "private-ipv4"))
 
@@ -120,9 +120,6 @@ def merge_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _member_ctes() -> str:
     """CTE ``ev`` (file_id, category, ordinal, start, end) of the candidates above."""
-    from veilspark.functions import regex
-    from veilspark.plans.inputs import hits_sql
-
     t = " UNION ALL ".join(f"SELECT file_id, {1000 * (i + 1)} AS base, unnest(list_slice({hits_sql('text', regex.re2(chr(92) + 'b' + regex.literal(w.strip()) + chr(92) + 'b', True))}, 1, 50)) AS h FROM files" for i, w in enumerate(TERMS))
     z = f"[{rules.ZERO_WIDTH}]+"
     inj = ", ".join(hits_sql("lower(text)", regex.literal(p)) for p in rules.INJECTION_PHRASES)
@@ -230,10 +227,8 @@ def inconsistent_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _inconsistent_sql() -> str:
-    from veilspark.plans.rule_queries import _term_sql
-
     known = ", ".join(f"({quote(t.strip())})" for t in TERMS)
-    return f"""WITH t AS ({_term_sql(TERMS, 'protected-term', 'Protected term: ')}), kt(term) AS (VALUES {known}), kn AS (SELECT term, {slug_sql('term')} AS group_id FROM kt),
+    return f"""WITH t AS ({term_sql(TERMS, 'protected-term', 'Protected term: ')}), kt(term) AS (VALUES {known}), kn AS (SELECT term, {slug_sql('term')} AS group_id FROM kt),
 d AS (SELECT file_id, CASE WHEN file_id % 7 <> 0 THEN group_id END AS group_id, quote, {_DECIDED_SQL} FROM t WHERE file_id % 13 <> 0),
 m AS (SELECT file_id, group_id, decision FROM d WHERE group_id IS NOT NULL UNION ALL SELECT file_id, kn.group_id, decision FROM d JOIN kn ON lower(kn.term) = lower(quote) WHERE d.group_id IS NULL),
 g AS (SELECT group_id, count(DISTINCT CASE WHEN decision = 'redact' THEN file_id END) AS redacted, count(DISTINCT CASE WHEN decision IN ('keep', 'keep-and-remember', 'open') THEN file_id END) AS visible, max(CASE WHEN decision IN ('keep', 'keep-and-remember', 'open') THEN file_id END) AS last_visible FROM m GROUP BY group_id)
@@ -289,10 +284,8 @@ def layer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scores_sql() -> str:
-    from veilspark.plans.rule_queries import _term_sql
-
     methods = ", ".join(f"({quote(m)})" for m in package.METHODS)
-    return f"""WITH t AS ({_term_sql(TERMS, 'protected-term', 'Protected term: ')}), me(layer) AS (VALUES {methods}),
+    return f"""WITH t AS ({term_sql(TERMS, 'protected-term', 'Protected term: ')}), me(layer) AS (VALUES {methods}),
 d AS (SELECT file_id, quote, CASE WHEN file_id % 2 = 0 THEN 'rule' ELSE 'protected-term' END AS layer, count(*) AS n FROM t GROUP BY ALL),
 x AS (SELECT file_id, CASE WHEN start % 5 = 0 THEN 'missing' ELSE quote END AS quote, count(*) AS n FROM t WHERE start % 3 <> 0 GROUP BY ALL),
 tp AS (SELECT layer, sum(least(d.n, x.n)) AS tp FROM d JOIN x USING (file_id, quote) GROUP BY layer),
@@ -323,8 +316,6 @@ def _contains_sql() -> str:
 
 
 def _fold_sql(x: str) -> str:
-    from veilspark.functions import regex
-
     return f"lower(trim(regexp_replace({x}, {quote('[' + regex.SPACE_CLASS + ']+')}, ' ', 'g')))"
 
 
@@ -374,6 +365,35 @@ def sha256_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.changed_originals(before, p)
 
 
+# -- related findings and the read model
+
+
+def related_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = files(spark, sf_dir)
+    kind = F.element_at(F.array(F.lit("text"), F.lit("image"), F.lit("document")), (F.col("file_id") % 3 + 1).cast("int"))
+    table = f.select("file_id", kind.alias("kind"), F.when(F.col("file_id") % 10 == 9, "failed").otherwise("processed").alias("status"), "text")
+    seen = f.where("file_id % 2 = 0").select("file_id", F.upper("name").alias("text"))
+    return related.sources(table, seen).select("file_id", F.md5("text").alias("digest"))
+
+
+def find_related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of a term joined to the groups of findings that stand at the same places."""
+    f = files(spark, sf_dir)
+    ev = rules.evidence(F.lit(""), F.array(F.struct("start", "end", "quote")))
+    new = terms.related_exact(f, "heron").select("file_id", "category", F.col("start").alias("ordinal"), ev.alias("evidence"))
+    old = terms.term_hits(f, ["heron"]).where("file_id % 2 = 0").select("file_id", "category", F.col("start").alias("ordinal"), ev.alias("evidence"), F.concat_ws("-", F.lit("old"), "file_id", "start").alias("finding_id"), F.lit(None).cast("string").alias("group_id"), F.lit("keep").alias("decision"))
+    return related.join_groups(new, old, "heron").select("file_id", "ordinal", "finding_id", "group_id", "decision")
+
+
+def package_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, fs = _decided(spark, sf_dir)
+    pid = (F.col("file_id") % 20).alias("package_id")
+    p = spark.range(21).withColumnRenamed("id", "package_id")
+    warn = spark.createDataFrame([(3, "w1"), (3, "w0")], "package_id long, message string")
+    d = package.package_detail(p, fs.select(pid, "file_id", "name", F.lit("processed").alias("status"), "excluded"), f.select(pid, "ordinal", "file_id", "category", "decision"), warn)
+    return d.select("package_id", F.size("files").cast("long").alias("files"), F.size("findings").cast("long").alias("findings"), F.array_join("warnings", ",").alias("warnings"))
+
+
 # -- views
 
 
@@ -429,12 +449,11 @@ QUERIES = {
     for f in (
         redact_text, redact_env, span_islands, text_segments, segment_lines, merge_components, apply_profile, hidden_override, carry_decisions, evidence_keys, verify_match, open_after_verify,
         inconsistent_redaction, group_decision, allow_rule_merge, coverage_counts, findings_by_category, files_without_ai, layer_scores, needle_plan, contains_word, normalize_text, pad_boxes, export_names,
-        unique_names, sha256_check, findings_filter, finding_facets, redaction_counts, review_progress, package_search, finding_labels, byte_labels, column_names, grid_pivot,
+        unique_names, sha256_check, related_sources, find_related, package_detail, findings_filter, finding_facets, redaction_counts, review_progress, package_search, finding_labels, byte_labels, column_names, grid_pivot,
     )
 }
 
-_T = lambda: __import__("veilspark.plans.rule_queries", fromlist=["_term_sql"])._term_sql(TERMS, "protected-term", "Protected term: ")
-_CASES = "(k % 700 / 3.0 - 20) AS x, k % 90 / 7.0 AS y, k % 11 * 1.5 + 0.1 AS w, k % 5 + 0.5 AS h"
+_T = lambda: term_sql(TERMS, "protected-term", "Protected term: ")
 ORACLES = {
     "redact_text": _redact_sql(),
     "redact_env": _env_sql(),
@@ -458,7 +477,7 @@ SELECT count(*) AS files_total, count(CASE WHEN status = 'processed' THEN 1 END)
     "findings_by_category": f"WITH {FILES_SQL}, {all_hits_sql()} SELECT category, count(*) AS findings, count(CASE WHEN file_id % 5 = 0 THEN 1 END) AS open FROM hits WHERE file_id % 13 <> 0 GROUP BY category",
     "files_without_ai": f"WITH {FILES_SQL}, {_FILE_SQL} SELECT file_id, CASE ai_analysis " + " ".join(f"WHEN {quote(k)} THEN {quote(v)}" for k, v in package.NO_AI.items()) + " END AS reason FROM ft WHERE status = 'processed' AND ai_analysis <> 'done'",
     "layer_scores": _scores_sql(),
-    "needle_plan": f"""WITH t AS ({__import__('veilspark.plans.rule_queries', fromlist=['_term_sql'])._term_sql(['the', 'of', 'cc by'], 'protected-term', '')}), q AS (SELECT file_id, start, quote, {_fold_sql('quote')} AS k, start % 7 <> 0 AS removed FROM t),
+    "needle_plan": f"""WITH t AS ({term_sql(['the', 'of', 'cc by'], 'protected-term', '')}), q AS (SELECT file_id, start, quote, {_fold_sql('quote')} AS k, start % 7 <> 0 AS removed FROM t),
 u AS (SELECT file_id, k, arg_max(quote, start) AS needle FROM q WHERE removed GROUP BY file_id, k)
 SELECT file_id, needle, length(needle) < 3 AS skipped FROM u WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.file_id = u.file_id AND q.k = u.k AND NOT removed)""",
     "contains_word": _contains_sql(),
@@ -469,6 +488,9 @@ SELECT p_partkey, CASE WHEN r > l AND bt > t THEN l END AS x, CASE WHEN r > l AN
     "export_names": _names_sql(),
     "unique_names": _unique_sql(),
     "sha256_check": "SELECT page_id AS file_id, url AS name FROM pages WHERE page_id % 10 = 3",
+    "related_sources": f"WITH {FILES_SQL} SELECT file_id, md5(CASE WHEN file_id % 3 = 0 THEN text ELSE upper(name) END) AS digest FROM files WHERE file_id % 10 <> 9 AND (file_id % 3 = 0 OR file_id % 3 = 1 AND file_id % 2 = 0)",
+    "find_related": f"WITH t AS ({term_sql(['heron'], 'protected-term', '')}) SELECT file_id, start AS ordinal, CASE WHEN file_id % 2 = 0 THEN 'old-' || file_id || '-' || start ELSE 'rel-' || file_id || '-protected-term-' || start END AS finding_id, 'rel-heron' AS group_id, CASE WHEN file_id % 2 = 0 THEN 'keep' ELSE 'open' END AS decision FROM t",
+    "package_detail": f"WITH {FILES_SQL}, t AS ({_T()}), p AS (SELECT unnest(range(0, 21)) AS package_id) SELECT package_id, (SELECT count(*) FROM files WHERE file_id % 20 = package_id) AS files, (SELECT count(*) FROM t WHERE file_id % 20 = package_id) AS findings, CASE WHEN package_id = 3 THEN 'w0,w1' ELSE '' END AS warnings FROM p",
     "findings_filter": f"WITH {FILES_SQL}, {all_hits_sql()} SELECT DISTINCT file_id, CAST(ordinal AS BIGINT) AS ordinal, rule_id FROM hits WHERE category = 'secret' AND file_id % 2 = 0",
     "finding_facets": f"WITH {FILES_SQL}, {_member_ctes()} SELECT DISTINCT 'category' AS facet, category AS value FROM ev UNION SELECT 'method', CASE WHEN ordinal >= 1000 THEN 'protected-term' ELSE 'rule' END FROM ev",
     "redaction_counts": f"WITH {FILES_SQL}, {all_hits_sql()} SELECT category, count(*) AS redactions FROM hits WHERE start % 3 = 0 GROUP BY category",

@@ -140,7 +140,7 @@ def term_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.term_hits(files(spark, sf_dir), TERMS)
 
 
-def _term_sql(words: list[str], category: str, title: str) -> str:
+def term_sql(words: list[str], category: str, title: str) -> str:
     each = " UNION ALL ".join(f"SELECT file_id, text, {quote(t)} AS term, unnest(list_slice({hits_sql('text', regex.re2(chr(92) + 'b' + regex.literal(t.strip()) + chr(92) + 'b', True))}, 1, 50)) AS h FROM files" for t in words)
     return f"""WITH {FILES_SQL}, h AS ({each})
 SELECT file_id, '{category}' AS category, term, {slug_sql("term")} AS group_id, {quote(title)} || term AS title, h.s AS start, h.e AS "end", {line_sql("text", "h.s")} AS line, h.q AS quote FROM h"""
@@ -184,8 +184,8 @@ ORACLES = {f"rule_scan_{r.id.replace('-', '_')}": _scan_sql(r) for r in rules.RU
     "injection_phrases": _injection_sql(),
     "entropy_values": f"SELECT c_custkey, round({entropy_sql('v')}, 6) AS entropy FROM (SELECT c_custkey, c_name || c_mktsegment AS v FROM customer)",
     "validator_flags": _flags_sql(),
-    "term_hits": _term_sql(TERMS, "protected-term", "Protected term: "),
+    "term_hits": term_sql(TERMS, "protected-term", "Protected term: "),
     "other_client_hits": _clients_sql(),
-    "related_exact": _term_sql(["mit license"], "protected-term", "Related: "),
+    "related_exact": term_sql(["mit license"], "protected-term", "Related: "),
     "slug_terms": f"SELECT p_partkey, {slug_sql(chr(39) + ' ' + chr(39) + ' || p_name || ' + chr(39) + '/' + chr(39) + ' || p_brand || ' + chr(39) + '!' + chr(39))} AS slug FROM part",
 }
