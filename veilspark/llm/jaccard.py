@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, forest
-from .spill import materialise
+from .spill import materialise, small_batches
 from .text import U, blocks, mix, prefix_hash, row_starts, shingles, span_hash, text_bytes, word_spans
 
 WORDS = 5
@@ -116,7 +116,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 at = np.arange(b - a + 1, dtype=np.int32) * (4 * HASHES)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(f1, mask=none), pa.array(f2, mask=none), pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(at), pa.py_buffer(sig)])], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, f1 long, f2 long, sig binary")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, f1 long, f2 long, sig binary")
 
 
 def candidate_groups(reps: DataFrame) -> DataFrame:

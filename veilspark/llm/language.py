@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .spill import small_batches
 from .text import ASCII_LOWER, U, blocks, mix, prefix_hash, span_hash, text_bytes, word_spans
 
 SAMPLE_PER_LANGUAGE = 120
@@ -248,7 +249,7 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # of fixed size: FEATURES rows
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter"), F.col("text").cast("string").alias("__text"), *keep)
+    source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter"), F.col("text").cast("string").alias("__text"), *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value

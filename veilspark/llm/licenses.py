@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import ASCII_LOWER, U, blocks, mix, prefix_hash, shingles, span_hash, text_bytes, word_spans
+from .spill import small_batches
+from .text import ASCII_LOWER, U, blocks, prefix_hash, shingles, span_hash, text_bytes, word_spans
 
 
 @dataclass(frozen=True)
@@ -114,7 +115,7 @@ def scan_grams(docs: DataFrame, hashes: list[int]) -> DataFrame:
                     schema=schema,
                 )
 
-    source = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = small_batches(docs).select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, "uid long, doc_id long, n_words long, pos long, hash long, gram string")
 
 

@@ -22,6 +22,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .spill import small_batches
+
 #: Fixed values of the Matroska format: element ids.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 DOCTYPE, TIMESTAMP_SCALE = 0x4282, 0x2AD7B1
@@ -261,4 +263,4 @@ def media_digest(docs: DataFrame) -> DataFrame:
                 rows = [(i, *one(t.as_py() or b"")) for i, t in zip(part.column(0).to_pylist(), part.column(1))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as binary) text").mapInArrow(run, DIGEST)
+    return small_batches(docs).selectExpr("cast(doc_id as long) doc_id", "cast(text as binary) text").mapInArrow(run, DIGEST)

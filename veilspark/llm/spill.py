@@ -17,6 +17,20 @@ def prepare(spark: SparkSession) -> None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or LOCAL_FOLDER)
 
 
+#: Bytes of an Arrow batch sent to Python; the JVM and the worker both hold a few.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches held to BATCH_BYTES, whatever the length of its rows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    now = conf.get(key).lower().rstrip("b")  # bytes, as Spark prints the default, or with a unit
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read from there ever after."""
     prepare(df.sparkSession)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spill import release, stored
+from .spill import release, small_batches, stored
 from .text import U, blocks, mix, prefix_hash, span_hash, text_bytes, window_argmin
 
 LENGTH = 100
@@ -80,7 +80,7 @@ def anchor_runs(docs: DataFrame, length: int, prefix: int) -> DataFrame:
                 k = np.where(same, mix(d.astype(U) * U(31) + s.astype(U)), k)
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(w.view(np.int64)), pa.array(d), pa.array(s), pa.array(more[order].astype(np.int32)), pa.array(same)], names=names)
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, RUNS)
+    return small_batches(docs).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, RUNS)
 
 
 def sort_runs(runs: DataFrame, length: int, hot: int) -> DataFrame:

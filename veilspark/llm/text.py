@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = (1 << 20) - 64  # so that the tables of powers stay at 2**20 entries
 U = np.uint64
 PLACE_BITS = 28
 _BASE = 0x9E3779B97F4A7C15 | 1

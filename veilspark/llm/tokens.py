@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 from .text import U, mix, powers
 
 #: The table is forgotten beyond so many words; it only saves time.
-MOST_WORDS = 2_000_000
+MOST_WORDS = 1_000_000
 
 SPACE, LETTER, NUMBER, OTHER, ODD = range(5)
 _LAST = 0x180
