@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps on DataFrames.
 
-A hub's star is rewritten by an aggregate and a join, never gathered; edges are cut to a
-spanning forest within each partition first.  Each round's edges are written to the shared
+A hub's star is rewritten by an aggregate and a join, never gathered: vertices that hold more
+than 1/HEAVY of the edges are broadcast, so their edges stay where they are.  Edges are cut to
+a spanning forest within each partition first.  Each round's edges are written to the shared
 checkpoint folder, so a lost executor costs one round.
 """
 
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from .spill import materialise
 
 EDGES = "u long, v long"
+#: Keys of more than this share of the rows are broadcast; there are fewer of them than HEAVY.
+HEAVY = 1024
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,6 +60,18 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return int(row[0]), int(row[1])
 
 
+def join_totals(rows: DataFrame, totals: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with a row a key, whose ``n`` counts the key's rows of all ``total``.
+
+    Heavy keys are broadcast and their rows are not dealt by key, so no task takes a whole one.
+    """
+    light = F.col("n") <= total // HEAVY
+    heavy = totals.where(~light).select(F.col(key), F.struct(*totals.drop(key, "n").columns).alias("__heavy"))
+    tagged = rows.join(F.broadcast(heavy), key, "left")
+    near = tagged.where("__heavy is not null").select(*rows.columns, "__heavy.*")
+    return near.unionByName(tagged.where("__heavy is null").select(*rows.columns).join(totals.where(light).drop("n"), key))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, v): every vertex of ``edges`` (u, v) but the roots, with the smallest vertex of its component.
 
@@ -67,8 +82,8 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(e)
     while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_totals(both, least, "u", 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(down.select("u", F.col("m").alias("v"))).distinct()

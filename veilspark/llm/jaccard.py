@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components, forest
+from .components import components, forest, join_totals
 from .spill import materialise, small_batches
 from .text import U, blocks, mix, prefix_hash, row_starts, shingles, span_hash, text_bytes, word_spans
 
@@ -123,12 +123,12 @@ def candidate_groups(reps: DataFrame) -> DataFrame:
     """(rep, grp, size) of the representatives that share a band with another, by connected groups."""
     band = lambda b: F.xxhash64(b, F.substring("sig", b * (4 * ROWS) + 1, 4 * ROWS))
     bands = reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("band"))
-    shared = bands.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")
-    stars = bands.join(shared, "band").where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v"))
+    shared = bands.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("n")).where("least < most").drop("most")
+    stars = join_totals(bands, shared, "band", BANDS * reps.count()).where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v"))
     roots = components(stars)
-    tops = roots.groupBy("v").agg((F.count("*") + 1).alias("size"))
+    tops = roots.groupBy("v").agg((F.count("*") + 1).alias("size")).withColumn("n", F.col("size"))
     members = roots.select(F.col("u").alias("rep"), F.col("v").alias("grp")).unionByName(tops.select(F.col("v").alias("rep"), F.col("v").alias("grp")))
-    return members.join(tops.withColumnRenamed("v", "grp"), "grp")
+    return join_totals(members, tops.withColumnRenamed("v", "grp"), "grp", members.count())
 
 
 class Texts:
