@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from veilspark.llm import components, embeddings
 
@@ -39,6 +40,9 @@ def test_clusters_copies_and_chains(spark):
     rows += [(k + i, rows[5][1]) for i in range(40)] + [(1000 + i, rng.normal(size=16).tolist()) for i in range(200)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert sorted(map(tuple, embeddings.near_duplicates(df, block=16).collect())) == brute(rows)
+    few = df.select(F.col("vec_id").alias("rep"), F.lit(1).cast("long").alias("copies"), "embedding").where("rep < 96")
+    many, one = (sorted(map(tuple, embeddings.links(few, 16, block=8, tile_rows=n).groupBy("rep").agg(F.sum("links")).collect())) for n in (16, 1000))
+    assert many == one and one
 
 
 def test_odd_rows(spark):
@@ -56,6 +60,13 @@ def test_interval_pairs_skip_only_distant_blocks():
     got = embeddings.interval_pairs(low, high, 0.4)
     gap = lambda i, j: np.linalg.norm(np.maximum(0, np.maximum(low[i] - high[j], low[j] - high[i])))
     assert got == [(i, j) for i in range(37) for j in range(i, 37) if gap(i, j) <= 0.4]
+    tree = embeddings.BoxTree(low, high, 0.4)
+    assert all(tree.near(low[i], high[i]).tolist() == [j for j in range(37) if gap(i, j) <= 0.4] for i in range(37))
+
+
+def test_tiles_are_bounded():
+    assert embeddings.tiles_of(np.array([5, 5, 5, 1, 20, 3]), 10).tolist() == [0, 0, 1, 1, 2, 3]
+    assert embeddings.tiles_of(np.zeros(0, np.int64), 10).tolist() == []
 
 
 def test_components(spark):

@@ -8,9 +8,10 @@ whole, any other is halved until single blocks remain.  Block pairs that remain
 matrix products; pairs near the threshold are decided in double precision.
 
 Scale: equal vectors are collapsed first, so a group of copies is one vector with a count.  The
-driver holds one box per block.  Blocks are gathered into ``tiles`` ranges so that a vector is
-sent to few tasks.  A task returns one row per vector (links, and the smallest vector it
-reached), never pairs.
+driver holds one box per block, never pairs: neighbouring blocks make a tile of at most
+``TILE_ROWS`` vectors, and each tile looks up the tiles near it on the executors.  A task joins
+two tiles, so its memory has a fixed bound, and returns one row per vector (links, and the
+smallest vector it reached), never pairs.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite parts link with nothing;
 vectors of other dimension than most compare only among equals of their dimension; repeated
@@ -33,6 +34,7 @@ from .spill import materialise
 
 THRESHOLD = 0.9
 BLOCK = 1024
+TILE_ROWS = 8 * BLOCK
 DIRECTIONS = 6
 SAMPLE_ROWS = 20_000
 #: Vectors compared at a time within a task.
@@ -61,28 +63,57 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
+class BoxTree:
+    """Bounding boxes of the intervals of a sequence, halved again and again."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray, eps: float) -> None:
+        n, self.eps = len(low), eps
+        self.size = 1 << max(0, (n - 1).bit_length())
+        self.lo, self.hi = np.full((2 * self.size, low.shape[1]), np.inf), np.full((2 * self.size, low.shape[1]), -np.inf)
+        self.lo[self.size : self.size + n], self.hi[self.size : self.size + n] = low, high
+        for i in range(self.size - 1, 0, -1):
+            self.lo[i], self.hi[i] = np.minimum(self.lo[2 * i], self.lo[2 * i + 1]), np.maximum(self.hi[2 * i], self.hi[2 * i + 1])
+
+    def _near(self, a_lo: np.ndarray, a_hi: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether boxes lie within eps of the nodes b; empty nodes never do."""
+        gap = np.maximum(0, np.maximum(a_lo - self.hi[b], self.lo[b] - a_hi))
+        full = np.isfinite(gap).all(axis=1)
+        return full & ((np.where(np.isfinite(gap), gap, 0) ** 2).sum(axis=1) <= self.eps * self.eps)
+
+    def near(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Places whose boxes lie within eps of the one given."""
+        b = np.array([1])
+        while True:
+            b = b[self._near(low, high, b)]
+            if not len(b) or b[0] >= self.size:
+                return np.sort(b - self.size)
+            b = np.concatenate((2 * b, 2 * b + 1))
+
+    def pairs(self) -> list[tuple[int, int]]:
+        """Pairs of places (i <= j) within eps, by recursion on pairs of intervals of equal length, a level at once."""
+        a, b = np.array([1]), np.array([1])
+        while True:
+            keep = self._near(self.lo[a], self.hi[a], b)
+            a, b = a[keep], b[keep]
+            if not len(a) or a[0] >= self.size:
+                return sorted(zip((a - self.size).tolist(), (b - self.size).tolist()))
+            same = a == b
+            a, b = (np.concatenate((2 * a, 2 * a + 1, 2 * a, (2 * a + 1)[~same])), np.concatenate((2 * b, 2 * b + 1, 2 * b + 1, (2 * b)[~same])))
+
+
 def interval_pairs(low: np.ndarray, high: np.ndarray, eps: float) -> list[tuple[int, int]]:
-    """Pairs of blocks (i <= j) whose boxes are within eps, by recursion on sequence intervals."""
-    n = len(low)
-    if not n:
-        return []
-    size = 1 << max(0, (n - 1).bit_length())
-    dims = low.shape[1]
-    lo, hi = np.full((2 * size, dims), np.inf), np.full((2 * size, dims), -np.inf)
-    lo[size : size + n], hi[size : size + n] = low, high
-    for i in range(size - 1, 0, -1):
-        lo[i], hi[i] = np.minimum(lo[2 * i], lo[2 * i + 1]), np.maximum(hi[2 * i], hi[2 * i + 1])
-    # Both intervals of a pair have equal length, so a level is joined at once.
-    a, b = np.array([1]), np.array([1])
-    while True:
-        gap = np.maximum(0, np.maximum(lo[a] - hi[b], lo[b] - hi[a]))
-        near = np.isfinite(gap).all(axis=1)
-        near &= (np.where(np.isfinite(gap), gap, 0) ** 2).sum(axis=1) <= eps * eps
-        a, b = a[near], b[near]
-        if not len(a) or a[0] >= size:
-            return sorted(zip((a - size).tolist(), (b - size).tolist()))
-        same = a == b
-        a, b = (np.concatenate((2 * a, 2 * a + 1, 2 * a, (2 * a + 1)[~same])), np.concatenate((2 * b, 2 * b + 1, 2 * b + 1, (2 * b)[~same])))
+    """Pairs of blocks (i <= j) whose boxes are within eps."""
+    return BoxTree(low, high, eps).pairs() if len(low) else []
+
+
+def tiles_of(counts: np.ndarray, rows: int) -> np.ndarray:
+    """The tile of each block of a sequence: as many neighbours as hold ``rows`` vectors, or one block."""
+    out, tile, held = np.zeros(len(counts), np.int64), 0, 0
+    for i, n in enumerate(counts.tolist()):
+        if held and held + n > rows:
+            tile, held = tile + 1, 0
+        out[i], held = tile, held + n
+    return out
 
 
 SPAN = "rep long, links long, root long"
@@ -98,7 +129,7 @@ def _compare(x: np.ndarray, y: np.ndarray, t: float) -> tuple[np.ndarray, np.nda
     return i, j
 
 
-def links(vectors: DataFrame, dim: int, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def links(vectors: DataFrame, dim: int, threshold: float = THRESHOLD, block: int = BLOCK, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(rep, links, root) of distinct valid vectors (rep, copies, embedding): linked rows of other vectors, and the smallest rep seen linked.
 
     A rep has a row for each task that found it linked.
@@ -130,30 +161,42 @@ def links(vectors: DataFrame, dim: int, threshold: float = THRESHOLD, block: int
             yield pa.RecordBatch.from_arrays([pa.array((part << 32) + at // block), *[b.column(i) for i in (0, 1, 2)], *[b.column(3 + cells + i) for i in range(cells)]], names=["block", "rep", "copies", "embedding", *[f"p{i}" for i in range(cells)]])
 
     blocks = materialise(ranged.mapInArrow(cut, "block long, rep long, copies long, embedding array<double>, " + ", ".join(f"p{i} double" for i in range(cells))))
-    boxes = sorted(blocks.groupBy("block").agg(*[f(f"p{i}").alias(f"{k}{i}") for i in range(cells) for k, f in (("l", F.min), ("h", F.max))]).collect())
+    boxes = sorted(blocks.groupBy("block").agg(F.count("*").alias("n"), *[f(f"p{i}").alias(f"{k}{i}") for i in range(cells) for k, f in (("l", F.min), ("h", F.max))]).collect())
     low, high = (np.array([[r[f"{k}{i}"] for i in range(cells)] for r in boxes]).reshape(-1, cells) for k in "lh")
-    pairs = interval_pairs(low, high, eps)
-    # Runs of neighbouring blocks make a tile; a task joins two tiles, so a vector goes to at most `tiles` tasks.
-    tiles = max(1, min(len(boxes), math.isqrt(2 * len(pairs)) // 8 + 1))
-    per = -(-len(boxes) // tiles) if boxes else 1
-    wanted: dict[int, list[tuple[int, int]]] = {}
-    for a, b in pairs:
-        ta, tb = sorted((a // per, b // per))
-        wanted.setdefault(ta * tiles + tb, []).append((a, b))
-    routes = sorted({(boxes[b].block, i, task) for task, ps in wanted.items() for p in ps for i, b in ((p[0], p[0]), (p[1], p[1]))})
-    route = spark.createDataFrame([(int(a), int(i), int(t)) for a, i, t in routes], "block long, number int, task int")
-    routed = blocks.select("block", "rep", "copies", "embedding").join(route, "block")
+    tile = tiles_of(np.array([r.n for r in boxes], np.int64), tile_rows)
+    places = spark.createDataFrame([(r.block, i, int(t)) for i, (r, t) in enumerate(zip(boxes, tile))], "block long, number int, tile long")
+    first = np.flatnonzero(np.diff(tile, prepend=-1))
+    if len(first):
+        low, high = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
+    sent = spark.sparkContext.broadcast((low, high))
+
+    def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high = sent.value
+        tree = BoxTree(low, high, eps)
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                near = tree.near(low[t], high[t])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), t)), pa.array(np.minimum(near, t)), pa.array(np.maximum(near, t))], names=["tile", "a", "b"])
+
+    route = spark.range(len(first)).mapInArrow(partners, "tile long, a long, b long")
+    routed = blocks.select("block", "rep", "copies", "embedding").join(places.join(route, "tile"), "block")
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a_tile, b_tile = key[0].as_py(), key[1].as_py()
         table = pa.Table.from_batches(list(batches))
         number = table.column("number").to_numpy()
         order = np.argsort(number, kind="stable")
-        number, rep, copies = number[order], table.column("rep").to_numpy()[order], table.column("copies").to_numpy()[order]
+        number, rep, copies, tile = number[order], table.column("rep").to_numpy()[order], table.column("copies").to_numpy()[order], table.column("tile").to_numpy()[order]
         x = _unit(_matrix(table.column("embedding").combine_chunks(), dim)[order])
+        p = (x - mean) @ axes
+        _, starts, ends = _runs(number)
+        of = tile[starts]
+        near = interval_pairs(np.minimum.reduceat(p, starts), np.maximum.reduceat(p, starts), eps)
         total, us, vs = np.zeros(len(rep), np.int64), [], []
-        span = {int(b): (int(s), int(e)) for b, s, e in zip(*_runs(number))}
-        for a, b in wanted[key[0].as_py()]:
-            (s1, e1), (s2, e2) = span[a], span[b]
+        for a, b in near:
+            if of[a] != a_tile or of[b] != b_tile:
+                continue  # both in one of two tiles: another task has them
+            s1, e1, s2, e2 = starts[a], ends[a], starts[b], ends[b]
             for s in range(s2, e2, STRIP):
                 e = min(e2, s + STRIP)
                 i, j = _compare(x[s1:e1], x[s:e], threshold)
@@ -176,7 +219,7 @@ def links(vectors: DataFrame, dim: int, threshold: float = THRESHOLD, block: int
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(total[hit]), pa.array(least[root[hit]])], names=["rep", "links", "root"])
 
-    return routed.select("task", "number", "rep", "copies", "embedding").groupBy("task").applyInArrow(run, SPAN)
+    return routed.select("a", "b", "tile", "number", "rep", "copies", "embedding").groupBy("a", "b").applyInArrow(run, SPAN)
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
