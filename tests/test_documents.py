@@ -167,3 +167,26 @@ def test_metadata_and_links_are_named():
     for want in ("Hidden sheet 'Back'", "Hidden columns in sheet 'Main': D-E", "Comments in sheet 'Main' by Eve", "External link to other book.xlsx", "Defined name 'Rate' = Back!$A$1"):
         assert want in notes, notes
     assert re.search("author 'Ann Writer'", notes)
+
+
+def test_made_files_hold_the_whole_text():
+    text = "\n".join(f"line{i} " + " ".join(f"w{i}x{j}" for j in range(12)) for i in range(1200)) + "\nlast ann@example.com"
+    for fmt in ("docx", "xlsx", "pptx"):
+        m = documents.extract(fmt, samples.MAKERS[fmt](text))
+        assert set(text.split()) <= set(m.text.split()), fmt
+    labels = [i.label for i in documents.extract("xlsx", samples.xlsx(text)).items if i.kind == "grid"]
+    assert len(labels) == len(set(labels)) and "Main!A9" in labels and "Main!A10" in labels
+    content = samples.xlsx(text)
+    m = documents.extract("xlsx", content)
+    at = m.text.index("ann@example.com")
+    out, _ = documents.redact("xlsx", content, [(at, at + 15)], set())
+    assert "ann@example.com" not in documents.extract("xlsx", out).text
+    assert documents.residue("pdf", samples.pdf(text), ["last ann@example.com"]) == ["last ann@example.com"]
+    assert text.encode() in samples.png(text)
+    notes, b, at = b"", samples.jpeg(text), 2
+    assert len(text.encode()) > 65533 and images.scan_jpeg(b)[1:] == (0, True)
+    while b[at + 1] != 0xDA:
+        size = int.from_bytes(b[at + 2 : at + 4], "big")
+        notes += b[at + 4 : at + 2 + size] if b[at + 1] == 0xFE else b""
+        at += 2 + size
+    assert notes == text.encode()

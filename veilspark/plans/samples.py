@@ -40,7 +40,7 @@ _CORE = '<cp:coreProperties xmlns:cp="http://schemas.openxmlformats.org/package/
 
 
 def docx(text: str) -> bytes:
-    lines = [x for x in text.split("\n") if x.strip()][:20]
+    lines = [x for x in text.split("\n") if x.strip()]
     run = lambda t, pr="": f"<w:r>{pr}<w:t xml:space=\"preserve\">{escape(t)}</w:t></w:r>"
     para = "".join(f"<w:p>{run(x[: len(x) // 2])}{run(x[len(x) // 2 :])}</w:p>" for x in lines)
     extra = (
@@ -64,16 +64,17 @@ def docx(text: str) -> bytes:
 
 
 def xlsx(text: str) -> bytes:
-    words = text.split()[:24] or [""]
+    words = text.split() or [""]
+    number = lambda r: r + 1 + (r >= 8)  # noqa: E731  (row 9 holds the formulas)
     strings = "".join(f"<si><t>{escape(w)}</t></si>" for w in words)
-    cells = lambda r: "".join(f'<c r="{chr(65 + c)}{r + 1}" t="s"><v>{r * 4 + c}</v></c>' for c in range(4) if r * 4 + c < len(words))
-    rows = "".join(f'<row r="{r + 1}"{" hidden=" + chr(34) + "1" + chr(34) if r == 2 else ""}>{cells(r)}</row>' for r in range(-(-len(words) // 4)))
+    cells = lambda r: "".join(f'<c r="{chr(65 + c)}{number(r)}" t="s"><v>{r * 4 + c}</v></c>' for c in range(4) if r * 4 + c < len(words))
+    rows = [f'<row r="{number(r)}"{" hidden=" + chr(34) + "1" + chr(34) if r == 2 else ""}>{cells(r)}</row>' for r in range(-(-len(words) // 4))]
     return _zip({
         "_rels/.rels": _rels(("rId1", "officeDocument", "xl/workbook.xml"), ("rId2", "core-properties", "docProps/core.xml")),
         "xl/workbook.xml": f'<workbook {X}><sheets><sheet name="Main" sheetId="1" r:id="rId1"/><sheet name="Back" sheetId="2" state="hidden" r:id="rId2"/></sheets><externalReferences><externalReference r:id="rId4"/></externalReferences><definedNames><definedName name="Rate">Back!$A$1</definedName><definedName name="Far">[1]S!$A$1</definedName></definedNames></workbook>',
         "xl/_rels/workbook.xml.rels": _rels(("rId1", "worksheet", "worksheets/sheet1.xml"), ("rId2", "worksheet", "worksheets/sheet2.xml"), ("rId3", "sharedStrings", "sharedStrings.xml"), ("rId4", "externalLink", "externalLinks/externalLink1.xml")),
         "xl/sharedStrings.xml": f'<sst {X} count="{len(words)}">{strings}</sst>',
-        "xl/worksheets/sheet1.xml": f'<worksheet {X}><cols><col min="4" max="5" hidden="1"/></cols><sheetData>{rows}<row r="9"><c r="A9"><f>SUM(A1:B1)</f><v>3</v></c><c r="B9" t="inlineStr"><is><t>inline</t></is></c><c r="C9"><f>Back!A1</f><v>7</v></c></row></sheetData></worksheet>',
+        "xl/worksheets/sheet1.xml": f'<worksheet {X}><cols><col min="4" max="5" hidden="1"/></cols><sheetData>{"".join(rows[:8])}<row r="9"><c r="A9"><f>SUM(A1:B1)</f><v>3</v></c><c r="B9" t="inlineStr"><is><t>inline</t></is></c><c r="C9"><f>Back!A1</f><v>7</v></c></row>{"".join(rows[8:])}</sheetData></worksheet>',
         "xl/worksheets/_rels/sheet1.xml.rels": _rels(("rId1", "comments", "../comments1.xml")),
         "xl/comments1.xml": f'<comments {X}><authors><author>Eve</author></authors><commentList><comment ref="A1" authorId="0"><text><t>check this</t></text></comment></commentList></comments>',
         "xl/worksheets/sheet2.xml": f'<worksheet {X}><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>{SECRET}</t></is></c></row></sheetData></worksheet>',
@@ -84,7 +85,7 @@ def xlsx(text: str) -> bytes:
 
 
 def pptx(text: str) -> bytes:
-    lines = [x for x in text.split("\n") if x.strip()][:6] or ["empty"]
+    lines = [x for x in text.split("\n") if x.strip()] or ["empty"]
     slide = lambda ts, show="": f'<p:sld {P}{show}><p:cSld><p:spTree><p:sp><p:txBody>{"".join(f"<a:p><a:r><a:t>{escape(t)}</a:t></a:r></a:p>" for t in ts)}</p:txBody></p:sp></p:spTree></p:cSld></p:sld>'
     return _zip({
         "_rels/.rels": _rels(("rId1", "officeDocument", "ppt/presentation.xml"), ("rId2", "core-properties", "docProps/core.xml")),
@@ -105,20 +106,20 @@ def png(text: str, metadata: bool = True, trailing: bytes = b"") -> bytes:
     pixels = np.random.default_rng(seed).integers(0, 255, (12, 20, 3), dtype=np.uint8)
     b = encode_png(pixels)
     if metadata:
-        data = b"Comment\0" + text[:40].encode()
+        data = b"Comment\0" + text.encode()
         b = b[:33] + struct.pack(">I", len(data)) + b"tEXt" + data + struct.pack(">I", zlib.crc32(b"tEXt" + data)) + b[33:]
     return b + trailing
 
 
 def jpeg(text: str, trailing: bytes = b"") -> bytes:
-    note = text[:50].encode()
+    note = text.encode()
     segment = lambda m, d: bytes([0xFF, m]) + struct.pack(">H", len(d) + 2) + d
     thumb = b"Exif\0\0\xff\xd8 thumb \xff\xd9"
-    return b"\xff\xd8" + segment(0xE1, thumb) + (segment(0xFE, note) if note else b"") + segment(0xDA, b"\1\2\3") + b"data\xff\0more\xff\xd0end" + b"\xff\xd9" + trailing
+    return b"\xff\xd8" + segment(0xE1, thumb) + b"".join(segment(0xFE, note[i : i + 65533]) for i in range(0, len(note), 65533)) + segment(0xDA, b"\1\2\3") + b"data\xff\0more\xff\xd0end" + b"\xff\xd9" + trailing
 
 
 def pdf(text: str) -> bytes:
-    words = text.split()[:12]
+    words = text.split()
     show = " ".join(f"({w.replace(chr(92), chr(92) * 2).replace('(', chr(92) + '(').replace(')', chr(92) + ')')}) Tj" for w in words).encode("latin-1", "replace")
     return b"%PDF-1.4\n1 0 obj\n<< /Title <FEFF" + SECRET.encode("utf-16-be").hex().encode() + b"> >>\nstream\n" + zlib.compress(show) + b"\nendstream\nendobj\n%%EOF"
 
