@@ -68,3 +68,18 @@ def test_null_ids_hide_nothing(spark):
     t = "".join(r.choice("abc ") for _ in range(300))
     df = spark.createDataFrame([(None, t), (5, t)], "doc_id long, text string")
     assert {r.doc_id: len(r.kept) for r in suffixes.remove_repeats(df).collect()} == {None: 300, 5: 300}
+
+
+def test_repeated_rows_in_one_block_are_one_document(spark):
+    r = random.Random(3)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    shared = text(40)
+    rows = [(1, text(50)), (2, text(20) + shared), (3, shared + text(30)), (4, "ab" * 200)]
+    df = spark.createDataFrame(rows + rows + rows[1:2], "doc_id long, text string")
+    want = brute(rows)
+    assert want[1][2] == want[2][2] == 0 and want[3][2] == 1
+    for laid in (df.coalesce(1), df.repartition(6)):
+        for hot in (suffixes.HOT, 1):
+            out = suffixes.remove_repeats(laid, hot=hot).collect()
+            assert len(out) == 9
+            assert {(x.doc_id, x.n_bytes, hashlib.sha256(x.kept).hexdigest(), len(x.spans)) for x in out} == {(d, *w) for d, w in want.items()}

@@ -75,6 +75,10 @@ def anchor_runs(docs: DataFrame, length: int, prefix: int) -> DataFrame:
                 key, whole, row, lo, more = _runs(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length, prefix)
                 doc = ids[a:b][row]
                 order = np.lexsort((lo, doc, whole, key))
+                if len(order):
+                    # A row that repeats a document brings the same runs at the same places: no later ones.
+                    new = np.any([x[order[1:]] != x[order[:-1]] for x in (key, whole, doc, lo)], axis=0)
+                    order = order[np.concatenate(([True], new))]
                 k, w, d, s = key[order], whole[order], doc[order], lo[order]
                 same = np.concatenate(([False], (k[1:] == k[:-1]) & (w[1:] == w[:-1]))) if len(k) else np.zeros(0, bool)
                 k = np.where(same, mix(d.astype(U) * U(31) + s.astype(U)), k)
