@@ -221,3 +221,17 @@ def test_uploads(spark, tmp_path):
     assert got == {"a.txt": "café", "b.env": None}
     many = spark.createDataFrame([(1, i, f"f{i}.TXT", bytearray(b"x")) for i in range(55)], "package_id long, ordinal long, name string, content binary")
     assert uploads.ingest(many).count() == 50
+
+
+def test_ocr_queries_lay_out_every_word(spark, tmp_path):
+    from veilspark.plans import content_queries as q
+
+    texts = {1: " ".join(f"w{i}" for i in range(5000)), 2: "one two\nthree", 3: None, 4: " ".join(["an apple"] * 100)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    words = {d: (t or "").split() for d, t in texts.items()}
+    lines = {(r.file_id, r.n): (r.line, r.seq) for r in q.ocr_lines(spark, str(tmp_path)).collect()}
+    assert lines == {(d, i): (i // 8, i) for d, ws in words.items() for i in range(len(ws))}
+    ends = {(r.file_id, r.seq): (r.start, r.end) for r in q.word_offsets(spark, str(tmp_path)).collect()}
+    assert ends[1, 4999] == (len(texts[1]) - 5, len(texts[1])) and len(ends) == 5203
+    boxes = [r for r in q.hit_boxes(spark, str(tmp_path)).collect() if r.file_id == 4]
+    assert len(boxes) == 100 and sum(r.type == "image-region" for r in boxes) == 80

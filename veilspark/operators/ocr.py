@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,21 +25,41 @@ def parse_tsv(rows: DataFrame) -> DataFrame:
     return df.where(F.col("n") > 0).where("size(c) >= 12 and c[0] = '5'").where(finite).where("w > 0 and h > 0").select("file_id", "n", "x", "y", "w", "h", "confidence", text.alias("text")).where("trim(text) <> ''")
 
 
+def fold_lines(centers: list[float | None], heights: list[float | None]) -> list[int]:
+    """The line of each word, given in order of their centres; a word without a centre stays on the line."""
+    out, line, c, h = [], -1, 0.0, 0.0
+    for wc, wh in zip(centers, heights):
+        high = max((x for x in (wh, h) if x is not None), default=None)
+        if line < 0 or None not in (wc, c, high) and abs(wc - c) > high / 2:
+            line, c, h = line + 1, wc, wh
+        else:
+            c, h = None if None in (wc, c) else (c + wc) / 2, high
+        out.append(line)
+    return out
+
+
 def assign_lines(words: DataFrame) -> DataFrame:
     """``words`` (file_id, n, x, y, w, h, ...) with ``line``, by a fold over vertical centres.
 
     A word opens a line if its centre is farther from the line's than half the larger height;
     else the line's centre moves half way to it.
     """
-    sorted_words = F.array_sort(F.collect_list(F.struct((F.col("y") + F.col("h") / 2).alias("c"), "n", "h")))
-    start = F.struct(F.lit(-1).alias("line"), F.lit(0.0).alias("c"), F.lit(0.0).alias("h"), F.array().cast("array<struct<n:bigint,line:int>>").alias("out"))
-
-    def step(a: Column, w: Column) -> Column:
-        new = (a["line"] < 0) | (F.abs(w["c"] - a["c"]) > F.greatest(w["h"], a["h"]) / 2)
-        line = F.when(new, a["line"] + 1).otherwise(a["line"])
-        return F.struct(line.alias("line"), F.when(new, w["c"]).otherwise((a["c"] + w["c"]) / 2).alias("c"), F.when(new, w["h"]).otherwise(F.greatest(w["h"], a["h"])).alias("h"), F.concat(a["out"], F.array(F.struct(w["n"].cast("bigint").alias("n"), line.cast("int").alias("line")))).alias("out"))
-
-    lines = words.groupBy("file_id").agg(sorted_words.alias("ws")).select("file_id", F.inline(F.aggregate("ws", start, step, lambda a: a["out"])))
+    ordered = F.array_sort(F.collect_list(F.struct((F.col("y") + F.col("h") / 2).cast("double").alias("c"), F.col("n").cast("long").alias("n"), F.col("h").cast("double").alias("h"))))
+    files = words.groupBy("file_id").agg(ordered.alias("ws"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            flat, per = lists.flatten(), np.diff(lists.offsets.to_numpy())
+            centers, heights = (flat.field(k).to_pylist() for k in ("c", "h"))
+            lines, at = [], 0
+            for n in per.tolist():
+                lines += fold_lines(centers[at : at + n], heights[at : at + n])
+                at += n
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(batch)), per)))
+            yield pa.RecordBatch.from_arrays([ids, flat.field("n"), pa.array(lines, pa.int32())], names=["file_id", "n", "line"])
+
+    lines = files.mapInArrow(run, f"file_id {dict(files.dtypes)['file_id']}, n long, line int")
     return words.join(lines, ["file_id", "n"])
 
 

@@ -101,10 +101,10 @@ def _mock_sql() -> str:
 
 
 def ocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of the first lines of each document as boxes, a little out of line."""
+    """All words of each document as boxes, a little out of line."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     ws = F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \n]+"), lambda w: w != "")
-    rows = d.select(F.col("doc_id").alias("file_id"), F.posexplode(F.slice(ws, 1, 60)).alias("n", "text"))
+    rows = d.select(F.col("doc_id").alias("file_id"), F.posexplode(ws).alias("n", "text"))
     n, k = F.col("n"), F.col("file_id") + F.col("n")
     return rows.select("file_id", n.cast("long").alias("n"), "text", (n % 8 * 100.0).alias("x"), (F.floor(n / 8) * 20 + k % 3).cast("double").alias("y"), (F.length("text") * 8.0).alias("w"), (F.lit(10.0) + k % 2).alias("h"), (k * 7 % 60 + 40).cast("double").alias("confidence"))
 
