@@ -313,3 +313,16 @@ def test_urls_index_uses_the_rarest_token(spark):
     index = urls.rarest_index(df, rules)
     named = {t: [rules[i].name for i in ids] for t, ids in index.items()}
     assert "spam-farm" in named["farm"] and "paged-referral" in named["page"] and set(named["xxx"] + named["porn"]) == {"adult"}
+
+
+def test_matroska_clusters_of_unknown_size():
+    e, u = matroska.element, matroska.uint
+    block = e(matroska.SIMPLE_BLOCK, b"\x81\x00\x05\x80zz")
+    open_ = lambda kind, body: matroska._id(kind) + b"\xff" + body
+    group = open_(matroska.BLOCK_GROUP, e(matroska.BLOCK, b"\x82\x00\x07\x00yy"))
+    cue = e(matroska.CUES, e(matroska.CUE_POINT, u(matroska.CUE_TIME, 100) + e(matroska.CUE_POSITIONS, u(matroska.CUE_TRACK, 1) + u(matroska.CUE_CLUSTER, 0))))
+    body = open_(matroska.CLUSTER, u(matroska.CLUSTER_TIME, 100) + group + block) + open_(matroska.CLUSTER, u(matroska.CLUSTER_TIME, 200) + block) + cue
+    for segment in (e(matroska.SEGMENT, body), open_(matroska.SEGMENT, body)):
+        x = matroska.parse(e(matroska.EBML, b"") + segment)
+        assert [(p.track, p.timestamp, p.length) for p in x.packets] == [(2, 107, 2), (1, 105, 2), (1, 205, 2)]
+        assert len(x.clusters) == 2 and x.cues == [(100, 1, 0)]

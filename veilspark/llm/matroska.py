@@ -32,6 +32,14 @@ AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER_TIME, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 
+SEEK_HEAD, CHAPTERS, TAGS, ATTACHMENTS = 0x114D9B74, 0x1043A770, 0x1254C367, 0x1941A469
+CLUSTER_CHILDREN = {CLUSTER_TIME, SIMPLE_BLOCK, BLOCK_GROUP, 0xA7, 0xAB, 0xAF, 0x5854}
+
+#: What ends an element of unknown size: ids that stand beside it or higher.
+_TOP = {EBML, SEGMENT}
+_LEVEL1 = _TOP | {INFO, TRACKS, CLUSTER, CUES, SEEK_HEAD, CHAPTERS, TAGS, ATTACHMENTS}
+ENDS = {SEGMENT: _TOP, BLOCK_GROUP: _LEVEL1 | CLUSTER_CHILDREN} | dict.fromkeys(_LEVEL1 - _TOP, _LEVEL1)
+
 FRAME = 576
 RATE = 48_000
 FRAME_MS = FRAME * 1000 // RATE
@@ -135,7 +143,11 @@ def elements(b: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, int]]
             size, p = _vint(b, p, False)
         except (ValueError, IndexError):
             return
-        stop = end if size is None else min(end, p + size)
+        if size is None:
+            ends = ENDS.get(kind, ())
+            stop = next((s for k, s, _, _ in elements(b, p, end) if k in ends), end) if ends else end
+        else:
+            stop = min(end, p + size)
         yield kind, at, p, stop
         at = stop
 
