@@ -326,3 +326,14 @@ def test_matroska_clusters_of_unknown_size():
         x = matroska.parse(e(matroska.EBML, b"") + segment)
         assert [(p.track, p.timestamp, p.length) for p in x.packets] == [(2, 107, 2), (1, 105, 2), (1, 205, 2)]
         assert len(x.clusters) == 2 and x.cues == [(100, 1, 0)]
+
+
+def test_sharding_keeps_a_small_capacity(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "LOTS", 2)
+    monkeypatch.setattr(sharding, "LARGE_PARTS", 2)
+    df = spark.createDataFrame([(i, f"{i:04d}" * 20) for i in range(200)] + [(999, "z" * 700)], "doc_id long, text string")
+    got = sharding.shard_documents(df, capacity=500).collect()
+    size = Counter()
+    for r in got:
+        size[r.shard] += r.size
+    assert len(got) == 201 and sorted(size.values())[-2] <= 500 and max(size.values()) == 701

@@ -8,7 +8,9 @@ ordered by that capacity.  ``fewest_shards`` minimises shards of a fixed capacit
 Scale: groups above 1/``LARGE_PARTS`` of all bytes are packed one by one (there are fewer
 than ``LARGE_PARTS``); smaller ones are first summed into ``LOTS`` lots by a hash of the
 group, and a lot is packed as one item.  The driver sees at most LARGE_PARTS + LOTS sizes at
-any input size, and both maps are broadcast under that bound.  Slots are numbered from counts
+any input size, and both maps are broadcast under that bound.  With a capacity given, lots and
+their groups are about 1/``PARTS_A_SHARD`` of it, so that no lot overflows a shard; then the
+sizes follow the number of shards.  Slots are numbered from counts
 per (shard, part), never by sorting a whole shard in one task.
 
 Defined cases: null text is a group of its own of size 1 a row (a text counts its bytes plus
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 
 from .spill import materialise
 
+#: With a capacity given, lots and the groups in them are this small a part of it.
+PARTS_A_SHARD = 64
 LARGE_PARTS = 2048
 LOTS = 4096
 ROWS_A_PART = 200_000
@@ -134,14 +138,23 @@ def shard_documents(docs: DataFrame, shards: int | None = 8, capacity: int | Non
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
         F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")).alias("gkey"),
-    ).withColumn("lot", F.pmod(F.xxhash64("gkey"), F.lit(LOTS)).cast("int"))
+    )
     rows = materialise(rows)
-    groups = materialise(rows.groupBy("gkey", "lot").agg(F.sum("size").alias("bytes")))
     total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    large = groups.where(F.col("bytes") > total // LARGE_PARTS)
-    large_items = [(f"g{r.gkey}", int(r.bytes)) for r in large.collect()]  # fewer than LARGE_PARTS rows
-    lots = groups.where(F.col("bytes") <= total // LARGE_PARTS).groupBy("lot").agg(F.sum("bytes").alias("bytes"))
-    lot_items = [(f"l{r.lot:05d}", int(r.bytes)) for r in lots.collect()]  # at most LOTS rows
+    limit, lot_count = total // LARGE_PARTS, LOTS
+    if capacity:
+        limit, lot_count = min(limit, capacity // PARTS_A_SHARD), max(LOTS, -(-PARTS_A_SHARD * total // capacity))
+    rows = rows.withColumn("lot", F.pmod(F.xxhash64("gkey"), F.lit(lot_count)).cast("int"))
+    groups = materialise(rows.groupBy("gkey", "lot").agg(F.sum("size").alias("bytes")))
+    large = groups.where(F.col("bytes") > limit)
+    large_items = [(f"g{r.gkey}", int(r.bytes)) for r in large.collect()]  # fewer than LARGE_PARTS rows, or 64 a shard
+    small = groups.where(F.col("bytes") <= limit)
+    if capacity:  # a lot that came out above the capacity is packed by its groups
+        over = materialise(small.groupBy("lot").agg(F.sum("bytes").alias("b")).where(F.col("b") > capacity).select("lot"))
+        large_items += [(f"g{r.gkey}", int(r.bytes)) for r in small.join(over, "lot", "left_semi").collect()]
+        small = small.join(over, "lot", "left_anti")
+    lots = small.groupBy("lot").agg(F.sum("bytes").alias("bytes"))
+    lot_items = [(f"l{r.lot:05d}", int(r.bytes)) for r in lots.collect()]  # at most LOTS rows, or 64 a shard
     items = large_items + lot_items
     placed = fewest_shards(items, capacity) if capacity else even_shards(items, shards)
     by_group = spark.createDataFrame([(k[1:], v) for k, v in placed.items() if k[0] == "g"], "gkey string, by_group int")
