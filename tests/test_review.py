@@ -235,3 +235,9 @@ def test_ocr_queries_lay_out_every_word(spark, tmp_path):
     assert ends[1, 4999] == (len(texts[1]) - 5, len(texts[1])) and len(ends) == 5203
     boxes = [r for r in q.hit_boxes(spark, str(tmp_path)).collect() if r.file_id == 4]
     assert len(boxes) == 100 and sum(r.type == "image-region" for r in boxes) == 80
+
+
+def test_entities_of_a_column(spark):
+    cases = {"&lt;&#65;&#x42;&AMP;&nope;": "<AB&&nope;", "&amp;lt; &amp;#65; &#38;lt;": "&lt; &#65; &lt;", "&#x1F600;&#0000233;": "\U0001f600é", "&#xD800;&#9999999;&#;": "&#xD800;&#9999999;&#;", "": "", "&gt;&quot;&apos;": ">\"'"}
+    df = spark.createDataFrame([(k,) for k in [*cases, None]], "t string")
+    assert {r.t: r.d for r in df.select("t", export.decode_entities(F.col("t")).alias("d")).collect()} == {**cases, None: None}

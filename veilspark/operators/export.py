@@ -82,13 +82,20 @@ def contains_word(text: Column, needle: Column) -> Column:
 
 
 def decode_entities(text: Column) -> Column:
-    """The five named XML entities and numeric references to plain characters, in one pass each way.
-
-    ``&amp;`` comes last, so that text it makes is not decoded again.
-    """
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'")):
-        text = F.regexp_replace(text, f"(?i)&{name};", char)
-    return F.regexp_replace(text, "(?i)&amp;", "&")
+    """The five named XML entities and numeric references to plain characters, in one pass; others stay."""
+    pattern = "(?i)&(?:#x0*([0-9a-f]{1,6})|#0*([0-9]{1,7})|(amp|lt|gt|quot|apos));"
+
+    def char(found: Column) -> Column:
+        part = lambda i: F.regexp_extract(found, pattern, i)
+        code = F.when(part(1) != "", F.conv(part(1), 16, 10)).otherwise(F.nullif(part(2), F.lit(""))).cast("long")
+        plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        name = F.lower(part(3))
+        named = F.when(name == "amp", "&").when(name == "lt", "<").when(name == "gt", ">").when(name == "quot", '"').when(name == "apos", "'")
+        return F.when(name != "", named).when((code < 0xD800) | code.between(0xE000, 0x10FFFF), plain).otherwise(found)
+
+    gaps = F.split(text, pattern, -1)
+    chars = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), char)
+    return F.array_join(F.zip_with(gaps, F.array_append(chars, F.lit("")), lambda a, b: F.concat(a, b)), "")
 
 
 def stored_extension(name: Column) -> Column:
