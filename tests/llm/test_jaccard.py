@@ -79,6 +79,15 @@ def test_null_ids(spark):
     assert jaccard.drop_near_duplicates(df).count() == 2
 
 
+def test_clashing_columns_and_ids_of_several_texts(spark):
+    text = lambda n: " ".join(f"w{n}x{i}" for i in range(20))
+    rows = [(1, text(1), 7, 8, 9), (2, text(1), 7, 8, 9), (3, text(3), 7, 8, 9), (3, text(4), 7, 8, 9), (3, text(3), 7, 8, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept_id int, __n int, __kept int")
+    left = jaccard.drop_near_duplicates(df)
+    assert left.columns == df.columns
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == [(1, text(1)), (3, text(3)), (3, text(4))]
+
+
 def test_pruning_keeps_the_posterior_law():
     rng = np.random.default_rng(5)
     for n in (16, 64, 160):

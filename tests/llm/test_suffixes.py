@@ -51,8 +51,9 @@ def test_hot_anchors_and_periodic_texts(spark):
     rows = shared_passages()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     want = brute(rows)
-    assert got(df) == want
-    assert got(df, hot=3) == want
+    for parts in (1, 5):  # several runs of one rank over several partitions
+        assert got(df.repartition(parts)) == want
+    assert got(df, lengths=(50, 100)) == got(df, lengths=(100,)) == want
 
 
 def test_odd_rows(odd, empty):
@@ -79,7 +80,57 @@ def test_repeated_rows_in_one_block_are_one_document(spark):
     want = brute(rows)
     assert want[1][2] == want[2][2] == 0 and want[3][2] == 1
     for laid in (df.coalesce(1), df.repartition(6)):
-        for hot in (suffixes.HOT, 1):
-            out = suffixes.remove_repeats(laid, hot=hot).collect()
-            assert len(out) == 9
-            assert {(x.doc_id, x.n_bytes, hashlib.sha256(x.kept).hexdigest(), len(x.spans)) for x in out} == {(d, *w) for d, w in want.items()}
+        out = suffixes.remove_repeats(laid).collect()
+        assert len(out) == 9
+        assert {(x.doc_id, x.n_bytes, hashlib.sha256(x.kept).hexdigest(), len(x.spans)) for x in out} == {(d, *w) for d, w in want.items()}
+
+
+def test_one_anchor_in_very_many_different_runs(spark):
+    # A phrase of 60 bytes in 20,000 texts, each with other words around it; one text in a hundred has a twin.
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    phrase = "the one phrase that stands in every text of this whole table"
+    rows = [(i, f"{word()} {word()} {word()} {word()} {word()} {phrase} {word()} {word()} {word()} {word()} {word()}") for i in range(20_000)]
+    rows += [(20_000 + i, "x" + rows[i * 100][1][3:-4]) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    assert got(df) == brute(rows)
+
+
+def test_long_texts_are_cut_into_blocks(spark):
+    r = random.Random(6)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    shared = text(80)
+    rows = [(1, text(200_000) + shared + text(200_000)), (2, shared), (3, text(190_000) + shared + text(3) + shared), (4, text(174_750) + shared)]
+    assert max(len(t) for _, t in rows) > 2 << 20
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_ranks_are_resolved_across_partitions():
+    import itertools
+
+    from pyspark.sql import Row
+
+    r = random.Random(7)
+    for _ in range(300):
+        rows = sorted((r.randint(0, 2), r.randint(0, 2), d) for d in range(r.randint(1, 8)))
+        cuts = sorted(r.choices(range(len(rows) + 1), k=3))
+        parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+        edges, settled = [], []
+        for n, part in enumerate(p for p in parts if p):
+            first = {k: next(g) for k, g in itertools.groupby(part, key=lambda x: x[:2])}
+            kinds = {k: sum(x[0] == k for x in first) for k, _ in first}
+            row = lambda x, kind: Row(rank=x[0], text=x[1], place=x[2], kind=kind, part=n, several=kinds[x[0]] > 1)
+            edges += [row(part[0], suffixes.HEAD), row(part[-1], suffixes.LAST)]
+            for x in part[1:]:
+                if first[x[:2]] != x:
+                    settled.append((True, x))
+                elif kinds[x[0]] > 1:
+                    settled.append((False, x))
+                elif x[0] == part[-1][0]:
+                    edges.append(row(x, suffixes.TAIL))
+        # An open row of a rank that only the next partition shows to be shared waits as TAIL or HEAD.
+        got = sorted(settled + [(was, (e.rank, e.text, e.place)) for was, e in suffixes.resolve(edges)])
+        first = {k: next(g) for k, g in itertools.groupby(rows, key=lambda x: x[:2])}
+        kinds = {k: sum(x[0] == k for x in first) for k, _ in first}
+        want = sorted([(True, x) for x in rows if first[x[:2]] != x] + [(False, x) for x in first.values() if kinds[x[0]] > 1])
+        assert got == want

@@ -1,9 +1,15 @@
-"""Connected components by alternating large-star and small-star steps on DataFrames.
-
-A hub's star is rewritten by an aggregate and a join, never gathered: vertices that hold more
-than 1/HEAVY of the edges are broadcast, so their edges stay where they are.  Edges are cut to
-a spanning forest within each partition first.  Each round's edges are written to the shared
-checkpoint folder, so a lost executor costs one round.
+"""Connected components by contracting edges around their ends.
+
+Every edge (u, v), v < u, goes to the task of each of its ends, and each task replaces the edges
+that it holds by a spanning forest whose trees are stars around their smallest vertex.  So all
+edges of a vertex meet once, paths shrink on both sides of it, and a round costs one shuffle of
+twice the edges.  A round that changes nothing leaves one star a component: an edge (u, v) whose
+``u`` has a smaller neighbour is given out by neither of its tasks, and one whose ``v`` has a
+smaller neighbour adds a new edge.
+
+Hubs: the edges to a vertex that holds more than 1/HEAVY of them are dealt over several tasks,
+each of which also gets the vertex's own few edges to smaller ones.  A round's edges are a table
+in the shared folder, so a lost executor costs one round, and the round before is dropped.
 """
 
 from __future__ import annotations
@@ -15,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spill import materialise
+from .spill import Scratch
 
 EDGES = "u long, v long"
-#: Keys of more than this share of the rows are broadcast; there are fewer of them than HEAVY.
+#: Vertices or keys of more than this share of the rows are heavy; there are fewer of them than HEAVY.
 HEAVY = 1024
+#: Edges held before they are contracted.
+HELD = 2_000_000
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,56 +47,68 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[keep], names[root[keep]]
 
 
-def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the edges of each few batches."""
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spanning forest of all edges of a task; it holds an edge a vertex and HELD more."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
-    n = 0
+    n, most = 0, HELD
     for batch in batches:
         held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
         n += len(batch)
-        if n > 2_000_000:
+        if n > most:
             held = [forest(*map(np.concatenate, zip(*held)))]
-            yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], names=["u", "v"])
-            held, n = [], 0
+            n = len(held[0][0])
+            most = n + max(HELD, n)
     if held:
-        a, b = forest(*map(np.concatenate, zip(*held)))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["u", "v"])
-
+        u, v = forest(*map(np.concatenate, zip(*held)))
+        for at in range(0, len(u), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(u[at : at + (1 << 16)]), pa.array(v[at : at + (1 << 16)])], names=["u", "v"])
+
+
+def _keyed(e: DataFrame, hubs: dict[int, int]) -> DataFrame:
+    """(u, v, key): each edge under both its ends; hubs maps a heavy vertex to its number of keys."""
+    of_v = F.array(F.xxhash64("v", F.lit(0)))
+    of_u = F.array(F.xxhash64("u", F.lit(0)))
+    if hubs:
+        table = e.sparkSession.createDataFrame(list(hubs.items()), "h long, parts int")  # below HEAVY rows
+        for end in "uv":
+            e = e.join(F.broadcast(table.select(F.col("h").alias(end), F.col("parts").alias(f"parts_{end}"))), end, "left")
+        parts = {end: F.coalesce(f"parts_{end}", F.lit(1)) for end in "uv"}
+        of_u = F.transform(F.sequence(F.lit(0), parts["u"] - 1), lambda i: F.xxhash64("u", i))
+        of_v = F.array(F.xxhash64("v", F.pmod(F.xxhash64("u"), parts["v"]).cast("int")))
+    return e.select("u", "v", F.explode(F.concat(of_u, of_v)).alias("key"))
+
+
+def _state(e: DataFrame) -> tuple[tuple[int, int], dict[int, int]]:
+    """Number and sum of the edges' hashes, and the hubs with the keys each needs."""
+    by_v = e.groupBy("v").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+    n, h, most = by_v.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("h"), F.lit(0)), F.max("n")).first()
+    share = max(1, n // HEAVY)
+    rows = e.groupBy("v").count().where(F.col("count") > share).collect() if most and most > share and n > HEAVY else []
+    return (int(n), int(h)), {r.v: -(-r["count"] // share) for r in rows}
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(u, v): every vertex of ``edges`` (u, v) but the roots, with the smallest vertex of its component.
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-    return int(row[0]), int(row[1])
+    Null ends and loops are ignored, repeated edges do no harm.
+    """
+    e = edges.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).where("u is not null and v is not null and u <> v")
+    e = scratch.table(e.mapInArrow(_contract, EDGES))
+    (state, hubs), was = _state(e), None
+    while state[0] and state != was:
+        e = scratch.table(_keyed(e, hubs).repartition("key").select("u", "v").mapInArrow(_contract, EDGES), e)
+        was = state
+        state, hubs = _state(e)
+    return scratch.table(e.distinct(), e)
 
 
-def join_totals(rows: DataFrame, totals: DataFrame, key: str, total: int) -> DataFrame:
+def join_totals(rows: DataFrame, totals: DataFrame, keys: list[str], total: int) -> DataFrame:
     """``rows`` joined with a row a key, whose ``n`` counts the key's rows of all ``total``.
 
     Heavy keys are broadcast and their rows are not dealt by key, so no task takes a whole one.
     """
     light = F.col("n") <= total // HEAVY
-    heavy = totals.where(~light).select(F.col(key), F.struct(*totals.drop(key, "n").columns).alias("__heavy"))
-    tagged = rows.join(F.broadcast(heavy), key, "left")
+    heavy = totals.where(~light).select(*keys, F.struct(*totals.drop(*keys, "n").columns).alias("__heavy"))
+    tagged = rows.join(F.broadcast(heavy), keys, "left")
     near = tagged.where("__heavy is not null").select(*rows.columns, "__heavy.*")
-    return near.unionByName(tagged.where("__heavy is null").select(*rows.columns).join(totals.where(light).drop("n"), key))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(u, v): every vertex of ``edges`` (u, v) but the roots, with the smallest vertex of its component.
-
-    Null ends and loops are ignored, repeated edges do no harm.
-    """
-    e = edges.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).where("u is not null and v is not null and u <> v")
-    e = materialise(e.mapInArrow(_shrink, EDGES).distinct())
-    state = _state(e)
-    while state[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = join_totals(both, least, "u", 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(down.select("u", F.col("m").alias("v"))).distinct()
-        e = materialise(small)
-        was, state = state, _state(e)
-        if was == state:
-            break
-    return e
+    return near.unionByName(tagged.where("__heavy is null").select(*rows.columns).join(totals.where(light).drop("n"), keys))

@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components, forest
-from .spill import materialise
+from .components import components, forest, join_totals
+from .spill import Scratch, materialise
 
 THRESHOLD = 0.9
 BLOCK = 1024
@@ -129,7 +129,7 @@ def _compare(x: np.ndarray, y: np.ndarray, t: float) -> tuple[np.ndarray, np.nda
     return i, j
 
 
-def links(vectors: DataFrame, dim: int, threshold: float = THRESHOLD, block: int = BLOCK, tile_rows: int = TILE_ROWS) -> DataFrame:
+def links(vectors: DataFrame, dim: int, scratch: Scratch, threshold: float = THRESHOLD, block: int = BLOCK, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(rep, links, root) of distinct valid vectors (rep, copies, embedding): linked rows of other vectors, and the smallest rep seen linked.
 
     A rep has a row for each task that found it linked.
@@ -160,7 +160,7 @@ def links(vectors: DataFrame, dim: int, threshold: float = THRESHOLD, block: int
             seen += len(b)
             yield pa.RecordBatch.from_arrays([pa.array((part << 32) + at // block), *[b.column(i) for i in (0, 1, 2)], *[b.column(3 + cells + i) for i in range(cells)]], names=["block", "rep", "copies", "embedding", *[f"p{i}" for i in range(cells)]])
 
-    blocks = materialise(ranged.mapInArrow(cut, "block long, rep long, copies long, embedding array<double>, " + ", ".join(f"p{i} double" for i in range(cells))))
+    blocks = scratch.table(ranged.mapInArrow(cut, "block long, rep long, copies long, embedding array<double>, " + ", ".join(f"p{i} double" for i in range(cells))))
     boxes = sorted(blocks.groupBy("block").agg(F.count("*").alias("n"), *[f(f"p{i}").alias(f"{k}{i}") for i in range(cells) for k, f in (("l", F.min), ("h", F.max))]).collect())
     low, high = (np.array([[r[f"{k}{i}"] for i in range(cells)] for r in boxes]).reshape(-1, cells) for k in "lh")
     tile = tiles_of(np.array([r.n for r in boxes], np.int64), tile_rows)
@@ -233,20 +233,22 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, block: int =
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     valid = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0)
     key = F.when(F.coalesce(valid, F.lit(False)), F.sha2(F.array_join(F.transform("embedding", lambda x: F.hex(F.xxhash64(x + 0.0, F.lit(1)))), ""), 256))
-    rows = materialise(rows.withColumn("key", key).withColumn("dim", F.size("embedding")))
-    reps = rows.where("key is not null").groupBy("key", "dim").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
-    reps = materialise(reps)
-    found = None
-    for dim in sorted(r.dim for r in reps.select("dim").distinct().collect()):
-        part = links(reps.where(F.col("dim") == dim).select("rep", "copies", "embedding"), dim, threshold, block)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = table.sparkSession.createDataFrame([], SPAN)
-    found = materialise(found)
-    roots = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    total = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    by_rep = reps.select("key", "rep", "copies").join(total, "rep", "left").join(roots.select(F.col("u").alias("rep"), F.col("v").alias("top")), "rep", "left")
-    by_key = by_rep.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("top", "rep").alias("component_id"))
-    out = rows.select("vec_id", "key").join(by_key, "key", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    with Scratch(table.sparkSession) as scratch:
+        whole = scratch.table(rows.withColumn("key", key).withColumn("dim", F.size("embedding")))
+        reps = whole.where("key is not null").groupBy("key", "dim").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
+        reps = scratch.table(reps)
+        rows = scratch.table(whole.select("vec_id", "key"), whole)
+        found = None
+        for dim in sorted(r.dim for r in reps.select("dim").distinct().collect()):
+            part = links(reps.where(F.col("dim") == dim).select("rep", "copies", "embedding"), dim, scratch, threshold, block)
+            found = part if found is None else found.unionByName(part)
+        if found is None:
+            found = table.sparkSession.createDataFrame([], SPAN)
+        found = scratch.table(found)
+        roots = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), scratch)
+        total = found.groupBy("rep").agg(F.sum("links").alias("links"))
+        by_rep = reps.select("key", "rep", "copies").join(total, "rep", "left").join(roots.select(F.col("u").alias("rep"), F.col("v").alias("top")), "rep", "left")
+        by_key = by_rep.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("top", "rep").alias("component_id"), F.col("copies").alias("n"))
+        alone = rows.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+        linked = join_totals(rows.where("key is not null"), by_key, ["key"], rows.count()).select("vec_id", "n_links", "component_id")
+        return materialise(linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))))

@@ -9,16 +9,17 @@ is Beta(m + 1, n - m + 1), and a pair is dropped once its probability of reachin
 falls below ``TOLERANCE``.  What is left is verified exactly on the shingle sets.
 
 Scale: bands are aggregated map-side, so a band value shared by very many texts costs no more
-than others; groups above ``GROUP`` members are dealt in blocks over tasks, and a task returns
-a row per representative (its links, and the least it reached), so no plan node ever holds
-pairs.  At similarity t a pair shares no band with probability (1 - t**ROWS)**BANDS, below 3e-6
-at 0.8.
+than others.  Groups above ``GROUP`` members are dealt in blocks over tasks.  A first pass over
+the blocks sees MinHash values only (16 bits each) and names the representatives that keep a
+partner there; only their texts travel to the second, which verifies.  Both return a row per
+representative, so no plan node ever holds pairs.  At similarity t a pair shares no band with
+probability (1 - t**ROWS)**BANDS, below 3e-6 at 0.8.
 
 Words are runs of digits, a-z and non-ASCII characters of the lower-cased text; a text of one
 to four words is a single shingle.  Defined cases: texts without words (null, empty, only
 punctuation) link with nothing; a null doc_id links with nothing and has a null class; rows
 that repeat a doc_id count as copies; an empty table gives an empty result; extra columns are
-ignored.
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,17 +30,20 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components, forest, join_totals
-from .spill import materialise, small_batches
+from .spill import Scratch, materialise, small_batches
 from .text import U, blocks, mix, prefix_hash, row_starts, shingles, span_hash, text_bytes, word_spans
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
+#: Bits kept of a MinHash value; unequal minima agree in them once in 65,536, so a few more pairs go on.
+SIGN = 16
+WIDTH = SIGN // 8
 STEP = 16
 TOLERANCE = 1e-6
 GROUP = 1024
@@ -68,11 +72,11 @@ def text_shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 
 
 def minhash(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Upper halves of the smallest of each hash function, a row a text."""
-    out = np.empty((len(starts), HASHES), np.uint32)
+    """Upper ``SIGN`` bits of the smallest of each hash function, a row a text."""
+    out = np.empty((len(starts), HASHES), np.uint16)
     if len(starts):
         for j in range(HASHES):
-            out[:, j] = np.minimum.reduceat((h ^ _XOR[j]) * _MUL[j], starts) >> U(32)
+            out[:, j] = np.minimum.reduceat((h ^ _XOR[j]) * _MUL[j], starts) >> U(64 - SIGN)
     return out
 
 
@@ -98,69 +102,68 @@ def _sum_rows(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, f1, f2 (fingerprint of the shingles; null without words), sig (MinHash values, 4 bytes each)."""
-    names = ["doc_id", "f1", "f2", "sig"]
+    """doc_id, mark (hash of the text), f1, f2 (fingerprint of the shingles; null without words), sig (MinHash values)."""
+    names = ["doc_id", "mark", "f1", "f2", "sig"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(_lowered(batch.column(1)))
+            data, offsets = text_bytes(_lowered(batch.column(2)))
             for a, b in blocks(offsets):
                 h, rows = text_shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 starts = row_starts(rows)
                 some = rows[starts]
-                f1, f2, sig = np.zeros(b - a, np.int64), np.zeros(b - a, np.int64), np.zeros((b - a, HASHES), np.uint32)
+                f1, f2, sig = np.zeros(b - a, np.int64), np.zeros(b - a, np.int64), np.zeros((b - a, HASHES), np.uint16)
                 f1[some], f2[some] = _sum_rows(mix(h + U(1)), starts).view(np.int64), _sum_rows(mix(h ^ U(0xA5A5)), starts).view(np.int64)
                 sig[some] = minhash(h, starts)
                 none = np.ones(b - a, bool)
                 none[some] = False
-                at = np.arange(b - a + 1, dtype=np.int32) * (4 * HASHES)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(f1, mask=none), pa.array(f2, mask=none), pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(at), pa.py_buffer(sig)])], names=names)
+                at = np.arange(b - a + 1, dtype=np.int32) * (WIDTH * HASHES)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(f1, mask=none), pa.array(f2, mask=none), pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(at), pa.py_buffer(sig)])], names=names)
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, f1 long, f2 long, sig binary")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), _mark(), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, mark long, f1 long, f2 long, sig binary")
 
 
-def candidate_groups(reps: DataFrame) -> DataFrame:
+def _mark() -> Column:
+    return F.xxhash64(F.col("text").cast("string")).alias("mark")
+
+
+def candidate_groups(reps: DataFrame, scratch: Scratch) -> DataFrame:
     """(rep, grp, size) of the representatives that share a band with another, by connected groups."""
-    band = lambda b: F.xxhash64(b, F.substring("sig", b * (4 * ROWS) + 1, 4 * ROWS))
+    band = lambda b: F.xxhash64(b, F.substring("sig", b * (WIDTH * ROWS) + 1, WIDTH * ROWS))
     bands = reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("band"))
     shared = bands.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("n")).where("least < most").drop("most")
-    stars = join_totals(bands, shared, "band", BANDS * reps.count()).where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v"))
-    roots = components(stars)
+    stars = join_totals(bands, shared, ["band"], BANDS * reps.count()).where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v"))
+    roots = components(stars, scratch)
     tops = roots.groupBy("v").agg((F.count("*") + 1).alias("size")).withColumn("n", F.col("size"))
     members = roots.select(F.col("u").alias("rep"), F.col("v").alias("grp")).unionByName(tops.select(F.col("v").alias("rep"), F.col("v").alias("grp")))
-    return join_totals(members, tops.withColumnRenamed("v", "grp"), "grp", members.count())
+    return scratch.table(join_totals(members, tops.withColumnRenamed("v", "grp"), ["grp"], 2 * roots.count()), roots)
 
 
-class Texts:
-    """The distinct texts of one task: MinHash values, sorted shingle sets, copies."""
+class Members:
+    """The distinct texts of one task, by rep: groups, blocks, copies and MinHash values."""
 
     def __init__(self, table: pa.Table) -> None:
-        data, offsets = text_bytes(_lowered(table.column("text").combine_chunks()))
-        f1 = table.column("f1").to_numpy()
         rep = table.column("rep").to_numpy()
-        sets: dict[int, np.ndarray] = {}
-        for a, b in blocks(offsets):
-            h, rows = text_shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            starts = row_starts(rows)
-            sums = _sum_rows(mix(h + U(1)), starts).view(np.int64)
-            ends = np.append(starts[1:], len(h))
-            for r, s, e, f in zip(rows[starts] + a, starts, ends, sums):
-                # A repeated doc_id may bring another text: the fingerprint tells.
-                if f == f1[r] and rep[r] not in sets:
-                    sets[rep[r]] = (r, np.unique(h[s:e]))
-        keep = np.array([r for r, _ in sets.values()], np.int64)
-        order = np.argsort(rep[keep])
-        keep = keep[order]
-        self.rep, self.copies = rep[keep], table.column("copies").to_numpy()[keep]
-        self.sets = [sets[r][1] for r in self.rep]
-        raw, at = text_bytes(table.column("sig").combine_chunks())
-        self.sig = raw.reshape(-1, 4 * HASHES)[keep].copy().view(np.uint32)
-        self.grp, self.blk = table.column("grp").to_numpy()[keep], table.column("blk").to_numpy()[keep]
-
-
-def similar_pairs(t: Texts, x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of texts of x and y whose Jaccard similarity reaches the threshold."""
-    a, b = t.sig[x, :STEP], t.sig[y, :STEP]
+        #: Places in the table; rows that repeat a text are left out.
+        _, self.row = np.unique(rep, return_index=True)
+        self.rep = rep[self.row]
+        self.grp, self.blk, self.copies = (table.column(c).to_numpy()[self.row] for c in ("grp", "blk", "copies"))
+        raw, _ = text_bytes(table.column("sig").combine_chunks())
+        self.sig = raw.reshape(-1, WIDTH * HASHES)[self.row].copy().view(np.uint16)
+
+    def sides(self, bi: int, bj: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The two blocks to be compared of each group (one and the same array if they are one)."""
+        by_group = np.argsort(self.grp, kind="stable")
+        edges = np.append(row_starts(self.grp[by_group]), len(by_group))
+        for s, e in zip(edges[:-1], edges[1:]):
+            own = np.sort(by_group[s:e])
+            x = own[self.blk[own] == bi]
+            yield x, x if bi == bj else own[self.blk[own] == bj]
+
+
+def likely_pairs(sig: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of texts of x and y that the comparison of MinHash values doesn't drop."""
+    a, b = sig[x, :STEP], sig[y, :STEP]
     if len(x) * len(y) < 4096:
         same = (a[:, None, :] == b[None, :, :]).sum(axis=2)
     else:
@@ -178,13 +181,18 @@ def similar_pairs(t: Texts, x: np.ndarray, y: np.ndarray, threshold: float = THR
             break
         for s in range(0, len(i), 1 << 16):  # bounded memory
             q = slice(s, s + (1 << 16))
-            m[q] += (t.sig[i[q], n : n + STEP] == t.sig[j[q], n : n + STEP]).sum(axis=1)
+            m[q] += (sig[i[q], n : n + STEP] == sig[j[q], n : n + STEP]).sum(axis=1)
         alive = m >= least_matches(n + STEP, threshold)
         i, j, m = i[alive], j[alive], m[alive]
+    return i, j
+
+
+def similar_pairs(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs whose Jaccard similarity reaches the threshold, exactly."""
     if not len(i):
         return i, j
-    common = _intersections(t.sets, i, j)
-    size = np.fromiter(map(len, t.sets), np.int64, len(t.sets))
+    common = _intersections(sets, i, j)
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
     good = common >= threshold * (size[i] + size[j] - common) - 1e-9
     return i[good], j[good]
 
@@ -214,18 +222,39 @@ def _intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.n
     return total[np.searchsorted(u, i), np.searchsorted(v, j)].astype(np.int64)
 
 
-def _task(table: pa.Table, threshold: float) -> pa.Table:
-    bi, bj = (table.column(c)[0].as_py() for c in ("bi", "bj"))
-    t = Texts(table)
+def _prune(key: tuple, table: pa.Table, threshold: float) -> pa.Table:
+    """The members that keep a likely partner in this task."""
+    bi, bj = key[2].as_py(), key[3].as_py()
+    t = Members(table)
+    alive = np.zeros(len(t.rep), bool)
+    for x, y in t.sides(bi, bj):
+        for s in range(0, len(x), 256):  # not all pairs of two blocks at once
+            i, j = likely_pairs(t.sig, x[s : s + 256], y, threshold)
+            other = i != j
+            alive[i[other]] = alive[j[other]] = True
+    return table.take(pa.array(t.row[alive]))
+
+
+def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The sorted shingle set of each text."""
+    data, offsets = text_bytes(_lowered(column.combine_chunks()))
+    out: list[np.ndarray] = []
+    for a, b in blocks(offsets):
+        h, rows = text_shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        ends = np.searchsorted(rows, np.arange(b - a + 1))
+        out += [np.unique(h[s:e]) for s, e in zip(ends[:-1], ends[1:])]
+    return out
+
+
+def _verify(key: tuple, table: pa.Table, threshold: float) -> pa.Table:
+    """rep, links and least linked rep of the members that have links in this task."""
+    bi, bj = key[2].as_py(), key[3].as_py()
+    t = Members(table)
+    sets = _sets(table.column("text").take(pa.array(t.row)))
     total, root = np.zeros(len(t.rep), np.int64), np.arange(len(t.rep))
     us, vs = [], []
-    by_group = np.argsort(t.grp, kind="stable")
-    edges = np.append(row_starts(t.grp[by_group]), len(by_group))
-    for s, e in zip(edges[:-1], edges[1:]):
-        own = np.sort(by_group[s:e])
-        x = own[t.blk[own] == bi]
-        y = x if bi == bj else own[t.blk[own] == bj]
-        i, j = similar_pairs(t, x, y, threshold)
+    for x, y in t.sides(bi, bj):
+        i, j = similar_pairs(sets, *likely_pairs(t.sig, x, y, threshold), threshold)
         np.add.at(total, i, t.copies[j])
         np.add.at(total, j, t.copies[i])
         if len(i):
@@ -239,36 +268,63 @@ def _task(table: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"rep": pa.array(t.rep[hit]), "links": pa.array(total[hit]), "root": pa.array(t.rep[root[hit]])})
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, group: int = GROUP) -> DataFrame:
-    """doc_id, class_id (least doc_id reachable by links), n_links (other rows linked directly), a row per row of docs."""
-    rows = materialise(signatures(docs))
-    reps = rows.where("doc_id is not null and f1 is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
-    reps = materialise(reps)
-    members = materialise(candidate_groups(reps))
+TASK = ("large", "bundle", "bi", "bj")
+MEMBER = "large long, bundle long, bi int, bj int, rep long, mark long, grp long, blk int, copies long, sig binary"
+
+
+def _classes(docs: DataFrame, threshold: float, group: int, scratch: Scratch) -> DataFrame:
+    """doc_id, mark, f1, f2, class_id and n_links, a row per row of docs."""
+    rows = scratch.table(signatures(docs))
+    reps = rows.where("doc_id is not null and f1 is not null").groupBy("f1", "f2")
+    reps = reps.agg(F.min(F.struct("doc_id", "mark")).alias("least"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    reps = scratch.table(reps.select("f1", "f2", F.col("least.doc_id").alias("rep"), F.col("least.mark").alias("mark"), "copies", "sig"))
+    members = candidate_groups(reps, scratch)
     bundles = max(1, members.count() // BUNDLE)
-    members = members.withColumn("n", F.ceil(F.col("size") / group)).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
+    dealt = members.withColumn("n", F.ceil(F.col("size") / group)).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
+    dealt = dealt.select("rep", "grp", "n", "blk").join(reps.select("rep", "mark", "copies", "sig"), "rep")
     # A large group is dealt as pairs of its blocks; small ones share tasks.
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
-    dealt = dealt.select("rep", "grp", "blk", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), F.when(F.col("n") > 1, F.col("grp")).otherwise(F.lit(-1)).alias("large"), F.when(F.col("n") > 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("grp"), F.lit(bundles))).cast("long").alias("bundle"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    payload = reps.select("rep", "f1", "copies", "sig").join(members.select("rep"), "rep", "left_semi").join(texts, "rep")
-    tasks = dealt.join(payload, "rep")
-    found = tasks.groupBy("large", "bundle", "bi", "bj").applyInArrow(lambda table: _task(table, threshold), "rep long, links long, root long")
-    found = materialise(found)
-    roots = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
+    large = F.col("n") > 1
+    dealt = dealt.select(F.when(large, F.col("grp")).otherwise(F.lit(-1)).alias("large"), F.when(large, F.lit(0)).otherwise(F.pmod(F.xxhash64("grp"), F.lit(bundles))).cast("long").alias("bundle"), F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "rep", "mark", "grp", "blk", "copies", "sig")
+    alive = scratch.table(dealt.groupBy(*TASK).applyInArrow(lambda key, table: _prune(key, table, threshold), MEMBER), members)
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), _mark(), F.col("text").cast("string").alias("text"))
+    found = alive.join(texts, ["rep", "mark"]).groupBy(*TASK).applyInArrow(lambda key, table: _verify(key, table, threshold), "rep long, links long, root long")
+    found = scratch.table(found, alive)
+    roots = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), scratch)
     total = found.groupBy("rep").agg(F.sum("links").alias("links"))
     by_rep = reps.select("f1", "f2", "rep", "copies").join(total, "rep", "left").join(roots.select(F.col("u").alias("rep"), F.col("v").alias("top")), "rep", "left")
-    by_print = by_rep.select("f1", "f2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("top", "rep").alias("class_id"))
-    named = rows.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("f1")).alias("f1"), "f2")
-    out = named.join(by_print, ["f1", "f2"], "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    by_print = by_rep.select("f1", "f2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("top", "rep").alias("class_id"), F.col("copies").alias("n"))
+    rows = rows.drop("sig")
+    named = F.col("doc_id").isNotNull() & F.col("f1").isNotNull()
+    alone = rows.where(~named).select("*", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("class_id"))
+    return join_totals(rows.where(named), by_print, ["f1", "f2"], rows.count()).unionByName(alone)
+
+
+def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, group: int = GROUP) -> DataFrame:
+    """doc_id, class_id (least doc_id reachable by links), n_links (other rows linked directly), a row per row of docs."""
+    with Scratch(docs.sparkSession) as scratch:
+        return materialise(_classes(docs, threshold, group, scratch).select("doc_id", "class_id", "n_links"))
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The columns of ``docs`` with one row of each class; rows with a null doc_id stay."""
-    from pyspark.sql import Window
+    """The columns of ``docs`` with one row of each class; rows with a null doc_id stay.
 
-    kept = jaccard_classes(docs, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("__kept")).distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").withColumn("__n", first).where("__n = 1").drop("__n")
-    return named.unionByName(docs.where("doc_id is null"))
+    Of rows that repeat a doc_id, those of one fingerprint count as one document; others are judged
+    apart, so that a text which merely shares its id with a kept one isn't lost.
+    """
+    with Scratch(docs.sparkSession) as scratch:
+        first = _classes(docs, threshold, GROUP, scratch).where("doc_id = class_id").groupBy("doc_id", "f1", "f2").agg(F.min("mark").alias("mark"))
+        kept = materialise(first.select("doc_id", "mark"))
+    id_, mark, n = (_unused(docs, x) for x in ("kept_id", "kept_mark", "kept_n"))
+    same = (F.col("doc_id").cast("long") == F.col(id_)) & (F.xxhash64(F.col("text").cast("string")) == F.col(mark))
+    named = docs.where("doc_id is not null").join(kept.select(F.col("doc_id").alias(id_), F.col("mark").alias(mark)), same)
+    once = named.withColumn(n, F.row_number().over(Window.partitionBy(id_, mark).orderBy(F.lit(0)))).where(F.col(n) == 1)
+    return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name

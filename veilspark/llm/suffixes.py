@@ -1,21 +1,26 @@
 """Suffix-array dedup: bytes covered by a long string that also starts earlier are removed.
 
-Distributed prefix doubling.  Positions are ranked by their first ``PREFIX`` bytes, then by
-pairs of ranks at offsets PREFIX, 2 PREFIX ... until the ranks cover ``LENGTH`` bytes; a
-position whose rank is unique drops out.
-
-The first ranks need not be made for all positions.  Every window of LENGTH bytes has an
-anchor, the PREFIX bytes in it of the smallest hash, which depends on its content alone; so
-equal windows have equal anchors, and runs of neighbouring windows share one.  Spark sorts only
-(anchor rank, run, position), about 2 / (LENGTH - PREFIX + 1) of all positions.  Anchors of
-unique rank drop out with all their windows; of runs that are equal as a whole only the first
-stays, the others are repeats throughout.  What remains, runs that differ but share an anchor,
-is sorted by Spark by anchor with its bytes, and rank pairs at the growing offsets decide each
-window.
-
-Skew: equal runs are collapsed in each block of rows before anything is shuffled, so a common
-passage counts once a block; an anchor shared by more than ``HOT`` different runs is resolved
-by single windows keyed by their own hash, spread over all tasks, with constant memory.
+Distributed prefix doubling.  Names of all substrings grow by pairs, length 25 at offset 25 to
+length 50, length 50 at offset 50 to length 100; at each length Spark sorts (pair of ranks,
+text, place) over the cluster, and ranks that stand alone drop out.
+
+Not every position is sorted.  Each window of LENGTH bytes has an anchor at each of the lengths,
+the substring in it of the smallest name, which depends on the window's content alone; so equal
+windows have equal anchors, and neighbouring windows that share one make a *run*.  A row of the
+sort is a run: the ranks of its anchors at the last length and this one, its text and its place.
+Three things follow from the sorted order:
+
+* a run alone under its rank pair drops out with all its windows: none stands elsewhere;
+* of runs of equal text all but the first are repeats throughout;
+* runs of different text under one rank pair go on to the next length, cut at its anchors.
+
+At LENGTH every window is a run of its own, so nothing is left open.  Texts are compared by a
+64-bit hash under an equal 64-bit name of the anchor, not byte by byte.
+
+Scale: the sort is by range over all four columns, so a rank of any number of runs is spread
+over tasks; a task needs only its neighbours' first and last rows, three a partition, which the
+driver resolves.  Runs that are equal within a block of 1 MB are collapsed before anything is
+shuffled.  Long texts are cut into overlapping blocks, so memory follows the block.
 
 Defined cases: null text is empty; a row with a null doc_id is kept whole and hides nothing;
 rows that repeat a doc_id are one document listed again and get equal results; texts below
@@ -29,234 +34,301 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spill import release, small_batches, stored
-from .text import U, blocks, mix, prefix_hash, span_hash, text_bytes, window_argmin
+from .spill import Scratch, materialise, small_batches
+from .text import U, mix, overlapping_blocks, prefix_hash, span_hash, text_bytes, window_argmin
+
+#: Lengths of the ranks; each is twice the one before.
+LENGTHS = (25, 50, 100)
+
+#: rank: pair of ranks as one number; text: hash of the run; more: windows after the first; body: its bytes.
+RUNS = "rank long, text long, doc_id long, lo long, more int"
+BODIES = RUNS + ", body binary"
+#: What a sorted row turned out to be: a repeat, open (to be refined), the first or last open row of a partition, its last row.
+REPEAT, OPEN, HEAD, TAIL, LAST = range(5)
 
-LENGTH = 100
-PREFIX = 25
-HOT = 4096
 
-RUNS = "key long, run long, doc_id long, lo long, more int, again boolean"
-SPANS = "doc_id long, start long, end long"
+def names(data: np.ndarray, lengths: tuple[int, ...]) -> np.ndarray:
+    """Names of all substrings of the last of ``lengths``, by pairs of names at doubled offsets."""
+    p, n = prefix_hash(data), lengths[0]
+    at = np.arange(max(0, len(data) - n + 1))
+    out = span_hash(p, at, at + n)
+    for have, n in zip(lengths, lengths[1:]):
+        step = n - have  # at most ``have``
+        out = mix(out[: max(0, len(out) - step)] * U(0xFF51AFD7ED558CCD) + out[step:])
+    return out
 
 
-def _runs(data: np.ndarray, offsets: np.ndarray, length: int, prefix: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: anchor hash, hash of the whole run, row, first window, further windows."""
+def cut_runs(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...], whole: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one anchor: its name, hash of the run's bytes, row, first window, further windows."""
     none = np.zeros(0, np.int64)
-    if len(data) < length:
+    if len(data) < whole:
         return none.view(U), none.view(U), none, none, none
-    p = prefix_hash(data)
-    at = np.arange(len(data) - prefix + 1)
-    h = span_hash(p, at, at + prefix)
-    anchor = window_argmin(h, length - prefix + 1)
+    name = names(data, lengths)
+    anchor = window_argmin(name, whole - lengths[-1] + 1)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(anchor)]
-    start = np.flatnonzero(np.arange(len(anchor)) + length <= offsets[row + 1])
+    start = np.flatnonzero(np.arange(len(anchor)) + whole <= offsets[row + 1])
     anchor, row = anchor[start], row[start]
     if not len(start):
         return none.view(U), none.view(U), none, none, none
     first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]))))
     last = np.append(first[1:], len(start)) - 1
     lo, hi = start[first], start[last]
-    return h[anchor[first]], span_hash(p, lo, hi + length), row[first], lo - offsets[row[first]], hi - lo
+    return name[anchor[first]], span_hash(prefix_hash(data), lo, hi + whole), row[first], lo - offsets[row[first]], hi - lo
 
 
-def anchor_runs(docs: DataFrame, length: int, prefix: int) -> DataFrame:
-    """A row per run; ``again`` where the same run stands earlier in the block (its key is then of no use)."""
-    names = [x.split()[0] for x in RUNS.split(", ")]
+def anchor_runs(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
+    """A row per run at the first length; ``again`` where the same run stands earlier in the block."""
+    whole = lengths[-1]
+    columns = [x.split()[0] for x in RUNS.split(", ")] + ["again"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             data, offsets = text_bytes(batch.column(1))
-            for a, b in blocks(offsets):
-                key, whole, row, lo, more = _runs(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length, prefix)
-                doc = ids[a:b][row]
-                order = np.lexsort((lo, doc, whole, key))
+            for a, b, begin, end in overlapping_blocks(offsets, whole - 1):
+                at = np.clip(offsets[a : b + 1], begin, end) - begin
+                name, text, row, lo, more = cut_runs(data[begin:end], at, lengths[:1], whole)
+                doc, lo = ids[a:b][row], lo + max(0, begin - offsets[a])
+                order = np.lexsort((lo, doc, text, name))
                 if len(order):
                     # A row that repeats a document brings the same runs at the same places: no later ones.
-                    new = np.any([x[order[1:]] != x[order[:-1]] for x in (key, whole, doc, lo)], axis=0)
+                    new = np.any([x[order[1:]] != x[order[:-1]] for x in (name, text, doc, lo)], axis=0)
                     order = order[np.concatenate(([True], new))]
-                k, w, d, s = key[order], whole[order], doc[order], lo[order]
-                same = np.concatenate(([False], (k[1:] == k[:-1]) & (w[1:] == w[:-1]))) if len(k) else np.zeros(0, bool)
-                k = np.where(same, mix(d.astype(U) * U(31) + s.astype(U)), k)
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(w.view(np.int64)), pa.array(d), pa.array(s), pa.array(more[order].astype(np.int32)), pa.array(same)], names=names)
+                again = np.zeros(len(name), bool)
+                again[order[1:]] = (name[order[1:]] == name[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
+                order.sort()  # by place, which takes less room
+                yield pa.RecordBatch.from_arrays([pa.array(name[order].view(np.int64)), pa.array(text[order].view(np.int64)), pa.array(doc[order]), pa.array(lo[order]), pa.array(more[order].astype(np.int32)), pa.array(again[order])], names=columns)
+
+    source = small_batches(docs).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return source.mapInArrow(run, RUNS + ", again boolean")
+
+
+class _Partition:
+    """Reads a sorted partition batch by batch and says what its rows are.
+
+    The first row of a rank is open only if another text follows under that rank, so it waits for it.
+    """
+
+    def __init__(self) -> None:
+        self.part = TaskContext.get().partitionId()
+        self.last: pa.RecordBatch | None = None
+        self.waiting: pa.RecordBatch | None = None
+        self.head = False  # whether what waits is the partition's first row
+
+    def _out(self, rows: pa.RecordBatch, kind: int, several: bool = False) -> pa.RecordBatch:
+        n = len(rows)
+        extra = [pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, self.part, np.int32)), pa.array(np.full(n, several))]
+        return pa.RecordBatch.from_arrays([*rows.columns, *extra], names=[*rows.schema.names, "kind", "part", "several"])
+
+    def _settle(self, several: bool) -> Iterator[pa.RecordBatch]:
+        if self.waiting is not None and (self.head or several):
+            yield self._out(self.waiting, HEAD if self.head else OPEN, several)
+        self.waiting, self.head = None, False
+
+    def read(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        start = self.last is None
+        before = batch.slice(0, 1) if start else self.last
+        column = lambda c: np.concatenate((before.column(c).to_numpy(), batch.column(c).to_numpy()))
+        change = [x[1:] != x[:-1] for x in map(column, ("rank", "text", "doc_id", "lo"))]
+        rank, text = change[0], change[0] | change[1]
+        there = text | change[2] | change[3]  # else a row listed again
+        if start:
+            rank[0] = text[0] = there[0] = True
+        self.last = batch.slice(len(batch) - 1)
+        yield self._out(batch.filter(pa.array(there & ~text)), REPEAT)
+        first = np.flatnonzero(text)
+        if not len(first):
+            return
+        yield from self._settle(not rank[first[0]])
+        yield self._out(batch.filter(pa.array(text & ~rank)), OPEN)
+        # The first of a rank: open if the next text is under that rank too.
+        opens = rank[first]
+        followed = np.append(~opens[1:], False)
+        if start:
+            self.waiting, self.head = batch.slice(0, 1), True
+            if len(first) > 1:
+                yield from self._settle(bool(followed[0]))
+            opens[0] = False
+        yield self._out(batch.take(pa.array(first[opens & followed])), OPEN)
+        if opens[-1]:
+            self.waiting = batch.slice(int(first[-1]), 1)
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if self.last is None:
+            return
+        if self.waiting is not None:
+            yield self._out(self.waiting, HEAD if self.head else TAIL)
+        yield self._out(self.last, LAST)
+
+
+def sort_runs(runs: DataFrame) -> DataFrame:
+    """The runs in order of (rank, text, place), with kind, part and several; those alone under their rank are left out."""
 
-    return small_batches(docs).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, RUNS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = _Partition()
+        for batch in batches:
+            if len(batch):
+                yield from p.read(batch)
+        yield from p.end()
 
+    order = ["rank", "text", "doc_id", "lo"]
+    schema = ", ".join(f"{n} {t}" for n, t in runs.dtypes) + ", kind int, part int, several boolean"
+    return runs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema)
 
-def sort_runs(runs: DataFrame, length: int, hot: int) -> DataFrame:
-    """Spans of runs that stand earlier as a whole (key null), and runs to be compared window by window (key set)."""
-    by_key, by_run = Window.partitionBy("key"), Window.partitionBy("key", "run").orderBy("doc_id", "lo")
-    r = runs.withColumn("n", F.count("*").over(by_key)).where("n > 1 or again")
-    # Rows that repeat a document stand at one place and are the same run.
-    r = r.withColumn("at", F.dense_rank().over(by_run)).withColumn("dup", F.row_number().over(by_run)).where("again or at > 1 or dup = 1")
-    r = r.withColumn("kinds", F.sum(F.when(F.col("dup") == 1, 1).otherwise(0)).over(by_key))
-    r = r.where("again or at > 1 or kinds > 1")
-    repeat = F.col("again") | (F.col("at") > 1)
-    return r.select("doc_id", F.col("lo").alias("start"), (F.col("lo") + F.col("more") + length).alias("end"), F.when(~repeat, F.col("key")).alias("key"), (~repeat & (F.col("kinds") > hot)).alias("hot"))
 
+def resolve(rows: list) -> list[tuple[bool, object]]:
+    """(repeat, row) of the HEAD and TAIL rows of all partitions that are repeats or open.
 
-def run_bytes(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
-    """(key, doc_id, lo, body) of the given runs; hot ones as single windows keyed by their hash, body null."""
-    wanted = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "key", "hot")).alias("runs"))
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(wanted, "doc_id")
+    ``rows`` hold each partition's HEAD, TAIL (if any) and LAST row.
+    """
+    parts: dict[int, dict[int, object]] = {}
+    for r in rows:
+        parts.setdefault(r.part, {})[r.kind] = r
+    order = [parts[i] for i in sorted(parts)]
+    follows = [False] * len(order)  # another text follows in later partitions under the rank of the LAST row
+    for i in range(len(order) - 2, -1, -1):
+        last, head = order[i][LAST], order[i + 1][HEAD]
+        if head.rank == last.rank:
+            after = order[i + 1][LAST]
+            follows[i] = head.text != last.text or head.several or (after.rank == last.rank and follows[i + 1])
+    out = []
+    for i, p in enumerate(order):
+        head, last, before = p[HEAD], p[LAST], order[i - 1][LAST] if i else None
+        joined = before is not None and before.rank == head.rank
+        if joined and before.text == head.text:
+            out.append((True, head))
+        elif joined or head.several or (last.rank == head.rank and follows[i]):
+            out.append((False, head))
+        if TAIL in p and follows[i]:
+            out.append((False, p[TAIL]))
+    return out
+
+
+def _settled(ranked: DataFrame, whole: int, body: bool) -> tuple[DataFrame, DataFrame]:
+    """Spans of the repeats, and the open runs."""
+    spark = ranked.sparkSession
+    columns = ["rank", "doc_id", "lo", "more"] + ["body"] * body
+    edges = resolve(ranked.where(F.col("kind") >= HEAD).collect())  # three rows a partition at most
+    schema = ranked.select(*columns).schema
+    made = lambda repeat: spark.createDataFrame([tuple(r[c] for c in columns) for was, r in edges if was == repeat], schema)
+    span = lambda rows: rows.select("doc_id", F.col("lo").alias("start"), (F.col("lo") + F.col("more") + whole).alias("end"))
+    repeats = span(ranked.where(F.col("kind") == REPEAT)).unionByName(span(made(True)))
+    return repeats, ranked.where(F.col("kind") == OPEN).select(*columns).unionByName(made(False))
+
+
+def run_bodies(docs: DataFrame, runs: DataFrame, whole: int) -> DataFrame:
+    """(rank, doc_id, lo, body) of the given runs."""
+    wanted = runs.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "more", "rank")).alias("runs"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             data, offsets = text_bytes(batch.column(1))
             lists = batch.column(2)
-            per = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten()
-            row = np.repeat(np.arange(len(batch)), per)
-            start, end, key = (flat.field(c).to_numpy() for c in ("start", "end", "key"))
-            hot = flat.field("hot").to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
+            lo, more, rank = (flat.field(c).to_numpy() for c in ("lo", "more", "rank"))
             # A doc_id may repeat with a shorter text: what lies beyond it is left out.
-            fits = end <= np.diff(offsets)[row]
-            keys, docs_, los, bodies = [], [], [], []
-            for i in np.flatnonzero(fits & ~hot):
-                keys.append(key[i])
-                docs_.append(ids[row[i]])
-                los.append(start[i])
-                bodies.append(data[offsets[row[i]] + start[i] : offsets[row[i]] + end[i]].tobytes())
-            for i in np.flatnonzero(fits & hot):
-                body = data[offsets[row[i]] + start[i] : offsets[row[i]] + end[i]]
-                at = np.arange(len(body) - length + 1)
-                keys += mix(span_hash(prefix_hash(body), at, at + length) ^ U(1)).view(np.int64).tolist()
-                docs_ += [ids[row[i]]] * len(at)
-                los += (start[i] + at).tolist()
-                bodies += [None] * len(at)
-            for s in range(0, max(1, len(keys)), 50_000):
-                e = s + 50_000
-                yield pa.RecordBatch.from_arrays([pa.array(keys[s:e], pa.int64()), pa.array(docs_[s:e], pa.int64()), pa.array(los[s:e], pa.int64()), pa.array(bodies[s:e], pa.binary())], names=["key", "doc_id", "lo", "body"])
-
-    return joined.mapInArrow(cut, "key long, doc_id long, lo long, body binary")
-
-
-def double(data: np.ndarray, at: np.ndarray, windows: np.ndarray, length: int, prefix: int) -> tuple[np.ndarray, np.ndarray]:
-    """(run, window) of each window whose bytes stand in an earlier run or window, by prefix doubling.
-
-    ``at`` are the offsets of the runs' bytes, in the order that says what is earlier.
+            keep = np.flatnonzero(lo + more + whole <= np.diff(offsets)[row])
+            begin = offsets[row[keep]] + lo[keep]
+            end = begin + more[keep] + whole
+            for s in range(0, len(keep), 50_000):
+                k = keep[s : s + 50_000]
+                body = [data[i:j].tobytes() for i, j in zip(begin[s : s + 50_000], end[s : s + 50_000])]
+                yield pa.RecordBatch.from_arrays([pa.array(rank[k]), pa.array(ids[row[k]]), pa.array(lo[k]), pa.array(body, pa.binary())], names=["rank", "doc_id", "lo", "body"])
+
+    return source.join(wanted, "doc_id").mapInArrow(run, "rank long, doc_id long, lo long, body binary")
+
+
+def refine(bodies: DataFrame, lengths: tuple[int, ...], whole: int) -> DataFrame:
+    """The runs cut at the anchors of the last of ``lengths``, ranked by (rank so far, name of the anchor).
+
+    At the full length a run is one window and its bytes are of no more use.
     """
-    run = np.repeat(np.arange(len(windows)), np.diff(at))
-    place = np.arange(len(data)) - at[run]
-    size = np.diff(at)[run]
-    live = np.flatnonzero(place + prefix <= size)
-    rank = np.full(len(data), -1, np.int64)
-    p = prefix_hash(data)
-    _, rank[live] = np.unique(span_hash(p, live, live + prefix), return_inverse=True)
-    have = prefix
-    while have < length:
-        step = min(have, length - have)
-        live = live[place[live] + have + step <= size[live]]
-        pair = rank[live] * (rank.max() + 2) + rank[live + step]
-        _, fresh, count = np.unique(pair, return_inverse=True, return_counts=True)
-        rank = np.full(len(data), -1, np.int64)
-        rank[live] = fresh
-        have += step
-        unique = count[fresh] == 1
-        if have < length:
-            # A unique rank stays unique at any greater length, but others still pair with it.
-            continue
-        live = live[~unique]
-    if not len(live):
-        return live, live
-    _, first, inverse = np.unique(rank[live], return_index=True, return_inverse=True)
-    later = live[np.arange(len(live)) != first[inverse]]
-    return run[later], place[later]
-
-
-def _decide(rows: pa.Table, length: int, prefix: int) -> pa.RecordBatch:
-    """Spans of repeated windows among runs sorted by key, document and place; keys are complete."""
-    data, at = text_bytes(rows.column("body"))
-    doc, lo = rows.column("doc_id").to_numpy(), rows.column("lo").to_numpy()
-    run, window = double(data, at, np.diff(at) - length + 1, length, prefix)
-    return _spans(doc[run], lo[run] + window, run, length)
-
-
-def _spans(doc: np.ndarray, at: np.ndarray, run: np.ndarray, length: int) -> pa.RecordBatch:
-    """Neighbouring windows of a run joined to spans."""
-    order = np.lexsort((at, run))
-    doc, at, run = doc[order], at[order], run[order]
-    new = np.concatenate(([True], (run[1:] != run[:-1]) | (at[1:] != at[:-1] + 1))) if len(at) else np.zeros(0, bool)
-    s = np.flatnonzero(new)
-    e = np.append(s[1:], len(at)) - 1 if len(s) else s
-    return pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(at[s]), pa.array(at[e] + length)], names=["doc_id", "start", "end"])
-
-
-def compare_runs(bodies: DataFrame, length: int, prefix: int) -> DataFrame:
-    """Spans of windows that stand earlier in another run of their anchor."""
+    final = lengths[-1] == whole
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for wide in batches:
+            for s in range(0, len(wide), 8192):
+                batch = wide.slice(s, 8192)
+                rank, doc, begin = (batch.column(c).to_numpy() for c in ("rank", "doc_id", "lo"))
+                data, offsets = text_bytes(batch.column("body"))
+                name, text, row, lo, more = cut_runs(data, offsets, lengths, whole)
+                pair = mix(rank[row].view(U) * U(0xC4CEB9FE1A85EC53) + name)
+                out = [pa.array(pair.view(np.int64)), pa.array(text.view(np.int64)), pa.array(doc[row]), pa.array(begin[row] + lo), pa.array(more.astype(np.int32))]
+                if not final:
+                    at = offsets[row] + lo
+                    out.append(pa.array([data[i:j].tobytes() for i, j in zip(at, at + more + whole)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in (RUNS if final else BODIES).split(", ")])
+
+    return bodies.select("rank", "doc_id", "lo", "body").mapInArrow(run, RUNS if final else BODIES)
+
+
+def _bounds(spans: DataFrame) -> DataFrame:
+    """(doc_id, bounds): each document's merged spans as start << 32 | end."""
+    packed = spans.select("doc_id", (F.shiftleft("start", 32) + F.col("end")).alias("span")).groupBy("doc_id").agg(F.collect_list("span").alias("bounds"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last: tuple | None = None  # key and place of the first window of a hot anchor
         for batch in batches:
-            single = batch.filter(batch.column("body").is_null())
-            if len(single):
-                key, doc, lo = (single.column(c).to_numpy() for c in ("key", "doc_id", "lo"))
-                first = np.concatenate(([last is None or key[0] != last[0]], key[1:] != key[:-1]))
-                at = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
-                d0 = np.where(at < 0, last[1] if last else 0, doc[at])
-                l0 = np.where(at < 0, last[2] if last else 0, lo[at])
-                later = np.flatnonzero((doc != d0) | (lo != l0))
-                last = (key[-1], d0[-1], l0[-1])
-                yield _spans(doc[later], lo[later], later, length)
-            rest = batch.filter(batch.column("body").is_valid())
-            if not len(rest):
-                continue
-            held.append(rest)
-            if sum(len(b) for b in held) < 4096:
-                continue
-            table = pa.Table.from_batches(held)
-            key = table.column("key").to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
-            if cut:
-                yield _decide(_once(table.slice(0, cut)), length, prefix)
-            held = table.slice(cut).combine_chunks().to_batches()
-        if held:
-            yield _decide(_once(pa.Table.from_batches(held)), length, prefix)
-
-    ordered = bodies.repartition("key").sortWithinPartitions("key", "doc_id", "lo")
-    return ordered.mapInArrow(run, SPANS)
-
-
-def _once(table: pa.Table) -> pa.Table:
-    """Rows without repeats of one place, which repeated documents bring."""
-    key, doc, lo = (table.column(c).to_numpy() for c in ("key", "doc_id", "lo"))
-    new = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (lo[1:] != lo[:-1])))
-    return (table if new.all() else table.filter(pa.array(new))).combine_chunks()
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, hot: int = HOT) -> DataFrame:
-    """(doc_id, start, end): spans of bytes covered by strings that start earlier; they may overlap."""
-    spark = docs.sparkSession
-    first = stored(sort_runs(anchor_runs(docs, length, prefix), length, hot))
-    release(spark)
-    second = stored(compare_runs(run_bytes(docs, first.where("key is not null"), length), length, prefix))
-    release(spark)
-    return first.where("key is null").select("doc_id", "start", "end").unionByName(second)
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, hot: int = HOT, keep: tuple[str, ...] = ()) -> DataFrame:
+            lists = batch.column(1)
+            flat = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
+            order = np.lexsort((flat, row))
+            row, start, end = row[order], flat[order] >> 32, flat[order] & 0xFFFFFFFF
+            shift = row.astype(np.int64) << 33  # rows one behind the other, so that one running maximum serves all
+            reach = np.maximum.accumulate(end + shift)
+            new = np.flatnonzero(np.concatenate(([True], (start + shift)[1:] > reach[:-1])))
+            end = (reach - shift)[np.append(new[1:], len(row)) - 1]
+            merged = (start[new] << 32) + end
+            at = np.searchsorted(row[new], np.arange(len(batch) + 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(merged))], names=["doc_id", "bounds"])
+
+    return packed.mapInArrow(run, "doc_id long, bounds array<bigint>")
+
+
+def repeated_bounds(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
+    """(doc_id, bounds): maximal spans of bytes covered by strings that start earlier, each as start << 32 | end."""
+    whole = lengths[-1]
+    if any(b != 2 * a for a, b in zip(lengths, lengths[1:])):
+        raise ValueError("each length is twice the one before")
+    with Scratch(docs.sparkSession) as scratch:
+        runs = scratch.table(anchor_runs(docs, lengths))
+        ranked = sort_runs(runs.where("not again").drop("again"))
+        again = runs.where("again").drop("again").select("*", F.lit(REPEAT).alias("kind"), F.lit(0).alias("part"), F.lit(False).alias("several"))
+        ranked = scratch.table(ranked.unionByName(again), runs)
+        spans, still = _settled(ranked, whole, False)
+        bodies = run_bodies(docs, still, whole)
+        for n in range(2, len(lengths) + 1):
+            refined = scratch.table(refine(bodies, lengths[:n], whole))
+            ranked = scratch.table(sort_runs(refined), refined)
+            found, bodies = _settled(ranked, whole, n < len(lengths))
+            spans = spans.unionByName(found)
+        return materialise(_bounds(spans))
+
+
+def remove_repeats(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, kept (bytes that stay), spans (removed [start, end), maximal) of every row.
 
     ``keep`` names further columns of ``docs`` to carry along.
     """
-    spans = repeated_spans(docs, length, prefix, hot).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("__spans")).withColumnRenamed("doc_id", "__doc")
+    bounds = repeated_bounds(docs, lengths).select(F.col("doc_id").alias("__doc"), F.col("bounds").alias("__bounds"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("__text"), *keep)
-    joined = source.join(spans, F.col("doc_id") == F.col("__doc"), "left").select("doc_id", "__text", "__spans", *keep)
+    joined = source.join(bounds, F.col("doc_id") == F.col("__doc"), "left").select("doc_id", "__text", "__bounds", *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 1024):
                 batch = whole.slice(at, 1024)
                 n, kept, out = [], [], []
-                for text, spans in zip(batch.column(1), batch.column(2)):
+                for text, bounds in zip(batch.column(1), batch.column(2).to_pylist()):
                     b = text.as_py() or b""
-                    merged = _merge(spans, len(b))
+                    # A doc_id may repeat with a shorter text.
+                    merged = [(x >> 32, min(x & 0xFFFFFFFF, len(b))) for x in bounds or () if x >> 32 < len(b)]
                     n.append(len(b))
                     out.append([{"start": s, "end": e} for s, e in merged])
                     edges = [0, *[x for m in merged for x in m], len(b)]
@@ -266,15 +338,3 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX,
 
     more = "".join(f", `{c}` {t}" for c, t in source.select(*keep).dtypes) if keep else ""
     return joined.mapInArrow(run, "doc_id long, n_bytes long, kept binary, spans array<struct<start:bigint,end:bigint>>" + more)
-
-
-def _merge(spans: pa.Scalar, size: int) -> list[tuple[int, int]]:
-    if not spans.is_valid or not len(spans):
-        return []
-    v = spans.values
-    s, e = v.field("start").to_numpy(), np.minimum(v.field("end").to_numpy(), size)
-    order = np.argsort(s, kind="stable")
-    s, e = s[order], np.maximum.accumulate(e[order])
-    new = np.flatnonzero(np.concatenate(([True], s[1:] > e[:-1])))
-    merged = zip(s[new].tolist(), e[np.append(new[1:], len(e)) - 1].tolist())
-    return [(a, b) for a, b in merged if a < b]

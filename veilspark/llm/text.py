@@ -52,6 +52,21 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         first = last
 
 
+def overlapping_blocks(offsets: np.ndarray, overlap: int, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, int, int]]:
+    """(first row, last row, first byte, last byte) of blocks of at most ``limit`` bytes.
+
+    A longer row makes several blocks that overlap by ``overlap`` bytes, so that every window of
+    one byte more lies in exactly one of them.
+    """
+    for a, b in blocks(offsets, limit):
+        begin, end = int(offsets[a]), int(offsets[b])
+        if end - begin <= limit:
+            yield a, b, begin, end
+            continue
+        for s in range(begin, end - overlap, limit - overlap):
+            yield a, b, s, min(end, s + limit)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, so that close values land far apart."""
     x = x ^ (x >> U(30))
@@ -132,8 +147,9 @@ def window_argmin(values: np.ndarray, width: int) -> np.ndarray:
     windows double up until two of them cover the full width.  Which place wins depends on
     the window's content alone.
     """
-    if len(values) >> PLACE_BITS:
-        raise ValueError("block too long")
+    if len(values) >> PLACE_BITS:  # parts that overlap by a window
+        step = (1 << PLACE_BITS) - width
+        return np.concatenate([window_argmin(values[s : s + step + width - 1], width) + s for s in range(0, len(values) - width + 1, step)])
     bits = U(PLACE_BITS)  # the same for all blocks, or equal windows could choose differently
     low = (U(1) << bits) - U(1)
     best, have = (values & ~low) | np.arange(len(values), dtype=U), 1
