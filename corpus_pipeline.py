@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm import jaccard, language, mixing, packing, suffixes
 from veilspark.llm.queries import VOCABULARY
-from veilspark.llm.spill import stored
+from veilspark.llm.spill import Scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document is rejected if it has no letters, or if no language reaches this mean posterior
@@ -72,8 +72,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = stored(docs)
-    return docs
+    tables = Scratch(spark)  # holds one stage's rows at a time; the last are read by what is returned
+    *first, (_, last) = STAGES
+    for _, stage in first:
+        docs = tables.table(stage(spark, docs, sf_dir), docs)
+    return last(spark, docs, sf_dir)
