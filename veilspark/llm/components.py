@@ -3,9 +3,9 @@
 Every edge (u, v), v < u, goes to the task of each of its ends, and each task replaces the edges
 that it holds by a spanning forest whose trees are stars around their smallest vertex.  So all
 edges of a vertex meet once, paths shrink on both sides of it, and a round costs one shuffle of
-twice the edges.  A round that changes nothing leaves one star a component: an edge (u, v) whose
-``u`` has a smaller neighbour is given out by neither of its tasks, and one whose ``v`` has a
-smaller neighbour adds a new edge.
+twice the edges.  A round in which no task makes an edge that it did not get leaves one star a
+component: had ``u`` a neighbour smaller than ``v``, neither of its tasks would give out (u, v),
+and had ``v`` a smaller neighbour, the task of ``v`` would make a new edge.
 
 Hubs: the edges to a vertex that holds more than 1/HEAVY of them are dealt over several tasks,
 each of which also gets the vertex's own few edges to smaller ones.  A round's edges are a table
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .spill import Scratch
 
-EDGES = "u long, v long"
+#: ``made``: the task that gave this edge out did not get it.
+EDGES = "u long, v long, made boolean"
 #: Vertices or keys of more than this share of the rows are heavy; there are fewer of them than HEAVY.
 HEAVY = 1024
 #: Edges held before they are contracted.
@@ -49,19 +50,32 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The spanning forest of all edges of a task; it holds an edge a vertex and HELD more."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # u, v, made
     n, most = 0, HELD
+
+    def shrunk() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        u, v, made = map(np.concatenate, zip(*held))
+        new_u, new_v = forest(u, v)
+        # Whether the edge from a vertex to its root was among those that came.
+        place = np.searchsorted(new_u, u)
+        place[place == len(new_u)] = 0
+        came = ~made & (new_u[place] == u) & (new_v[place] == v)
+        made = np.ones(len(new_u), bool)
+        made[place[came]] = False
+        return new_u, new_v, made
+
     for batch in batches:
-        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.zeros(len(batch), bool)))
         n += len(batch)
         if n > most:
-            held = [forest(*map(np.concatenate, zip(*held)))]
+            held = [shrunk()]
             n = len(held[0][0])
             most = n + max(HELD, n)
-    if held:
-        u, v = forest(*map(np.concatenate, zip(*held)))
+    if n:
+        u, v, made = shrunk()
         for at in range(0, len(u), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(u[at : at + (1 << 16)]), pa.array(v[at : at + (1 << 16)])], names=["u", "v"])
+            part = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(u[part]), pa.array(v[part]), pa.array(made[part])], names=["u", "v", "made"])
 
 
 def _keyed(e: DataFrame, hubs: dict[int, int]) -> DataFrame:
@@ -78,13 +92,13 @@ def _keyed(e: DataFrame, hubs: dict[int, int]) -> DataFrame:
     return e.select("u", "v", F.explode(F.concat(of_u, of_v)).alias("key"))
 
 
-def _state(e: DataFrame) -> tuple[tuple[int, int], dict[int, int]]:
-    """Number and sum of the edges' hashes, and the hubs with the keys each needs."""
-    by_v = e.groupBy("v").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
-    n, h, most = by_v.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("h"), F.lit(0)), F.max("n")).first()
+def _state(e: DataFrame) -> tuple[bool, dict[int, int]]:
+    """Whether edges were made, and the hubs with the keys each needs."""
+    by_v = e.groupBy("v").agg(F.count("*").alias("n"), F.max("made").alias("made"))
+    n, most, made = by_v.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.max("made"), F.lit(False))).first()
     share = max(1, n // HEAVY)
-    rows = e.groupBy("v").count().where(F.col("count") > share).collect() if most and most > share and n > HEAVY else []
-    return (int(n), int(h)), {r.v: -(-r["count"] // share) for r in rows}
+    rows = e.groupBy("v").count().where(F.col("count") > share).collect() if made and most > share and n > HEAVY else []
+    return made, {r.v: -(-r["count"] // share) for r in rows}
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -94,12 +108,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """
     e = edges.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).where("u is not null and v is not null and u <> v")
     e = scratch.table(e.mapInArrow(_contract, EDGES))
-    (state, hubs), was = _state(e), None
-    while state[0] and state != was:
+    made, hubs = True, _state(e)[1]
+    while made:
         e = scratch.table(_keyed(e, hubs).repartition("key").select("u", "v").mapInArrow(_contract, EDGES), e)
-        was = state
-        state, hubs = _state(e)
-    return scratch.table(e.distinct(), e)
+        made, hubs = _state(e)
+    return scratch.table(e.select("u", "v").distinct(), e)
 
 
 def join_totals(rows: DataFrame, totals: DataFrame, keys: list[str], total: int) -> DataFrame:
