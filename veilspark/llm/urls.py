@@ -6,8 +6,10 @@ Urls that no host rule fits go to the pattern rules: each is indexed under the o
 literal tokens that the fewest urls hold, a url's tokens fetch candidate rules from that
 index, and only those run their regular expression.
 
-The index and the rules are parameters and travel as literals in the plan, so there is no
-join and no shuffle of urls; counting tokens gathers one number per distinct rule token.
+Cost does not grow with the number of pattern rules: a url's tokens are looked up in one hash set
+of the index's tokens; only urls that hold one are joined with the table of rules by token (Spark
+broadcasts that table if it is small) and only their candidate rules run.  Urls without an index
+token are never shuffled.  Counting tokens gathers one number per distinct rule token.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and no rule, and
 its verdict is allow; repeated rows each get their row; an empty table gives an empty result;
@@ -85,14 +87,18 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.split(F.lower(F.coalesce(url, F.lit(""))), "[^a-z0-9]+"))
 
 
+def held_tokens(url: Column, words: list[str]) -> Column:
+    """The url's tokens that are among ``words``; Spark looks each up in a hash set."""
+    return F.filter(tokens(url), lambda t: t.isin(*words))
+
+
 def rarest_index(pages: DataFrame, rules: tuple[PatternRule, ...]) -> dict[str, list[int]]:
     """Rule numbers under each rule's rarest token, counted over every url."""
     words = sorted({t for r in rules for t in r.tokens})
     if not words:
         return {}
-    held = pages.select(tokens(F.col("url")).alias("t"))
-    row = held.agg(*[F.count(F.when(F.array_contains("t", w), 1)).alias(f"c{i}") for i, w in enumerate(words)]).first()
-    seen = {w: row[f"c{i}"] for i, w in enumerate(words)}
+    found = pages.select(F.explode_outer(held_tokens(F.col("url"), words)).alias("t")).where("t is not null")
+    seen = dict.fromkeys(words, 0) | {r.t: r.n for r in found.groupBy("t").agg(F.count("*").alias("n")).collect()}  # a row a word
     index: dict[str, list[int]] = {}
     for i, r in enumerate(rules):
         index.setdefault(min(r.tokens, key=lambda t: (seen[t], t)), []).append(i)
@@ -101,20 +107,22 @@ def rarest_index(pages: DataFrame, rules: tuple[PatternRule, ...]) -> dict[str,
 
 def judge(pages: DataFrame, host_rules: tuple[tuple[str, str], ...] = HOST_RULES, pattern_rules: tuple[PatternRule, ...] = PATTERN_RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, patterns (names of pattern rules that matched)."""
+    spark = pages.sparkSession
     rules = expand(pattern_rules)
     index = rarest_index(pages, rules)
     host, path = parse(F.col("url"))
     df = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     df = df.withColumn("fit", rule_for(F.col("host"), F.col("path"), host_rules))
-    none = F.array().cast("array<int>")
+    none = F.array().cast("array<string>")
+    held = F.when(F.col("fit").isNull(), held_tokens(F.col("url"), sorted(index))).otherwise(none) if index else none
+    df = df.withColumn("held", held)
+    out = ["page_id", "host", "path", "fit"]
+    done = df.where(F.size("held") == 0).select(*out, none.alias("patterns"))
     if index:
-        fetch = F.create_map(*[x for t, ids in sorted(index.items()) for x in (F.lit(t), F.array(*[F.lit(i) for i in ids]))])
-        candidates = F.flatten(F.transform(tokens(F.col("url")), lambda t: F.coalesce(fetch[t], none)))
-    else:
-        candidates = none
-    df = df.withColumn("candidates", F.when(F.col("fit").isNull(), candidates).otherwise(none))
-    low = F.lower("url")
-    hits = [F.when(F.array_contains("candidates", i) & low.rlike(r.pattern), F.lit(r.name)) for i, r in enumerate(rules)]
-    df = df.withColumn("patterns", F.array_sort(F.array_distinct(F.array_compact(F.array(*hits)))) if hits else F.array().cast("array<string>"))
+        table = spark.createDataFrame([(t, rules[i].name, rules[i].pattern) for t, ids in index.items() for i in ids], "token string, name string, pattern string")
+        asked = df.where(F.size("held") > 0).withColumn("row", F.monotonically_increasing_id())
+        tried = asked.select(*out, "row", F.lower("url").alias("low"), F.explode("held").alias("token")).join(table, "token")
+        hit = F.when(F.expr("low rlike pattern"), F.col("name"))
+        done = done.unionByName(tried.groupBy("row", *out).agg(F.array_sort(F.collect_set(hit)).alias("patterns")).select(*out, "patterns"))
     verdict = F.coalesce(F.col("fit.verdict"), F.when(F.size("patterns") > 0, "block").otherwise("allow"))
-    return df.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), F.array_join("patterns", ",").alias("patterns"))
+    return done.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), F.array_join("patterns", ",").alias("patterns"))
