@@ -6,10 +6,14 @@ laced frame: track, timestamp, byte range, keyframe and whether a cue points at
 Files are independent rows, so the work is one map without a shuffle, and memory follows one
 file.
 
+The frames of a laced block follow each other by the track's default duration; a block of a group
+is a keyframe if the group refers to no other block.
+
 Defined cases: null or empty text is stored as one frame of padding; bytes that are no
-Matroska raise ``ValueError`` in ``packets`` (a null file gives no packets); elements of
-unknown kind are skipped; a truncated last element ends the table; equal texts give equal
-files; repeated rows each get a row; extra columns are ignored.
+Matroska raise ``ValueError`` in ``parse``, and in ``packet_table`` give one row with packet -1 and
+the ``error``; a null file gives no row; elements of unknown kind are skipped; a block that is cut
+off or whose lacing doesn't fit gives no packets; equal texts give equal files; repeated rows each
+get a row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +33,15 @@ EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966,
 DOCTYPE, TIMESTAMP_SCALE = 0x4282, 0x2AD7B1
 TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, FLAG_LACING = 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0x9C
 AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
-CLUSTER_TIME, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
+CLUSTER_TIME, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE_BLOCK = 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
+DEFAULT_DURATION = 0x23E383
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 
 SEEK_HEAD, CHAPTERS, TAGS, ATTACHMENTS = 0x114D9B74, 0x1043A770, 0x1254C367, 0x1941A469
 CLUSTER_CHILDREN = {CLUSTER_TIME, SIMPLE_BLOCK, BLOCK_GROUP, 0xA7, 0xAB, 0xAF, 0x5854}
 
+BLOCKS = {SIMPLE_BLOCK, BLOCK}
+
 #: What ends an element of unknown size: ids that stand beside it or higher.
 _TOP = {EBML, SEGMENT}
 _LEVEL1 = _TOP | {INFO, TRACKS, CLUSTER, CUES, SEEK_HEAD, CHAPTERS, TAGS, ATTACHMENTS}
@@ -82,7 +89,7 @@ def lace(frames: list[bytes]) -> tuple[int, bytes]:
 
 def write(payload: bytes, frame: int = FRAME) -> bytes:
     """A Matroska file that holds the payload as frames of 8-bit samples on track 1."""
-    tracks = element(TRACKS, element(TRACK_ENTRY, uint(TRACK_NUMBER, 1) + uint(TRACK_UID, 1) + uint(TRACK_TYPE, 2) + uint(FLAG_LACING, 1) + element(CODEC_ID, b"A_PCM/INT/LIT") + element(AUDIO, element(SAMPLING, b"\x47\x3b\x80\x00") + uint(CHANNELS, 1) + uint(BIT_DEPTH, 8))))
+    tracks = element(TRACKS, element(TRACK_ENTRY, uint(TRACK_NUMBER, 1) + uint(TRACK_UID, 1) + uint(TRACK_TYPE, 2) + uint(FLAG_LACING, 1) + uint(DEFAULT_DURATION, frame * 1_000_000_000 // RATE) + element(CODEC_ID, b"A_PCM/INT/LIT") + element(AUDIO, element(SAMPLING, b"\x47\x3b\x80\x00") + uint(CHANNELS, 1) + uint(BIT_DEPTH, 8))))
     parts = [element(INFO, uint(TIMESTAMP_SCALE, 1_000_000)), tracks]
     at, cues = sum(map(len, parts)), []
     step = frame * FRAMES_A_BLOCK
@@ -111,6 +118,7 @@ class Packet:
     lacing: int
     frame: int
     cluster: int
+    timestamp_ns: int = 0
 
 
 @dataclass
@@ -120,6 +128,7 @@ class Parsed:
     cues: list[tuple[int, int, int]] = field(default_factory=list)  # time, track, place of the cluster
     clusters: list[int] = field(default_factory=list)
     scale: int = 1_000_000
+    durations: dict[int, int] = field(default_factory=dict)  # of a frame, by track, in ns
 
 
 def _vint(b: bytes, at: int, keep_marker: bool) -> tuple[int | None, int]:
@@ -147,7 +156,11 @@ def elements(b: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, int]]
             ends = ENDS.get(kind, ())
             stop = next((s for k, s, _, _ in elements(b, p, end) if k in ends), end) if ends else end
         else:
-            stop = min(end, p + size)
+            stop = p + size
+            if stop > end:  # cut off: what its children hold whole is still of use
+                if kind in BLOCKS:
+                    return
+                stop = end
         yield kind, at, p, stop
         at = stop
 
@@ -194,7 +207,9 @@ def parse(b: bytes) -> Parsed:
                 for k2, _, p2, q2 in elements(b, p1, q1):
                     if k2 == TRACK_ENTRY:
                         entry = {k3: b[p3:q3] for k3, _, p3, q3 in elements(b, p2, q2)}
-                        out.tracks[int.from_bytes(entry.get(TRACK_NUMBER, b"\0"), "big")] = entry.get(CODEC_ID, b"").decode("ascii", "replace")
+                        track = int.from_bytes(entry.get(TRACK_NUMBER, b"\0"), "big")
+                        out.tracks[track] = entry.get(CODEC_ID, b"").decode("ascii", "replace")
+                        out.durations[track] = int.from_bytes(entry.get(DEFAULT_DURATION, b"\0"), "big")
             elif k == CUES:
                 for k2, _, p2, q2 in elements(b, p1, q1):
                     time, found = 0, []
@@ -207,6 +222,8 @@ def parse(b: bytes) -> Parsed:
                     out.cues += [(time, t, c) for t, c in found]
             elif k == CLUSTER:
                 _cluster(b, p1, q1, s - base, out)
+    for x in out.packets:
+        x.timestamp_ns = x.timestamp * out.scale + x.frame * out.durations.get(x.track, 0)
     return out
 
 
@@ -216,21 +233,36 @@ def _cluster(b: bytes, p: int, q: int, place: int, out: Parsed) -> None:
     for k, _, p1, q1 in elements(b, p, q):
         if k == CLUSTER_TIME:
             time = int.from_bytes(b[p1:q1], "big")
-        inner = [(p1, q1, True)] if k == SIMPLE_BLOCK else [(p2, q2, False) for k2, _, p2, q2 in elements(b, p1, q1) if k2 == BLOCK] if k == BLOCK_GROUP else []
-        for s, e, simple in inner:
-            track, at = _vint(b, s, False)
-            delta = int.from_bytes(b[at : at + 2], "big", signed=True)
-            flags = b[at + 2]
-            lacing = flags >> 1 & 3
-            sizes, at = frame_sizes(b, at + 3, e, lacing)
-            for i, n in enumerate(sizes):
-                out.packets.append(Packet(track, time + delta, at, n, simple and flags >= 0x80, lacing, i, place))
-                at += n
+        if k == SIMPLE_BLOCK:
+            _block(b, p1, q1, None, time, place, out)
+        elif k == BLOCK_GROUP:
+            parts = list(elements(b, p1, q1))
+            alone = all(x[0] != REFERENCE_BLOCK for x in parts)
+            for k2, _, p2, q2 in parts:
+                if k2 == BLOCK:
+                    _block(b, p2, q2, alone, time, place, out)
+
+
+def _block(b: bytes, p: int, q: int, keyframe: bool | None, time: int, place: int, out: Parsed) -> None:
+    """Adds a block's packets; ``keyframe`` None: its own flag tells."""
+    try:
+        track, at = _vint(b, p, False)
+        delta = int.from_bytes(b[at : at + 2], "big", signed=True)
+        flags = b[at + 2]
+        lacing = flags >> 1 & 3
+        sizes, at = frame_sizes(b, at + 3, q, lacing)
+    except (ValueError, IndexError):
+        return
+    if at > q or min(sizes) < 0 or at + sum(sizes) > q:
+        return
+    for i, n in enumerate(sizes):
+        out.packets.append(Packet(track or 0, time + delta, at, n, flags >= 0x80 if keyframe is None else keyframe, lacing, i, place))
+        at += n
 
 
 def packet_table(files: DataFrame, id_column: str, content: str) -> DataFrame:
-    """One row per packet of each file in a binary column."""
-    schema = f"{id_column} long, packet long, track long, codec string, timestamp_ns long, start long, length long, keyframe boolean, lacing int, frame int, cued boolean"
+    """One row per packet of each file in a binary column, and one with ``error`` per file that can't be read."""
+    schema = f"{id_column} long, packet long, track long, codec string, timestamp_ns long, start long, length long, keyframe boolean, lacing int, frame int, cued boolean, error string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,11 +271,15 @@ def packet_table(files: DataFrame, id_column: str, content: str) -> DataFrame:
                 data = data.as_py()
                 if data is None:
                     continue
-                x = parse(data)
+                try:
+                    x = parse(data)
+                except ValueError as e:
+                    rows.append((key, -1, *[None] * 9, str(e)))
+                    continue
                 cued = {c for _, _, c in x.cues}
-                rows += [(key, i, p.track, x.tracks.get(p.track), p.timestamp * x.scale, p.start, p.length, p.keyframe, p.lacing, p.frame, p.cluster in cued) for i, p in enumerate(x.packets)]
-            cols = list(zip(*rows)) or [()] * 11
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.bool_()]
+                rows += [(key, i, p.track, x.tracks.get(p.track), p.timestamp_ns, p.start, p.length, p.keyframe, p.lacing, p.frame, p.cluster in cued, None) for i, p in enumerate(x.packets)]
+            cols = list(zip(*rows)) or [()] * 12
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.bool_(), pa.string()]
             names = [x.split()[0] for x in schema.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
@@ -263,7 +299,7 @@ def media_digest(docs: DataFrame) -> DataFrame:
         laced = sum(p.lacing != 0 for p in x.packets)
         cued = len({c for _, _, c in x.cues} & set(x.clusters))
         silent = sum(1 for p in x.packets if stored[p.start] == 255 and stored.count(b"\xff", p.start, p.start + p.length) == p.length)
-        feature = f"packets={len(x.packets)};clusters={len(x.clusters)};cued={cued};laced={laced};pad_only={silent};last_ts={x.packets[-1].timestamp};codec={x.tracks.get(1, '')}"
+        feature = f"packets={len(x.packets)};clusters={len(x.clusters)};cued={cued};laced={laced};pad_only={silent};last_ns={x.packets[-1].timestamp_ns};codec={x.tracks.get(1, '')}"
         return len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
