@@ -8,9 +8,12 @@ into full ones first, and where no sequence has room the document is cut at the
 emptiest, so a group pads less than one sequence.
 
 Scale: the group count follows the input, each group is packed alone and the token ids cross
-the network once.  Defined cases: null text is empty and packs as the end id alone; repeated
-rows are packed each; ties go by doc_id; an empty table gives an empty result; extra columns
-are ignored; a null doc_id stays null.
+the network once.  Groups are dealt by a hash of each row's place as well as its content, so rows
+that repeat a document spread.  A shuffle partition holds one group, or several where there would
+be more than ``MOST_PARTITIONS``.  Defined cases: null text is empty and packs as the end id
+alone; repeated rows are packed each; ties go by doc_id; an empty table gives an empty result;
+extra columns are ignored; a null doc_id stays null; a text of more ids than a Spark value holds
+(2**29) fails with ``ValueError``.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ END_ID = 2
 LINEAR = 1.0
 QUADRATIC = 1.0 / 2048
 GROUP_BYTES = 8 << 20
+MOST_PARTITIONS = 1 << 17
 
 
 def cost(n: int) -> float:
@@ -96,6 +100,8 @@ def token_table(docs: DataFrame, path: str, end_id: int | None = END_ID) -> Data
                 if end_id is not None:
                     ids = np.insert(ids, at[1:], np.uint32(end_id))
                     at = at + np.arange(len(at))
+                if at[-1] >= 1 << 29:
+                    raise ValueError("a text of 2**29 tokens or more")
                 body = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((at * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), body], names=["doc_id", "ids"])
 
@@ -122,5 +128,5 @@ def pack_documents(docs: DataFrame, path: str, size: int = SEQUENCE, group_bytes
         group = table.column("grp")[0].as_py()
         return pa.Table.from_arrays([table.column("doc_id").combine_chunks().take(pa.array(doc)), pa.array(start), pa.array(n), pa.array(ids, pa.binary()), pa.array(lengths[doc]), pa.array((group << 32) + seq), pa.array(offset)], schema=PIECE)
 
-    tokens = token_table(docs, path).withColumn("grp", F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.lit(groups)).cast("long"))
-    return tokens.repartition(groups, "grp").groupBy("grp").applyInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    tokens = token_table(docs, path).withColumn("grp", F.pmod(F.xxhash64("doc_id", F.crc32("ids"), F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
+    return tokens.repartition(min(groups, MOST_PARTITIONS), "grp").groupBy("grp").applyInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
