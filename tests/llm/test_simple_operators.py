@@ -209,7 +209,7 @@ def test_matroska_lacings_and_unknown_sizes():
     group = e(matroska.BLOCK_GROUP, e(matroska.BLOCK, b"\x82\x00\x05\x00" + b"zz"))
     cluster = matroska._id(matroska.CLUSTER) + b"\xff" + u(matroska.CLUSTER_TIME, 100) + group  # unknown size
     x = matroska.parse(e(matroska.EBML, b"") + e(matroska.SEGMENT, cluster))
-    assert [(p.track, p.timestamp, p.length, p.keyframe) for p in x.packets] == [(2, 105, 2, False)]
+    assert [(p.track, p.timestamp, p.length, p.keyframe) for p in x.packets] == [(2, 105, 2, True)]  # the group refers to no other block
     with pytest.raises(ValueError):
         matroska.parse(b"RIFF")
 
@@ -261,18 +261,28 @@ def test_sharding_odd_rows(odd, empty):
 def test_best_fit_equals_a_plain_search():
     rng = np.random.default_rng(2)
     for _ in range(30):
-        items = [(f"i{k}", int(s)) for k, s in enumerate(rng.integers(1, 60, 80))]
-        bins, want = [], {}
-        for name, s in sorted(items, key=lambda x: (-x[1], x[0])):
+        items = rng.integers(1, 60, 80).tolist()
+        bins, want = [], Counter()
+        for s in sorted(items, reverse=True):
             fit = min((b for b in range(len(bins)) if bins[b] >= s), key=lambda b: (bins[b], b), default=None)
             if fit is None:
                 bins.append(100)
                 fit = len(bins) - 1
             bins[fit] -= s
-            want[name] = fit
-        assert sharding.best_fit_decreasing(items, 100) == want
-    even = sharding.even_shards([(str(k), 10) for k in range(16)], 8)
-    assert set(Counter(even.values()).values()) == {2}
+            want[s, fit] += 1
+        got = Counter()
+        for s, b, n in sharding.best_fit_decreasing(Counter(items).items(), 100):
+            got[s, b] += n
+        assert got == want
+    even = sharding.even_shards([(10, 16)], 8)
+    assert [n for _, _, n in even] == [2] * 8
+
+
+def test_packed_sizes_are_few_and_never_too_small(spark):
+    x = [1, 100, 65_535, 65_536, 65_537, 70_000, 10**6 + 1, 2**40 + 1, 2**40]
+    got = [r.p for r in spark.createDataFrame([(v,) for v in x], "s long").select("s", sharding.packed_size(F.col("s")).alias("p")).orderBy("s").collect()]
+    assert got[:4] == sorted(x)[:4] and got[-2] == 2**40
+    assert all(v <= p <= v * (1 + 1 / 4096) for v, p in zip(sorted(x), got))
 
 
 # -- op10
@@ -315,6 +325,47 @@ def test_urls_index_uses_the_rarest_token(spark):
     assert "spam-farm" in named["farm"] and "paged-referral" in named["page"] and set(named["xxx"] + named["porn"]) == {"adult"}
 
 
+def test_urls_cost_does_not_follow_the_rules(spark):
+    many = urls.PATTERN_RULES + tuple(urls.PatternRule(f"r{i}", f"/word{i}x/", (f"word{i}x",)) for i in range(2000))
+    df = spark.createDataFrame([(1, "http://a.net/word7x/"), (2, "http://a.net/word7x/word9x/"), (3, "http://a.net/word7"), (3, "http://a.net/word7")], "page_id long, url string")
+    out = urls.judge(df, pattern_rules=many)
+    assert sorted((r.page_id, r.verdict, r.patterns) for r in out.collect()) == [(1, "block", "r7"), (2, "block", "r7,r9"), (3, "allow", ""), (3, "allow", "")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("rlike") == urls.judge(df)._jdf.queryExecution().optimizedPlan().toString().lower().count("rlike") == 1
+
+
+def test_matroska_any_prefix_gives_whole_packets():
+    whole = matroska.write(bytes(range(256)) * 40, 500)
+    good = [(p.start, p.length) for p in matroska.parse(whole).packets]
+    e = matroska.element
+    group = e(matroska.CLUSTER, e(matroska.BLOCK_GROUP, e(matroska.BLOCK, b"\x81\x00\x00\x06\x02\x83\x85") + b"zz"))
+    for n in range(0, len(whole), 7):
+        try:
+            got = [(p.start, p.length) for p in matroska.parse(whole[:n]).packets]
+        except ValueError as x:
+            assert "no EBML header" in str(x) and n < 40
+        else:
+            assert got == good[: len(got)]
+    for n in range(len(group)):
+        matroska.parse(e(matroska.EBML, b"") + e(matroska.SEGMENT, group[:n]))
+
+
+def test_matroska_laced_times_and_keyframes():
+    x = matroska.parse(matroska.write(bytes(5000), 500))
+    step = 500 * 1_000_000_000 // matroska.RATE
+    assert [p.timestamp_ns for p in x.packets] == [i * step for i in range(8)] + [x.packets[8].timestamp_ns, x.packets[8].timestamp_ns + step]
+    e, u = matroska.element, matroska.uint
+    block = e(matroska.BLOCK, b"\x82\x00\x05\x00" + b"zz")
+    body = u(matroska.CLUSTER_TIME, 1) + e(matroska.BLOCK_GROUP, block) + e(matroska.BLOCK_GROUP, block + u(matroska.REFERENCE_BLOCK, 1))
+    assert [p.keyframe for p in matroska.parse(e(matroska.EBML, b"") + e(matroska.SEGMENT, e(matroska.CLUSTER, body))).packets] == [True, False]
+
+
+def test_matroska_broken_files_do_not_end_the_job(spark):
+    df = spark.createDataFrame([(1, bytearray(b"RIFF")), (2, None), (3, bytearray(matroska.write(b"x" * 600)))], "file_id long, content binary")
+    got = matroska.packet_table(df, "file_id", "content").collect()
+    assert sorted((r.file_id, r.packet, r.error) for r in got) == [(1, -1, "no EBML header"), (3, 0, None), (3, 1, None)]
+
+
 def test_matroska_clusters_of_unknown_size():
     e, u = matroska.element, matroska.uint
     block = e(matroska.SIMPLE_BLOCK, b"\x81\x00\x05\x80zz")
@@ -328,12 +379,13 @@ def test_matroska_clusters_of_unknown_size():
         assert len(x.clusters) == 2 and x.cues == [(100, 1, 0)]
 
 
-def test_sharding_keeps_a_small_capacity(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "LOTS", 2)
-    monkeypatch.setattr(sharding, "LARGE_PARTS", 2)
+def test_sharding_keeps_a_small_capacity(spark):
     df = spark.createDataFrame([(i, f"{i:04d}" * 20) for i in range(200)] + [(999, "z" * 700)], "doc_id long, text string")
     got = sharding.shard_documents(df, capacity=500).collect()
     size = Counter()
     for r in got:
         size[r.shard] += r.size
     assert len(got) == 201 and sorted(size.values())[-2] <= 500 and max(size.values()) == 701
+    many = spark.range(20_000).selectExpr("id as doc_id", "rpad(cast(id as string), 960, 'x') as text")
+    sizes = [r.b for r in sharding.shard_documents(many, capacity=10_000).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert max(sizes) <= 10_000 and len(sizes) == 2000
