@@ -220,8 +220,30 @@ def _settled(ranked: DataFrame, whole: int, body: bool) -> tuple[DataFrame, Data
     return repeats, ranked.where(F.col("kind") == OPEN).select(*columns).unionByName(made(False))
 
 
-def run_bodies(docs: DataFrame, runs: DataFrame, whole: int) -> DataFrame:
-    """(rank, doc_id, lo, body) of the given runs."""
+#: Runs cut at a time.
+PIECE = 8192
+
+
+def _refined(rank: np.ndarray, doc: np.ndarray, begin: np.ndarray, data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...], whole: int) -> pa.RecordBatch:
+    """The runs with the given bytes cut at the anchors of the last of ``lengths``, ranked by (rank so far, name of the anchor).
+
+    At the full length a run is one window and its bytes are of no more use.
+    """
+    name, text, row, lo, more = cut_runs(data, offsets, lengths, whole)
+    pair = mix(rank[row].view(U) * U(0xC4CEB9FE1A85EC53) + name)
+    out = [pa.array(pair.view(np.int64)), pa.array(text.view(np.int64)), pa.array(doc[row]), pa.array(begin[row] + lo), pa.array(more.astype(np.int32))]
+    if lengths[-1] < whole:
+        at = offsets[row] + lo
+        out.append(pa.array([data[i:j].tobytes() for i, j in zip(at, at + more + whole)], pa.binary()))
+    return pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in _schema(lengths, whole).split(", ")])
+
+
+def _schema(lengths: tuple[int, ...], whole: int) -> str:
+    return BODIES if lengths[-1] < whole else RUNS
+
+
+def refine_texts(docs: DataFrame, runs: DataFrame, lengths: tuple[int, ...], whole: int) -> DataFrame:
+    """``_refined`` of runs (rank, doc_id, lo, more) of the documents."""
     wanted = runs.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "more", "rank")).alias("runs"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
@@ -235,38 +257,27 @@ def run_bodies(docs: DataFrame, runs: DataFrame, whole: int) -> DataFrame:
             lo, more, rank = (flat.field(c).to_numpy() for c in ("lo", "more", "rank"))
             # A doc_id may repeat with a shorter text: what lies beyond it is left out.
             keep = np.flatnonzero(lo + more + whole <= np.diff(offsets)[row])
-            begin = offsets[row[keep]] + lo[keep]
-            end = begin + more[keep] + whole
-            for s in range(0, len(keep), 50_000):
-                k = keep[s : s + 50_000]
-                body = [data[i:j].tobytes() for i, j in zip(begin[s : s + 50_000], end[s : s + 50_000])]
-                yield pa.RecordBatch.from_arrays([pa.array(rank[k]), pa.array(ids[row[k]]), pa.array(lo[k]), pa.array(body, pa.binary())], names=["rank", "doc_id", "lo", "body"])
+            for s in range(0, len(keep), PIECE):
+                k = keep[s : s + PIECE]
+                size = more[k].astype(np.int64) + whole
+                at = np.concatenate(([0], np.cumsum(size)))
+                body = data[np.repeat(offsets[row[k]] + lo[k] - at[:-1], size) + np.arange(at[-1])]
+                yield _refined(rank[k], ids[row[k]], lo[k], body, at, lengths, whole)
 
-    return source.join(wanted, "doc_id").mapInArrow(run, "rank long, doc_id long, lo long, body binary")
+    return source.join(wanted, "doc_id").mapInArrow(run, _schema(lengths, whole))
 
 
 def refine(bodies: DataFrame, lengths: tuple[int, ...], whole: int) -> DataFrame:
-    """The runs cut at the anchors of the last of ``lengths``, ranked by (rank so far, name of the anchor).
-
-    At the full length a run is one window and its bytes are of no more use.
-    """
-    final = lengths[-1] == whole
+    """``_refined`` of runs (rank, doc_id, lo, body)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for wide in batches:
-            for s in range(0, len(wide), 8192):
-                batch = wide.slice(s, 8192)
+            for s in range(0, len(wide), PIECE):
+                batch = wide.slice(s, PIECE)
                 rank, doc, begin = (batch.column(c).to_numpy() for c in ("rank", "doc_id", "lo"))
-                data, offsets = text_bytes(batch.column("body"))
-                name, text, row, lo, more = cut_runs(data, offsets, lengths, whole)
-                pair = mix(rank[row].view(U) * U(0xC4CEB9FE1A85EC53) + name)
-                out = [pa.array(pair.view(np.int64)), pa.array(text.view(np.int64)), pa.array(doc[row]), pa.array(begin[row] + lo), pa.array(more.astype(np.int32))]
-                if not final:
-                    at = offsets[row] + lo
-                    out.append(pa.array([data[i:j].tobytes() for i, j in zip(at, at + more + whole)], pa.binary()))
-                yield pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in (RUNS if final else BODIES).split(", ")])
+                yield _refined(rank, doc, begin, *text_bytes(batch.column("body")), lengths, whole)
 
-    return bodies.select("rank", "doc_id", "lo", "body").mapInArrow(run, RUNS if final else BODIES)
+    return bodies.select("rank", "doc_id", "lo", "body").mapInArrow(run, _schema(lengths, whole))
 
 
 def _bounds(spans: DataFrame) -> DataFrame:
@@ -302,11 +313,12 @@ def repeated_bounds(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> Data
         again = runs.where("again").drop("again").select("*", F.lit(REPEAT).alias("kind"), F.lit(0).alias("part"), F.lit(False).alias("several"))
         ranked = scratch.table(ranked.unionByName(again), runs)
         spans, still = _settled(ranked, whole, False)
-        bodies = run_bodies(docs, still, whole)
         for n in range(2, len(lengths) + 1):
-            refined = scratch.table(refine(bodies, lengths[:n], whole))
+            # One Python step a stage: each would hold a worker of its own.
+            refined = refine_texts(docs, still, lengths[:n], whole) if n == 2 else refine(still, lengths[:n], whole)
+            refined = scratch.table(refined)
             ranked = scratch.table(sort_runs(refined), refined)
-            found, bodies = _settled(ranked, whole, n < len(lengths))
+            found, still = _settled(ranked, whole, n < len(lengths))
             spans = spans.unionByName(found)
         return materialise(_bounds(spans))
 
