@@ -3,7 +3,8 @@
 Every edge (u, v), v < u, goes to the task of each of its ends, and each task replaces the edges
 that it holds by a spanning forest whose trees are stars around their smallest vertex.  So all
 edges of a vertex meet once, paths shrink on both sides of it, and a round costs one shuffle of
-twice the edges.  A round in which no task makes an edge that it did not get leaves one star a
+twice the edges.  An edge that the task of ``v`` got and would give out unchanged is left to the
+task of ``u``, which keeps its ends connected, so edges don't multiply.  A round in which no task makes an edge that it did not get leaves one star a
 component: had ``u`` a neighbour smaller than ``v``, neither of its tasks would give out (u, v),
 and had ``v`` a smaller neighbour, the task of ``v`` would make a new edge.
 
@@ -27,6 +28,8 @@ from .spill import Scratch
 EDGES = "u long, v long, made boolean"
 #: Vertices or keys of more than this share of the rows are heavy; there are fewer of them than HEAVY.
 HEAVY = 1024
+#: What a task knows of an edge: it made it, or got it for ``v`` only, or for ``u``.
+MADE, OTHER, OWN = range(3)
 #: Edges held before they are contracted.
 HELD = 2_000_000
 
@@ -49,47 +52,51 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The spanning forest of all edges of a task; it holds an edge a vertex and HELD more."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # u, v, made
+    """The spanning forest of all edges (u, v, own: it came for ``u``) of a task; it holds an edge a vertex and HELD more."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # u, v, what is known of the edge
     n, most = 0, HELD
 
     def shrunk() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        u, v, made = map(np.concatenate, zip(*held))
+        u, v, state = map(np.concatenate, zip(*held))
         new_u, new_v = forest(u, v)
         # Whether the edge from a vertex to its root was among those that came.
         place = np.searchsorted(new_u, u)
         place[place == len(new_u)] = 0
-        came = ~made & (new_u[place] == u) & (new_v[place] == v)
-        made = np.ones(len(new_u), bool)
-        made[place[came]] = False
-        return new_u, new_v, made
+        same = (new_u[place] == u) & (new_v[place] == v)
+        known = np.full(len(new_u), MADE, np.int8)
+        np.maximum.at(known, place[same], state[same])
+        return new_u, new_v, known
 
     for batch in batches:
-        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.zeros(len(batch), bool)))
+        own = batch.column(2).to_numpy(zero_copy_only=False)
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.where(own, OWN, OTHER).astype(np.int8)))
         n += len(batch)
         if n > most:
             held = [shrunk()]
             n = len(held[0][0])
             most = n + max(HELD, n)
     if n:
-        u, v, made = shrunk()
+        u, v, known = shrunk()
+        stay = known != OTHER
+        u, v, made = u[stay], v[stay], known[stay] == MADE
         for at in range(0, len(u), 1 << 16):
             part = slice(at, at + (1 << 16))
             yield pa.RecordBatch.from_arrays([pa.array(u[part]), pa.array(v[part]), pa.array(made[part])], names=["u", "v", "made"])
 
 
 def _keyed(e: DataFrame, hubs: dict[int, int]) -> DataFrame:
-    """(u, v, key): each edge under both its ends; hubs maps a heavy vertex to its number of keys."""
-    of_v = F.array(F.xxhash64("v", F.lit(0)))
-    of_u = F.array(F.xxhash64("u", F.lit(0)))
-    if hubs:
-        table = e.sparkSession.createDataFrame(list(hubs.items()), "h long, parts int")  # below HEAVY rows
-        for end in "uv":
-            e = e.join(F.broadcast(table.select(F.col("h").alias(end), F.col("parts").alias(f"parts_{end}"))), end, "left")
-        parts = {end: F.coalesce(f"parts_{end}", F.lit(1)) for end in "uv"}
-        of_u = F.transform(F.sequence(F.lit(0), parts["u"] - 1), lambda i: F.xxhash64("u", i))
-        of_v = F.array(F.xxhash64("v", F.pmod(F.xxhash64("u"), parts["v"]).cast("int")))
-    return e.select("u", "v", F.explode(F.concat(of_u, of_v)).alias("key"))
+    """(u, v, own, key): each edge for both its ends; hubs maps a heavy vertex to its number of keys."""
+    e = e.select("u", "v")
+    for_u, for_v = e.select("*", F.lit(True).alias("own"), F.xxhash64("u", F.lit(0)).alias("key")), e.select("*", F.lit(False).alias("own"), F.xxhash64("v", F.lit(0)).alias("key"))
+    if not hubs:
+        return for_u.unionByName(for_v)
+    table = F.broadcast(e.sparkSession.createDataFrame(list(hubs.items()), "hub long, parts int"))  # below HEAVY rows
+    spread = F.xxhash64("v", F.pmod(F.xxhash64("u"), F.coalesce("parts", F.lit(1))).cast("int"))
+    for_v = for_v.join(table, F.col("v") == F.col("hub"), "left").withColumn("key", spread).drop("hub", "parts")
+    # Each of a hub's tasks gets the hub's own edges to smaller vertices.
+    of_hubs = for_u.join(table, F.col("u") == F.col("hub")).select("u", "v", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"))
+    for_u = for_u.join(table, F.col("u") == F.col("hub"), "left_anti")
+    return for_u.unionByName(of_hubs.select("u", "v", "own", F.xxhash64("u", "i").alias("key"))).unionByName(for_v)
 
 
 def _state(e: DataFrame) -> tuple[bool, dict[int, int]]:
@@ -107,10 +114,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Null ends and loops are ignored, repeated edges do no harm.
     """
     e = edges.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).where("u is not null and v is not null and u <> v")
-    e = scratch.table(e.mapInArrow(_contract, EDGES))
+    e = scratch.table(e.distinct().withColumn("made", F.lit(True)))
     made, hubs = True, _state(e)[1]
     while made:
-        e = scratch.table(_keyed(e, hubs).repartition("key").select("u", "v").mapInArrow(_contract, EDGES), e)
+        e = scratch.table(_keyed(e, hubs).repartition("key").select("u", "v", "own").mapInArrow(_contract, EDGES), e)
         made, hubs = _state(e)
     return scratch.table(e.select("u", "v").distinct(), e)
 
