@@ -64,13 +64,19 @@ def test_interval_pairs_skip_only_distant_blocks():
     got = embeddings.interval_pairs(low, high, 0.4)
     gap = lambda i, j: np.linalg.norm(np.maximum(0, np.maximum(low[i] - high[j], low[j] - high[i])))
     assert got == [(i, j) for i in range(37) for j in range(i, 37) if gap(i, j) <= 0.4]
-    tree = embeddings.BoxTree(low, high, 0.4)
-    assert all(tree.near(low[i], high[i]).tolist() == [j for j in range(37) if gap(i, j) <= 0.4] for i in range(37))
 
 
-def test_tiles_are_bounded():
-    assert embeddings.tiles_of(np.array([5, 5, 5, 1, 20, 3]), 10).tolist() == [0, 0, 1, 1, 2, 3]
-    assert embeddings.tiles_of(np.zeros(0, np.int64), 10).tolist() == []
+def test_tiles_meet_by_levels(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    ids = sorted((int(p) << 32) + int(k) for p in rng.choice(5000, 60, replace=False) for k in range(3))
+    low = np.sort(rng.uniform(0, 10, (len(ids), 2)), axis=0)
+    high = low + rng.uniform(0, 0.3, (len(ids), 2))
+    df = spark.createDataFrame([(i, *map(float, (l[0], h[0], l[1], h[1]))) for i, l, h in zip(ids, low, high)], "id long, l0 double, h0 double, l1 double, h1 double")
+    gap = lambda i, j: np.linalg.norm(np.maximum(0, np.maximum(low[i] - high[j], low[j] - high[i])))
+    want = [(ids[i], ids[j]) for i in range(len(ids)) for j in range(i, len(ids)) if gap(i, j) <= 0.4]
+    for top in (embeddings.TOP, 8, 1):
+        monkeypatch.setattr(embeddings, "TOP", top)
+        assert sorted(map(tuple, embeddings.near_tiles(df, 2, 0.4).collect())) == want
 
 
 def test_components(spark, monkeypatch):

@@ -7,11 +7,11 @@ pairs of sequence intervals: a pair whose bounding boxes are farther apart than
 whole, any other is halved until single blocks remain.  Block pairs that remain are compared in
 matrix products; pairs near the threshold are decided in double precision.
 
-Scale: equal vectors are collapsed first, so a group of copies is one vector with a count.  The
-driver holds one box per block, never pairs: neighbouring blocks make a tile of at most
-``TILE_ROWS`` vectors, and each tile looks up the tiles near it on the executors.  A task joins
-two tiles, so its memory has a fixed bound, and returns one row per vector (links, and the
-smallest vector it reached), never pairs.
+Scale: equal vectors are collapsed first, so a group of copies is one vector with a count.
+Neighbouring blocks make a tile of at most ``TILE_ROWS`` vectors.  The recursion over intervals of
+tiles runs level by level as joins of their boxes; the driver pairs only the ``TOP`` largest
+intervals.  A task joins two tiles, so its memory has a fixed bound, and returns one row per vector
+(links, and the smallest vector it reached), never pairs.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite parts link with nothing;
 vectors of other dimension than most compare only among equals of their dimension; repeated
@@ -37,6 +37,9 @@ BLOCK = 1024
 TILE_ROWS = 8 * BLOCK
 DIRECTIONS = 6
 SAMPLE_ROWS = 20_000
+#: Intervals that the driver pairs, and children of an interval.
+TOP = 1024
+CHILD_BITS = 6
 #: Vectors compared at a time within a task.
 STRIP = 1024
 
@@ -80,15 +83,6 @@ class BoxTree:
         full = np.isfinite(gap).all(axis=1)
         return full & ((np.where(np.isfinite(gap), gap, 0) ** 2).sum(axis=1) <= self.eps * self.eps)
 
-    def near(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Places whose boxes lie within eps of the one given."""
-        b = np.array([1])
-        while True:
-            b = b[self._near(low, high, b)]
-            if not len(b) or b[0] >= self.size:
-                return np.sort(b - self.size)
-            b = np.concatenate((2 * b, 2 * b + 1))
-
     def pairs(self) -> list[tuple[int, int]]:
         """Pairs of places (i <= j) within eps, by recursion on pairs of intervals of equal length, a level at once."""
         a, b = np.array([1]), np.array([1])
@@ -106,14 +100,29 @@ def interval_pairs(low: np.ndarray, high: np.ndarray, eps: float) -> list[tuple[
     return BoxTree(low, high, eps).pairs() if len(low) else []
 
 
-def tiles_of(counts: np.ndarray, rows: int) -> np.ndarray:
-    """The tile of each block of a sequence: as many neighbours as hold ``rows`` vectors, or one block."""
-    out, tile, held = np.zeros(len(counts), np.int64), 0, 0
-    for i, n in enumerate(counts.tolist()):
-        if held and held + n > rows:
-            tile, held = tile + 1, 0
-        out[i], held = tile, held + n
-    return out
+def near_tiles(tiles: DataFrame, cells: int, eps: float) -> DataFrame:
+    """(a, b), a <= b: pairs of tiles (id, l0, h0, l1, ...) whose boxes lie within eps.
+
+    Ids are ``partition << 32 | number`` in the order of the sequence, so their leading bits name
+    the intervals that hold them.
+    """
+    spark = tiles.sparkSession
+    box = [f"{k}{i}" for i in range(cells) for k in "lh"]
+    levels, shift = [tiles.withColumn("parent", F.shiftright("id", 32))], CHILD_BITS
+    while True:
+        above = levels[-1].groupBy(F.col("parent").alias("id")).agg(*[(F.min if c[0] == "l" else F.max)(c).alias(c) for c in box])
+        if above.count() <= TOP:
+            break
+        levels.append(above.withColumn("parent", F.shiftright("id", shift)))
+    top = sorted(above.collect(), key=lambda r: r.id)  # TOP rows at most
+    low, high = (np.array([[r[f"{k}{i}"] for i in range(cells)] for r in top]).reshape(-1, cells) for k in "lh")
+    pairs = spark.createDataFrame([(top[i].id, top[j].id) for i, j in interval_pairs(low, high, eps)], "a long, b long")
+    for nodes in reversed(levels):
+        side = lambda x: nodes.select(F.col("parent").alias(x), F.col("id").alias(f"{x}_id"), *[F.col(c).alias(f"{x}_{c}") for c in box])  # noqa: E731,B023
+        apart = [F.greatest(F.lit(0.0), F.col(f"a_l{i}") - F.col(f"b_h{i}"), F.col(f"b_l{i}") - F.col(f"a_h{i}")) for i in range(cells)]
+        met = pairs.join(side("a"), "a").join(side("b"), "b").where("a_id <= b_id")
+        pairs = met.where(sum(x * x for x in apart) <= eps * eps).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    return pairs
 
 
 SPAN = "rep long, links long, root long"
@@ -154,32 +163,17 @@ def links(vectors: DataFrame, dim: int, scratch: Scratch, threshold: float = THR
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seen = TaskContext.get().partitionId(), 0
+        part, seen = TaskContext.get().partitionId() << 32, 0
         for b in batches:
             at = seen + np.arange(len(b))
             seen += len(b)
-            yield pa.RecordBatch.from_arrays([pa.array((part << 32) + at // block), *[b.column(i) for i in (0, 1, 2)], *[b.column(3 + cells + i) for i in range(cells)]], names=["block", "rep", "copies", "embedding", *[f"p{i}" for i in range(cells)]])
-
-    blocks = scratch.table(ranged.mapInArrow(cut, "block long, rep long, copies long, embedding array<double>, " + ", ".join(f"p{i} double" for i in range(cells))))
-    boxes = sorted(blocks.groupBy("block").agg(F.count("*").alias("n"), *[f(f"p{i}").alias(f"{k}{i}") for i in range(cells) for k, f in (("l", F.min), ("h", F.max))]).collect())
-    low, high = (np.array([[r[f"{k}{i}"] for i in range(cells)] for r in boxes]).reshape(-1, cells) for k in "lh")
-    tile = tiles_of(np.array([r.n for r in boxes], np.int64), tile_rows)
-    places = spark.createDataFrame([(r.block, i, int(t)) for i, (r, t) in enumerate(zip(boxes, tile))], "block long, number int, tile long")
-    first = np.flatnonzero(np.diff(tile, prepend=-1))
-    if len(first):
-        low, high = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
-    sent = spark.sparkContext.broadcast((low, high))
-
-    def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low, high = sent.value
-        tree = BoxTree(low, high, eps)
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                near = tree.near(low[t], high[t])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), t)), pa.array(np.minimum(near, t)), pa.array(np.maximum(near, t))], names=["tile", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(part + at // tile_rows), pa.array(part + at // block), *[b.column(i) for i in (0, 1, 2)], *[b.column(3 + cells + i) for i in range(cells)]], names=["tile", "number", "rep", "copies", "embedding", *[f"p{i}" for i in range(cells)]])
 
-    route = spark.range(len(first)).mapInArrow(partners, "tile long, a long, b long")
-    routed = blocks.select("block", "rep", "copies", "embedding").join(places.join(route, "tile"), "block")
+    blocks = scratch.table(ranged.mapInArrow(cut, "tile long, number long, rep long, copies long, embedding array<double>, " + ", ".join(f"p{i} double" for i in range(cells))))
+    tiles = blocks.groupBy(F.col("tile").alias("id")).agg(*[f(f"p{i}").alias(f"{k}{i}") for i in range(cells) for k, f in (("l", F.min), ("h", F.max))])
+    pairs = scratch.table(near_tiles(scratch.table(tiles), cells, eps))
+    route = pairs.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("tile"), "a", "b")
+    routed = blocks.select("tile", "number", "rep", "copies", "embedding").join(route, "tile")
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a_tile, b_tile = key[0].as_py(), key[1].as_py()
