@@ -241,3 +241,11 @@ def test_entities_of_a_column(spark):
     cases = {"&lt;&#65;&#x42;&AMP;&nope;": "<AB&&nope;", "&amp;lt; &amp;#65; &#38;lt;": "&lt; &#65; &lt;", "&#x1F600;&#0000233;": "\U0001f600é", "&#xD800;&#9999999;&#;": "&#xD800;&#9999999;&#;", "": "", "&gt;&quot;&apos;": ">\"'"}
     df = spark.createDataFrame([(k,) for k in [*cases, None]], "t string")
     assert {r.t: r.d for r in df.select("t", export.decode_entities(F.col("t")).alias("d")).collect()} == {**cases, None: None}
+
+
+def test_each_pattern_is_searched_once(spark):
+    f = spark.range(3).selectExpr("id as file_id", "concat('a', id) as text")
+    for df in (rules.hit_rows(f), rules.hit_rows(f).where("line > 0")):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == len(rules.RULES)
+    found = rules.candidates(f)._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count("regexp_extract_all") == len(rules.RULES) + 1 + len(rules.INJECTION_PHRASES)

@@ -6,7 +6,9 @@ the JVM and need no shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PLACEHOLDER = "[REDACTED]"
@@ -21,27 +23,55 @@ def no_hits() -> Column:
     return F.array().cast(HIT)
 
 
-def hits(text: Column | str, pattern: str, gate: str | None = None) -> Column:
-    """Leftmost non-overlapping matches as (start, end, quote).
+def hits(text: Column | str, pattern: str, gate: str | None = None, valid: Callable[[Column], Column] | None = None, most: int | None = None, lines: bool = False) -> Column:
+    """Leftmost non-overlapping matches as (start, end, quote), with the line if ``lines``.
 
     The gaps between matches give the offsets, in one fold.  ``gate`` is a cheap literal that
-    every match holds; texts without it are not searched.
+    every match holds; texts without it are not searched.  ``valid`` tells which quotes count, and
+    ``most`` bounds how many of those are kept, so the fold stays linear in the matches.
     """
     text = _c(text)
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), no_hits().alias("out"))
+    long = lambda x: x.cast("bigint")
+    kind = HIT.replace(">>", ",line:int>>") if lines else HIT
+    start = F.struct(long(F.lit(0)).alias("at"), F.lit(0).alias("line"), F.array().cast(kind).alias("out"))
 
     def step(acc: Column, pair: Column) -> Column:
         s = acc["at"] + F.length(pair["gap"])
         e = s + F.length(pair["quote"])
-        return F.struct(e.cast("bigint").alias("at"), F.concat(acc["out"], F.array(F.struct(s.cast("bigint").alias("start"), e.cast("bigint").alias("end"), pair["quote"].alias("quote")))).alias("out"))
+        line = acc["line"] + count_of(pair["gap"], "\n") if lines else acc["line"]
+        hit = F.struct(long(s).alias("start"), long(e).alias("end"), pair["quote"].alias("quote"), *([line.cast("int").alias("line")] if lines else []))
+        good = F.lit(True) if valid is None else F.coalesce(valid(pair["quote"]), F.lit(False))
+        if most is not None:
+            good = (F.size(acc["out"]) < most) & good
+        after = line + count_of(pair["quote"], "\n") if lines else line
+        return F.struct(long(e).alias("at"), after.cast("int").alias("line"), F.when(good, F.concat(acc["out"], F.array(hit))).otherwise(acc["out"]).alias("out"))
 
     def placed(found: Column) -> Column:
         pairs = F.arrays_zip(found.alias("quote"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("gap"))
-        return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(no_hits())
+        return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
 
     # The matches become a lambda variable, so the search runs once; texts without any are not split.
-    found = F.element_at(F.transform(F.array(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), placed), 1)
-    return found if gate is None else F.when(text.contains(gate), found).otherwise(no_hits())
+    found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
+    return found if gate is None else F.when(text.contains(gate), found).otherwise(F.array().cast(kind))
+
+
+def tagged(found: Column, name: str, value: Column) -> Column:
+    """Each of the hits with one more field."""
+    return F.transform(found, lambda h: h.withField(name, value))
+
+
+def rows_of(df: DataFrame, keep: list[str], array: Column, name: str) -> DataFrame:
+    """``keep`` and a row per element of ``array``.
+
+    In the outer form, as for the inner one Spark would copy the array's whole expression, with all
+    its searches, into a filter below.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that it names several times but that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def count_of(text: Column, mark: str) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions import regex, spans
+from veilspark.operators.batches import each_key, gathered, plain
 
 CHUNK_LINES = 200
 OVERLAP_LINES = 10
@@ -64,9 +65,13 @@ def line_chunks(texts: DataFrame, size: int = CHUNK_LINES, overlap: int = OVERLA
     df = texts.select("file_id", _lines(F.col("text")).alias("ls")).where("size(ls) > 0")
     step = size - overlap
     last = F.greatest(F.lit(0), F.ceil((F.size("ls") - size) / step)).cast("int")
-    df = df.select("file_id", "ls", F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
-    before = F.aggregate(F.slice("ls", F.lit(1), F.col("chunk") * step), F.lit(0).cast("bigint"), lambda n, x: n + F.length(x))
-    return df.select("file_id", F.col("chunk").cast("long").alias("chunk"), (F.col("chunk") * step).cast("long").alias("start_line"), before.alias("start"), F.array_join(F.slice("ls", F.col("chunk") * step + 1, F.lit(size)), "").alias("text"))
+    # Each line is measured once, with the others of its step; offsets add up step by step.
+    piece = lambda k, n: F.array_join(F.slice("ls", k * step + 1, F.lit(n)), "")
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
+    add = lambda acc, k: F.struct((acc["at"] + F.length(piece(k, step))).cast("bigint").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    starts = F.aggregate(F.sequence(F.lit(0), last), zero, add, lambda acc: acc["out"])
+    chunks = F.transform(starts, lambda start, k: F.struct(k.cast("long").alias("chunk"), (k * step).cast("long").alias("start_line"), start.alias("start"), piece(k, size).alias("text")))
+    return spans.rows_of(df, ["file_id"], chunks, "c").select("file_id", "c.*")
 
 
 def quote_spans(text: Column | str, quote: str) -> Column:
@@ -145,21 +150,21 @@ def mock_findings(files: DataFrame, related: str | None = None) -> DataFrame:
     row = lambda t: F.struct(F.lit(t[0]).alias("n"), F.lit(t[1]).alias("category"), F.lit(t[2]).alias("quote"), F.lit(t[3]).alias("reason"))
     shadow = lambda t: ~hit("Project Juniper") if t[2] == "Juniper" and related is None else F.lit(True)
     each = F.array_compact(F.array(*[F.when(hit(t[2]) & shadow(t), row(t)) for t in table]))
-    return files.select("file_id", F.inline(each))
+    return spans.rows_of(files, ["file_id"], each, "f").select("file_id", "f.*")
 
 
-def _merge_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
-    groups: list[tuple[dict, set]] = []
-    for r in pdf.sort_values("ordinal", kind="stable").to_dict("records"):
-        found = [dict(e.asDict() if hasattr(e, "asDict") else e) for e in r["found"]]
+def _merge_chunks(key: tuple, rows: list[dict]) -> list[tuple]:
+    groups: list[tuple[int, list[dict], set]] = []
+    for r in sorted(rows, key=lambda r: r["ordinal"]):
+        found = [plain(e) for e in r["found"]]
         keys = {re.sub(r"\s+", " ", e["quote"].lower()) for e in found}
-        home = next((g for g in groups if g[1] & keys), None)
+        home = next((g for g in groups if g[2] & keys), None)
         if home is None:
-            groups.append(({**r, "found": found}, keys))
+            groups.append((r["ordinal"], found, keys))
             continue
-        home[1].update(keys)
-        home[0]["found"] += [e for e in found if e not in home[0]["found"]]
-    return pd.DataFrame([(g["file_id"], g["category"], g["title"], g["ordinal"], g["found"]) for g, _ in groups], columns=["file_id", "category", "title", "ordinal", "found"])
+        home[2].update(keys)
+        home[1].extend(e for e in found if e not in home[1])
+    return [(*key, ordinal, found) for ordinal, found, _ in groups]
 
 
 def merge_chunk_findings(findings: DataFrame) -> DataFrame:
@@ -167,8 +172,9 @@ def merge_chunk_findings(findings: DataFrame) -> DataFrame:
 
     ``findings``: file_id, category, title, ordinal, found (as ``ground_quotes`` gives).
     """
-    source = findings.select("file_id", "category", "title", "ordinal", "found")
-    return source.groupBy("file_id", "category", "title").applyInPandas(_merge_chunks, "file_id long, category string, title string, ordinal long, found array<struct<start:bigint,end:bigint,line:int,quote:string>>")
+    keys = ["file_id", "category", "title"]
+    source = gathered(findings.select(*keys, "ordinal", "found"), keys, "rows")
+    return each_key(source, keys, ["rows"], _merge_chunks, "file_id long, category string, title string, ordinal long, found array<struct<start:bigint,end:bigint,line:int,quote:string>>")
 
 
 RANK = ("done", "skipped-too-large", "failed")

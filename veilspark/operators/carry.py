@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilspark.operators.batches import each_key, gathered
+
 
 def _round4(x: Column) -> Column:
     return (F.floor(x / 4 + 0.5) * 4).cast("long").cast("string")
@@ -40,19 +41,19 @@ def shares_evidence(a: Column, b: Column) -> Column:
 CARRIED = "file_id long, category string, ordinal long, finding_id string, decision string"
 
 
-def _carry(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    left, right = left.sort_values("ordinal", kind="stable"), right.sort_values("old_ordinal", kind="stable")
-    free = {i: (set(k), f, d) for i, (k, f, d) in enumerate(zip(right["old_keys"], right["finding_id"], right["decision"]))}
+def _carry(key: tuple, new: list[dict], old: list[dict]) -> list[tuple]:
+    new, old = sorted(new, key=lambda r: r["ordinal"]), sorted(old, key=lambda r: r["old_ordinal"])
+    free = dict(enumerate(old))
     by_key: dict[str, list[int]] = {}
-    for i, (ks, _, _) in free.items():
-        for k in ks:
+    for i, r in free.items():
+        for k in set(r["old_keys"]):
             by_key.setdefault(k, []).append(i)
     out = []
-    for file_id, category, ordinal, ks in zip(left["file_id"], left["category"], left["ordinal"], left["keys"]):
-        found = min((i for k in ks for i in by_key.get(k, ()) if i in free), default=None)
-        _, finding, decision = free.pop(found) if found is not None else (None, None, "open")
-        out.append((file_id, category, ordinal, finding, decision))
-    return pd.DataFrame(out, columns=["file_id", "category", "ordinal", "finding_id", "decision"])
+    for r in new:
+        found = min((i for k in r["keys"] for i in by_key.get(k, ()) if i in free), default=None)
+        was = free.pop(found) if found is not None else {"finding_id": None, "decision": "open"}
+        out.append((*key, r["ordinal"], was["finding_id"], was["decision"]))
+    return out
 
 
 def carry_decisions(candidates: DataFrame, previous: DataFrame) -> DataFrame:
@@ -65,9 +66,10 @@ def carry_decisions(candidates: DataFrame, previous: DataFrame) -> DataFrame:
     """
     new = candidates.select("file_id", "category", "ordinal", keys("evidence").alias("keys"))
     old = previous.where("not manual").select("file_id", "category", "ordinal", "finding_id", "decision", keys("evidence").alias("keys"))
-    # Both may come from one plan, so the older side gets columns of its own.
-    old = old.toDF("old_file", "old_category", "old_ordinal", "finding_id", "decision", "old_keys")
-    carried = new.groupBy("file_id", "category").cogroup(old.groupBy("old_file", "old_category")).applyInPandas(_carry, CARRIED)
+    old = old.toDF("file_id", "category", "old_ordinal", "finding_id", "decision", "old_keys")
+    place = ["file_id", "category"]
+    both = gathered(new, place, "new").join(gathered(old, place, "old"), place, "left")
+    carried = each_key(both, place, ["new", "old"], _carry, CARRIED)
     return carried.unionByName(previous.where("manual").select("file_id", "category", F.col("ordinal").cast("long").alias("ordinal"), "finding_id", "decision"))
 
 

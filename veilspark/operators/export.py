@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions import regex, spans
+from veilspark.operators.batches import each_key, gathered
 
 PADDING = 3
 LEAST_NEEDLE = 3
@@ -113,24 +113,24 @@ def export_name(name: Column) -> Column:
     return F.when(safe.rlike(r"(?i)^(con|prn|aux|nul|com[0-9]|lpt[0-9])(\..*)?$"), F.concat(F.lit("_"), safe)).otherwise(safe)
 
 
-def _unique(pdf: pd.DataFrame) -> pd.DataFrame:
+def _unique(key: tuple, files: list[dict]) -> list[tuple]:
     used: set[str] = set()
-    names = []
-    pdf = pdf.sort_values("ordinal", kind="stable")
-    for name in pdf["name"]:
+    out = []
+    for r in sorted(files, key=lambda r: r["ordinal"]):
+        name = r["name"]
         stem, dot, ext = name.rpartition(".") if name.rfind(".") > 0 else (name, "", "")
-        out, n = name, 2
-        while out.lower() in used:
-            out, n = f"{stem} ({n}){dot}{ext}", n + 1
-        used.add(out.lower())
-        names.append(out)
-    return pdf.assign(unique_name=names)
+        unique, n = name, 2
+        while unique.lower() in used:
+            unique, n = f"{stem} ({n}){dot}{ext}", n + 1
+        used.add(unique.lower())
+        out.append((*key, r["ordinal"], name, unique))
+    return out
 
 
 def unique_names(files: DataFrame) -> DataFrame:
     """``unique_name`` for each file (package_id, ordinal, name); a package has 50 files at most."""
-    df = files.select("package_id", "ordinal", "name")
-    return df.groupBy("package_id").applyInPandas(_unique, "package_id long, ordinal long, name string, unique_name string")
+    df = gathered(files.select("package_id", "ordinal", "name"), ["package_id"], "files")
+    return each_key(df, ["package_id"], ["files"], _unique, "package_id long, ordinal long, name string, unique_name string")
 
 
 def changed_originals(before: DataFrame, now: DataFrame) -> DataFrame:

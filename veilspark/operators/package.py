@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.operators.terms import slug
+from veilspark.operators.batches import each_key, gathered
 
 VISIBLE = ("keep", "keep-and-remember", "open")
 #: Why a processed file has no AI analysis.
@@ -78,10 +78,9 @@ def _box_match(a: dict, b: dict) -> bool:
     return w * h / (a["w"] * a["h"] + b["w"] * b["h"] - w * h) >= 0.5
 
 
-def _score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+def _score(key: tuple, left: list[dict], right: list[dict]) -> list[tuple]:
     rows = []
-    detections = left.sort_values("ordinal", kind="stable").to_dict("records")
-    labels = right.sort_values("ordinal", kind="stable").to_dict("records")
+    detections, labels = (sorted(x, key=lambda r: r["ordinal"]) for x in (left, right))
     for method in METHODS:
         expected = [x for x in labels if method != "llm-vision" or x["box"] is not None]
         used: set[int] = set()
@@ -89,7 +88,7 @@ def _score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         for d in detections:
             if d["method"] != method:
                 continue
-            evidence = list(d["evidence"])
+            evidence = d["evidence"]
             hit = next((i for i, x in enumerate(expected) if i not in used and any(
                 (e["type"] == "image-region" and _box_match(x["box"], e)) if x["box"] is not None
                 else (x["quote"] is not None and e["type"] in ("text-span", "image-region") and e["quote"] == x["quote"]) for e in evidence)), None)
@@ -98,7 +97,7 @@ def _score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             else:
                 used.add(hit)
         rows.append((method, len(used), wrong, len(expected) - len(used)))
-    return pd.DataFrame(rows, columns=["layer", "true_positive", "false_positive", "false_negative"])
+    return rows
 
 
 def score_layers(detections: DataFrame, labels: DataFrame) -> DataFrame:
@@ -109,7 +108,9 @@ def score_layers(detections: DataFrame, labels: DataFrame) -> DataFrame:
     """
     d = detections.select("file_id", "category", "ordinal", "method", "evidence")
     x = labels.select("file_id", "category", "ordinal", "quote", "box")
-    each = d.groupBy("file_id", "category").cogroup(x.groupBy("file_id", "category")).applyInPandas(_score, "layer string, true_positive long, false_positive long, false_negative long")
+    place = ["file_id", "category"]
+    both = gathered(d, place, "found").join(gathered(x, place, "labels"), place, "full")
+    each = each_key(both, place, ["found", "labels"], _score, "layer string, true_positive long, false_positive long, false_negative long")
     total = each.groupBy("layer").agg(*[F.sum(c).alias(c) for c in ("true_positive", "false_positive", "false_negative")])
     tp = F.col("true_positive")
     return total.select("*", F.try_divide(tp, tp + F.col("false_positive")).alias("precision"), F.try_divide(tp, tp + F.col("false_negative")).alias("recall"))

@@ -79,11 +79,8 @@ INJECTION = ("prompt-injection", "prompt-injection", "Instructions for an AI", "
 
 
 def scan_rule(text: Column | str, rule: Rule) -> Column:
-    """Validated hits of one rule; a match that fails is not retried shorter."""
-    found = spans.hits(text, rule.java, rule.gate)
-    if rule.valid is not None:
-        found = F.filter(found, lambda h: rule.valid(h["quote"]))
-    return F.slice(found, 1, MOST_HITS)
+    """Validated hits of one rule, with their lines; a match that fails is not retried shorter."""
+    return spans.hits(text, rule.java, rule.gate, rule.valid, MOST_HITS, lines=True)
 
 
 def zero_width_ranges(text: Column | str) -> Column:
@@ -100,36 +97,31 @@ def injection_ranges(text: Column | str) -> Column:
     text = F.col(text) if isinstance(text, str) else text
     low = F.lower(text)
     found = F.flatten(F.array(*[spans.hits(low, regex.literal(p), p) for p in INJECTION_PHRASES]))
-    pure = F.transform(found, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), F.substr(text, (h["start"] + 1).cast("int"), (h["end"] - h["start"]).cast("int")).alias("quote")))
-    return F.when(F.size(found) >= MOST_RANGES, F.slice(pure, 1, MOST_RANGES)).otherwise(F.array_sort(pure))
-
-
-def all_hits(files: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``files`` (file_id, text, ...) with ``by_rule``: an array of (rule_id, hits) for rules that hit."""
-    each = [F.struct(F.lit(r.id).alias("rule_id"), scan_rule("text", r).alias("hits")) for r in rules]
-    return files.withColumn("by_rule", F.filter(F.array(*each), lambda r: F.size(r["hits"]) > 0))
+    pure = lambda found: F.transform(found, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), F.substr(text, (h["start"] + 1).cast("int"), (h["end"] - h["start"]).cast("int")).alias("quote")))
+    return spans.let(found, lambda f: F.when(F.size(f) >= MOST_RANGES, F.slice(pure(f), 1, MOST_RANGES)).otherwise(F.array_sort(pure(f))))
 
 
 def hit_rows(files: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(file_id, rule_id, category, start, end, line, quote), a row per hit."""
     category = F.create_map(*[x for r in rules for x in (F.lit(r.id), F.lit(r.category))])
-    rows = all_hits(files, rules).select("file_id", "text", F.explode("by_rule").alias("r")).select("file_id", "text", F.col("r.rule_id").alias("rule_id"), F.explode("r.hits").alias("h"))
-    return rows.select("file_id", "rule_id", category[F.col("rule_id")].alias("category"), F.col("h.start").alias("start"), F.col("h.end").alias("end"), spans.line_at("text", F.col("h.start")).alias("line"), F.col("h.quote").alias("quote"))
+    each = F.flatten(F.array(*[spans.tagged(scan_rule("text", r), "rule_id", F.lit(r.id)) for r in rules]))
+    rows = spans.rows_of(files, ["file_id"], each, "h").select("file_id", "h.*")
+    return rows.select("file_id", "rule_id", category[F.col("rule_id")].alias("category"), "start", "end", "line", "quote")
 
 
 def candidates(files: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One finding a file and rule, with all hits as evidence, in rule order; then hidden text and instructions."""
-    more = [(HIDDEN_TEXT, zero_width_ranges("text")), (INJECTION, injection_ranges("text"))]
-    each = [F.struct(F.lit(i).alias("ordinal"), *[F.lit(v).alias(k) for k, v in (("rule_id", r.id), ("category", r.category), ("title", r.title), ("reason", r.reason))], scan_rule("text", r).alias("hits")) for i, r in enumerate(rules)]
-    each += [F.struct(F.lit(len(rules) + i).alias("ordinal"), *[F.lit(v).alias(k) for k, v in zip(("rule_id", "category", "title", "reason"), words)], h.alias("hits")) for i, (words, h) in enumerate(more)]
-    rows = files.select("file_id", "text", F.explode(F.filter(F.array(*each), lambda r: F.size(r["hits"]) > 0)).alias("r"))
-    return rows.select("file_id", F.col("r.ordinal").alias("ordinal"), F.col("r.rule_id").alias("rule_id"), F.col("r.category").alias("category"), F.col("r.title").alias("title"), F.col("r.reason").alias("reason"), evidence("text", F.col("r.hits")).alias("evidence"))
+    named = [((r.id, r.category, r.title, r.reason), evidence("text", scan_rule("text", r), lines=True)) for r in rules]
+    named += [(HIDDEN_TEXT, evidence("text", zero_width_ranges("text"))), (INJECTION, evidence("text", injection_ranges("text")))]
+    keys = ("rule_id", "category", "title", "reason")
+    each = F.array(*[F.struct(F.lit(i).alias("ordinal"), *[F.lit(v).alias(k) for k, v in zip(keys, words)], found.alias("evidence")) for i, (words, found) in enumerate(named)])
+    return spans.rows_of(files, ["file_id"], F.filter(each, lambda r: F.size(r["evidence"]) > 0), "r").select("file_id", "r.*")
 
 
 EVIDENCE = "struct<type:string,start:bigint,end:bigint,line:int,quote:string,x:double,y:double,w:double,h:double,anchor:string,byte_offset:bigint,note:string>"
 
 
-def evidence(text: Column | str, found: Column) -> Column:
-    """Hits as text-span evidence."""
+def evidence(text: Column | str, found: Column, lines: bool = False) -> Column:
+    """Hits as text-span evidence; ``lines``: they know theirs."""
     null = lambda t: F.lit(None).cast(t)
-    return F.transform(found, lambda h: F.struct(F.lit("text-span").alias("type"), h["start"].alias("start"), h["end"].alias("end"), spans.line_at(text, h["start"]).alias("line"), h["quote"].alias("quote"), *[null("double").alias(k) for k in "xywh"], null("string").alias("anchor"), null("bigint").alias("byte_offset"), null("string").alias("note")))
+    return F.transform(found, lambda h: F.struct(F.lit("text-span").alias("type"), h["start"].alias("start"), h["end"].alias("end"), (h["line"] if lines else spans.line_at(text, h["start"])).alias("line"), h["quote"].alias("quote"), *[null("double").alias(k) for k in "xywh"], null("string").alias("anchor"), null("bigint").alias("byte_offset"), null("string").alias("note")))

@@ -19,8 +19,8 @@ def scan_term(text: Column | str, term: str) -> Column:
     """Case-insensitive hits of a term between word borders, 50 at most."""
     clean = term.strip()
     if not clean:
-        return spans.no_hits()
-    return F.slice(spans.hits(text, regex.java(f"\\b{regex.literal(clean)}\\b", insensitive=True)), 1, MOST_HITS)
+        return spans.tagged(spans.no_hits(), "line", F.lit(0))
+    return spans.hits(text, regex.java(f"\\b{regex.literal(clean)}\\b", insensitive=True), most=MOST_HITS, lines=True)
 
 
 def term_hits(files: DataFrame, terms: list[str], category: str = "protected-term", title: str = "Protected term: ") -> DataFrame:
@@ -28,11 +28,11 @@ def term_hits(files: DataFrame, terms: list[str], category: str = "protected-ter
 
     Terms are literals in one projection: the text is read once for all of them.
     """
-    each = [F.struct(F.lit(t).alias("term"), scan_term("text", t).alias("hits")) for t in terms if t.strip()]
+    each = [spans.tagged(scan_term("text", t), "term", F.lit(t)) for t in terms if t.strip()]
     if not each:
         return files.select("file_id").limit(0).selectExpr("file_id", "'' category", "'' term", "'' group_id", "'' title", "0L start", "0L end", "0 line", "'' quote")
-    rows = files.select("file_id", "text", F.inline(F.filter(F.array(*each), lambda t: F.size(t["hits"]) > 0))).select("file_id", "text", "term", F.explode("hits").alias("h"))
-    return rows.select("file_id", F.lit(category).alias("category"), "term", slug(F.col("term")).alias("group_id"), F.concat(F.lit(title), "term").alias("title"), F.col("h.start").alias("start"), F.col("h.end").alias("end"), spans.line_at("text", F.col("h.start")).alias("line"), F.col("h.quote").alias("quote"))
+    rows = spans.rows_of(files, ["file_id"], F.flatten(F.array(*each)), "h").select("file_id", "h.*")
+    return rows.select("file_id", F.lit(category).alias("category"), "term", slug(F.col("term")).alias("group_id"), F.concat(F.lit(title), "term").alias("title"), "start", "end", "line", "quote")
 
 
 def other_clients(recipients: DataFrame, recipient_id: int) -> list[str]:

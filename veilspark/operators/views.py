@@ -54,13 +54,14 @@ def search_packages(packages: DataFrame, recipients: DataFrame, profiles: DataFr
 
 def text_segments(texts: DataFrame) -> DataFrame:
     """Pieces of each text (file_id, text, spans) between all span borders."""
-    return texts.select("file_id", F.inline(spans.segments("text", F.col("spans"))))
+    return spans.rows_of(texts, ["file_id"], spans.segments("text", F.col("spans")), "s").select("file_id", "s.*")
 
 
 def segment_lines(texts: DataFrame) -> DataFrame:
     """(file_id, line, piece, text, covered): segments cut at line feeds."""
-    segs = texts.select("file_id", "text", F.inline(F.transform(spans.segments("text", F.col("spans")), lambda s: F.struct(s["start"].alias("start"), s["text"].alias("part"), s["covered"].alias("covered")))))
-    rows = segs.select("file_id", spans.line_at("text", F.col("start")).alias("first"), "start", "covered", F.posexplode(F.split("part", "\n", -1)).alias("n", "piece"))
+    pieces = F.transform(spans.segments("text", F.col("spans")), lambda s: F.struct(s["start"].alias("start"), s["covered"].alias("covered"), spans.line_at("text", s["start"]).alias("first"), F.split(s["text"], "\n", -1).alias("parts")))
+    segs = spans.rows_of(texts, ["file_id"], pieces, "s").select("file_id", "s.*")
+    rows = segs.select("file_id", "first", "start", "covered", F.posexplode("parts").alias("n", "piece"))
     return rows.where("piece <> ''").select("file_id", (F.col("first") + F.col("n")).alias("line"), "start", "piece", "covered")
 
 

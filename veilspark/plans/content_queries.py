@@ -44,9 +44,8 @@ QUOTES = ("Project Juniper and Acme Corp", "PROJECT   juniper", "the", "not in a
 
 def quote_ground(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact places on the JVM for quotes that need no folding."""
-    each = F.array(*[F.struct(F.lit(i).alias("n"), ai.quote_spans("text", q).alias("h")) for i, q in enumerate(QUOTES)])
-    rows = files(spark, sf_dir).select("file_id", F.inline(each)).select("file_id", F.col("n").cast("long").alias("n"), F.explode("h").alias("h"))
-    return rows.select("file_id", "n", F.col("h.start").alias("start"), F.col("h.end").alias("end"))
+    each = F.flatten(F.array(*[spans.tagged(ai.quote_spans("text", q), "n", F.lit(i).cast("long")) for i, q in enumerate(QUOTES)]))
+    return spans.rows_of(files(spark, sf_dir), ["file_id"], each, "h").select("file_id", "h.n", "h.start", "h.end")
 
 
 def quote_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +109,7 @@ def ocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same words in SQL, with the line that the boxes show and the reading order.
-_WORDS_SQL = r"""w0 AS (SELECT doc_id AS file_id, list_slice(list_filter(string_split_regex(coalesce(text, ''), '[ \n]+'), lambda w: w <> ''), 1, 60) AS ws FROM documents),
+_WORDS_SQL = r"""w0 AS (SELECT doc_id AS file_id, list_filter(string_split_regex(coalesce(text, ''), '[ \n]+'), lambda w: w <> '') AS ws FROM documents),
 w1 AS (SELECT file_id, unnest(range(0, len(ws))) AS n, ws FROM w0),
 words AS (SELECT file_id, n, ws[n + 1] AS text, n % 8 * 100.0 AS x, CAST(n // 8 * 20 + (file_id + n) % 3 AS DOUBLE) AS y, length(ws[n + 1]) * CAST(8 AS DOUBLE) AS w, CAST(10 + (file_id + n) % 2 AS DOUBLE) AS h, CAST((file_id + n) * 7 % 60 + 40 AS DOUBLE) AS confidence, n // 8 AS line, n AS seq FROM w1)"""
 _OFFSETS_SQL = 'o AS (SELECT *, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY file_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM words), offs AS (SELECT *, start + length(text) AS "end" FROM o)'
@@ -135,8 +134,9 @@ def word_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ocr_hits(words: DataFrame) -> DataFrame:
     """Hits of a letter pair in OCR text, some beyond its end."""
     text = words.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda w: w["text"]), " ").alias("text"))
-    h = text.select("file_id", F.posexplode(spans.hits("text", "an [a-z]")).alias("hit", "h"))
-    return h.select("file_id", F.col("hit").cast("long").alias("hit"), F.when(F.col("hit") % 5 == 4, F.col("h.start") + 100000).otherwise(F.col("h.start")).alias("start"), F.when(F.col("hit") % 5 == 4, F.col("h.end") + 100000).otherwise(F.col("h.end")).alias("end"), F.col("h.quote").alias("quote"))
+    numbered = F.transform(spans.hits("text", "an [a-z]"), lambda h, n: h.withField("hit", n.cast("long")))
+    h = spans.rows_of(text, ["file_id"], numbered, "h").select("file_id", "h.hit", "h")
+    return h.select("file_id", "hit", F.when(F.col("hit") % 5 == 4, F.col("h.start") + 100000).otherwise(F.col("h.start")).alias("start"), F.when(F.col("hit") % 5 == 4, F.col("h.end") + 100000).otherwise(F.col("h.end")).alias("end"), F.col("h.quote").alias("quote"))
 
 
 def hit_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +147,8 @@ def hit_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quote_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = ocr.word_offsets(ocr.ocr_result(ocr_words(spark, sf_dir)))
     text = w.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ").alias("text"))
-    h = text.select("file_id", F.posexplode(spans.hits("text", "[a-z]+ the [a-z]+")).alias("hit", "h")).select("file_id", F.col("hit").cast("long").alias("hit"), F.col("h.start").alias("start"), F.col("h.end").alias("end"))
+    numbered = F.transform(spans.hits("text", "[a-z]+ the [a-z]+"), lambda h, n: h.withField("hit", n.cast("long")))
+    h = spans.rows_of(text, ["file_id"], numbered, "h").select("file_id", "h.hit", "h.start", "h.end")
     return ocr.quote_regions(h, w).select("file_id", "hit", F.col("line").cast("long").alias("line"), "x", "y", "w", "h", "quote")
 
 

@@ -42,9 +42,15 @@ def quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores: a table of fewer splits than cores (one row group is one) is dealt out first."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_id, name, text): a review file a document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     snippet = F.element_at(F.array(*map(F.lit, SNIPPETS)), (F.col("doc_id") % len(SNIPPETS) + 1).cast("int"))
     name = F.concat(F.lit("doc-"), F.col("doc_id"), F.when(F.col("doc_id") % 5 == 0, ".env.txt").otherwise(".txt"))
     return docs.select(F.col("doc_id").alias("file_id"), name.alias("name"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), snippet).alias("text"))

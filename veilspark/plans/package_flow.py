@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilspark.operators import carry, export, merge, package, policy, rules, terms
+from veilspark.operators import carry, documents, export, images, merge, ocr, package, policy, rules, terms
 from veilspark.plans.inputs import files as review_files
 from veilspark.sources import uploads
 
@@ -28,28 +28,130 @@ def read_texts(originals: DataFrame) -> DataFrame:
     return originals.select("file_id", "name", text.alias("text"), F.when(text.isNull(), "failed").otherwise("processed").alias("status"), F.when(text.isNull(), "The file is not valid UTF-8.").alias("failure_reason"))
 
 
-def scan(files: DataFrame, protected_terms: list[str], other_clients: list[str], profile_id: str, allow_rules: DataFrame) -> Scan:
-    """All text layers over all files, merged, with suggested actions.
+#: Wording of findings of the layers.
+PROTECTED = ("protected-term", "Protected term: ", "You marked this term as sensitive for this package.")
+OTHER_CLIENT = ("other-client", "Other client: ", "This names a different client than the package recipient.")
+RESIDUE = ("Redacted text still present in the reviewed copy", "Text that was approved for removal is still in the reviewed file.")
 
-    ``files`` as ``read_texts`` gives.  ``allow_rules``: category, match_text of the recipient.
-    """
-    spark = files.sparkSession
-    ok = files.where("status = 'processed'")
-    found = rules.candidates(ok).select("file_id", F.col("ordinal").cast("long").alias("ordinal"), "category", "title", "reason", F.lit(None).cast("string").alias("group_id"), F.lit("rule").alias("method"), "rule_id", "evidence")
-    for base, words, category, title, reason in ((1_000_000, protected_terms, "protected-term", "Protected term: ", "You marked this term as sensitive for this package."), (2_000_000, other_clients, "other-client", "Other client: ", "This names a different client than the package recipient.")):
+#: Findings of a file keep the order of the layers: structure, rules, terms.
+IMAGE_AT, HIDDEN_AT, TEXT_AT, RULES_AT, TERMS_AT = 0, 1_000, 100_000, 200_000, 1_000_000
+CANDIDATE = ("file_id", "ordinal", "category", "title", "reason", "group_id", "method", "rule_id", "evidence")
+
+
+def _structure_evidence(anchor: Column, byte_offset: Column, note: Column, quote: Column) -> Column:
+    """A place in the structure of a file, as an array of one."""
+    null = lambda t: F.lit(None).cast(t)
+    return F.array(F.struct(F.lit("file-structure").alias("type"), null("bigint").alias("start"), null("bigint").alias("end"), null("int").alias("line"), quote.cast("string").alias("quote"), *[null("double").alias(k) for k in "xywh"], anchor.cast("string").alias("anchor"), byte_offset.cast("bigint").alias("byte_offset"), note.cast("string").alias("note")))
+
+
+def _candidate(rows: DataFrame, ordinal: Column, method: str) -> DataFrame:
+    rows = rows.withColumn("ordinal", ordinal.cast("long")).withColumn("method", F.lit(method))
+    return rows.withColumn("group_id", F.col("group_id") if "group_id" in rows.columns else F.lit(None).cast("string")).select(*CANDIDATE)
+
+
+def text_candidates(texts: DataFrame) -> DataFrame:
+    """Rules, hidden characters and instructions in (file_id, text)."""
+    found = rules.candidates(texts)
+    layer = F.col("ordinal") >= len(rules.RULES)
+    out = _candidate(found, F.col("ordinal") + F.when(layer, TEXT_AT).otherwise(RULES_AT), "rule")
+    return out.withColumn("method", F.when(F.col("ordinal") < RULES_AT, "structure").otherwise(F.col("method")))
+
+
+def ocr_candidates(words: DataFrame) -> DataFrame:
+    """Rules in the text of OCR words (file_id, n, text, x, y, w, h, confidence), with the boxes of the words that a hit touches."""
+    placed = ocr.word_offsets(ocr.ocr_result(words))
+    found = rules.candidates(ocr.ocr_text(placed)).where(F.col("ordinal") < len(rules.RULES))
+    each = found.select("file_id", "ordinal", F.posexplode("evidence").alias("k", "e"))
+    hits = each.select("file_id", (F.col("ordinal") * rules.MOST_HITS + F.col("k")).alias("hit"), "e.start", "e.end", "e.quote", "e.line")
+    boxes = ocr.hit_evidence(hits.drop("line"), placed).join(hits.select("file_id", "hit", "line"), ["file_id", "hit"])
+    span = F.col("type") == "text-span"
+    null = lambda t: F.lit(None).cast(t)
+    made = F.struct("type", *[F.when(span, F.col(c)).alias(c) for c in ("start", "end", "line")], "quote", *"xywh", null("string").alias("anchor"), null("bigint").alias("byte_offset"), null("string").alias("note"))
+    again = boxes.groupBy("file_id", F.floor(F.col("hit") / rules.MOST_HITS).cast("int").alias("ordinal")).agg(F.array_sort(F.collect_list(F.struct("hit", made.alias("e")))).alias("es"))
+    rows = found.drop("evidence").join(again, ["file_id", "ordinal"]).withColumn("evidence", F.transform("es", lambda x: x["e"]))
+    return _candidate(rows, F.col("ordinal") + RULES_AT, "ocr-rule")
+
+
+def term_candidates(texts: DataFrame, protected_terms: list[str], other_clients: list[str]) -> DataFrame | None:
+    """A finding a hit of a term in (file_id, text)."""
+    out = None
+    for base, words, (category, title, reason) in ((TERMS_AT, protected_terms, PROTECTED), (2 * TERMS_AT, other_clients, OTHER_CLIENT)):
         if not [w for w in words if w.strip()]:
             continue
-        t = terms.term_hits(ok, words, category, title)
+        t = terms.term_hits(texts, words, category, title)
         number = F.create_map(*[x for i, w in enumerate(words) for x in (F.lit(w), F.lit(base + 100 * i))])
         place = F.row_number().over(Window.partitionBy("file_id", "term").orderBy("start"))
         hit = F.array(F.struct("start", "end", "quote"))
-        found = found.unionByName(t.select("file_id", (number[F.col("term")] + place).cast("long").alias("ordinal"), "category", "title", F.lit(reason).alias("reason"), "group_id", F.lit("protected-term").alias("method"), F.lit(None).cast("string").alias("rule_id"), F.transform(rules.evidence(F.lit(""), hit), lambda e: e.withField("line", F.col("line"))).alias("evidence")))
+        t = t.withColumn("at", number[F.col("term")] + place).withColumn("reason", F.lit(reason)).withColumn("rule_id", F.lit(None).cast("string"))
+        t = _candidate(t.withColumn("evidence", F.transform(rules.evidence(F.lit(""), hit), lambda e: e.withField("line", F.col("line")))), F.col("at"), "protected-term")
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+def scan(files: DataFrame, protected_terms: list[str], other_clients: list[str], profile_id: str, allow_rules: DataFrame, more: DataFrame | None = None) -> Scan:
+    """All text layers over all files, merged, with suggested actions.
+
+    ``files`` as ``read_texts`` gives, with the kind if it has one.  ``allow_rules``: category,
+    match_text of the recipient.  ``more``: candidates of other layers.
+    """
+    spark = files.sparkSession
+    ok = files.where("status = 'processed' and text is not null").select("file_id", "text")
+    found = text_candidates(ok)
+    for other in (term_candidates(ok, protected_terms, other_clients), more):
+        found = found if other is None else found.unionByName(other)
     merged = merge.merge(found).withColumn("evidence", F.flatten(F.transform("detections", lambda d: d["evidence"])))
     ready = merged.withColumn("profile_id", F.lit(profile_id)).withColumn("recipient_id", F.lit(0))
     acted = policy.apply_profile(ready, F.broadcast(policy.preset_buckets(spark)), allow_rules.select(F.lit(0).alias("recipient_id"), "category", "match_text"))
+    if "kind" in files.columns:
+        acted = policy.hidden_override(acted.join(files.select("file_id", F.col("kind").alias("file_kind")), "file_id")).drop("file_kind")
     return Scan(files, acted.drop("profile_id", "recipient_id", "members"))
 
 
+def read_all(originals: DataFrame) -> DataFrame:
+    """Files of every kind (file_id, name, content): kind, format, content, text, model, status and failure_reason.
+
+    A file that cannot be read fails alone: unknown kinds, bytes that are no UTF-8, broken documents.
+    PDF text needs an engine that is not here, so PDFs fail with that reason.
+    """
+    kinds = uploads.detect_kind(originals.withColumn("extension", export.stored_extension(F.col("name"))))
+    model = "struct<hidden:array<struct<id:string,kind:string,note:string,quote:string,category:string>>,signed:boolean>"
+    none = F.lit(None).cast(model).alias("model")
+    shared = ["file_id", "name", "kind", F.col("extension").alias("format"), "content"]
+    text = uploads.decode(F.col("content"))
+    plain = kinds.where("kind = 'text'").select(*shared, text.alias("text"), none, F.when(text.isNull(), "The file is not valid UTF-8.").alias("failure_reason"))
+    image = kinds.where("kind = 'image'").select(*shared, F.lit(None).cast("string").alias("text"), none, F.lit(None).cast("string").alias("failure_reason"))
+    unsupported = kinds.where("kind = 'unsupported'").select(*shared, F.lit(None).cast("string").alias("text"), none, F.col("reason").alias("failure_reason"))
+    office = kinds.where("kind = 'document' and extension <> 'pdf'")
+    models = documents.extract_documents(office.select("file_id", F.col("extension").alias("format"), "content"))
+    read = office.select(*shared).join(models.select("file_id", "text", F.struct("hidden", "signed").alias("model"), F.col("error").alias("failure_reason")), "file_id")
+    pdf = kinds.where("kind = 'document' and extension = 'pdf'").select(*shared, F.lit(None).cast("string").alias("text"), none, F.lit("PDF text cannot be read here.").alias("failure_reason"))
+    out = plain.unionByName(image).unionByName(unsupported).unionByName(read).unionByName(pdf)
+    status = F.when(F.col("kind") == "unsupported", "unsupported").when(F.col("failure_reason").isNotNull(), "failed").otherwise("processed")
+    return out.withColumn("status", status)
+
+
+def structure_candidates(files: DataFrame) -> DataFrame:
+    """Findings in the structure of images and documents, as ``read_all`` gives them."""
+    scans = images.scan_images(files.where("kind = 'image' and status = 'processed'").select("file_id", "content"))
+    found = images.image_findings(scans)
+    place = F.row_number().over(Window.partitionBy("file_id").orderBy(F.col("byte_offset").isNull(), "rule_id"))
+    null = F.lit(None)
+    picture = _candidate(found.withColumn("reason", F.col("title")).withColumn("evidence", _structure_evidence(null, F.col("byte_offset"), F.col("title"), null)), place + IMAGE_AT, "structure")
+    hidden = documents.hidden_candidates(files.where("kind = 'document' and status = 'processed'").select("file_id", "model.hidden"))
+    items = hidden.withColumn("reason", F.col("title")).withColumn("evidence", _structure_evidence(F.col("anchor"), null, F.col("title"), F.col("quote")))
+    return picture.unionByName(_candidate(items, F.col("ordinal") + HIDDEN_AT, "structure"))
+
+
+def analyze(files: DataFrame, words: DataFrame, protected_terms: list[str], other_clients: list[str], profile_id: str, allow_rules: DataFrame) -> Scan:
+    """Files of all kinds through all layers in one plan.
+
+    ``files`` as ``read_all`` gives, best stored, as each layer reads them.  ``words``: OCR words of
+    images (``ocr_candidates``).
+    """
+    more = structure_candidates(files).unionByName(ocr_candidates(words))
+    return scan(files, protected_terms, other_clients, profile_id, allow_rules, more)
+
+
 def carried(result: Scan, previous: DataFrame) -> DataFrame:
     """The scan's findings with ids and decisions of the findings before; new ones are open and named by their place."""
     kept = carry.carry_decisions(result.findings, previous).where("finding_id is not null").select("file_id", "category", "ordinal", "finding_id", "decision")
@@ -70,6 +172,68 @@ def reviewed_copies(files: DataFrame, findings: DataFrame) -> DataFrame:
     return export.redact_files(files.where("status = 'processed'"), spans).select("file_id", "name", F.col("redacted").alias("text"))
 
 
+def all_copies(files: DataFrame, findings: DataFrame) -> DataFrame:
+    """Reviewed copies of files of all kinds: file_id, name, kind, format, content, notes, residue, error.
+
+    Spans of text are replaced, hidden items and spans of documents removed, boxes of images painted.
+    A copy that cannot be made has its error.
+    """
+    redact = findings.where("decision = 'redact'").select("file_id", F.explode("evidence").alias("e")).select("file_id", "e.*")
+    ok = export.exportable(files.withColumn("excluded", F.col("excluded") if "excluded" in files.columns else F.lit(False)))
+    by_file = redact.groupBy("file_id").agg(
+        F.collect_list(F.when(F.col("type") == "text-span", F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")))).alias("spans"),
+        F.collect_list(F.when(F.col("type") == "image-region", F.struct("x", "y", "w", "h"))).alias("boxes"),
+        F.collect_set(F.when(F.col("anchor").startswith("hidden:"), F.substr("anchor", F.lit(8)))).alias("remove"),
+    )
+    needles = export.needle_plan(_quotes(findings)).where("not skipped").groupBy("file_id").agg(F.collect_list("needle").alias("needles"))
+    joined = ok.join(by_file, "file_id", "left").join(needles, "file_id", "left")
+    empty = lambda c, t: F.coalesce(c, F.array().cast(t)).alias(c)
+    joined = joined.select("file_id", "name", "kind", "format", "content", "text", empty("spans", "array<struct<start:bigint,end:bigint>>"), empty("boxes", "array<struct<x:double,y:double,w:double,h:double>>"), empty("remove", "array<string>"), empty("needles", "array<string>"))
+    none, no_list = F.lit(None).cast("string").alias("error"), F.array().cast("array<string>")
+    same = ["file_id", "name", "kind", "format"]
+    plain = joined.where("kind = 'text'")
+    text = export.redact_files(plain.select(*same, "text"), plain.select("file_id", F.explode("spans").alias("s")).select("file_id", "s.*"))
+    text = text.select(*same, F.col("redacted").cast("binary").alias("content"), no_list.alias("notes"), no_list.alias("residue"), none)
+    office = joined.where("kind = 'document'")
+    made = documents.redact_documents(office.select("file_id", "format", "content", "spans", "remove", "needles"))
+    office = office.select(*same).join(made.select("file_id", F.col("redacted").alias("content"), "notes", "residue", "error"), "file_id")
+    picture = joined.where("kind = 'image'")
+    made = images.redact_images(picture.select("file_id", "content", "boxes"))
+    picture = picture.select(*same).join(made.select("file_id", F.col("redacted").alias("content"), no_list.alias("notes"), no_list.alias("residue"), "error"), "file_id")
+    return text.unionByName(office).unionByName(picture)
+
+
+def _quotes(findings: DataFrame) -> DataFrame:
+    """(file_id, ordinal, quote, removed) of all quoted evidence of decided findings."""
+    rows = findings.where("decision in ('redact', 'keep')").select("file_id", "ordinal", F.col("decision") == "redact", F.explode("evidence").alias("e"))
+    return rows.toDF("file_id", "ordinal", "removed", "e").where("e.quote is not null").select("file_id", "ordinal", "removed", "e.quote")
+
+
+def residue_findings(copies: DataFrame) -> DataFrame:
+    """Text that was to be removed and still stands in a copy: findings that need a decision, whatever the profile."""
+    found = copies.select("file_id", F.explode("residue").alias("needle"))
+    note = F.concat(F.lit('"'), "needle", F.lit('" is still in the reviewed copy.'))
+    evidence = _structure_evidence(F.concat(F.lit("residue:"), F.lower("needle")), F.lit(None), note, F.lit(None))
+    title, reason = RESIDUE
+    return found.select("file_id", F.lit("hidden-data").alias("category"), F.lit(title).alias("title"), F.lit(reason).alias("reason"), F.lit("structure").alias("method"), F.lit("residue").alias("rule_id"), evidence.alias("evidence"), F.lit("needs-decision").alias("suggested_action"), F.lit(False).alias("allowed_by_recipient"))
+
+
+def export_package_to(files: DataFrame, findings: DataFrame, path: str, status: str, warnings: DataFrame, confirmed: bool) -> tuple[list[str], DataFrame | None]:
+    """The gates, then the copies written with safe unique names and their manifest: (errors, manifest).
+
+    Nothing is written if a gate is closed.
+    """
+    kinds = files.select("file_id", F.col("kind").alias("file_kind"))
+    errors = export.export_errors(status, warnings, findings.join(kinds, "file_id"), confirmed)
+    if errors:
+        return errors, None
+    copies = all_copies(files, findings)
+    names = export.unique_names(copies.where("error is null").select(F.lit(0).cast("long").alias("package_id"), F.col("file_id").alias("ordinal"), export.export_name(F.col("name")).alias("name")))
+    named = copies.join(names.select(F.col("ordinal").alias("file_id"), "package_id", "unique_name"), "file_id", "left")
+    written = write_copies(named, path)
+    return [], export.manifest(written.where("error is null"))
+
+
 def write_copies(copies: DataFrame, path: str) -> DataFrame:
     """The copies written, and read again from where they were written."""
     copies.write.mode("overwrite").parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilspark.functions import regex, spans
 from veilspark.operators import carry, export, package, policy, related, review, rules, terms, views
 from veilspark.operators import merge as merging
-from veilspark.plans.inputs import FILES_SQL, files, hits_sql, quote
+from veilspark.plans.inputs import FILES_SQL, files, hits_sql, line_sql, quote
 from veilspark.plans.rule_queries import TERMS, all_hits_sql, slug_sql, term_sql, valid_hits_sql
 
 CONTACT_RULES = tuple(rules.BY_ID[i] for i in ("email", "phone", "credit-card", "private-ipv4"))
@@ -88,7 +88,7 @@ s AS (SELECT file_id, CASE WHEN ok THEN least(ls + eq, ve) ELSE start END AS sta
 def span_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, s = _spans(spark, sf_dir)
     g = s.groupBy("file_id").agg(F.collect_list(F.struct("start", "end")).alias("s"))
-    return g.select("file_id", F.inline(spans.islands(F.col("s"))))
+    return spans.rows_of(g, ["file_id"], spans.islands(F.col("s")), "i").select("file_id", "i.*")
 
 
 def text_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,11 +97,15 @@ def text_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.text_segments(g).select("file_id", "start", "end", F.md5("text").alias("digest"), F.col("covered").cast("long").alias("covered"))
 
 
-def _segments_sql() -> str:
+def _segments_cte() -> str:
     return f"""WITH {FILES_SQL}, {_hits_cte(CONTACT_RULES)}, {SPANS_SQL.replace('s AS', 's0 AS', 1)}, {CLAMP_SQL},
 b AS (SELECT file_id, start AS pt FROM s UNION SELECT file_id, "end" FROM s UNION SELECT file_id, 0 FROM s0 UNION SELECT file_id, length(text) FROM files WHERE file_id IN (SELECT file_id FROM s0)),
 e AS (SELECT file_id, pt AS start, lead(pt) OVER (PARTITION BY file_id ORDER BY pt) AS "end" FROM b),
-x AS (SELECT * FROM e WHERE "end" > start)
+x AS (SELECT * FROM e WHERE "end" > start)"""
+
+
+def _segments_sql() -> str:
+    return f"""{_segments_cte()}
 SELECT x.file_id, CAST(x.start AS BIGINT) AS start, CAST(x."end" AS BIGINT) AS "end", md5(substr(text, x.start + 1, x."end" - x.start)) AS digest, (SELECT count(*) FROM s0 WHERE s0.file_id = x.file_id AND s0.start <= x.start AND s0."end" >= x."end") AS covered FROM x JOIN files USING (file_id)"""
 
 
@@ -111,6 +115,13 @@ def segment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.segment_lines(g).groupBy("file_id").agg(F.count("*").alias("pieces"), F.max("line").cast("long").alias("last_line"))
 
 
+def _segment_lines_sql() -> str:
+    return f"""{_segments_cte()},
+y AS (SELECT x.file_id, {line_sql('text', 'x.start')} AS first, string_split(substr(text, x.start + 1, x."end" - x.start), chr(10)) AS ps FROM x JOIN files USING (file_id)),
+z AS (SELECT file_id, first + i - 1 AS line, ps[i] AS piece FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM y))
+SELECT file_id, count(*) AS pieces, CAST(max(line) AS BIGINT) AS last_line FROM z WHERE piece <> '' GROUP BY file_id"""
+
+
 # -- merging and policy
 
 
@@ -459,6 +470,7 @@ ORACLES = {
     "redact_env": _env_sql(),
     "span_islands": f'WITH {FILES_SQL}, {_hits_cte(CONTACT_RULES)}, {SPANS_SQL}, {ISLANDS_SQL} SELECT file_id, start, "end" FROM isl',
     "text_segments": _segments_sql(),
+    "segment_lines": _segment_lines_sql(),
     "merge_components": _merge_sql(),
     "apply_profile": _profile_sql(),
     "hidden_override": "SELECT event_id, CASE WHEN event_type = 'click' THEN 'keep' WHEN user_id % 2 = 0 AND event_id % 4 = 0 THEN 'redact' ELSE 'needs-decision' END AS suggested_action FROM events",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.functions import regex, validators
+from veilspark.functions import regex, spans, validators
 from veilspark.operators import rules, terms
 from veilspark.plans.inputs import FILES_SQL, files, hits_sql, line_sql, quote
 
@@ -92,7 +92,7 @@ def rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def zero_width_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Some texts begin with a byte order mark, alone or within a run.
     f = files(spark, sf_dir).withColumn("text", F.concat(F.element_at(F.array(F.lit(""), F.lit("﻿"), F.lit("﻿​")), (F.col("file_id") % 3 + 1).cast("int")), "text"))
-    return f.select("file_id", F.explode(rules.zero_width_ranges("text")).alias("h")).select("file_id", F.col("h.start").alias("start"), F.col("h.end").alias("end"))
+    return spans.rows_of(f, ["file_id"], rules.zero_width_ranges("text"), "h").select("file_id", "h.start", "h.end")
 
 
 def _zero_sql() -> str:
@@ -103,7 +103,8 @@ SELECT file_id, h.s AS start, h.e AS "end" FROM h"""
 
 
 def injection_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).select("file_id", F.posexplode(rules.injection_ranges("text")).alias("n", "h")).select("file_id", F.col("n").cast("long").alias("n"), F.col("h.start").alias("start"), F.col("h.end").alias("end"), F.col("h.quote").alias("quote"))
+    numbered = F.transform(rules.injection_ranges("text"), lambda h, n: h.withField("n", n.cast("long")))
+    return spans.rows_of(files(spark, sf_dir), ["file_id"], numbered, "h").select("file_id", "h.n", "h.start", "h.end", "h.quote")
 
 
 def _injection_sql() -> str:
