@@ -249,3 +249,13 @@ def test_each_pattern_is_searched_once(spark):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == len(rules.RULES)
     found = rules.candidates(f)._jdf.queryExecution().optimizedPlan().toString()
     assert found.count("regexp_extract_all") == len(rules.RULES) + 1 + len(rules.INJECTION_PHRASES)
+
+
+def test_uploads_beyond_the_limits_are_listed(spark, monkeypatch):
+    monkeypatch.setattr(uploads, "MOST_BYTES", 10)
+    monkeypatch.setattr(uploads, "MOST_FILES", 2)
+    rows = [(1, 0, "a.txt", b"x"), (1, 1, "b.txt", b"x" * 11), (1, 2, "c.txt", b"x"), (1, 3, "d.txt", b"x"), (2, 0, "e.txt", b"")]
+    df = spark.createDataFrame([(p, o, n, bytearray(b)) for p, o, n, b in rows], "package_id long, ordinal long, name string, content binary")
+    lost = {(r.name, r.code) for r in uploads.rejected(df).collect()}
+    assert lost == {("b.txt", "too-large"), ("d.txt", "limit-reached")}
+    assert {r.name for r in uploads.ingest(df).collect()} == {"a.txt", "c.txt", "e.txt"}

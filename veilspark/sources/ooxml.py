@@ -217,7 +217,7 @@ def relationship_table(files: DataFrame) -> DataFrame:
     return files.select("file_id", "content").mapInPandas(run, "file_id long, owner string, id string, type string, target string, external boolean")
 
 
-def reachable_parts(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def reachable_parts(edges: DataFrame) -> DataFrame:
     """(file_id, part) reached from each file's package by internal edges (file_id, owner, target), breadth first.
 
     A round is a join on the new parts only; it ends when a round finds none.
@@ -225,7 +225,7 @@ def reachable_parts(edges: DataFrame, rounds: int = 64) -> DataFrame:
     inner = edges.where("not external").select("file_id", "owner", "target").distinct()
     seen = inner.where("owner = ''").select("file_id", F.col("target").alias("part")).distinct()
     new = seen
-    for _ in range(rounds):
+    while True:
         found = new.join(inner, (new.file_id == inner.file_id) & (new.part == inner.owner)).select(new.file_id, F.col("target").alias("part")).distinct()
         new = found.join(seen, ["file_id", "part"], "left_anti").cache()
         if new.isEmpty():

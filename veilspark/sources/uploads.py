@@ -30,6 +30,8 @@ OOXML = {
     "xlsx": ("xl/workbook.xml", "The file name says XLSX, but the content is not an Excel workbook.", "Encrypted workbook", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"),
     "pptx": ("ppt/presentation.xml", "The file name says PPTX, but the content is not a PowerPoint presentation.", "Encrypted presentation", "application/vnd.openxmlformats-officedocument.presentationml.presentation"),
 }
+TOO_LARGE = ("too-large", "The file is larger than 25 MB.")
+TOO_MANY = ("limit-reached", "A package can have 50 files.")
 KIND = "struct<kind:string,mime:string,reason:string>"
 
 EXAMPLES = ("txt", "png", "jpg", "pdf", "jpeg", "docm", "exe", "yml", "")
@@ -42,6 +44,21 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content", F.col("length").alias("size"))
 
 
+def oversized_files(spark: SparkSession, path: str) -> DataFrame:
+    """(name, size, code, reason) of the files under a path that ``read_files`` leaves out; their bytes are not read."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") > MOST_BYTES)
+    return df.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.lit(TOO_LARGE[0]).alias("code"), F.lit(TOO_LARGE[1]).alias("reason"))
+
+
+def rejected(files: DataFrame) -> DataFrame:
+    """(package_id, ordinal, name, code, reason) of the files that ``ingest`` leaves out: too large, or beyond the package's limit."""
+    size = F.octet_length("content")
+    kept = F.when(size <= MOST_BYTES, 1)
+    n = F.count(kept).over(Window.partitionBy("package_id").orderBy("ordinal"))
+    which = F.when(size > MOST_BYTES, F.struct(*map(F.lit, TOO_LARGE))).when(n > MOST_FILES, F.struct(*map(F.lit, TOO_MANY)))
+    return files.select("package_id", "ordinal", "name", which.alias("__w")).where("__w is not null").select("package_id", "ordinal", "name", F.col("__w.col1").alias("code"), F.col("__w.col2").alias("reason"))
+
+
 def ingest(files: DataFrame) -> DataFrame:
     """Files (package_id, ordinal, name, content) within the limits of size and number, with extension, sha256 and size."""
     small = files.withColumn("size", F.octet_length("content").cast("long")).where(F.col("size") <= MOST_BYTES)
