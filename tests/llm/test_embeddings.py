@@ -47,6 +47,9 @@ def test_clusters_copies_and_chains(spark):
     with Scratch(spark) as scratch:
         many, one = (sorted(map(tuple, embeddings.links(few, 16, scratch, block=8, tile_rows=n).groupBy("rep").agg(F.sum("links")).collect())) for n in (16, 1000))
     assert many == one and one
+    with Scratch(spark) as scratch:  # 12 small partitions, which make one tile
+        small = embeddings.links(few, 16, scratch, block=8, tile_rows=1000, part_rows=8).groupBy("rep").agg(F.sum("links"))
+        assert sorted(map(tuple, small.collect())) == one
 
 
 def test_odd_rows(spark):

@@ -138,7 +138,7 @@ def _compare(x: np.ndarray, y: np.ndarray, t: float) -> tuple[np.ndarray, np.nda
     return i, j
 
 
-def links(vectors: DataFrame, dim: int, scratch: Scratch, threshold: float = THRESHOLD, block: int = BLOCK, tile_rows: int = TILE_ROWS) -> DataFrame:
+def links(vectors: DataFrame, dim: int, scratch: Scratch, threshold: float = THRESHOLD, block: int = BLOCK, tile_rows: int = TILE_ROWS, part_rows: int = 0) -> DataFrame:
     """(rep, links, root) of distinct valid vectors (rep, copies, embedding): linked rows of other vectors, and the smallest rep seen linked.
 
     A rep has a row for each task that found it linked.
@@ -157,7 +157,7 @@ def links(vectors: DataFrame, dim: int, scratch: Scratch, threshold: float = THR
 
     schema = "rep long, copies long, embedding array<double>, " + ", ".join([f"c{i} long" for i in range(cells)] + [f"p{i} double" for i in range(cells)])
     order = [f"c{i}" for i in range(cells)] + ["p0", "rep"]
-    parts = max(1, -(-n // (16 * block)))
+    parts = max(1, -(-n // (part_rows or 16 * block)))
     ranged = vectors.select("rep", "copies", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(project, schema).repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,6 +170,11 @@ def links(vectors: DataFrame, dim: int, scratch: Scratch, threshold: float = THR
             yield pa.RecordBatch.from_arrays([pa.array(part + at // tile_rows), pa.array(part + at // block), *[b.column(i) for i in (0, 1, 2)], *[b.column(3 + cells + i) for i in range(cells)]], names=["tile", "number", "rep", "copies", "embedding", *[f"p{i}" for i in range(cells)]])
 
     blocks = scratch.table(ranged.mapInArrow(cut, "tile long, number long, rep long, copies long, embedding array<double>, " + ", ".join(f"p{i} double" for i in range(cells))))
+    # Where partitions came out small, several neighbours make a tile: a vector is sent once for each tile near its own.
+    seen = blocks.select(F.shiftright("number", 32)).distinct().count()
+    join = max(0, int(math.log2(max(1.0, tile_rows / 2 * seen / max(1, n)))))
+    whole = F.shiftleft(F.shiftright("tile", 32 + join), 32) + F.col("tile").bitwiseAND(F.lit((1 << 32) - 1))
+    blocks = blocks.withColumn("tile", whole) if join else blocks
     tiles = blocks.groupBy(F.col("tile").alias("id")).agg(*[f(f"p{i}").alias(f"{k}{i}") for i in range(cells) for k, f in (("l", F.min), ("h", F.max))])
     pairs = scratch.table(near_tiles(scratch.table(tiles), cells, eps))
     route = pairs.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("tile"), "a", "b")
