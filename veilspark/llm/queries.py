@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, jaccard, language, licenses, matroska, mixing, packing, sharding, suffixes, urls
+from . import alignment, embeddings, jaccard, language, licenses, lloyd, matroska, mixing, packing, sharding, suffixes, tokenfile, urls
 
 
 VOCABULARY = "word_bpe_49k.json"
+BYTE_VOCABULARY = "byte_bpe_50k.json"
+PIECE_VOCABULARY = "piece_bpe_32k.model"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +63,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.lloyd(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_docs(spark, sf_dir), public_tokenizers.path(BYTE_VOCABULARY), public_tokenizers.path(PIECE_VOCABULARY))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.round_trip(_docs(spark, sf_dir), public_tokenizers.path(BYTE_VOCABULARY))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -98,5 +112,27 @@ p AS (SELECT *, list_sort(list_distinct(list_filter([{hits}], lambda x: x IS NOT
 SELECT page_id, host, path, rule, coalesce(fit.v, CASE WHEN len(names) > 0 THEN 'block' ELSE 'allow' END) AS verdict, array_to_string(names, ',') AS patterns FROM p"""
 
 
+def _lloyd_sql() -> str:
+    d, k = lloyd.DIMENSIONS, lloyd.CLUSTERS
+    square = "list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    # Whole numbers divided down: what is left over is taken off first.
+    down = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"
+    steps = []
+    for i in range(lloyd.ROUNDS + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT v.row, v.vec_id, min({{'d': {square}, 'k': c.k}}) AS best FROM v, c{i} c GROUP BY v.row, v.vec_id)")
+        if i < lloyd.ROUNDS:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT c.k, coalesce(u.e, c.e) AS e FROM c{i} c LEFT JOIN (
+      SELECT k, list({down} ORDER BY i) AS e FROM (SELECT a.best.k AS k, t.i, sum(v.e[t.i]) AS s, count(*) AS n FROM a{i} a JOIN v USING (row), range(1, {d + 1}) t(i) GROUP BY 1, 2) GROUP BY k) u USING (k))""")
+    last = lloyd.ROUNDS
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor({lloyd.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE len(embedding) = {d} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {d}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS k, e FROM (SELECT sha256('{lloyd.SEED}:' || CAST(vec_id AS VARCHAR)) AS h, e FROM v ORDER BY h LIMIT {k})),
+{", ".join(steps)},
+n AS (SELECT k, sha256(array_to_string(e, ',')) AS centroid_sha256 FROM c{last})
+SELECT vec_id, CAST(best.k AS INT) AS cluster, CAST(best.d AS BIGINT) AS distance, CAST(sum(best.d) OVER (PARTITION BY best.k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(best.d) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM a{last} JOIN n ON n.k = best.k"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_poisson_mix": _mix_sql(), "op10_url_filter": _url_sql()}
+    return {"op2_poisson_mix": _mix_sql(), "op10_url_filter": _url_sql(), "op11_lloyd": _lloyd_sql()}

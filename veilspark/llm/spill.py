@@ -99,6 +99,10 @@ class Scratch:
         self._tables[path] = out
         return out
 
+    def folder(self, name: str) -> str:
+        """A path in the shared folder for files that a step writes itself."""
+        return f"{self._top}/{name}-{uuid.uuid4().hex[:8]}"
+
     def drop(self, *tables: DataFrame) -> None:
         for path in [p for p, t in self._tables.items() if any(t is x for x in tables)]:
             self._files.delete(self._path(path), True)
