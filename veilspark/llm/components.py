@@ -132,3 +132,17 @@ def join_totals(rows: DataFrame, totals: DataFrame, keys: list[str], total: int)
     tagged = rows.join(F.broadcast(heavy), keys, "left")
     near = tagged.where("__heavy is not null").select(*rows.columns, "__heavy.*")
     return near.unionByName(tagged.where("__heavy is null").select(*rows.columns).join(totals.where(light).drop("n"), keys))
+
+
+def one_a_key(rows: DataFrame, wanted: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """One of the rows of each key of ``wanted``, whose ``n`` counts the key's rows of all ``total``.
+
+    Rows of heavy keys are found by a broadcast and thinned out in each task before they are dealt.
+    """
+    heavy = wanted.where(F.col("n") > total // HEAVY).select(*keys)
+    light = wanted.where(F.col("n") <= total // HEAVY).select(*keys)
+    if heavy.isEmpty():
+        return rows.join(light, keys, "left_semi").dropDuplicates(keys)
+    near = rows.join(F.broadcast(heavy), keys, "left_semi").dropDuplicates(keys)
+    far = rows.join(F.broadcast(heavy), keys, "left_anti").join(light, keys, "left_semi").dropDuplicates(keys)
+    return near.unionByName(far)

@@ -30,12 +30,12 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components, forest, join_totals
+from .components import components, forest, join_totals, one_a_key
 from .spill import Scratch, materialise, small_batches
-from .text import U, blocks, mix, prefix_hash, row_starts, shingles, span_hash, text_bytes, word_spans
+from .text import U, blocks, mix, row_starts, shingles, span_names, text_bytes, word_spans
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -57,7 +57,7 @@ _MUL = _rng.integers(0, 1 << 64, HASHES, dtype=U, endpoint=False) | U(1)
 def text_shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of a block of lower-cased texts and the row of each, in row order."""
     starts, ends, rows = word_spans(data, offsets)
-    words = span_hash(prefix_hash(data), starts, ends)
+    words = span_names(data, starts, ends)
     h, first = shingles(words, rows, WORDS)
     found, where = [h], [rows[first]]
     counts = np.bincount(rows, minlength=len(offsets) - 1)
@@ -288,6 +288,10 @@ def _classes(docs: DataFrame, threshold: float, group: int, scratch: Scratch) ->
     dealt = dealt.select(F.when(large, F.col("grp")).otherwise(F.lit(-1)).alias("large"), F.when(large, F.lit(0)).otherwise(F.pmod(F.xxhash64("grp"), F.lit(bundles))).cast("long").alias("bundle"), F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "rep", "mark", "grp", "blk", "copies", "sig")
     alive = scratch.table(dealt.groupBy(*TASK).applyInArrow(lambda key, table: _prune(key, table, threshold), MEMBER), members)
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), _mark(), F.col("text").cast("string").alias("text"))
+    # However often a text is listed, it is verified once.
+    listed = rows.where("doc_id is not null").groupBy(F.col("doc_id").alias("rep"), "mark").agg(F.count("*").alias("n"))
+    wanted = scratch.table(alive.select("rep", "mark").distinct().join(listed, ["rep", "mark"]))
+    texts = one_a_key(texts, wanted, ["rep", "mark"], rows.count())
     found = alive.join(texts, ["rep", "mark"]).groupBy(*TASK).applyInArrow(lambda key, table: _verify(key, table, threshold), "rep long, links long, root long")
     found = scratch.table(found, alive)
     roots = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), scratch)
@@ -313,12 +317,12 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     apart, so that a text which merely shares its id with a kept one isn't lost.
     """
     with Scratch(docs.sparkSession) as scratch:
-        first = _classes(docs, threshold, GROUP, scratch).where("doc_id = class_id").groupBy("doc_id", "f1", "f2").agg(F.min("mark").alias("mark"))
-        kept = materialise(first.select("doc_id", "mark"))
-    id_, mark, n = (_unused(docs, x) for x in ("kept_id", "kept_mark", "kept_n"))
-    same = (F.col("doc_id").cast("long") == F.col(id_)) & (F.xxhash64(F.col("text").cast("string")) == F.col(mark))
-    named = docs.where("doc_id is not null").join(kept.select(F.col("doc_id").alias(id_), F.col("mark").alias(mark)), same)
-    once = named.withColumn(n, F.row_number().over(Window.partitionBy(id_, mark).orderBy(F.lit(0)))).where(F.col(n) == 1)
+        rows = _classes(docs, threshold, GROUP, scratch).where("doc_id = class_id").groupBy("doc_id", "f1", "f2", "mark").agg(F.count("*").alias("n"))
+        first = rows.groupBy("doc_id", "f1", "f2").agg(F.min(F.struct("mark", "n")).alias("first"))
+        kept = materialise(first.select("doc_id", "first.mark", "first.n").groupBy("doc_id", "mark").agg(F.max("n").alias("n")))
+    id_, mark = (_unused(docs, x) for x in ("kept_id", "kept_mark"))
+    named = docs.where("doc_id is not null").withColumn(id_, F.col("doc_id").cast("long")).withColumn(mark, F.xxhash64(F.col("text").cast("string")))
+    once = one_a_key(named, kept.select(F.col("doc_id").alias(id_), F.col("mark").alias(mark), "n"), [id_, mark], docs.count())
     return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 

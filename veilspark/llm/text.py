@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -105,11 +106,33 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
 
 
 def span_hash(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span [start, end), the same wherever the span stands."""
+    """A 64-bit hash of each byte span [start, end), the same wherever the span stands.
+
+    Long texts can be made that collide (it is a polynomial modulo 2**64), so it stands for short
+    windows or tells where to look; where a hash stands for a word, ``span_names`` is used.
+    """
     _, down = powers(len(p))
     return mix((p[end] - p[start]) * down[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
 
 
+def span_names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of a cryptographic hash of the bytes of spans that don't overlap.
+
+    Unlike ``span_hash`` it has no texts made to collide; Arrow finds the distinct spans by their bytes.
+    """
+    if not len(start):
+        return np.zeros(0, U)
+    edge = np.zeros(len(data) + 1, bool)
+    edge[start] = edge[end] = edge[0] = True
+    cuts = np.append(np.flatnonzero(edge[:-1]), len(data))
+    tiles = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    which = tiles.indices.to_numpy()[np.searchsorted(cuts, start)]
+    names = np.zeros(len(tiles.dictionary), U)
+    asked = np.unique(which)
+    names[asked] = np.frombuffer(b"".join(blake2b(w, digest_size=8).digest() for w in tiles.dictionary.take(pa.array(asked)).to_pylist()), "<u8")
+    return names[which]
+
+
 def word_spans(lowered: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of every word of a block; words end where rows end."""
     inside = IN_WORD[lowered]
