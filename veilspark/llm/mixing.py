@@ -4,13 +4,14 @@ Each named source should make up its weight of the output's bytes; all other sou
 null) share what is left in proportion to their size.  A source's mean repetition rate is
 ``weight * total / size``.  Every row draws its number of copies by inverting the Poisson
 distribution of that mean at a uniform number hashed from seed and doc_id, is exploded by
-it, and all copies are dealt over the cluster by a hash of seed, doc_id and copy.
+it, and all copies are dealt over the cluster by a hash of seed, doc_id and copy (and, so that rows
+of one id spread, of their place).
 
 The table of rates has one row per named source and one for the rest, however large the
 input, so it is broadcast; the text crosses the network once.  Rates above ``MAX_MEAN`` are
 drawn as a sum of independent Poisson numbers of smaller mean, so no rate is cut off.
 
-Defined cases: a null doc_id hashes as the empty string; rows that repeat a doc_id draw the
+Defined cases: a row with a null doc_id draws by its text; rows that repeat a doc_id draw the
 same number; null text has no bytes but is drawn like its source; sources without bytes keep
 rate 1; an empty table gives an empty result; extra columns are kept, and one named like an
 added column (copy, n_copies, shuffle_key) is replaced.
@@ -26,6 +27,8 @@ WEIGHTS = {"src0": 0.10, "src1": 0.15, "src2": 0.15}
 MAX_MEAN = 16.0
 #: P(X > TERMS) is below 2**-52 for every mean up to MAX_MEAN.
 TERMS = 80
+#: Rows of one id are dealt to so many places.
+SPREAD = 1 << 16
 
 
 def _hash_long(*parts: Column) -> Column:
@@ -34,6 +37,11 @@ def _hash_long(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 
+def _name() -> Column:
+    """What a row draws by."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
+
+
 def rates(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
     """One row per bucket: pieces (how many numbers are summed) and the CDF of one piece."""
     sizes = docs.groupBy(_bucket(weights).alias("bucket")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).alias("bytes"))
@@ -58,10 +66,10 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, seed:
     docs = docs.drop("copy", "n_copies", "shuffle_key")
     keep = docs.columns
     table = rates(docs, weights).select(F.col("bucket").alias("__bucket"), F.col("pieces").alias("__pieces"), F.col("cdf").alias("__cdf"))
-    drawn = docs.withColumn("__bucket", _bucket(weights)).join(F.broadcast(table), "__bucket")
-    one = lambda i: F.size(F.filter("__cdf", lambda c: c < (_hash_long(F.lit(seed), F.lit("n"), F.col("doc_id"), i) + 0.5) / float(1 << 52)))
+    drawn = docs.withColumn("__bucket", _bucket(weights)).withColumn("__name", _name()).join(F.broadcast(table), "__bucket")
+    one = lambda i: F.size(F.filter("__cdf", lambda c: c < (_hash_long(F.lit(seed), F.lit("n"), F.col("__name"), i) + 0.5) / float(1 << 52)))
     n = F.aggregate(F.sequence(F.lit(1), F.col("__pieces")), F.lit(0), lambda acc, i: acc + one(i))
     drawn = drawn.withColumn("n_copies", n.cast("long")).where("n_copies > 0")
-    copies = drawn.select(*keep, "n_copies", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)).alias("copy"))
-    keyed = copies.withColumn("shuffle_key", _hash_long(F.lit(seed), F.lit("order"), F.col("doc_id"), F.col("copy")))
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    copies = drawn.select(*keep, "__name", "n_copies", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)).alias("copy"))
+    keyed = copies.withColumn("shuffle_key", _hash_long(F.lit(seed), F.lit("order"), F.col("__name"), F.col("copy"))).drop("__name")
+    return keyed.repartition("shuffle_key", F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD))).sortWithinPartitions("shuffle_key")

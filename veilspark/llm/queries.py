@@ -82,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def _mix_sql() -> str:
     w = mixing.WEIGHTS
     rest = 1 - sum(w.values())
+    name = "coalesce(CAST(doc_id AS VARCHAR), '~' || md5(coalesce(text, '')))"
     names = ", ".join(f"'{k}'" for k in w)
     share = " ".join(f"WHEN '{k}' THEN CAST({v!r} AS DOUBLE)" for k, v in w.items())
     h = lambda tag, *x: f"CAST('0x' || substr(md5(concat_ws(':', '{mixing.SEED}', '{tag}', {', '.join(x)})), 1, 13) AS BIGINT)"
@@ -93,10 +94,10 @@ m AS (SELECT bucket, greatest(1, CAST(ceil(rate / {mixing.MAX_MEAN}) AS INT)) AS
 c AS (SELECT bucket, 0 AS k, exp(-mean) AS p, exp(-mean) AS cdf, mean FROM m
       UNION ALL SELECT bucket, k + 1, p * mean / (k + 1), cdf + p * mean / (k + 1), mean FROM c WHERE k < {mixing.TERMS}),
 t AS (SELECT bucket, list(cdf ORDER BY k) AS cdf FROM c GROUP BY bucket),
-n AS (SELECT d.*, CAST(list_sum(list_transform(range(1, m.pieces + 1), lambda i: len(list_filter(t.cdf, lambda x: x < ({h("n", "coalesce(CAST(d.doc_id AS VARCHAR), '')", "CAST(i AS VARCHAR)")} + 0.5) / 4503599627370496)))) AS BIGINT) AS n_copies
+n AS (SELECT d.*, CAST(list_sum(list_transform(range(1, m.pieces + 1), lambda i: len(list_filter(t.cdf, lambda x: x < ({h("n", name, "CAST(i AS VARCHAR)")} + 0.5) / 4503599627370496)))) AS BIGINT) AS n_copies
       FROM d JOIN m USING (bucket) JOIN t USING (bucket)),
 e AS (SELECT doc_id, text, lang, source, n_chars, n_copies, unnest(range(0, n_copies)) AS copy FROM n WHERE n_copies > 0)
-SELECT doc_id, text, lang, source, n_chars, n_copies, copy, {h("order", "coalesce(CAST(doc_id AS VARCHAR), '')", "CAST(copy AS VARCHAR)")} AS shuffle_key FROM e"""
+SELECT doc_id, text, lang, source, n_chars, n_copies, copy, {h("order", name, "CAST(copy AS VARCHAR)")} AS shuffle_key FROM e"""
 
 
 def _url_sql() -> str:
