@@ -97,7 +97,7 @@ def test_terms(spark):
     got = sorted((r.term, r.start) for r in terms.term_hits(df, ["acme", "C++", "x.y", " "]).collect())
     assert got == [("acme", 0), ("acme", 7), ("x.y", 22)]  # no border after C++ before a blank
     words = spark.createDataFrame([(1, i, w) for i, w in enumerate("The (Big) blue Big, Blue big".split())], "file_id long, seq long, text string")
-    assert [(r.first, r.last) for r in terms.scan_term_words(words, "big Blue").orderBy("first").collect()] == [(1, 2), (3, 4)]
+    assert [(r.first, r.last) for r in terms.term_regions(words.selectExpr("*", "0.0D x", "0.0D y", "1.0D w", "1.0D h"), df.sparkSession.createDataFrame([(0, " big  Blue ")], "number long, term string")).orderBy("first").collect()] == [(1, 2), (3, 4)]
     assert [r.s for r in spark.createDataFrame([("A & B!",), ("--",)], "t string").select(terms.slug(F.col("t")).alias("s")).collect()] == ["rel-a-b", "rel-term"]
     assert terms.term_hits(df, []).count() == 0
 
@@ -105,6 +105,40 @@ def test_terms(spark):
 CAND = f"file_id long, ordinal long, category string, title string, reason string, group_id string, method string, rule_id string, evidence array<{EV}>"
 
 
+def test_dictionary_equals_the_literal_search(spark):
+    texts = ["Acme acme ACME, acme_x", "C++x a C++ b", "x.y X.Y xxy", "\u212aite \u017fun sun KITE", "the \u65e5\u672ca\u65e5\u672cb", "", "acme corp acme  corp", "\\E end \\Ex", "acme " * 60]
+    files = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "file_id long, text string")
+    wanted = ["acme", "C++", "x.y", "kite", "sun", "\u65e5\u672c", "acme corp", "nowhere", "\\E", "the", "b\\E"]
+    table = spark.createDataFrame([(i, f" {t}\t") for i, t in enumerate(wanted)] + [(99, " "), (100, "acme")], "number long, term string")
+    got = sorted((r.file_id, r.term.strip(), r.start, r.end, r.line, r.quote) for r in terms.find_terms(files, table).where("number <> 100").collect())
+    want = sorted((r.file_id, r.term, r.start, r.end, r.line, r.quote) for r in terms.term_hits(files, wanted).collect())
+    assert got == want and sum(x[0] == 8 for x in got) == 50
+    assert terms.find_terms(files, table).where("number = 100").count() == sum(x[1] == "acme" for x in got)
+    many = spark.range(10_000).selectExpr("id as number", "concat('term', id) as term").union(table)
+    size = lambda d: len(terms.find_terms(files, d)._jdf.queryExecution().optimizedPlan().toString())
+    assert size(many) < 2 * size(spark.range(10).selectExpr("id as number", "concat('term', id) as term").union(table))
+
+
+def test_overlaps_across_buckets_and_cells(spark):
+    import random
+
+    r = random.Random(4)
+    words = [(1, i, s, s + r.randint(0, 9), 1.0 * i, 0.0, 1.0, 1.0) for i, s in enumerate(sorted(r.randint(0, 900) for _ in range(150)))]
+    hits = [(1, i, s, s + r.choice([0, 1, 7, 64, 400]), "q") for i, s in enumerate(r.randint(0, 1000) for _ in range(80))]
+    w = spark.createDataFrame(words, "file_id long, seq long, start long, end long, x double, y double, w double, h double")
+    h = spark.createDataFrame(hits, "file_id long, hit long, start long, end long, quote string")
+    got = {x.hit: (x.type, x.x, x.w) for x in ocr.hit_evidence(h, w).collect()}
+    for _, k, s, e, _ in hits:
+        met = [v[4] for v in words if v[2] < e and v[3] > s]
+        assert got[k] == (("image-region", min(met), max(met) + 1 - min(met)) if met else ("text-span", None, None))
+    box = lambda n, big: [(n % 2, 1.0 * r.randint(-50, 300), 1.0 * r.randint(-20, 200), 1.0 * r.choice([5, 20, big]), 1.0 * r.choice([4, 8, big])) for _ in range(60)]
+    a, b = [x for n in (0, 1) for x in box(n, 9)], [x for n in (0, 1) for x in box(n, 150)]
+    kind = "file_id long, x double, y double, w double, h double"
+    share = lambda p, q: max(0, min(p[1] + p[3], q[1] + q[3]) - max(p[1], q[1])) * max(0, min(p[2] + p[4], q[2] + q[4]) - max(p[2], q[2])) / (p[3] * p[4])
+    want = sorted(p for p in a if not any(p[0] == q[0] and share(p, q) > 0.3 for q in b))
+    assert sorted(map(tuple, ocr.new_words(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind)).collect())) == want and 0 < len(want) < len(a)
+
+
 def test_merge_bridges_groups_and_picks_the_rule(spark):
     rows = [
         (1, 0, "secret", "T0", "r", None, "llm-text", None, [span(0, 5)]),

@@ -23,12 +23,13 @@ def no_hits() -> Column:
     return F.array().cast(HIT)
 
 
-def hits(text: Column | str, pattern: str, gate: str | None = None, valid: Callable[[Column], Column] | None = None, most: int | None = None, lines: bool = False) -> Column:
+def hits(text: Column | str, pattern: Column | str, gate: str | None = None, valid: Callable[[Column], Column] | None = None, most: int | None = None, lines: bool = False) -> Column:
     """Leftmost non-overlapping matches as (start, end, quote), with the line if ``lines``.
 
     The gaps between matches give the offsets, in one fold.  ``gate`` is a cheap literal that
     every match holds; texts without it are not searched.  ``valid`` tells which quotes count, and
-    ``most`` bounds how many of those are kept, so the fold stays linear in the matches.
+    ``most`` bounds how many of those are kept, so the fold stays linear in the matches.  A pattern
+    may be a column.
     """
     text = _c(text)
     long = lambda x: x.cast("bigint")
@@ -51,7 +52,7 @@ def hits(text: Column | str, pattern: str, gate: str | None = None, valid: Calla
         return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
 
     # The matches become a lambda variable, so the search runs once; texts without any are not split.
-    found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
+    found = let(F.regexp_extract_all(text, F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(0)), placed)
     return found if gate is None else F.when(text.contains(gate), found).otherwise(F.array().cast(kind))
 
 

@@ -92,35 +92,69 @@ def ocr_text(words: DataFrame) -> DataFrame:
     return lines.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("line", "t"))).alias("ls")).select("file_id", F.array_join(F.transform("ls", lambda x: x["t"]), "\n").alias("text"))
 
 
+#: Offsets to a bucket, for joins of spans that overlap.
+BUCKET = 64
+
+
+def overlapping(hits: DataFrame, words: DataFrame) -> DataFrame:
+    """Pairs of a hit (file_id, start, end, ...) and a word (file_id, ws, we, ...) whose offsets overlap, each once.
+
+    Both are dealt by the buckets of offsets that they touch, so a word meets the hits near it and no
+    others.  A pair counts in the bucket where the later of both begins.
+    """
+    touched = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / BUCKET), F.floor((F.greatest(F.col(b), F.col(a) + 1) - 1) / BUCKET)))
+    h, w = hits.withColumn("bucket", touched("start", "end")), words.withColumn("bucket", touched("ws", "we"))
+    meet = (F.col("ws") < F.col("end")) & (F.col("we") > F.col("start"))
+    return h.join(w, ["file_id", "bucket"]).where(meet & (F.col("bucket") == F.floor(F.greatest("start", "ws") / BUCKET))).drop("bucket")
+
+
 def hit_evidence(hits: DataFrame, words: DataFrame) -> DataFrame:
     """Hits (file_id, hit, start, end, quote) as regions: the union box of the words they overlap, else as text spans.
 
-    ``words`` come with offsets.  Files meet in an equi-join; the overlap is tested within them.
+    ``words`` come with offsets.
     """
-    w = words.select(F.col("file_id").alias("__f"), F.col("start").alias("ws"), F.col("end").alias("we"), "x", "y", "w", "h")
-    both = hits.join(w, (F.col("file_id") == F.col("__f")) & (F.col("ws") < F.col("end")) & (F.col("we") > F.col("start")), "left")
+    w = words.select("file_id", F.col("start").alias("ws"), F.col("end").alias("we"), "x", "y", "w", "h")
+    own = ["file_id", "hit", "start", "end", "quote"]
+    box = ["x", "y", "w", "h"]
+    met = overlapping(hits.select(*own), w).select(*own, *box)
+    both = met.unionByName(hits.select(*own, *[F.lit(None).cast(dict(met.dtypes)[c]).alias(c) for c in box]))
     right, bottom = F.max(F.col("x") + F.col("w")), F.max(F.col("y") + F.col("h"))
-    out = both.groupBy("file_id", "hit", "start", "end", "quote").agg(F.min("x").alias("x"), F.min("y").alias("y"), (right - F.min("x")).alias("w"), (bottom - F.min("y")).alias("h"))
+    out = both.groupBy(*own).agg(F.min("x").alias("x"), F.min("y").alias("y"), (right - F.min("x")).alias("w"), (bottom - F.min("y")).alias("h"))
     return out.withColumn("type", F.when(F.col("x").isNull(), "text-span").otherwise("image-region"))
 
 
 def quote_regions(hits: DataFrame, words: DataFrame) -> DataFrame:
     """Boxes of quotes in OCR text, one a line; a quote must begin and end with whole words."""
-    w = words.select(F.col("file_id").alias("__f"), "line", "seq", F.col("start").alias("ws"), F.col("end").alias("we"), "x", "y", "w", "h", F.col("text").alias("word"))
-    both = hits.join(w, (F.col("file_id") == F.col("__f")) & (F.col("ws") < F.col("end")) & (F.col("we") > F.col("start")))
-    whole = both.groupBy("file_id", "hit").agg((F.min("ws") == F.first("start")).alias("a"), (F.max("we") == F.first("end")).alias("b")).where("a and b").select("file_id", "hit")
+    w = words.select("file_id", "line", "seq", F.col("start").alias("ws"), F.col("end").alias("we"), "x", "y", "w", "h", F.col("text").alias("word"))
+    both = overlapping(hits, w)
     right, bottom = F.max(F.col("x") + F.col("w")), F.max(F.col("y") + F.col("h"))
     words_in = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "word"))), lambda x: x["word"]), " ")
-    return both.join(whole, ["file_id", "hit"], "left_semi").groupBy("file_id", "hit", "line").agg(F.min("x").alias("x"), F.min("y").alias("y"), (right - F.min("x")).alias("w"), (bottom - F.min("y")).alias("h"), words_in.alias("quote"))
+    lines = both.groupBy("file_id", "hit", "start", "end", "line").agg(F.min("x").alias("x"), F.min("y").alias("y"), (right - F.min("x")).alias("w"), (bottom - F.min("y")).alias("h"), words_in.alias("quote"), F.min("ws").alias("ws"), F.max("we").alias("we"))
+    of_hit = Window.partitionBy("file_id", "hit")
+    whole = (F.min("ws").over(of_hit) == F.col("start")) & (F.max("we").over(of_hit) == F.col("end"))
+    return lines.withColumn("whole", whole).where("whole").select("file_id", "hit", "line", "x", "y", "w", "h", "quote")
+
+
+def _cells(boxes: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Boxes by each cell of their file's grid that they touch."""
+    side = lambda at, length, unit: F.explode(F.sequence(F.floor(F.col(at) / F.col(unit)), F.floor((F.col(at) + F.col(length)) / F.col(unit))))
+    gridded = boxes.join(sizes, "file_id").withColumn("column", side("x", "w", "wide"))
+    return gridded.withColumn("row", side("y", "h", "high")).drop("wide", "high")
 
 
 def new_words(ocr: DataFrame, layer: DataFrame) -> DataFrame:
-    """OCR words that are not already in a document's text layer: less than a share of their box lies on one of its words."""
-    a, b = ocr.alias("a"), layer.alias("b")
-    wide = F.least(F.col("a.x") + F.col("a.w"), F.col("b.x") + F.col("b.w")) - F.greatest("a.x", "b.x")
-    high = F.least(F.col("a.y") + F.col("a.h"), F.col("b.y") + F.col("b.h")) - F.greatest("a.y", "b.y")
-    same = (F.col("a.file_id") == F.col("b.file_id")) & (wide > 0) & (high > 0) & (wide * high / (F.col("a.w") * F.col("a.h")) > OVERLAP_SHARE)
-    return a.join(b, same, "left_anti")
+    """OCR words that are not already in a document's text layer: less than a share of their box lies on one of its words.
+
+    Boxes meet by the cells of a grid as coarse as a file's words, so a word meets those near it.
+    """
+    box = ["x", "y", "w", "h"]
+    sizes = ocr.groupBy("file_id").agg(*[F.coalesce(F.nullif(2 * F.avg(c), F.lit(0.0)), F.lit(1.0)).alias(k) for c, k in (("w", "wide"), ("h", "high"))])
+    a = _cells(ocr.select("file_id", *box), sizes)
+    b = _cells(layer.select("file_id", *box), sizes).select("file_id", "column", "row", *[F.col(c).alias(f"l{c}") for c in box])
+    wide = F.least(F.col("x") + F.col("w"), F.col("lx") + F.col("lw")) - F.greatest("x", "lx")
+    high = F.least(F.col("y") + F.col("h"), F.col("ly") + F.col("lh")) - F.greatest("y", "ly")
+    covered = a.join(b, ["file_id", "column", "row"]).where((wide > 0) & (high > 0) & (wide * high / (F.col("w") * F.col("h")) > OVERLAP_SHARE)).select("file_id", *box).distinct()
+    return ocr.join(covered, ["file_id", *box], "left_anti")
 
 
 def append_ocr(models: DataFrame, words: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions import regex, spans
@@ -35,9 +35,55 @@ def term_hits(files: DataFrame, terms: list[str], category: str = "protected-ter
     return rows.select("file_id", F.lit(category).alias("category"), "term", slug(F.col("term")).alias("group_id"), F.concat(F.lit(title), "term").alias("title"), "start", "end", "line", "quote")
 
 
-def other_clients(recipients: DataFrame, recipient_id: int) -> list[str]:
-    """Names of all saved recipients but the package's own; a bounded dimension."""
-    return [r.name for r in recipients.where(F.col("id") != recipient_id).orderBy("id").select("name").collect()]
+def other_clients(recipients: DataFrame, recipient_id: int) -> DataFrame:
+    """(number, term): the names of all saved recipients but the package's own."""
+    return recipients.where(F.col("id") != recipient_id).select(F.col("id").cast("long").alias("number"), F.col("name").alias("term"))
+
+
+#: Letters that Unicode case folding makes ASCII ones: those of A-Z and four others.
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\u017f\u212a\u0131\u0130"
+_FOLDED = "abcdefghijklmnopqrstuvwxyzskii"
+
+
+def word_set(text: Column) -> Column:
+    """The distinct runs of ASCII letters, digits and underscores, folded."""
+    return F.array_distinct(F.filter(F.split(F.translate(text, _UPPER, _FOLDED), "[^a-z0-9_]+"), lambda w: w != ""))
+
+
+def _shouted(text: Column) -> Column:
+    """Equal for texts that differ in case alone, and never context-dependent."""
+    return F.upper(F.translate(text, _UPPER, _FOLDED))
+
+
+def _rarest(words: DataFrame, held: DataFrame, term: str, *more: str) -> DataFrame:
+    """Of the words (term, word, ...) of each term, the one that the fewest rows of ``held`` (word) have."""
+    seen = held.select("word").join(words.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("seen"))
+    least = F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "word", *more)).alias("least")
+    return words.join(seen, "word", "left").groupBy(term).agg(least).select(term, "least.word", *[f"least.{m}" for m in more])
+
+
+def find_terms(files: DataFrame, dictionary: DataFrame, category: str = "protected-term", title: str = "Protected term: ") -> DataFrame:
+    """As ``term_hits``, for a dictionary (number, term) of any size; ``number`` comes with the hits.
+
+    Each term is filed under its word that the fewest files hold; a file's words fetch candidate
+    terms by a join, and only those are searched for.  A term without ASCII words is a candidate of
+    every file.  The plan's size doesn't follow the dictionary, and nothing is collected.
+    """
+    edge = f"[{regex.SPACE_CLASS}]+"
+    named = dictionary.select("number", "term", F.regexp_replace("term", f"^{edge}|{edge}$", "").alias("clean")).where("clean <> ''")
+    clean = named.select("clean").distinct()
+    held = files.select("file_id", F.explode(F.array_append(word_set(F.col("text")), F.lit(""))).alias("word"))
+    words = clean.select("clean", F.explode(F.when(F.size(word_set(F.col("clean"))) > 0, word_set(F.col("clean"))).otherwise(F.array(F.lit("")))).alias("word"))
+    asked = held.join(_rarest(words, held, "clean"), "word").groupBy("file_id").agg(F.collect_set(F.struct("clean", _shouted(F.col("clean")).alias("loud"))).alias("asked"))
+    border = regex.java("\\b")
+    exact = F.concat(F.lit(r"\Q"), F.replace(F.col("clean"), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    # Most candidates share a word with the file but don't stand in it: a plain search tells before a pattern does.
+    tried = files.select("file_id", "text", _shouted(F.col("text")).alias("loud")).join(asked, "file_id")
+    tried = tried.select("file_id", "text", F.explode(F.filter("asked", lambda c: F.contains("loud", c["loud"]))["clean"]).alias("clean"))
+    tried = tried.withColumn("pattern", F.concat(F.lit("(?iu)" + border), exact, F.lit(border)))
+    found = spans.rows_of(tried, ["file_id", "clean"], spans.hits("text", F.col("pattern"), most=MOST_HITS, lines=True), "h")
+    rows = found.select("file_id", "clean", "h.*").join(named, "clean")
+    return rows.select("file_id", F.lit(category).alias("category"), "number", "term", slug(F.col("term")).alias("group_id"), F.concat(F.lit(title), "term").alias("title"), "start", "end", "line", "quote")
 
 
 def related_exact(sources: DataFrame, term: str) -> DataFrame:
@@ -49,24 +95,24 @@ def clean_word(word: Column) -> Column:
     return F.regexp_replace(F.lower(word), "^[^a-z0-9]+|[^a-z0-9]+$", "")
 
 
-def scan_term_words(words: DataFrame, term: str) -> DataFrame:
-    """Word sequences of OCR text that match a term: (file_id, first, last) places in ``seq`` order.
+def term_regions(words: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Word sequences of OCR text that match a term of (number, term): number, term, first, last, their union box and quote.
 
-    ``words`` has a row a word (file_id, seq, text); starts may overlap; 50 a file at most.
+    ``words``: file_id, seq, text, x, y, w, h.  Edges of words that aren't a-z or digits are left
+    out on both sides; starts may overlap; the first 50 of a file and term count.  The rarest word of a
+    term finds candidate places by a join, and a second join on (file, place, word) proves them.
     """
-    wanted = [w for w in (_plain(x) for x in term.split()) if w]
-    if not wanted:
-        return words.selectExpr("file_id", "seq as first", "seq as last").limit(0)
-    by_file = words.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("seq", clean_word(F.col("text")).alias("w")))).alias("ws"))
-    n = len(wanted)
-    plain = F.transform("ws", lambda w: w["w"])
-    starts = F.when(F.size("ws") >= n, F.sequence(F.lit(1), F.size("ws") - n + 1)).otherwise(F.array().cast("array<int>"))
-    fits = F.filter(starts, lambda i: F.slice(plain, i, F.lit(n)) == F.array(*map(F.lit, wanted)))
-    rows = by_file.select("file_id", "ws", F.explode(F.slice(fits, 1, MOST_HITS)).alias("i"))
-    return rows.select("file_id", F.element_at("ws", F.col("i"))["seq"].alias("first"), F.element_at("ws", F.col("i") + n - 1)["seq"].alias("last"))
-
-
-def _plain(word: str) -> str:
-    import re
-
-    return re.sub("^[^a-z0-9]+|[^a-z0-9]+$", "", word.lower())
+    spaces = f"[{regex.SPACE_CLASS}]+"
+    terms = dictionary.select("number", "term", F.filter(F.transform(F.split("term", spaces), clean_word), lambda w: w != "").alias("ws")).where("size(ws) > 0")
+    place = F.row_number().over(Window.partitionBy("file_id").orderBy("seq")) - 1
+    placed = words.select("file_id", "seq", "text", "x", "y", "w", "h", clean_word(F.col("text")).alias("word")).withColumn("place", place)
+    parts = terms.select("number", F.size("ws").alias("n"), F.posexplode("ws").alias("k", "word"))
+    key = _rarest(parts, placed, "number", "k").join(terms.select("number", "term", F.size("ws").alias("n")), "number")
+    starts = placed.select("file_id", "word", "place").join(key, "word").select("file_id", "number", "term", "n", (F.col("place") - F.col("k")).alias("first")).where("first >= 0")
+    wanted = starts.join(parts.select("number", "k", "word"), "number").withColumn("place", F.col("first") + F.col("k"))
+    right, bottom = F.max(F.col("x") + F.col("w")), F.max(F.col("y") + F.col("h"))
+    quote = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), " ")
+    met = wanted.join(placed, ["file_id", "place", "word"]).groupBy("file_id", "number", "term", "n", "first")
+    met = met.agg(F.count("*").alias("met"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.min("x").alias("x"), F.min("y").alias("y"), (right - F.min("x")).alias("w"), (bottom - F.min("y")).alias("h"), quote.alias("quote"))
+    rank = F.row_number().over(Window.partitionBy("file_id", "number").orderBy("first"))
+    return met.where("met = n").withColumn("rank", rank).where(F.col("rank") <= MOST_HITS).select("file_id", "number", "term", F.col("first_seq").alias("first"), F.col("last_seq").alias("last"), "x", "y", "w", "h", "quote")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions import regex, spans
-from veilspark.operators import ai, ocr
+from veilspark.operators import ai, ocr, terms
 from veilspark.plans.inputs import FILES_SQL, files, hits_sql, quote
+from veilspark.plans.rule_queries import PHRASE, phrases
 from veilspark.sources import uploads
 
 # -- model layer
@@ -175,6 +176,21 @@ def ocr_into_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.new_words(w, layer).groupBy("file_id").agg(F.count("*").alias("words"))
 
 
+def ocr_term_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two words of every document, looked for in the OCR words of all."""
+    w = ocr.ocr_result(ocr_words(spark, sf_dir))
+    return terms.term_regions(w, phrases(spark, sf_dir)).select("file_id", "number", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "x", "y", "w", "h", "quote")
+
+
+def _term_regions_sql() -> str:
+    clean = "regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g')"
+    return f"""WITH {_WORDS_SQL}, t AS (SELECT min(doc_id) AS number, lower(split_part(term, ' ', 1)) AS a, lower(split_part(term, ' ', 2)) AS b FROM (SELECT doc_id, regexp_extract(text, {quote(PHRASE)}, 1) AS term FROM documents) WHERE term <> '' GROUP BY term),
+c AS (SELECT *, {clean.format("text")} AS c FROM words),
+p AS (SELECT *, {", ".join(f'lead({k}) OVER v AS {k}2' for k in ("c", "text", "x", "y", "w", "h", "seq"))} FROM c WINDOW v AS (PARTITION BY file_id ORDER BY seq)),
+m AS (SELECT p.*, number, row_number() OVER (PARTITION BY file_id, number ORDER BY seq) AS r FROM p JOIN t ON c = a AND c2 = b)
+SELECT file_id, number, seq AS first, seq2 AS last, CAST(least(x, x2) AS DOUBLE) AS x, least(y, y2) AS y, CAST(greatest(x + w, x2 + w2) - least(x, x2) AS DOUBLE) AS w, greatest(y + h, y2 + h2) - least(y, y2) AS h, text || ' ' || text2 AS quote FROM m WHERE r <= 50"""
+
+
 def box_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     k = F.col("p_partkey")
@@ -218,7 +234,7 @@ def text_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", uploads.decode(F.col("content")).alias("text"), uploads.decode_lenient(F.col("content")).alias("lenient"))
 
 
-QUERIES = {f.__name__: f for f in (locality, line_chunks, size_gate, quote_ground, quote_fold, quotes_dropped, mock_findings, related_suggestions, ai_status, chunk_merge, ocr_lines, ocr_low_confidence, ocr_text, word_offsets, hit_boxes, quote_regions, ocr_into_document, box_iou, ocr_tsv, file_kind, upload_ingest, text_decode)}
+QUERIES = {f.__name__: f for f in (locality, line_chunks, size_gate, quote_ground, quote_fold, quotes_dropped, mock_findings, related_suggestions, ai_status, chunk_merge, ocr_lines, ocr_low_confidence, ocr_text, word_offsets, hit_boxes, quote_regions, ocr_into_document, ocr_term_regions, box_iou, ocr_tsv, file_kind, upload_ingest, text_decode)}
 
 _HOST = f"([{', '.join(map(quote, HOST_KINDS))}])[page_id % {len(HOSTS)} + 1]"
 ORACLES = {
@@ -241,6 +257,7 @@ c AS (SELECT file_id, line, g, sum(k) AS n, sum(confidence) AS s, count(*) AS m
     "quote_regions": _regions_sql(),
     "ocr_into_document": f"""WITH {_WORDS_SQL}, l AS (SELECT file_id, x + w * 0.5 AS x, y, w, h FROM words WHERE n % 3 = 0)
 SELECT file_id, count(*) AS words FROM words a WHERE NOT EXISTS (SELECT 1 FROM l b WHERE b.file_id = a.file_id AND least(a.x + a.w, b.x + b.w) > greatest(a.x, b.x) AND least(a.y + a.h, b.y + b.h) > greatest(a.y, b.y) AND (least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * (least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) / (a.w * a.h) > 0.3) GROUP BY file_id""",
+    "ocr_term_regions": _term_regions_sql(),
     "box_iou": """WITH a AS (SELECT p_partkey, CAST(p_partkey % 10 AS DOUBLE) AS x, CAST(p_partkey % 7 AS DOUBLE) AS y, CAST(8 AS DOUBLE) AS w, CAST(p_partkey % 5 + 1 AS DOUBLE) AS h, CAST(p_partkey % 6 AS DOUBLE) AS x2, CAST(p_partkey % 4 AS DOUBLE) AS y2, CAST(p_partkey % 9 + 1 AS DOUBLE) AS w2, CAST(5 AS DOUBLE) AS h2 FROM part),
 b AS (SELECT *, greatest(0, least(x + w, x2 + w2) - greatest(x, x2)) * greatest(0, least(y + h, y2 + h2) - greatest(y, y2)) AS i FROM a) SELECT p_partkey, round(i / (w * h + w2 * h2 - i), 9) AS iou FROM b""",
     "ocr_tsv": _tsv_sql(),

@@ -33,8 +33,8 @@ PROTECTED = ("protected-term", "Protected term: ", "You marked this term as sens
 OTHER_CLIENT = ("other-client", "Other client: ", "This names a different client than the package recipient.")
 RESIDUE = ("Redacted text still present in the reviewed copy", "Text that was approved for removal is still in the reviewed file.")
 
-#: Findings of a file keep the order of the layers: structure, rules, terms.
-IMAGE_AT, HIDDEN_AT, TEXT_AT, RULES_AT, TERMS_AT = 0, 1_000, 100_000, 200_000, 1_000_000
+#: Findings of a file keep the order of the layers: structure, rules, terms.  The layer is the upper bits of an ordinal.
+IMAGE_AT, HIDDEN_AT, TEXT_AT, RULES_AT, TERMS_AT, CLIENTS_AT = (layer << 48 for layer in range(6))
 CANDIDATE = ("file_id", "ordinal", "category", "title", "reason", "group_id", "method", "rule_id", "evidence")
 
 
@@ -57,38 +57,76 @@ def text_candidates(texts: DataFrame) -> DataFrame:
     return out.withColumn("method", F.when(F.col("ordinal") < RULES_AT, "structure").otherwise(F.col("method")))
 
 
-def ocr_candidates(words: DataFrame) -> DataFrame:
-    """Rules in the text of OCR words (file_id, n, text, x, y, w, h, confidence), with the boxes of the words that a hit touches."""
+def _boxed(text_span: Column, *columns: str) -> Column:
+    """Evidence of the columns at hand: a text span, or the box that replaces it."""
+    null = lambda t: F.lit(None).cast(t)
+    at = [F.when(text_span, F.col(c)).alias(c) if c in columns else null(t).alias(c) for c, t in (("start", "bigint"), ("end", "bigint"), ("line", "int"))]
+    return F.struct("type", *at, "quote", *"xywh", null("string").alias("anchor"), null("bigint").alias("byte_offset"), null("string").alias("note"))
+
+
+def ocr_candidates(words: DataFrame, protected_terms: Terms = (), other_clients: Terms = ()) -> DataFrame:
+    """Rules and terms in OCR words (file_id, n, text, x, y, w, h, confidence), with the boxes of the words that a hit touches.
+
+    Hidden characters and instructions count as rules here.
+    """
     placed = ocr.word_offsets(ocr.ocr_result(words))
-    found = rules.candidates(ocr.ocr_text(placed)).where(F.col("ordinal") < len(rules.RULES))
+    found = rules.candidates(ocr.ocr_text(placed))
     each = found.select("file_id", "ordinal", F.posexplode("evidence").alias("k", "e"))
     hits = each.select("file_id", (F.col("ordinal") * rules.MOST_HITS + F.col("k")).alias("hit"), "e.start", "e.end", "e.quote", "e.line")
     boxes = ocr.hit_evidence(hits.drop("line"), placed).join(hits.select("file_id", "hit", "line"), ["file_id", "hit"])
-    span = F.col("type") == "text-span"
-    null = lambda t: F.lit(None).cast(t)
-    made = F.struct("type", *[F.when(span, F.col(c)).alias(c) for c in ("start", "end", "line")], "quote", *"xywh", null("string").alias("anchor"), null("bigint").alias("byte_offset"), null("string").alias("note"))
+    made = _boxed(F.col("type") == "text-span", "start", "end", "line")
     again = boxes.groupBy("file_id", F.floor(F.col("hit") / rules.MOST_HITS).cast("int").alias("ordinal")).agg(F.array_sort(F.collect_list(F.struct("hit", made.alias("e")))).alias("es"))
     rows = found.drop("evidence").join(again, ["file_id", "ordinal"]).withColumn("evidence", F.transform("es", lambda x: x["e"]))
-    return _candidate(rows, F.col("ordinal") + RULES_AT, "ocr-rule")
+    out = _candidate(rows, F.col("ordinal") + RULES_AT, "ocr-rule")
+    for base, dictionary, (category, title, reason) in _dictionaries(placed.sparkSession, protected_terms, other_clients):
+        t = terms.term_regions(placed, dictionary).withColumn("type", F.lit("image-region"))
+        place = F.row_number().over(Window.partitionBy("file_id", "number").orderBy("first"))
+        t = t.select("file_id", (base + F.col("number") * MOST_PLACES + place).alias("at"), F.lit(category).alias("category"), F.concat(F.lit(title), "term").alias("title"), F.lit(reason).alias("reason"), terms.slug(F.col("term")).alias("group_id"), F.lit(None).cast("string").alias("rule_id"), F.array(_boxed(F.lit(False))).alias("evidence"))
+        out = out.unionByName(_candidate(t, F.col("at"), "protected-term"))
+    return out
+
+
+#: Terms in the order of their findings: some strings, or a table (number, term) of any size.
+Terms = DataFrame | list[str] | tuple[str, ...]
+#: Numbers given to the hits of a term in a file; there are fewer.
+MOST_PLACES = 128
+#: Up to so many strings are searched for in one pass over the text; more make a table.
+FEW_TERMS = 32
+
+
+def _dictionaries(spark: SparkSession, protected_terms: Terms, other_clients: Terms) -> list[tuple[int, DataFrame, tuple[str, str, str]]]:
+    """The first ordinal, the table (number, term) and the wording of each kind of terms that there are."""
+    out = []
+    for base, words, wording in ((TERMS_AT, protected_terms, PROTECTED), (CLIENTS_AT, other_clients, OTHER_CLIENT)):
+        if not isinstance(words, DataFrame):
+            named = [(i, w) for i, w in enumerate(words) if w.strip()]
+            if not named:
+                continue
+            words = spark.createDataFrame(named, "number long, term string")
+        out.append((base, words, wording))
+    return out
 
 
-def term_candidates(texts: DataFrame, protected_terms: list[str], other_clients: list[str]) -> DataFrame | None:
+def term_candidates(texts: DataFrame, protected_terms: Terms, other_clients: Terms) -> DataFrame | None:
     """A finding a hit of a term in (file_id, text)."""
     out = None
-    for base, words, (category, title, reason) in ((TERMS_AT, protected_terms, PROTECTED), (2 * TERMS_AT, other_clients, OTHER_CLIENT)):
-        if not [w for w in words if w.strip()]:
-            continue
-        t = terms.term_hits(texts, words, category, title)
-        number = F.create_map(*[x for i, w in enumerate(words) for x in (F.lit(w), F.lit(base + 100 * i))])
-        place = F.row_number().over(Window.partitionBy("file_id", "term").orderBy("start"))
+    kinds = {TERMS_AT: protected_terms, CLIENTS_AT: other_clients}
+    for base, dictionary, (category, title, reason) in _dictionaries(texts.sparkSession, protected_terms, other_clients):
+        given = kinds[base]
+        if isinstance(given, DataFrame) or len(given) > FEW_TERMS:
+            t = terms.find_terms(texts, dictionary, category, title)
+        else:
+            number = F.create_map(*[x for i, w in enumerate(given) for x in (F.lit(w), F.lit(i))])
+            t = terms.term_hits(texts, list(given), category, title).withColumn("number", number[F.col("term")].cast("long"))
+        place = F.row_number().over(Window.partitionBy("file_id", "number").orderBy("start"))
         hit = F.array(F.struct("start", "end", "quote"))
-        t = t.withColumn("at", number[F.col("term")] + place).withColumn("reason", F.lit(reason)).withColumn("rule_id", F.lit(None).cast("string"))
+        t = t.withColumn("at", base + F.col("number") * MOST_PLACES + place).withColumn("reason", F.lit(reason)).withColumn("rule_id", F.lit(None).cast("string"))
         t = _candidate(t.withColumn("evidence", F.transform(rules.evidence(F.lit(""), hit), lambda e: e.withField("line", F.col("line")))), F.col("at"), "protected-term")
         out = t if out is None else out.unionByName(t)
     return out
 
 
-def scan(files: DataFrame, protected_terms: list[str], other_clients: list[str], profile_id: str, allow_rules: DataFrame, more: DataFrame | None = None) -> Scan:
+def scan(files: DataFrame, protected_terms: Terms, other_clients: Terms, profile_id: str, allow_rules: DataFrame, more: DataFrame | None = None) -> Scan:
     """All text layers over all files, merged, with suggested actions.
 
     ``files`` as ``read_texts`` gives, with the kind if it has one.  ``allow_rules``: category,
@@ -142,13 +180,13 @@ def structure_candidates(files: DataFrame) -> DataFrame:
     return picture.unionByName(_candidate(items, F.col("ordinal") + HIDDEN_AT, "structure"))
 
 
-def analyze(files: DataFrame, words: DataFrame, protected_terms: list[str], other_clients: list[str], profile_id: str, allow_rules: DataFrame) -> Scan:
+def analyze(files: DataFrame, words: DataFrame, protected_terms: Terms, other_clients: Terms, profile_id: str, allow_rules: DataFrame) -> Scan:
     """Files of all kinds through all layers in one plan.
 
     ``files`` as ``read_all`` gives, best stored, as each layer reads them.  ``words``: OCR words of
     images (``ocr_candidates``).
     """
-    more = structure_candidates(files).unionByName(ocr_candidates(words))
+    more = structure_candidates(files).unionByName(ocr_candidates(words, protected_terms, other_clients))
     return scan(files, protected_terms, other_clients, profile_id, allow_rules, more)
 
 
@@ -240,7 +278,7 @@ def write_copies(copies: DataFrame, path: str) -> DataFrame:
     return copies.sparkSession.read.parquet(path)
 
 
-def verify(copies: DataFrame, findings: DataFrame, protected_terms: list[str], other_clients: list[str], profile_id: str, allow_rules: DataFrame) -> DataFrame:
+def verify(copies: DataFrame, findings: DataFrame, protected_terms: Terms, other_clients: Terms, profile_id: str, allow_rules: DataFrame) -> DataFrame:
     """Findings of the written copies, each with the original it repeats (null for new ones)."""
     again = scan(copies.withColumn("status", F.lit("processed")).withColumn("failure_reason", F.lit(None).cast("string")), protected_terms, other_clients, profile_id, allow_rules)
     return carry.verify_match(again.findings, findings)

@@ -155,7 +155,7 @@ def slug_sql(t: str) -> str:
 def other_client_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     recipients = spark.read.parquet(f"{sf_dir}/region.parquet").selectExpr("r_regionkey as id", "r_name as name")
     f = files(spark, sf_dir).withColumn("text", F.concat("text", F.lit(" for Asia, AMERICA or Middle East")))
-    return terms.term_hits(f, terms.other_clients(recipients, 0), "other-client", "Other client: ")
+    return terms.find_terms(f, terms.other_clients(recipients, 0), "other-client", "Other client: ").drop("number")
 
 
 def _clients_sql() -> str:
@@ -172,12 +172,38 @@ def related_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.related_exact(files(spark, sf_dir), " mit license ")
 
 
+#: A dictionary that grows with the table: two words of every document.
+PHRASE = "^[^ ]* ([A-Za-z]+ [A-Za-z]+) "
+
+
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(number, term): a phrase of each document, of those that repeat one the first."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.regexp_extract("text", PHRASE, 1).alias("term"))
+    return d.where("term <> ''").groupBy("term").agg(F.min("doc_id").alias("number")).select("number", "term")
+
+
+def term_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every phrase in every file."""
+    return terms.find_terms(files(spark, sf_dir), phrases(spark, sf_dir)).select("file_id", "number", "start", "end", "line", "quote")
+
+
+def _dictionary_sql() -> str:
+    p = "'(?i)\\b' || term || '\\b'"
+    return f"""WITH {FILES_SQL}, t AS (SELECT term, min(doc_id) AS number FROM (SELECT doc_id, regexp_extract(text, {quote(PHRASE)}, 1) AS term FROM documents) WHERE term <> '' GROUP BY term),
+l AS (SELECT file_id, text, lower(text) AS low FROM files),
+j AS (SELECT file_id, text, number, {p} AS p FROM l JOIN t ON contains(low, lower(term))),
+k AS (SELECT *, regexp_extract_all(text, p) AS m, string_split_regex(text, p) AS g FROM j),
+h AS (SELECT file_id, text, number, unnest(range(1, len(m) + 1)) AS i, m, g FROM k),
+x AS (SELECT file_id, text, number, m[i] AS q, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s FROM h WHERE i <= 50)
+SELECT file_id, number, s AS start, s + length(q) AS "end", {line_sql("text", "s")} AS line, q AS quote FROM x"""
+
+
 def slug_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     return p.select("p_partkey", terms.slug(F.concat(F.lit(" "), "p_name", F.lit("/"), "p_brand", F.lit("!"))).alias("slug"))
 
 
-QUERIES = {f"rule_scan_{r.id.replace('-', '_')}": _scan(r) for r in rules.RULES} | {f.__name__: f for f in (rule_hits, rule_candidates, zero_width_runs, injection_phrases, entropy_values, validator_flags, term_hits, other_client_hits, related_exact, slug_terms)}
+QUERIES = {f"rule_scan_{r.id.replace('-', '_')}": _scan(r) for r in rules.RULES} | {f.__name__: f for f in (rule_hits, rule_candidates, zero_width_runs, injection_phrases, entropy_values, validator_flags, term_hits, other_client_hits, term_dictionary, related_exact, slug_terms)}
 ORACLES = {f"rule_scan_{r.id.replace('-', '_')}": _scan_sql(r) for r in rules.RULES} | {
     "rule_hits": f'WITH {FILES_SQL}, {all_hits_sql()} SELECT file_id, rule_id, category, start, "end", line, quote FROM hits',
     "rule_candidates": _candidates_sql(),
@@ -187,6 +213,7 @@ ORACLES = {f"rule_scan_{r.id.replace('-', '_')}": _scan_sql(r) for r in rules.RU
     "validator_flags": _flags_sql(),
     "term_hits": term_sql(TERMS, "protected-term", "Protected term: "),
     "other_client_hits": _clients_sql(),
+    "term_dictionary": _dictionary_sql(),
     "related_exact": term_sql(["mit license"], "protected-term", "Related: "),
     "slug_terms": f"SELECT p_partkey, {slug_sql(chr(39) + ' ' + chr(39) + ' || p_name || ' + chr(39) + '/' + chr(39) + ' || p_brand || ' + chr(39) + '!' + chr(39))} AS slug FROM part",
 }
