@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .spill import Scratch, materialise, small_batches
-from .text import BLOCK_BYTES, blocks, text_bytes
+from .text import BLOCK_BYTES, KEPT, blocks, take_over, text_bytes
 from .tokens import Rows, Units, parts, unit_starts
 
 #: Side ids are dealt to so many buckets.
@@ -173,6 +173,9 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
+KEPT.append(aligner.cache_clear)
+
+
 def _counted(doc: np.ndarray, pair: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (pair, document) in that order, with how often each stands there."""
     order = np.lexsort((doc, pair))
@@ -214,6 +217,7 @@ def postings(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         return total[None, :], np.array([bad]), _counted(np.zeros(len(pair), np.int64), pair, n), [digest.hexdigest()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("alignment")
         tool, block = aligner(path_a, path_b), TaskContext.get().partitionId() << 32
         for batch in batches:
             whole, ends = text_bytes(batch.column(1))

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .components import components, forest, join_totals, one_a_key
 from .spill import Scratch, materialise, small_batches
-from .text import U, blocks, mix, row_starts, shingles, span_names, text_bytes, word_spans
+from .text import U, blocks, mix, row_starts, shingles, span_names, take_over, text_bytes, word_spans
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -106,6 +106,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "mark", "f1", "f2", "sig"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("jaccard")
         for batch in batches:
             data, offsets = text_bytes(_lowered(batch.column(2)))
             for a, b in blocks(offsets):

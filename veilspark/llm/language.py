@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .spill import small_batches
-from .text import ASCII_LOWER, U, blocks, mix, prefix_hash, span_hash, text_bytes, word_spans
+from .text import ASCII_LOWER, U, blocks, mix, prefix_hash, span_hash, take_over, text_bytes, word_spans
 
 SAMPLE_PER_LANGUAGE = 120
 FEATURES = 1 << 17
@@ -252,6 +252,7 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -
     source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter"), F.col("text").cast("string").alias("__text"), *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("language")
         model = sent.value
         for batch in batches:
             letters = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spill import small_batches
-from .text import blocks, text_bytes
+from .text import blocks, take_over, text_bytes
 from .tokens import encoder
 
 SEQUENCE = 4096
@@ -92,6 +92,7 @@ def token_table(docs: DataFrame, path: str, end_id: int | None = END_ID) -> Data
     """doc_id and ids (little-endian unsigned 32-bit) of each text, with the end id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("tokens")
         enc = encoder(path)
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))

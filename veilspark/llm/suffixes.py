@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spill import Scratch, materialise, small_batches
-from .text import U, mix, overlapping_blocks, prefix_hash, span_hash, text_bytes, window_argmin
+from .text import U, mix, overlapping_blocks, prefix_hash, span_hash, take_over, text_bytes, window_argmin
 
 #: Lengths of the ranks; each is twice the one before.
 LENGTHS = (25, 50, 100)
@@ -86,6 +86,7 @@ def anchor_runs(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataFram
     columns = [x.split()[0] for x in RUNS.split(", ")] + ["again"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("suffixes")
         for batch in batches:
             ids = batch.column(0).to_numpy()
             data, offsets = text_bytes(batch.column(1))

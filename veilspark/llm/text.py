@@ -7,7 +7,8 @@ most ``BLOCK_BYTES`` unless a single row is longer, so memory follows the block.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
 
@@ -28,6 +29,22 @@ IN_WORD = np.zeros(256, dtype=bool)
 IN_WORD[48:58] = IN_WORD[97:123] = IN_WORD[128:] = True
 
 
+#: Empties what an operator keeps in a Python worker to save time.
+KEPT: list[Callable[[], None]] = []
+_owner = ""
+
+
+def take_over(operator: str) -> None:
+    """Called by the tasks of an operator: what another one kept in this worker goes, as workers live on."""
+    global _owner
+    if _owner != operator:
+        for empty in KEPT:
+            empty()
+        _owner = operator
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of an Arrow string or binary column and its row offsets (one more than rows)."""
     if isinstance(column, pa.ChunkedArray):
@@ -91,6 +108,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up, down
 
 
+KEPT.append(_powers.cache_clear)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = 1 << max(16, (n - 1).bit_length())
     return _powers(size)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .spill import Scratch, settings, small_batches
-from .text import blocks, text_bytes
+from .text import blocks, take_over, text_bytes
 from .tokens import encoder
 
 END_ID = 2
@@ -46,7 +46,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int | None = END_
     files = min(max(1, -(-total // PART_BYTES)), MOST_PARTITIONS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, begin = encoder(vocabulary), TaskContext.get().partitionId(), 0
+        take_over("tokens")
+        enc, part, first = encoder(vocabulary), TaskContext.get().partitionId(), 0
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             for a, b in blocks(offsets):
@@ -55,9 +56,9 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int | None = END_
                     ids = np.insert(ids, at[1:], np.uint32(end_id))
                     at = at + np.arange(len(at))
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.view(np.int32)))
-                columns = [batch.column(0).slice(a, b - a), pa.array(np.full(b - a, part), pa.int32()), pa.array(begin + at[:-1]), pa.array(np.diff(at)), lists]
+                columns = [batch.column(0).slice(a, b - a), pa.array(np.full(b - a, part), pa.int32()), pa.array(first + at[:-1]), pa.array(np.diff(at)), lists]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "begin", "n_tokens", "ids"])
-                begin += int(at[-1])
+                first += int(at[-1])
 
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())

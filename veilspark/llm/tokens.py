@@ -22,10 +22,10 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from .text import ASCII_LOWER, BLOCK_BYTES, U, prefix_hash, span_hash, text_bytes
+from .text import ASCII_LOWER, BLOCK_BYTES, KEPT, U, prefix_hash, span_hash, text_bytes
 
 #: The table of known units is forgotten beyond these; it only saves time.
-MOST_UNITS = 1_000_000
+MOST_UNITS = 700_000
 MOST_BYTES = 16 << 20
 
 #: ASCII white space, and the last byte of every other white-space character.
@@ -78,23 +78,30 @@ class Rows:
     """Arrays of different lengths, one after another, to be taken by number."""
 
     def __init__(self, kind: type) -> None:
-        self.flat, self.begin, self.size = np.zeros(1024, kind), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.flat, self.begin, self.size = np.zeros(1024, kind), np.zeros(1024, np.int64), np.zeros(1024, np.int32)
         self.used, self.rows = 0, 0
 
     def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        while self.rows + len(sizes) > len(self.begin):
-            self.begin, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.size))
+        self.flat = self._room(self.flat, self.used + len(flat))
+        self.begin, self.size = (self._room(x, self.rows + len(sizes)) for x in (self.begin, self.size))
         self.flat[self.used : self.used + len(flat)] = flat
         new = slice(self.rows, self.rows + len(sizes))
         self.size[new] = sizes
         self.begin[new] = self.used + np.cumsum(sizes) - sizes
         self.used, self.rows = self.used + len(flat), self.rows + len(sizes)
 
+    @staticmethod
+    def _room(x: np.ndarray, needed: int) -> np.ndarray:
+        """``x``, a quarter larger than needed where it is too small."""
+        if needed <= len(x):
+            return x
+        out = np.zeros(needed + needed // 4, x.dtype)
+        out[: len(x)] = x
+        return out
+
     def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The arrays of these numbers one after another, and where each begins (one more than arrays)."""
-        sizes = self.size[which]
+        sizes = self.size[which].astype(np.int64)
         at = np.concatenate(([0], np.cumsum(sizes)))
         return self.flat[np.repeat(self.begin[which] - at[:-1], sizes) + np.arange(at[-1])], at
 
@@ -109,7 +116,7 @@ class Units:
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.slots = np.zeros(0, U), np.zeros(0, np.int64)  # by hash
+        self.keys, self.slots = np.zeros(0, U), np.zeros(0, np.int32)  # by hash
         self.bytes = Rows(np.uint8)
 
     def learn(self, new: list[bytes]) -> None:
@@ -198,3 +205,6 @@ class Encoder(Units):
 def encoder(path: str) -> Encoder:
     """One per Python worker and vocabulary file."""
     return Encoder(path)
+
+
+KEPT.append(encoder.cache_clear)
