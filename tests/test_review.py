@@ -156,6 +156,75 @@ def test_merge_bridges_groups_and_picks_the_rule(spark):
     assert got[0, 2, 1].title == "T2" and got[0, 2, 1].group_id == "g2" and len(got[5, 6].detections) == 1
 
 
+def overlapping(*two):
+    a, b = (dict(zip(("type", "start", "end", "line", "quote", *"xywh", "anchor"), e)) for e in two)
+    if a["type"] != b["type"]:
+        return False
+    if a["type"] == "text-span":
+        return a["start"] < b["end"] and b["start"] < a["end"]
+    if a["type"] == "image-region":
+        return a["x"] < b["x"] + b["w"] and b["x"] < a["x"] + a["w"] and a["y"] < b["y"] + b["h"] and b["y"] < a["y"] + a["h"]
+    return a["type"] == "file-structure" and a["anchor"] == b["anchor"]
+
+
+def brute_groups(members):
+    """Groups of (ordinal, evidence) in the order of joining: into the first group met, then groups that meet."""
+    meets = lambda g, h: any(overlapping(a, b) for x in g for y in h for a in x[1] for b in y[1])
+    groups = []
+    for m in members:
+        met = next((g for g in groups if meets(g, [m])), None)
+        if met is None:
+            groups.append([m])
+        else:
+            met.append(m)
+    k = 0
+    while k < len(groups):
+        other = next((n for n in range(k + 1, len(groups)) if meets(groups[k], groups[n])), None)
+        if other is None:
+            k += 1
+        else:
+            groups[k] += groups.pop(other)
+    return {tuple(x[0] for x in g) for g in groups}
+
+
+def test_merge_equals_brute_force(spark):
+    import random
+
+    r = random.Random(11)
+    rows = []
+    for file_id in range(60):
+        wide = r.choice([20, 60, 300])
+        for i in range(r.randint(1, 24)):
+            made = []
+            for _ in range(r.choice([0, 1, 1, 1, 2, 4])):
+                at, kind = r.randint(0, wide), r.random()
+                if kind < 0.5:
+                    made.append(span(at, at + r.choice([0, 1, 5, 12])))
+                elif kind < 0.8:
+                    made.append(box(at / 2, r.randint(0, 3) * 10.0, r.choice([3.0, 15.0]), r.choice([4.0, 12.0])))
+                elif kind < 0.9:
+                    made.append(structure(r.choice([None, "", "image:1", "image:2"])))
+                else:
+                    made.append(("image-whole", *structure()[1:]))
+            rows.append((file_id, i, r.choice(["secret", "other"]), f"T{i}", "r", None, r.choice(["rule", "llm-text"]), None, made))
+    got: dict = {}
+    for x in merge.merge(spark.createDataFrame(rows, CAND)).collect():
+        got.setdefault((x.file_id, x.category), set()).add(tuple(x.members))
+        assert x.ordinal == min(x.members)
+    keys = {(x[0], x[2]) for x in rows}
+    assert got == {k: brute_groups([(x[1], x[8]) for x in rows if (x[0], x[2]) == k]) for k in keys}
+    assert sum(len(g) > 2 for v in got.values() for g in v) > 20
+
+
+def test_merge_deals_once_and_stays_in_the_jvm(spark):
+    rows = [(1, 0, "secret", "T", "r", None, "rule", "a", None), (1, 1, "secret", "T", "r", None, "rule", "a", [span(0, 3)]), (1, 1, "secret", "T", "r", None, "ocr-rule", "a", [span(9, 12)]), (1, 2, "other", "T", "r", None, "rule", "a", [span(0, 3)]), (1, 2, "other", "T", "r", None, "rule", "a", [span(0, 3)]), (1, 3, "other", "T", "r", None, "rule", "a", [span(5, 6)])]
+    df = spark.createDataFrame(rows, CAND)
+    assert sorted(tuple(r.members) for r in merge.merge(df).collect()) == [(0,), (1,), (1,), (2, 2), (3,)]
+    assert merge.merge(df.limit(0)).count() == 0
+    plan = merge.merge(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan and "Pandas" not in plan
+
+
 def test_policy(spark):
     c = [(1, i, cat, "profile-client", 7, [span(0, 2, q)]) for i, (cat, q) in enumerate([("internal-infra", "h"), ("secret", "S"), ("personal-contact", "x"), ("other", "y"), ("secret", "ok")])]
     df = spark.createDataFrame(c, f"file_id long, ordinal long, category string, profile_id string, recipient_id int, evidence array<{EV}>")

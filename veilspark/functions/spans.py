@@ -7,7 +7,9 @@ the JVM and need no shuffle.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache, wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,15 @@ PLACEHOLDER = "[REDACTED]"
 HIT = "array<struct<start:bigint,end:bigint,quote:string>>"
 
 
+def built_once(make: Callable[..., Column]) -> Callable[..., Column]:
+    """``make`` with its large expressions kept by their arguments, for as long as the same JVM runs.
+
+    An expression of hundreds of calls takes the driver longer to build than small tables take to run.
+    """
+    kept = lru_cache(maxsize=256)(lambda jvm, *args: make(*args))
+    return wraps(make)(lambda *args: kept(id(SparkContext._gateway), *args))
+
+
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 

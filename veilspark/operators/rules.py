@@ -78,6 +78,7 @@ HIDDEN_TEXT = ("zero-width-chars", "hidden-data", "Hidden zero-width characters"
 INJECTION = ("prompt-injection", "prompt-injection", "Instructions for an AI", "The text tries to instruct the tool that reads it.")
 
 
+@spans.built_once
 def scan_rule(text: Column | str, rule: Rule) -> Column:
     """Validated hits of one rule, with their lines; a match that fails is not retried shorter."""
     return spans.hits(text, rule.java, rule.gate, rule.valid, MOST_HITS, lines=True)
@@ -101,21 +102,30 @@ def injection_ranges(text: Column | str) -> Column:
     return spans.let(found, lambda f: F.when(F.size(f) >= MOST_RANGES, F.slice(pure(f), 1, MOST_RANGES)).otherwise(F.array_sort(pure(f))))
 
 
+@spans.built_once
+def _each_hit(rules: tuple[Rule, ...]) -> Column:
+    return F.flatten(F.array(*[spans.tagged(scan_rule("text", r), "rule_id", F.lit(r.id)) for r in rules]))
+
+
 def hit_rows(files: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(file_id, rule_id, category, start, end, line, quote), a row per hit."""
     category = F.create_map(*[x for r in rules for x in (F.lit(r.id), F.lit(r.category))])
-    each = F.flatten(F.array(*[spans.tagged(scan_rule("text", r), "rule_id", F.lit(r.id)) for r in rules]))
-    rows = spans.rows_of(files, ["file_id"], each, "h").select("file_id", "h.*")
+    rows = spans.rows_of(files, ["file_id"], _each_hit(tuple(rules)), "h").select("file_id", "h.*")
     return rows.select("file_id", "rule_id", category[F.col("rule_id")].alias("category"), "start", "end", "line", "quote")
 
 
-def candidates(files: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One finding a file and rule, with all hits as evidence, in rule order; then hidden text and instructions."""
+@spans.built_once
+def _each_candidate(rules: tuple[Rule, ...]) -> Column:
     named = [((r.id, r.category, r.title, r.reason), evidence("text", scan_rule("text", r), lines=True)) for r in rules]
     named += [(HIDDEN_TEXT, evidence("text", zero_width_ranges("text"))), (INJECTION, evidence("text", injection_ranges("text")))]
     keys = ("rule_id", "category", "title", "reason")
     each = F.array(*[F.struct(F.lit(i).alias("ordinal"), *[F.lit(v).alias(k) for k, v in zip(keys, words)], found.alias("evidence")) for i, (words, found) in enumerate(named)])
-    return spans.rows_of(files, ["file_id"], F.filter(each, lambda r: F.size(r["evidence"]) > 0), "r").select("file_id", "r.*")
+    return F.filter(each, lambda r: F.size(r["evidence"]) > 0)
+
+
+def candidates(files: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """One finding a file and rule, with all hits as evidence, in rule order; then hidden text and instructions."""
+    return spans.rows_of(files, ["file_id"], _each_candidate(tuple(rules)), "r").select("file_id", "r.*")
 
 
 EVIDENCE = "struct<type:string,start:bigint,end:bigint,line:int,quote:string,x:double,y:double,w:double,h:double,anchor:string,byte_offset:bigint,note:string>"

@@ -129,6 +129,31 @@ def merge_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.merge_members(candidates(spark, sf_dir))
 
 
+#: Evidence of all kinds as (type, start, end, x, y, w, h, anchor), two pieces for every second line of an order.
+SCATTERED = """SELECT CAST(floor(l_orderkey / 4) AS BIGINT) AS file_id, CASE WHEN l_partkey % 5 = 0 THEN 'secret' ELSE 'other' END AS category, CAST(row_number() OVER (PARTITION BY floor(l_orderkey / 4) ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS BIGINT) AS ordinal,
+ CASE l_partkey % 4 WHEN 0 THEN 'text-span' WHEN 1 THEN 'image-region' WHEN 2 THEN 'file-structure' ELSE 'image-whole' END AS type,
+ CAST(l_partkey % 90 AS BIGINT) AS a, CAST(l_partkey % 90 + l_suppkey % 7 AS BIGINT) AS b, CAST(l_partkey % 60 AS DOUBLE) AS x, CAST(l_suppkey % 3 * 8 AS DOUBLE) AS y, CAST(6 + l_suppkey % 9 AS DOUBLE) AS w, CAST(l_suppkey % 4 * 3 + 1 AS DOUBLE) AS h,
+ CASE WHEN l_suppkey % 5 > 0 THEN 'image:' || CAST(l_suppkey % 5 AS STRING) END AS anchor, l_suppkey % 2 = 0 AS two, CAST(l_suppkey % 80 AS BIGINT) AS c FROM lineitem"""
+
+
+def merge_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of spans, boxes, anchors and whole images, of which every second has a span besides."""
+    rows = spark.sql(SCATTERED.replace("FROM lineitem", "FROM {lines}"), lines=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    null = lambda t: F.lit(None).cast(t)
+    place = lambda kind, start, end: F.struct(kind.alias("type"), start.alias("start"), end.alias("end"), null("int").alias("line"), null("string").alias("quote"), *"xywh", "anchor", null("bigint").alias("byte_offset"), null("string").alias("note"))
+    evidence = F.array_compact(F.array(place(F.col("type"), F.col("a"), F.col("b")), F.when(F.col("two"), place(F.lit("text-span"), F.col("c"), F.col("c") + 3))))
+    text = null("string")
+    return merging.merge_members(rows.select("file_id", "category", "ordinal", text.alias("title"), text.alias("reason"), text.alias("group_id"), F.lit("rule").alias("method"), text.alias("rule_id"), evidence.alias("evidence")))
+
+
+MERGE_EVIDENCE_SQL = f"""WITH RECURSIVE s AS ({SCATTERED}),
+ev AS (SELECT file_id, category, ordinal, type, a, b, x, y, w, h, anchor FROM s UNION ALL SELECT file_id, category, ordinal, 'text-span', c, c + 3, x, y, w, h, anchor FROM s WHERE two),
+l AS (SELECT DISTINCT p.file_id, p.category, p.ordinal AS one, q.ordinal AS other FROM ev p JOIN ev q ON p.file_id = q.file_id AND p.category = q.category AND p.type = q.type AND CASE p.type WHEN 'text-span' THEN p.a < q.b AND q.a < p.b
+ WHEN 'image-region' THEN p.x < q.x + q.w AND q.x < p.x + p.w AND p.y < q.y + q.h AND q.y < p.y + p.h WHEN 'file-structure' THEN p.anchor IS NOT DISTINCT FROM q.anchor ELSE false END),
+r AS (SELECT file_id, category, ordinal, ordinal AS seen FROM s UNION SELECT r.file_id, r.category, r.ordinal, l.other FROM r JOIN l ON l.file_id = r.file_id AND l.category = r.category AND l.one = r.seen)
+SELECT file_id, category, ordinal, min(seen) AS component FROM r GROUP BY file_id, category, ordinal"""
+
+
 def _member_ctes() -> str:
     """CTE ``ev`` (file_id, category, ordinal, start, end) of the candidates above."""
     t = " UNION ALL ".join(f"SELECT file_id, {1000 * (i + 1)} AS base, unnest(list_slice({hits_sql('text', regex.re2(chr(92) + 'b' + regex.literal(w.strip()) + chr(92) + 'b', True))}, 1, 50)) AS h FROM files" for i, w in enumerate(TERMS))
@@ -458,7 +483,7 @@ def grid_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        redact_text, redact_env, span_islands, text_segments, segment_lines, merge_components, apply_profile, hidden_override, carry_decisions, evidence_keys, verify_match, open_after_verify,
+        redact_text, redact_env, span_islands, text_segments, segment_lines, merge_components, merge_evidence, apply_profile, hidden_override, carry_decisions, evidence_keys, verify_match, open_after_verify,
         inconsistent_redaction, group_decision, allow_rule_merge, coverage_counts, findings_by_category, files_without_ai, layer_scores, needle_plan, contains_word, normalize_text, pad_boxes, export_names,
         unique_names, sha256_check, related_sources, find_related, package_detail, findings_filter, finding_facets, redaction_counts, review_progress, package_search, finding_labels, byte_labels, column_names, grid_pivot,
     )
@@ -472,6 +497,7 @@ ORACLES = {
     "text_segments": _segments_sql(),
     "segment_lines": _segment_lines_sql(),
     "merge_components": _merge_sql(),
+    "merge_evidence": MERGE_EVIDENCE_SQL,
     "apply_profile": _profile_sql(),
     "hidden_override": "SELECT event_id, CASE WHEN event_type = 'click' THEN 'keep' WHEN user_id % 2 = 0 AND event_id % 4 = 0 THEN 'redact' ELSE 'needs-decision' END AS suggested_action FROM events",
     "carry_decisions": f"""{_SNAP_SQL} SELECT k.file_id, k.category, CAST(k.ordinal AS BIGINT) AS ordinal, o.finding_id, coalesce(o.decision, 'open') AS decision FROM k LEFT JOIN o ON NOT o.manual AND o.file_id = k.file_id AND o.ordinal = k.ordinal AND k.file_id % 4 <> 1
