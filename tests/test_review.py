@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilspark.functions import regex, spans, validators
-from veilspark.operators import ai, carry, export, merge, ocr, package, policy, review, rules, terms, views
+from veilspark.operators import ai, answers, carry, export, merge, ocr, package, policy, review, rules, terms, views
 from veilspark.sources import uploads
 
 EV = rules.EVIDENCE
@@ -362,3 +362,29 @@ def test_uploads_beyond_the_limits_are_listed(spark, monkeypatch):
     lost = {(r.name, r.code) for r in uploads.rejected(df).collect()}
     assert lost == {("b.txt", "too-large"), ("d.txt", "limit-reached")}
     assert {r.name for r in uploads.ingest(df).collect()} == {"a.txt", "c.txt", "e.txt"}
+
+
+def test_answers_are_asked_once_and_the_oldest_go(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def reply(batches):
+        for b in batches:
+            asked.add(len(b))
+            yield b.assign(answer=b["content"].str.upper().where(b["content"] != "bad"))[["key", "answer"]]
+
+    ask = lambda m: m.mapInPandas(reply, "key string, answer string")
+    rows = [(i, c, "m") for i, c in enumerate(["a", "b", "a", "bad", None, "c"])] + [(6, "a", "other")]
+    r = spark.createDataFrame(rows, "ordinal long, content string, model string")
+    r = r.select("*", answers.key_of(F.col("content"), F.col("model"), "1", F.lit("s")).alias("key"))
+    empty = spark.createDataFrame([], "key string, answer string, added long")
+    out, cache = answers.ask_once(r, empty, ask)
+    assert [(x.answer, x.reused) for x in out.orderBy("ordinal").collect()] == [("A", False), ("B", False), ("A", False), (None, False), (None, False), ("C", False), ("A", False)]
+    assert asked.value == 6
+    kept = spark.createDataFrame(cache.collect(), "key string, answer string, added long")
+    assert sorted((x.added, x.answer) for x in kept.collect()) == [(0, "A"), (1, "B"), (5, "C"), (6, "A")]
+    before = asked.value
+    again, later = answers.ask_once(r.where("content <> 'bad'"), kept, ask, 2)
+    assert all(x.reused for x in again.collect()) and asked.value == before
+    assert sorted(x.added for x in later.collect()) == [5, 6]
+    more, later = answers.ask_once(r.withColumn("key", F.concat(F.lit("new"), "key")).where("ordinal = 1"), kept, ask, 2)
+    assert [x.reused for x in more.collect()] == [False] and sorted(x.added for x in later.collect()) == [6, 8]

@@ -191,12 +191,3 @@ def fall_back(files: DataFrame) -> DataFrame:
     before = Window.partitionBy("package_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
     lost = F.max((F.col("status") == "failed").cast("int")).over(before) == 1
     return files.withColumn("status", F.when(lost, "failed").otherwise(F.col("status")))
-
-
-def cache_misses(requests: DataFrame, cache: DataFrame) -> DataFrame:
-    """Requests (key ...) that no cached answer has."""
-    return requests.join(cache.select("key"), "key", "left_anti")
-
-
-def cache_key(content: Column, model: Column, prompt_version: str) -> Column:
-    return F.sha2(F.concat_ws("\0", F.sha2(content, 256), model, F.lit(prompt_version)), 256)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions import regex, spans
-from veilspark.operators import ai, ocr, terms
+from veilspark.operators import ai, answers, ocr, terms
 from veilspark.plans.inputs import FILES_SQL, files, hits_sql, quote
 from veilspark.plans.rule_queries import PHRASE, phrases
 from veilspark.sources import uploads
@@ -92,6 +92,26 @@ def chunk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("file_id", "category", "title", F.size("found").cast("long").alias("places"))
 
 
+KEPT_ANSWERS = 300
+
+
+def result_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document asked after a run over a third of them, whose newest answers were kept."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = F.when(F.col("doc_id") % 2 == 0, "small").otherwise("large")
+    r = d.select(answers.key_of(F.col("text"), model, "1", F.lit("local")).alias("key"), F.col("doc_id").cast("long").alias("ordinal"), F.col("text").alias("content"), model.alias("model"))
+    ask = lambda m: m.select("key", F.concat(F.col("model"), F.lit(":"), F.length(F.coalesce("content", F.lit("")))).alias("answer"))
+    empty = spark.createDataFrame([], "key string, answer string, added long")
+    _, cache = answers.ask_once(r.where("ordinal % 3 = 0"), empty, ask, KEPT_ANSWERS)
+    out, _ = answers.ask_once(r, cache, ask)
+    return out.select(F.col("ordinal").alias("doc_id"), "answer", "reused")
+
+
+RESULT_CACHE_SQL = f"""WITH r AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, text, CASE WHEN doc_id % 2 = 0 THEN 'small' ELSE 'large' END AS model FROM documents),
+k AS (SELECT text, model, min(doc_id) AS added FROM r WHERE doc_id % 3 = 0 AND text IS NOT NULL GROUP BY text, model ORDER BY added DESC LIMIT {KEPT_ANSWERS})
+SELECT doc_id, r.model || ':' || length(coalesce(r.text, '')) AS answer, k.added IS NOT NULL AS reused FROM r LEFT JOIN k ON k.text = r.text AND k.model = r.model"""
+
+
 def _mock_sql() -> str:
     rows = ", ".join(f"({i}, {quote(c)}, {quote(q)}, {quote(r)})" for i, (c, q, r) in enumerate(ai.MOCK_FINDINGS))
     return f"WITH {FILES_SQL}, m(n, category, quote, reason) AS (VALUES {rows}), h AS (SELECT file_id, n, category, quote, reason, lower(text) AS l FROM files JOIN m ON contains(lower(text), lower(quote)))"
@@ -234,7 +254,7 @@ def text_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", uploads.decode(F.col("content")).alias("text"), uploads.decode_lenient(F.col("content")).alias("lenient"))
 
 
-QUERIES = {f.__name__: f for f in (locality, line_chunks, size_gate, quote_ground, quote_fold, quotes_dropped, mock_findings, related_suggestions, ai_status, chunk_merge, ocr_lines, ocr_low_confidence, ocr_text, word_offsets, hit_boxes, quote_regions, ocr_into_document, ocr_term_regions, box_iou, ocr_tsv, file_kind, upload_ingest, text_decode)}
+QUERIES = {f.__name__: f for f in (locality, line_chunks, size_gate, quote_ground, quote_fold, quotes_dropped, mock_findings, related_suggestions, ai_status, result_cache, chunk_merge, ocr_lines, ocr_low_confidence, ocr_text, word_offsets, hit_boxes, quote_regions, ocr_into_document, ocr_term_regions, box_iou, ocr_tsv, file_kind, upload_ingest, text_decode)}
 
 _HOST = f"([{', '.join(map(quote, HOST_KINDS))}])[page_id % {len(HOSTS)} + 1]"
 ORACLES = {
@@ -246,6 +266,7 @@ ORACLES = {
     "mock_findings": f"{_mock_sql()} SELECT file_id, category, quote, reason FROM h WHERE NOT (quote = 'Juniper' AND contains(l, 'project juniper'))",
     "related_suggestions": f"{_mock_sql()} SELECT file_id, category, quote FROM h WHERE contains(lower(quote), 'acme')",
     "ai_status": _status_sql(),
+    "result_cache": RESULT_CACHE_SQL,
     "chunk_merge": f"{_mock_sql()} SELECT file_id, category, reason AS title, CAST((length(l) - length(replace(l, lower(quote), ''))) / length(quote) AS BIGINT) AS places FROM h WHERE NOT (quote = 'Juniper' AND contains(l, 'project juniper'))",
     "ocr_lines": f"WITH {_WORDS_SQL} SELECT file_id, n, line, seq FROM words",
     "ocr_low_confidence": f"""WITH {_WORDS_SQL}, a AS (SELECT *, CASE WHEN confidence < 60 THEN 1 ELSE 0 END AS k FROM words),
