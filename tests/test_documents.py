@@ -87,6 +87,35 @@ def test_pdf_strings():
     assert documents.residue("pdf", b, ["plain words", samples.SECRET, "elsewhere"]) == ["plain words", samples.SECRET]
 
 
+def test_pdf_strings_of_any_length_and_stray_parentheses():
+    long = "x" * 100_000 + " Hidden Falcon"
+    assert documents.pdf_strings(f"({long}) Tj") == [long]
+    assert documents.pdf_strings("(" * 50_000 + "(shown)") == ["shown"]
+    assert documents.pdf_strings("a) (b) ) <4> (<4142>)") == ["b", "<4142>", "AB"]
+    noise = b"stream\n\x01( ( \xff )\nendstream"
+    b = b"%PDF-1.4 [(Hid) -20 (den)] TJ " + noise + b" (tail)"
+    assert "hidden" in documents.pdf_views(b)[1] and documents.pdf_views(b)[0].endswith("tail")
+    packet = b"<x:xmpmeta xmlns:x='adobe:ns:meta/'><d a='Ann &amp; Co'>by <i>Bea</i></d></x:xmpmeta>"
+    assert documents.pdf_views(packet)[2:] == ["by bea", "adobe:ns:meta/ ann & co"]
+
+
+def test_xml_is_searched_whether_well_formed_or_not():
+    assert documents.xml_views(b"<a b='x &lt; y'>One <c>t</c>wo<!-- no --><![CDATA[ <three>]]></a>") == ["one two <three>", "x < y"]
+    text, values = documents.xml_views(b"<a b='Ann &amp; Co'>One <c>t</c>wo &amp; three")
+    assert text == "one two & three" and values == "ann & co"
+
+
+def test_nested_and_broken_fields():
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    mark = lambda k: f'<w:fldChar w:fldCharType="{k}"/>'
+    code = lambda t: f"<w:instrText>{t}</w:instrText>"
+    body = mark("begin") + code("IF ") + mark("begin") + code("PAGE") + mark("separate") + mark("end") + code("x") + mark("separate") + mark("begin") + code("inner") + mark("end") + code("stray") + mark("end") + '<w:fldSimple w:instr="DATE"/>' + mark("begin") + code("open")
+    root = documents.ET.fromstring(f'<w:p xmlns:w="{w}">{body}</w:p>')
+    assert [t for _, t in documents.docx_fields(root)] == ["PAGE", "inner", "stray", "IF x", "DATE", "open"]
+    assert documents.field_target('includetext "C:\\\\a b.docx" \\c "X"') == "C:\\\\a b.docx"
+    assert documents.field_target('HYPERLINK \\h \\t "_blank" http://y.org') == "http://y.org" and documents.field_target("HYPERLINK") is None
+
+
 def test_unreadable_documents(spark):
     df = spark.createDataFrame([(1, "docx", bytearray(b"no zip")), (2, "docx", bytearray(samples.docx("x y")))], "file_id long, format string, content binary")
     got = {r.file_id: r.error for r in documents.extract_documents(df).collect()}
