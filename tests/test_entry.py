@@ -29,7 +29,7 @@ assert e.oracle_sql()
     subprocess.run([sys.executable, "-c", code], check=True, cwd=entry.__file__.rpartition("/")[0])
 
 
-@pytest.mark.parametrize("name", ["rule_scan_email", "rule_scan_credit_card", "zero_width_runs", "term_hits", "span_islands", "export_names", "line_chunks", "hit_boxes", "file_kind"])
+@pytest.mark.parametrize("name", ["rule_scan_email", "rule_scan_credit_card", "zero_width_runs", "term_hits", "span_islands", "export_names", "line_chunks", "hit_boxes", "file_kind", "residue_needles", "residue_everywhere", "document_residue"])
 def test_query_equals_its_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()

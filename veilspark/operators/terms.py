@@ -55,7 +55,7 @@ def _shouted(text: Column) -> Column:
     return F.upper(F.translate(text, _UPPER, _FOLDED))
 
 
-def _rarest(words: DataFrame, held: DataFrame, term: str, *more: str) -> DataFrame:
+def rarest(words: DataFrame, held: DataFrame, term: str, *more: str) -> DataFrame:
     """Of the words (term, word, ...) of each term, the one that the fewest rows of ``held`` (word) have."""
     seen = held.select("word").join(words.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("seen"))
     least = F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "word", *more)).alias("least")
@@ -74,7 +74,7 @@ def find_terms(files: DataFrame, dictionary: DataFrame, category: str = "protect
     clean = named.select("clean").distinct()
     held = files.select("file_id", F.explode(F.array_append(word_set(F.col("text")), F.lit(""))).alias("word"))
     words = clean.select("clean", F.explode(F.when(F.size(word_set(F.col("clean"))) > 0, word_set(F.col("clean"))).otherwise(F.array(F.lit("")))).alias("word"))
-    asked = held.join(_rarest(words, held, "clean"), "word").groupBy("file_id").agg(F.collect_set(F.struct("clean", _shouted(F.col("clean")).alias("loud"))).alias("asked"))
+    asked = held.join(rarest(words, held, "clean"), "word").groupBy("file_id").agg(F.collect_set(F.struct("clean", _shouted(F.col("clean")).alias("loud"))).alias("asked"))
     border = regex.java("\\b")
     exact = F.concat(F.lit(r"\Q"), F.replace(F.col("clean"), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     # Most candidates share a word with the file but don't stand in it: a plain search tells before a pattern does.
@@ -107,7 +107,7 @@ def term_regions(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("file_id").orderBy("seq")) - 1
     placed = words.select("file_id", "seq", "text", "x", "y", "w", "h", clean_word(F.col("text")).alias("word")).withColumn("place", place)
     parts = terms.select("number", F.size("ws").alias("n"), F.posexplode("ws").alias("k", "word"))
-    key = _rarest(parts, placed, "number", "k").join(terms.select("number", "term", F.size("ws").alias("n")), "number")
+    key = rarest(parts, placed, "number", "k").join(terms.select("number", "term", F.size("ws").alias("n")), "number")
     starts = placed.select("file_id", "word", "place").join(key, "word").select("file_id", "number", "term", "n", (F.col("place") - F.col("k")).alias("first")).where("first >= 0")
     wanted = starts.join(parts.select("number", "k", "word"), "number").withColumn("place", F.col("first") + F.col("k"))
     right, bottom = F.max(F.col("x") + F.col("w")), F.max(F.col("y") + F.col("h"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from veilspark.operators import rules
-from veilspark.plans import content_queries, document_queries, inputs, package_flow, review_queries, rule_queries
+from veilspark.plans import content_queries, document_queries, inputs, package_flow, residue_queries, review_queries, rule_queries
 
-_MODULES = (rule_queries, review_queries, content_queries, document_queries, package_flow)
+_MODULES = (rule_queries, review_queries, content_queries, document_queries, package_flow, residue_queries)
 
 
 def queries() -> dict:

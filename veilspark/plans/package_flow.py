@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilspark.operators import carry, documents, export, images, merge, ocr, package, policy, rules, terms
+from veilspark.operators import carry, documents, export, images, merge, ocr, package, policy, residue, rules, terms
 from veilspark.plans.inputs import files as review_files
 from veilspark.sources import uploads
 
@@ -34,7 +34,7 @@ OTHER_CLIENT = ("other-client", "Other client: ", "This names a different client
 RESIDUE = ("Redacted text still present in the reviewed copy", "Text that was approved for removal is still in the reviewed file.")
 
 #: Findings of a file keep the order of the layers: structure, rules, terms.  The layer is the upper bits of an ordinal.
-IMAGE_AT, HIDDEN_AT, TEXT_AT, RULES_AT, TERMS_AT, CLIENTS_AT = (layer << 48 for layer in range(6))
+IMAGE_AT, HIDDEN_AT, TEXT_AT, RULES_AT, TERMS_AT, CLIENTS_AT, RESIDUE_AT = (layer << 48 for layer in range(7))
 CANDIDATE = ("file_id", "ordinal", "category", "title", "reason", "group_id", "method", "rule_id", "evidence")
 
 
@@ -284,6 +284,35 @@ def verify(copies: DataFrame, findings: DataFrame, protected_terms: Terms, other
     return carry.verify_match(again.findings, findings)
 
 
+def verify_all(copies: DataFrame, findings: DataFrame, words: DataFrame, protected_terms: Terms, other_clients: Terms, profile_id: str, allow_rules: DataFrame) -> DataFrame:
+    """Findings of written copies of all kinds, each with the original it repeats (null for new ones).
+
+    ``copies`` as ``write_copies`` gives: what was written is read and goes through all layers again,
+    and what was removed from documents is looked for in all that can be read out of them.  Residue
+    takes no profile, so no rule of the recipient hides it.  ``words``: OCR words of the image copies.
+    """
+    made = copies.where("error is null")
+    again = analyze(read_all(made.select("file_id", "name", "content")), words, protected_terms, other_clients, profile_id, allow_rules).findings
+    views = residue.document_views(made.where("kind = 'document'").select("file_id", "format", "content"))
+    left = residue.find_needles(views, export.needle_plan(_quotes(findings)).where("not skipped").select("file_id", "needle"))
+    place = F.row_number().over(Window.partitionBy("file_id").orderBy(F.col("evidence")[0]["note"]))
+    left = residue_findings(left.select("file_id", F.array("needle").alias("residue"))).withColumn("ordinal", RESIDUE_AT + place)
+    keep = ["file_id", "category", "ordinal", "evidence"]
+    return carry.verify_match(again.select(*keep).unionByName(left.select(*keep)), findings)
+
+
+#: Wording of a verification.
+NO_OPEN_FINDINGS = "Reviewed. No open detected findings."
+OPEN_FINDINGS = " open findings on the reviewed copies. Decide on the original files, then export again."
+
+
+def verification(matched: DataFrame) -> DataFrame:
+    """One row: the status of a verification, its text, and how many findings are open, reported and new."""
+    n = F.col("open_findings")
+    text = F.when(n == 0, NO_OPEN_FINDINGS).otherwise(F.concat(n, F.lit(OPEN_FINDINGS)))
+    return carry.still_open(matched).select(F.when(n == 0, "no-open-findings").otherwise("open-findings").alias("status"), text.alias("text"), "open_findings", "reported", "new_findings")
+
+
 # -- queries
 
 TERMS = ["heron", "Project Juniper"]
