@@ -297,6 +297,28 @@ def test_ocr(spark):
     assert {r.file_id: r.text for r in ocr.append_ocr(m, w).collect()} == {1: "body\n\na b\nc d e", 9: ""}
 
 
+def test_quotes_grounded_on_the_jvm_equal_the_plain_search(spark):
+    import random
+    import re
+
+    rng = random.Random(7)
+    bits = ["a", "A", "b", "i", "I", "\u0130", "\u0307", "\u017f", "s", "\u03a3", "\u03c2", "\u03c3", "\u212a", "k", " ", "  ", "\n", "\r", "\r\n", ".", "(", "\\E", "\u00a0", "\u00df", "\u1e9e", "\U0001f600"]
+    rows = []
+    for n in range(1500):
+        text = "".join(rng.choices(bits, k=rng.randint(0, 30)))
+        start = rng.randint(0, max(0, len(text) - 1))
+        cut = text[start : start + rng.randint(1, 5)]
+        rows.append((n % 7, n, text, rng.choice([cut, cut.lower(), cut.swapcase(), cut.replace(" ", "\n "), "".join(rng.choices(bits, k=2))])))
+    df = spark.createDataFrame(rows, "file_id long, n long, text string, quote string")
+    got = {r.n: [tuple(f) for f in r.found] for r in ai.ground_quotes(df).collect()}
+    for _, n, text, q in rows:
+        ends = [m.start() for m in re.finditer("\r\n|\r|\n", text)]
+        assert got[n] == [(s, e, sum(x < s for x in ends), text[s:e]) for s, e in ai.ground(text, q)], (text, q)
+    assert sum(map(bool, got.values())) > 500
+    nulls = spark.createDataFrame([(1, 1, None, "a"), (1, 2, "a", None)], "file_id long, n long, text string, quote string")
+    assert [r.found for r in ai.ground_quotes(nulls).collect()] == [[], []]
+
+
 def test_model_layer(spark):
     assert ai.ground("A  b\nC a b c", "a B c") == [(0, 6), (7, 12)]
     assert ai.ground("x İy", "i̇Y") == [(2, 4)]

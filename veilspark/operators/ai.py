@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,7 +95,10 @@ def _normal(text: str) -> tuple[str, list[int], list[int]]:
 
 
 def ground(text: str, quote: str) -> list[tuple[int, int]]:
-    """Places of a quote: exact ones, else with white space collapsed and case folded, mapped back."""
+    """Places of a quote in one text: exact ones, else with white space collapsed and case folded, mapped back.
+
+    What ``ground_quotes`` finds is held against this.
+    """
     if not quote.strip():
         return []
     out, at = [], text.find(quote)
@@ -115,18 +116,63 @@ def ground(text: str, quote: str) -> list[tuple[int, int]]:
     return out
 
 
-def ground_quotes(quotes: DataFrame) -> DataFrame:
-    """Each (file_id, n, text, quote) with ``found``: an array of (start, end, line, quote); lines end at CR LF, CR or LF."""
+def _alone() -> str:
+    """Letters that a search without case takes for others although their lower case differs, and the dotted capital I first."""
+    letters = map(chr, range(0x80, 0xD800))
+    return "\u0130" + "".join(c for c in letters if c.lower() == c and len(c.upper()) == 1 and c.upper().lower() != c)
+
+
+#: Such letters are coded as others that no text holds (noncharacters, then the last private ones) before the search, and decoded in what it finds.
+_ALONE = _alone()
+_CODES = "".join(chr(0xFDD0 + i) if i < 32 else chr(0x10FF00 + i) for i in range(len(_ALONE)))
+
+
+def _loose(coded: Column) -> Column:
+    """The pattern of a coded quote in any case and spacing; the dotted capital I counts as i and a dot."""
+    safe = F.regexp_replace(coded, r"([\\\[\](){}.*+?^$|])", r"\\$1")
+    words = F.array_join(F.filter(F.split(safe, f"[{regex.SPACE_CLASS}]+"), lambda w: w != ""), f"[{regex.SPACE_CLASS}]+")
+    dotted = F.regexp_replace(F.replace(words, F.lit(_CODES[0]), F.lit("i\u0307")), "(?i)i\u0307", f"(?:i\u0307|{_CODES[0]})")
+    # A lone sharp s has no simple upper case, so the search wouldn't take its capital for it.
+    sharp = F.regexp_replace(dotted, "[\u00df\u1e9e]", "(?:\u00df|\u1e9e)")
+    ends = F.regexp_replace(F.regexp_replace(sharp, "^\u0307", f"[\u0307{_CODES[0]}]"), "(?i)i$", f"[i{_CODES[0]}]")
+    return F.concat(F.lit("(?iu)"), ends)
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = []
-            for text, quote in zip(b["text"], b["quote"]):
-                breaks = [m.start() for m in re.finditer("\r\n|\r|\n", text)]
-                found.append([{"start": s, "end": e, "line": sum(x < s for x in breaks), "quote": text[s:e]} for s, e in ground(text, quote)])
-            yield pd.DataFrame({"file_id": b["file_id"], "n": b["n"], "found": found})
+def _line_breaks(piece: Column) -> Column:
+    """Line ends of a piece of text; CR LF is one."""
+    return spans.count_of(piece, "\n") + spans.count_of(piece, "\r") - F.size(F.split(piece, "\r\n", -1)) + 1
 
-    return quotes.select("file_id", "n", "text", "quote").mapInPandas(run, "file_id long, n long, found array<struct<start:bigint,end:bigint,line:int,quote:string>>")
+
+def _with_lines(text: Column, pattern: Column, found: Column) -> Column:
+    """Hits with the number of line ends that begin before them; a CR LF cut by the edge of a hit counts once."""
+    zero = F.struct(F.lit(0).alias("line"), F.lit(False).alias("cr"), F.array().cast("array<int>").alias("out"))
+    pairs = F.arrays_zip(found["quote"].alias("quote"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("gap"))
+    after = lambda line, cr, piece: (line + _line_breaks(piece) - (cr & piece.startswith("\n")).cast("int")).cast("int")
+    ends_cr = lambda cr, piece: F.when(piece == "", cr).otherwise(piece.endswith("\r"))
+
+    def step(acc: Column, p: Column) -> Column:
+        line, cr = after(acc["line"], acc["cr"], p["gap"]), ends_cr(acc["cr"], p["gap"])
+        return F.struct(after(line, cr, p["quote"]).alias("line"), ends_cr(cr, p["quote"]).alias("cr"), F.array_append(acc["out"], line).alias("out"))
+
+    lines = F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    plain = F.zip_with(found, lines, lambda h, n: F.struct(h["start"].alias("start"), h["end"].alias("end"), n.alias("line"), F.translate(h["quote"], _CODES, _ALONE).alias("quote")))
+    return F.when(F.size(found) > 0, plain)
+
+
+def ground_quotes(quotes: DataFrame) -> DataFrame:
+    """Each (file_id, n, text, quote) with ``found``: an array of (start, end, line, quote); lines end at CR LF, CR or LF.
+
+    Exact places count, else those in any case and spacing, all by searches of the JVM: coded text
+    has the offsets of the text itself, so nothing is mapped back.  A null text or quote is found nowhere.
+    """
+    space = f"^[{regex.SPACE_CLASS}]*$"
+    coded = quotes.select("file_id", "n", F.coalesce(F.translate("text", _ALONE, _CODES), F.lit("")).alias("coded"), F.coalesce(F.translate("quote", _ALONE, _CODES), F.lit("")).alias("quote"))
+    exact = F.concat(F.lit("\\Q"), F.replace("quote", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    ways = coded.withColumn("pattern", F.when(F.col("quote").rlike(space), F.lit(None)).when(F.contains("coded", "quote"), exact).otherwise(_loose(F.col("quote"))))
+    pattern = F.col("pattern")
+    found = spans.let(spans.hits("coded", pattern), lambda h: _with_lines(F.col("coded"), pattern, h))
+    none = F.array().cast("array<struct<start:bigint,end:bigint,line:int,quote:string>>")
+    return ways.select("file_id", "n", F.coalesce(F.when(pattern.isNotNull(), found), none).alias("found"))
 
 
 def grounded(found: DataFrame) -> DataFrame:

@@ -55,6 +55,19 @@ def quote_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ai.ground_quotes(f.withColumn("n", F.col("n").cast("long"))).select("file_id", "n", F.size("found").cast("long").alias("places"), F.try_element_at("found", F.lit(1))["quote"].alias("first_quote"))
 
 
+def _fold_sql() -> str:
+    """Exact places by the list of matches, else folded ones by a pattern of the words."""
+    rows = []
+    for i, q in enumerate(QUOTES):
+        loose = f"'(?i)' || {quote(f'[{regex.SPACE_CLASS}]+'.join(map(regex.literal, q.split())))}"
+        exact = quote(regex.literal(q))
+        places = f"len(regexp_extract_all(text, {exact}))" if q.strip() else "0"
+        more = f"len(regexp_extract_all(text, {loose}))" if q.strip() else "0"
+        first = f"nullif(CASE WHEN contains(text, {quote(q)}) THEN {quote(q)} ELSE regexp_extract(text, {loose}) END, '')" if q.strip() else "NULL"
+        rows.append(f"SELECT file_id, CAST({i} AS BIGINT) AS n, CAST(CASE WHEN contains(text, {quote(q)}) THEN {places} ELSE {more} END AS BIGINT) AS places, {first} AS first_quote FROM files")
+    return f"WITH {FILES_SQL} " + " UNION ALL ".join(rows)
+
+
 def quotes_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = files(spark, sf_dir).select("file_id", "text", F.lit(0).cast("long").alias("n"), F.lit("PROJECT   juniper").alias("quote"))
     return ai.grounded(ai.ground_quotes(f))
@@ -262,6 +275,7 @@ ORACLES = {
     "line_chunks": _chunks_sql(),
     "size_gate": f"WITH {FILES_SQL} SELECT file_id, strlen(text) * CASE WHEN file_id % 50 = 7 THEN 400 ELSE 1 END > {ai.MOST_BYTES} AS too_large FROM files",
     "quote_ground": f"WITH {FILES_SQL}, h AS (" + " UNION ALL ".join(f"SELECT file_id, CAST({i} AS BIGINT) AS n, unnest({hits_sql('text', regex.literal(q))}) AS h FROM files" for i, q in enumerate(QUOTES) if q.strip()) + ') SELECT file_id, n, h.s AS start, h.e AS "end" FROM h',
+    "quote_fold": _fold_sql(),
     "quotes_dropped": f"WITH {FILES_SQL} SELECT count(CASE WHEN contains(lower(text), 'project juniper') THEN 1 END) AS kept, count(CASE WHEN NOT contains(lower(text), 'project juniper') THEN 1 END) AS dropped FROM files",
     "mock_findings": f"{_mock_sql()} SELECT file_id, category, quote, reason FROM h WHERE NOT (quote = 'Juniper' AND contains(l, 'project juniper'))",
     "related_suggestions": f"{_mock_sql()} SELECT file_id, category, quote FROM h WHERE contains(lower(quote), 'acme')",
