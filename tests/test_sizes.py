@@ -1,8 +1,12 @@
 """What showed only at size: large keys, ties, batches, and words of many files."""
 
+import time
+
 import duckdb
 
 import __spark_entry__ as entry
+from veilspark.operators import batches, documents
+from veilspark.plans import samples
 
 
 def made(spark, folder, name, rows, schema):
@@ -37,3 +41,37 @@ def test_env_values_that_are_empty_or_found_twice(spark, tmp_path):
     d = made(spark, tmp_path, "documents", rows, "doc_id long, text string")
     got = sorted(map(tuple, entry.queries()["redact_env"](spark, d).collect()))
     assert got == by_sql("redact_env", d, "documents")
+
+
+def test_files_go_to_python_and_back_in_small_batches(spark):
+    was = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64MB")
+        documents.extract_documents(spark.createDataFrame([], "file_id long, format string, content binary"))
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= batches.BATCH_BYTES
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", was)
+    third = batches.FRAME_BYTES // 3 + 1
+    sizes = [len(f) for f in batches.frames(((third, [(i, k) for k in range(2)]) for i in range(7)), ["i", "k"])]
+    assert sizes == [6, 6, 2] and not list(batches.frames([], ["i"]))
+
+
+def test_models_keep_what_is_asked(spark):
+    made = samples.make(spark.createDataFrame([(1, "a b")], "file_id long, text string"), "xlsx").unionByName(spark.createDataFrame([(2, "xlsx", bytearray(b"no"))], "file_id long, format string, content binary"))
+    got = documents.extract_documents(made, keep=("content",), fields=("file_id", "text", "error"))
+    assert got.columns == ["file_id", "text", "error", "content"]
+    rows = {r.file_id: r for r in got.collect()}
+    assert rows[1].text == documents.extract("xlsx", bytes(rows[1].content)).text and rows[1].error is None
+    assert rows[2].text is None and rows[2].error and bytes(rows[2].content) == b"no"
+
+
+def test_spans_meet_only_the_segments_near_them():
+    m, n = documents.Model(), 40_000
+    sheet = documents.section("s")
+    for i in range(n):
+        m.add(sheet, "", None, None, [("word", "p", i, None)])
+        m.hide(f"h{i}", "kind", "note", None)
+    start = time.process_time()
+    cut = documents.edits(m, [(i * 5, i * 5 + 2) for i in range(n)] + [(3, 6)])
+    assert len(cut) == n and cut["p", 0, None] == [(0, 2, "[REDACTED]"), (3, 4, "[REDACTED]")] and cut["p", 1, None] == [(0, 2, "")]
+    assert len(m.text) == 5 * n - 1 and len(m.hidden) == n and time.process_time() - start < 20
