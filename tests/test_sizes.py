@@ -1,11 +1,15 @@
 """What showed only at size: large keys, ties, batches, and words of many files."""
 
+import random
 import time
 
 import duckdb
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from veilspark.operators import batches, documents
+from veilspark.functions import spans
+from veilspark.operators import batches, documents, ocr
 from veilspark.plans import samples
 
 
@@ -75,3 +79,37 @@ def test_spans_meet_only_the_segments_near_them():
     cut = documents.edits(m, [(i * 5, i * 5 + 2) for i in range(n)] + [(3, 6)])
     assert len(cut) == n and cut["p", 0, None] == [(0, 2, "[REDACTED]"), (3, 4, "[REDACTED]")] and cut["p", 1, None] == [(0, 2, "")]
     assert len(m.text) == 5 * n - 1 and len(m.hidden) == n and time.process_time() - start < 20
+
+
+WORD = "file_id long, n long, text string, x double, y double, w double, h double, confidence double"
+
+
+def test_words_of_a_file_are_laid_out_without_a_shuffle(spark):
+    rng = random.Random(7)
+    rows = [(f, n, rng.choice(["a", "Ünï", "the", " ", "an e"]), None if rng.random() < 0.05 else float(rng.randrange(9)), float(rng.randrange(40)), 5.0 + rng.randrange(9), 4.0 + rng.randrange(5), 150.0 * rng.random()) for f in range(5) for n in range(60)]
+    words = spark.createDataFrame(rows, WORD)
+    files = words.groupBy("file_id").agg(F.collect_list(F.struct(*words.columns[1:])).alias("words")).localCheckpoint()
+    laid = ocr.lay_out(files)
+    assert "Exchange" not in laid._jdf.queryExecution().executedPlan().toString()
+    kept = ocr.assign_lines(words.where("trim(text) <> ''")).withColumn("seq", F.row_number().over(Window.partitionBy("file_id").orderBy("line", "x", "n")) - 1)
+    columns = ["file_id", "n", "line", "seq", "start", "end"]
+    want = sorted(map(tuple, ocr.word_offsets(kept).select(*columns).collect()))
+    assert sorted(map(tuple, ocr.words_of(laid).select(*columns).collect())) == want
+    assert sorted(map(tuple, ocr.word_offsets(ocr.ocr_result(words)).select(*columns).collect())) == want
+    assert {r.file_id: r.text for r in laid.select("file_id", ocr.file_text(F.col("words")).alias("text")).collect()} == {r.file_id: r.text for r in ocr.ocr_text(kept).collect()}
+    assert {r.c for r in ocr.words_of(laid).selectExpr("confidence between 0 and 100 as c").collect()} == {True}
+
+    text = ocr.file_text(F.col("words"), lines=False)
+    hits = F.transform(spans.hits(text, "an? [a-z]"), lambda h, n: h.withField("hit", n.cast("long")).withField("start", h["start"] + F.when(n % 4 == 3, 9000).otherwise(0)).withField("end", h["end"] + F.when(n % 4 == 3, 9000).otherwise(0)))
+    both = laid.withColumn("hits", hits)
+    rows = both.select("file_id", F.explode("hits").alias("h")).select("file_id", "h.*")
+    box = ["file_id", "hit", "x", "y", "w", "h"]
+    key = lambda r: tuple(repr(v) for v in r)
+    for one, other, more in ((ocr.file_evidence(both), ocr.hit_evidence(rows, ocr.words_of(laid)), "type"), (ocr.file_regions(both), ocr.quote_regions(rows, ocr.words_of(laid)), "quote")):
+        got = sorted(map(tuple, one.select(*box, more).collect()), key=key)
+        assert got == sorted(map(tuple, other.select(*box, more).collect()), key=key) and got
+
+    layer = F.transform(F.filter("words", lambda w: w["n"] % 3 == 0), lambda w: F.struct((w["x"] + 4).alias("x"), *[w[k].alias(k) for k in "ywh"]))
+    new = ocr.words_of(ocr.new_file_words(laid.withColumn("layer", layer))).select("file_id", "n").collect()
+    boxes = laid.select("file_id", F.explode(layer).alias("b")).select("file_id", "b.*")
+    assert sorted(map(tuple, new)) == sorted(map(tuple, ocr.new_words(ocr.words_of(laid), boxes).select("file_id", "n").collect()))

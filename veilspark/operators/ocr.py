@@ -6,9 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilspark.functions import spans
+from veilspark.operators.batches import small_batches
+
 LOW_MEAN = 65
 LOW_WORD = 60
 LOW_RUN = 3
@@ -63,10 +67,115 @@ def assign_lines(words: DataFrame) -> DataFrame:
     return words.join(lines, ["file_id", "n"])
 
 
+def lay_out(files: DataFrame) -> DataFrame:
+    """Files (file_id, words), the words of each as a list, without blank ones and in reading order.
+
+    A word (n, text, x, y, w, h, confidence, ...) gets its ``line``, its place ``seq`` and its offsets
+    ``start`` and ``end`` in the text of all words joined by single characters; confidence is held
+    within 0 to 100.  Nothing is shuffled: words that stand in one row stay there.
+    """
+    kind = files.schema["words"].dataType.elementType
+    names = kind.names
+    empty = F.array().cast(files.schema["words"].dataType)
+
+    def numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Values and which there are; in a sort by both, nulls come first, as in a sort of rows."""
+        return column.fill_null(0).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            offsets = lists.offsets.to_numpy()
+            word, owner = lists.flatten(), np.repeat(np.arange(len(batch)), np.diff(offsets))
+            some = pc.and_(pc.not_equal(pc.utf8_trim(word.field("text"), " "), ""), word.field("n").is_valid()).fill_null(False)
+            word, owner = word.filter(some), owner[some.to_numpy(zero_copy_only=False)]
+            at = np.searchsorted(owner, np.arange(len(batch) + 1))
+            (n, _), (x, has_x), (y, has_y), (h, has_h) = (numbers(word.field(k)) for k in ("n", "x", "y", "h"))
+            center, centered = y + h / 2, has_y & has_h
+            down = np.lexsort((h, has_h, n, np.where(centered, center, 0), centered, owner))
+            none = lambda values, there: np.where(there, values, None).tolist() if not there.all() else values.tolist()
+            centers, heights = none(center[down], centered[down]), none(h[down], has_h[down])
+            line = np.empty(len(down), np.int32)
+            line[down] = [v for a, b in zip(at.tolist(), at[1:].tolist()) for v in fold_lines(centers[a:b], heights[a:b])]
+            order = np.lexsort((n, x, has_x, line, owner))
+            found = dict(zip(names, word.take(pa.array(order)).flatten()))
+            found["confidence"] = pc.max_element_wise(pc.min_element_wise(found["confidence"], 100.0), 0.0)
+            length = pc.utf8_length(found["text"]).to_numpy(zero_copy_only=False)
+            before = np.concatenate(([0], np.cumsum(length + 1, dtype=np.int64)))
+            start = before[:-1] - before[at][owner]
+            found |= {"line": pa.array(line[order]), "seq": pa.array((np.arange(len(order)) - at[owner]).astype(np.int32)), "start": pa.array(start), "end": pa.array(start + length)}
+            out = pa.StructArray.from_arrays(list(found.values()), names=list(found))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), out)], names=["file_id", "words"])
+
+    schema = f"file_id {dict(files.dtypes)['file_id']}, words array<{kind.simpleString()[:-1]},line:int,seq:int,start:bigint,end:bigint>>"
+    return small_batches(files).select("file_id", F.coalesce("words", empty).alias("words")).mapInArrow(run, schema)
+
+
+def words_of(laid: DataFrame) -> DataFrame:
+    """A row a word of files as ``lay_out`` gives them."""
+    return laid.select("file_id", F.explode("words").alias("word")).select("file_id", "word.*")
+
+
 def ocr_result(words: DataFrame) -> DataFrame:
     """Words without blanks in reading order: ``line``, ``seq`` and confidence within 0 to 100."""
-    kept = assign_lines(words.where("trim(text) <> ''")).withColumn("confidence", F.least(F.lit(100.0), F.greatest(F.lit(0.0), "confidence")))
-    return kept.withColumn("seq", F.row_number().over(Window.partitionBy("file_id").orderBy("line", "x", "n")) - 1)
+    rest = [c for c in words.columns if c not in ("file_id", "line", "seq", "start", "end")]
+    files = words.groupBy("file_id").agg(F.collect_list(F.struct(*rest)).alias("words"))
+    return words_of(lay_out(files)).drop("start", "end")
+
+
+def file_text(words: Column, lines: bool = True) -> Column:
+    """The text of laid out words, joined by blanks; lines by line feeds if ``lines``."""
+    broken = lambda w, i: F.concat(F.when(i == 0, "").when(lines & (F.get(words, i - 1)["line"] != w["line"]), "\n").otherwise(" "), w["text"])
+    return F.array_join(F.transform(words, broken), "")
+
+
+def touched(files: DataFrame) -> DataFrame:
+    """Files (file_id, words, hits) with the words that each hit (start, end, ...) overlaps as its list ``words``.
+
+    Both ends are found by bisection in the words as ``lay_out`` orders them.
+    """
+    kind = files.schema["hits"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (words, hits), (w, h) = batch.columns[1:], (c.flatten() for c in batch.columns[1:])
+            wa, ha = (c.offsets.to_numpy() - c.offsets.to_numpy()[0] for c in (words, hits))
+            starts, ends, s, e = (c.field(k).to_numpy(zero_copy_only=False) for c in (w, h) for k in ("start", "end"))
+            first, stop = np.zeros(len(s), np.int32), np.zeros(len(s), np.int32)
+            for a, b, c, d in zip(wa, wa[1:], ha, ha[1:]):
+                first[c:d] = np.searchsorted(ends[a:b], s[c:d], "right")
+                stop[c:d] = np.searchsorted(starts[a:b], e[c:d], "left")
+            out = pa.StructArray.from_arrays([*h.flatten(), pa.array(first), pa.array(np.maximum(stop - first, 0))], names=[*[f.name for f in h.type], "first", "count"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), words, pa.ListArray.from_arrays(pa.array(ha.astype(np.int32)), out)], names=["file_id", "words", "hits"])
+
+    same = files.schema["words"].dataType.simpleString()
+    schema = f"file_id {dict(files.dtypes)['file_id']}, words {same}, hits array<{kind[6:-2]},first:int,count:int>>"
+    found = small_batches(files).select("file_id", "words", "hits").mapInArrow(run, schema)
+    own = F.transform("hits", lambda h: h.withField("words", F.slice("words", h["first"] + 1, h["count"])).dropFields("first", "count"))
+    return found.select("file_id", own.alias("hits"))
+
+
+def union_box(words: Column) -> list[Column]:
+    """x, y, w and h of the box around laid out words; nulls if there are none."""
+    low = lambda k: F.array_min(F.transform(words, lambda w: w[k]))
+    high = lambda k, size: F.array_max(F.transform(words, lambda w: w[k] + w[size]))
+    return [low("x").alias("x"), low("y").alias("y"), (high("x", "w") - low("x")).alias("w"), (high("y", "h") - low("y")).alias("h")]
+
+
+def file_evidence(files: DataFrame) -> DataFrame:
+    """As ``hit_evidence``, for files (file_id, words, hits) whose laid out words and hits stand in one row."""
+    rows = spans.rows_of(touched(files), ["file_id"], F.col("hits"), "hit").select("file_id", "hit.*")
+    out = rows.select(*[c for c in rows.columns if c != "words"], *union_box(F.col("words")))
+    return out.withColumn("type", F.when(F.col("x").isNull(), "text-span").otherwise("image-region"))
+
+
+def file_regions(files: DataFrame) -> DataFrame:
+    """As ``quote_regions``, for files (file_id, words, hits) whose laid out words and hits stand in one row."""
+    rows = spans.rows_of(touched(files), ["file_id"], F.col("hits"), "hit").select("file_id", "hit.*")
+    whole = rows.where((F.size("words") > 0) & (F.get("words", F.lit(0))["start"] == F.col("start")) & (F.element_at("words", -1)["end"] == F.col("end")))
+    lines = whole.select("file_id", "hit", "words", F.explode(F.array_distinct(F.transform("words", lambda w: w["line"]))).alias("line"))
+    lines = lines.withColumn("words", F.filter("words", lambda w: w["line"] == F.col("line")))
+    return lines.select("file_id", "hit", "line", *union_box(F.col("words")), F.array_join(F.transform("words", lambda w: w["text"]), " ").alias("quote"))
 
 
 def low_confidence(words: DataFrame) -> DataFrame:
@@ -157,6 +266,53 @@ def new_words(ocr: DataFrame, layer: DataFrame) -> DataFrame:
     return ocr.join(covered, ["file_id", *box], "left_anti")
 
 
+#: Words and boxes compared at once.
+BLOCK = 256
+
+
+def covered(boxes: np.ndarray, layer: np.ndarray) -> np.ndarray:
+    """Which of some boxes lie with more than OVERLAP_SHARE of their area on a box of the layer; both as rows of x, y, w, h.
+
+    Both are taken down the page, so a block of boxes meets those of the layer beside it.
+    """
+    out = np.zeros(len(boxes), bool)
+    boxed = np.flatnonzero(~np.isnan(boxes).any(axis=1))
+    boxed = boxed[np.argsort(boxes[boxed, 1], kind="stable")]
+    layer = layer[~np.isnan(layer).any(axis=1)]
+    layer = layer[np.argsort(layer[:, 1], kind="stable")]
+    tall = layer[:, 3].max(initial=0.0)
+    for at in range(0, len(boxed), BLOCK):
+        some = boxed[at : at + BLOCK]
+        x, y, w, h = boxes[some].T[:, :, None]
+        first = np.searchsorted(layer[:, 1], y[0, 0] - tall, "left")
+        stop = np.searchsorted(layer[:, 1], (y + h).max(), "right")
+        for k in range(first, stop, BLOCK):
+            lx, ly, lw, lh = layer[k : min(k + BLOCK, stop)].T[:, None, :]
+            wide, high = np.minimum(x + w, lx + lw) - np.maximum(x, lx), np.minimum(y + h, ly + lh) - np.maximum(y, ly)
+            meet = (wide > 0) & (high > 0)
+            share = np.divide(wide * high, w * h, out=np.zeros(meet.shape), where=meet)
+            out[some] |= (share > OVERLAP_SHARE).any(axis=1)
+    return out
+
+
+def new_file_words(files: DataFrame) -> DataFrame:
+    """As ``new_words``, for files (file_id, words, layer) whose words and boxes of the text layer stand in one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.columns[1:]
+            flat = [c.flatten() for c in lists]
+            (wa, la), (w, layer) = ([c.offsets.to_numpy() - c.offsets.to_numpy()[0] for c in lists], [np.column_stack([f.field(k).to_numpy(zero_copy_only=False).astype(float) for k in "xywh"]) for f in flat])
+            new = np.ones(len(w), bool)
+            for a, b, c, d in zip(wa, wa[1:], la, la[1:]):
+                new[a:b] = ~covered(w[a:b], layer[c:d])
+            at = np.concatenate(([0], np.cumsum(new)))[wa].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), flat[0].filter(pa.array(new)))], names=["file_id", "words"])
+
+    kinds = dict(files.dtypes)
+    return small_batches(files).select("file_id", "words", "layer").mapInArrow(run, f"file_id {kinds['file_id']}, words {kinds['words']}")
+
+
 def append_ocr(models: DataFrame, words: DataFrame) -> DataFrame:
     """Document texts (file_id, text) with the OCR text of new words (file_id, line, seq, text) as a section of their own."""
     return models.join(ocr_text(words).withColumnRenamed("text", "__ocr"), "file_id", "left").withColumn("text", F.when(F.col("__ocr").isNull(), F.col("text")).when(F.col("text") == "", F.col("__ocr")).otherwise(F.concat("text", F.lit("\n\n"), "__ocr"))).drop("__ocr")
