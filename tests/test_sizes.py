@@ -1,6 +1,7 @@
 """What showed only at size: large keys, ties, batches, and words of many files."""
 
 import random
+import re
 import time
 
 import duckdb
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from veilspark.functions import spans
-from veilspark.operators import batches, documents, ocr
+from veilspark.operators import anchors, batches, documents, ocr, residue, terms
 from veilspark.plans import samples
 
 
@@ -113,3 +114,54 @@ def test_words_of_a_file_are_laid_out_without_a_shuffle(spark):
     new = ocr.words_of(ocr.new_file_words(laid.withColumn("layer", layer))).select("file_id", "n").collect()
     boxes = laid.select("file_id", F.explode(layer).alias("b")).select("file_id", "b.*")
     assert sorted(map(tuple, new)) == sorted(map(tuple, ocr.new_words(ocr.words_of(laid), boxes).select("file_id", "n").collect()))
+
+
+def test_terms_of_ocr_words_stay_in_their_files_rows(spark):
+    words = [(1, [(n, t, float(n % 4 * 50), float(n // 4 * 20), 40.0, 10.0, 90.0) for n, t in enumerate("Big Blue, x big blue blue blue (one) ONE".split())]), (2, [(0, "one", 1.0, 2.0, 3.0, 4.0, 90.0)])]
+    files = spark.createDataFrame(words, "file_id long, words array<struct<n:long,text:string,x:double,y:double,w:double,h:double,confidence:double>>").localCheckpoint()
+    known = spark.createDataFrame([(0, "big blue"), (1, "blue blue"), (2, "one"), (3, "big blue blue"), (4, "absent words"), (5, " ")], "number long, term string")
+    laid = ocr.lay_out(files)
+    asked = terms.asked_regions(laid, known).localCheckpoint()
+    placed = terms.regions_of(ocr.lay_out(files.join(asked, "file_id").localCheckpoint(), ("asked",)))
+    assert "Exchange" not in placed._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.file_id, r.number, r["first"], r["last"], r.x, r.w, r.quote) for r in placed.collect())
+    assert got == [(1, 0, 0, 1, 0.0, 90.0, "Big Blue,"), (1, 0, 3, 4, 0.0, 190.0, "big blue"), (1, 1, 4, 5, 0.0, 90.0, "blue blue"), (1, 1, 5, 6, 50.0, 90.0, "blue blue"), (1, 2, 7, 7, 150.0, 40.0, "(one)"), (1, 2, 8, 8, 0.0, 40.0, "ONE"), (1, 3, 3, 5, 0.0, 190.0, "big blue blue"), (2, 2, 0, 0, 1.0, 3.0, "one")]
+    assert sorted(map(tuple, terms.term_regions(ocr.words_of(laid), known).collect())) == sorted(map(tuple, placed.collect()))
+
+
+def test_a_long_text_is_read_once_for_all_its_terms():
+    rng = random.Random(3)
+    kinds = [f"w{i}" for i in range(60)]
+    text = " ".join(rng.choice(kinds) for _ in range(40_000))
+    asked = [f"{a} {b}" for a in kinds for b in kinds]
+    start = time.process_time()
+    hits = terms.place_terms(text, asked)
+    assert time.process_time() - start < 10
+    some = [h for h in hits if h[0] in (0, 61, 3599)]
+    assert some == [(i, *m.span()) for i in (0, 61, 3599) for m in list(re.finditer(rf"\b{asked[i]}\b", text))[:50]]
+
+
+def test_terms_between_borders(spark):
+    text = "a a a a\nx\u00e4y \u00e4 \u212aelvin's Stra\u1e9ee a++b ++ foo-bar xfoo-bar FOO-BAR"
+    known = ["a a", "\u00e4", "kelvin's", "stra\u00dfe", "++", "foo-bar", "-bar", "no"]
+    files = spark.createDataFrame([(1, text), (2, None)], "file_id long, text string")
+    table = spark.createDataFrame(list(enumerate(known)), "number long, term string")
+    got = sorted((r.number, r.start, r.line, r.quote) for r in terms.find_terms(files, table).collect())
+    want = sorted((known.index(r.term), r.start, r.line, r.quote) for r in terms.term_hits(files, known).collect())
+    assert got == want and {n for n, *_ in got} == set(range(7))
+
+
+def test_only_what_entries_are_filed_under_is_dealt_out(spark):
+    words = spark.createDataFrame([(i, [f"w{i}", f"w{i + 1}", "x"]) for i in range(2000)], "file_id long, words array<string>")
+    entries = spark.createDataFrame([(k, [f"w{k}", f"w{k + 1}"]) for k in (5, 700)] + [(9, [])], "k long, words array<string>")
+    met = anchors.meet(words.select("file_id", anchors.held(F.col("words")).alias("anchors")), entries.select("k", anchors.anchor(F.col("words")).alias("anchor")))
+    got = sorted((r.k, r.file_id) for r in met.collect())
+    assert got == sorted([(5, 5), (700, 700)] + [(9, i) for i in range(2000)])
+
+
+def test_needles_of_two_words_are_proven_by_the_join(spark):
+    views = residue.text_views(spark.createDataFrame([(1, "The  heron, stands. A-b c"), (2, "heron stands"), (3, None)], "file_id long, text string"))
+    needles = ["heron, stands", "heron stands", "stands.", "HERON", "her", "a-b", "a-b c", ", stands", "c", "..."]
+    asked = spark.createDataFrame([(n,) for n in needles], "needle string")
+    got = sorted((r.file_id, r.needle) for r in residue.find_needles(views, asked).collect())
+    assert got == sorted([(1, n) for n in ("heron, stands", "stands.", "HERON", "a-b", "a-b c", ", stands")] + [(2, "heron stands"), (2, "HERON")])

@@ -67,8 +67,8 @@ def assign_lines(words: DataFrame) -> DataFrame:
     return words.join(lines, ["file_id", "n"])
 
 
-def lay_out(files: DataFrame) -> DataFrame:
-    """Files (file_id, words), the words of each as a list, without blank ones and in reading order.
+def lay_out(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Files (file_id, words), the words of each as a list, without blank ones and in reading order; columns to ``keep`` stay.
 
     A word (n, text, x, y, w, h, confidence, ...) gets its ``line``, its place ``seq`` and its offsets
     ``start`` and ``end`` in the text of all words joined by single characters; confidence is held
@@ -105,10 +105,11 @@ def lay_out(files: DataFrame) -> DataFrame:
             start = before[:-1] - before[at][owner]
             found |= {"line": pa.array(line[order]), "seq": pa.array((np.arange(len(order)) - at[owner]).astype(np.int32)), "start": pa.array(start), "end": pa.array(start + length)}
             out = pa.StructArray.from_arrays(list(found.values()), names=list(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), out)], names=["file_id", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), out), *batch.columns[2:]], names=["file_id", "words", *keep])
 
-    schema = f"file_id {dict(files.dtypes)['file_id']}, words array<{kind.simpleString()[:-1]},line:int,seq:int,start:bigint,end:bigint>>"
-    return small_batches(files).select("file_id", F.coalesce("words", empty).alias("words")).mapInArrow(run, schema)
+    more = "".join(f", {c} {dict(files.dtypes)[c]}" for c in keep)
+    schema = f"file_id {dict(files.dtypes)['file_id']}, words array<{kind.simpleString()[:-1]},line:int,seq:int,start:bigint,end:bigint>>{more}"
+    return small_batches(files).select("file_id", F.coalesce("words", empty).alias("words"), *keep).mapInArrow(run, schema)
 
 
 def words_of(laid: DataFrame) -> DataFrame:
@@ -155,17 +156,10 @@ def touched(files: DataFrame) -> DataFrame:
     return found.select("file_id", own.alias("hits"))
 
 
-def union_box(words: Column) -> list[Column]:
-    """x, y, w and h of the box around laid out words; nulls if there are none."""
-    low = lambda k: F.array_min(F.transform(words, lambda w: w[k]))
-    high = lambda k, size: F.array_max(F.transform(words, lambda w: w[k] + w[size]))
-    return [low("x").alias("x"), low("y").alias("y"), (high("x", "w") - low("x")).alias("w"), (high("y", "h") - low("y")).alias("h")]
-
-
 def file_evidence(files: DataFrame) -> DataFrame:
     """As ``hit_evidence``, for files (file_id, words, hits) whose laid out words and hits stand in one row."""
     rows = spans.rows_of(touched(files), ["file_id"], F.col("hits"), "hit").select("file_id", "hit.*")
-    out = rows.select(*[c for c in rows.columns if c != "words"], *union_box(F.col("words")))
+    out = rows.select(*[c for c in rows.columns if c != "words"], *spans.union_box(F.col("words")))
     return out.withColumn("type", F.when(F.col("x").isNull(), "text-span").otherwise("image-region"))
 
 
@@ -175,7 +169,7 @@ def file_regions(files: DataFrame) -> DataFrame:
     whole = rows.where((F.size("words") > 0) & (F.get("words", F.lit(0))["start"] == F.col("start")) & (F.element_at("words", -1)["end"] == F.col("end")))
     lines = whole.select("file_id", "hit", "words", F.explode(F.array_distinct(F.transform("words", lambda w: w["line"]))).alias("line"))
     lines = lines.withColumn("words", F.filter("words", lambda w: w["line"] == F.col("line")))
-    return lines.select("file_id", "hit", "line", *union_box(F.col("words")), F.array_join(F.transform("words", lambda w: w["text"]), " ").alias("quote"))
+    return lines.select("file_id", "hit", "line", *spans.union_box(F.col("words")), F.array_join(F.transform("words", lambda w: w["text"]), " ").alias("quote"))
 
 
 def low_confidence(words: DataFrame) -> DataFrame:
