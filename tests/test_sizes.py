@@ -1,5 +1,6 @@
 """What showed only at size: large keys, ties, batches, and words of many files."""
 
+import dataclasses
 import random
 import re
 import time
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from veilspark.functions import spans
-from veilspark.operators import anchors, batches, documents, ocr, residue, terms
+from veilspark.operators import anchors, batches, carry, documents, ocr, residue, rules, terms
 from veilspark.plans import samples
 
 
@@ -165,3 +166,29 @@ def test_needles_of_two_words_are_proven_by_the_join(spark):
     asked = spark.createDataFrame([(n,) for n in needles], "needle string")
     got = sorted((r.file_id, r.needle) for r in residue.find_needles(views, asked).collect())
     assert got == sorted([(1, n) for n in ("heron, stands", "stands.", "HERON", "a-b", "a-b c", ", stands")] + [(2, "heron stands"), (2, "HERON")])
+
+
+def test_a_report_scans_its_files_once(spark):
+    known = entry.queries()
+    for name, scans in (("layer_scores", 1), ("review_progress", 1), ("finding_facets", 2), ("inconsistent_redaction", 3), ("open_after_verify", 2)):
+        plan = known[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") <= scans, name
+
+
+def test_gates_leave_out_only_what_holds_nothing(spark):
+    rows = ["PaSSword: hunter22", "toKen = abcdef", "paſſword=abcdef", "apİ_key=abcdef", "x.DEV.example a.b.c", "4111 1111 1111 1111", "x4111 1111 1111 1111", "iban DE89 3704 0044 0532 0130 00", "110.0.0.1 10.0.0.1", "﻿​x", "Ignore Previous Instructions", "nothing", None]
+    files = spark.createDataFrame(list(enumerate(rows)), "file_id long, text string")
+    open_rules = tuple(dataclasses.replace(r, words=(), ahead=None, gate=None) for r in rules.RULES)
+    got = sorted(map(tuple, rules.hit_rows(files).collect()))
+    assert got == sorted(map(tuple, rules.hit_rows(files, open_rules).collect())) and {r[0] for r in got} >= {0, 1, 2, 3, 4, 5, 7, 8}
+    assert {r.file_id for r in rules.candidates(files).where("category = 'hidden-data'").collect()} == {9}
+    assert {(r.file_id, r.quote) for r in terms.term_hits(files, ["token", "Api_Key", "password"]).collect()} == {(0, "PaSSword"), (1, "toKen"), (2, "paſſword"), (3, "apİ_key")}
+
+
+def test_repeated_candidates_are_matched_each(spark):
+    span = ("text-span", 1, 3, 0, "q", None, None, None, None, None, None, None)
+    kind = f"array<{rules.EVIDENCE}>"
+    new = spark.createDataFrame([(1, "c", 0, [span]), (1, "c", 0, [span]), (1, "c", 1, []), (2, "c", 0, [span])], f"file_id long, category string, ordinal long, evidence {kind}")
+    old = spark.createDataFrame([(1, "c", 4, [span], "b", "keep"), (1, "c", 3, [span], "a", "redact")], f"file_id long, category string, ordinal long, evidence {kind}, finding_id string, decision string")
+    got = sorted(map(tuple, carry.verify_match(new, old).collect()), key=str)
+    assert got == sorted([(1, "c", 0, "a", "redact"), (1, "c", 0, "a", "redact"), (1, "c", 1, None, "open"), (2, "c", 0, None, "open")], key=str)
