@@ -219,3 +219,63 @@ def test_made_files_hold_the_whole_text():
         notes += b[at + 4 : at + 2 + size] if b[at + 1] == 0xFE else b""
         at += 2 + size
     assert notes == text.encode()
+
+
+def packed(parts):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, b in parts.items():
+            z.writestr(name, b)
+    return out.getvalue()
+
+
+def test_made_packages_are_whole_archives():
+    z = zipfile.ZipFile(io.BytesIO(samples.docx("äöü one\ntwo")))
+    assert z.testzip() is None and z.namelist()[0] == "[Content_Types].xml" and len(z.namelist()) == 9
+    assert "äöü" in z.read("word/document.xml").decode() and z.read("word/media/image2.emf") == b"EMF"
+
+
+def test_an_outline_is_of_what_can_be_read():
+    whole = ooxml.Package(samples.docx("a b")).parts
+    rels, foreign = whole["word/_rels/document.xml.rels"], b'<w:hdr xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><x xmlns="u"><instrText>c</instrText></x></w:hdr>'
+    entity = b'<!DOCTYPE a [<!ENTITY x SYSTEM "f">]><a>&x;</a>'
+    cases = [
+        ({}, True), ({"_xmlsignatures/s.xml": b"<"}, True), ({"word/vbaProject.bin": b"m", "word/charts/chart1.xml": b"<", "word/embeddings/o.bin": b""}, True),
+        ({"word/unused.xml": b"<"}, True), ({"word/header2.xml": foreign}, True), ({"word/header2.xml": b"<"}, False), ({"word/comments.xml": b"<w:a/>"}, False), ({"docProps/app.xml": b"<a>\x0b</a>"}, False),
+        ({"docProps/core.xml": entity}, False), ({"docProps/core.xml": entity.replace(b"&x;", b"")}, True), ({"word/_rels/document.xml.rels": rels[:-1]}, False), ({"word/document.xml": None}, False), ({"word/document.xml": b""}, False),
+    ]
+    for change, readable in cases:
+        content = packed({n: b for n, b in {**whole, **change}.items() if b is not None})
+        if not readable:
+            for read in (documents.extract, documents.outline):
+                with pytest.raises(ValueError, match=ooxml.UNREADABLE):
+                    read("docx", content)
+            continue
+        m, o = documents.extract("docx", content), documents.outline("docx", content)
+        assert (m.images, m.not_analysed, m.signed) == (o.images, o.not_analysed, o.signed) and m.text and not o.text, change
+    for fmt in ("xlsx", "pptx"):
+        content = samples.MAKERS[fmt]("a b")
+        assert documents.outline(fmt, content).hidden == documents.extract(fmt, content).hidden != []
+
+
+def test_copies_are_written_with_the_prefixes_of_their_parts():
+    p = ooxml.Package(packed({"a.xml": b'<q:a xmlns:q="urn:a"/>', "b.xml": b'<b xmlns="urn:b" xmlns:ns7="urn:c"><ns7:c/></b>'}))
+    for n in p.names:
+        p.xml(n)
+        p.touch(n)
+    other = ooxml.Package(packed({"a.xml": b'<r:a xmlns:r="urn:a"/>'}))
+    assert other.xml("a.xml") is not None
+    out = p.save()
+    assert '<q:a xmlns:q="urn:a"' in part(out, "a.xml") and '<b xmlns="urn:b"' in part(out, "b.xml")
+
+
+def test_notes_come_of_one_reading(spark):
+    made = {1: samples.docx("x"), 2: b"no zip", 3: packed({**ooxml.Package(samples.docx("y")).parts, "_xmlsignatures/s.xml": b"<s/>"}), 4: packed({n: b for n, b in ooxml.Package(samples.docx("z")).parts.items() if not n.endswith("emf")})}
+    files = spark.createDataFrame([(i, "docx", bytearray(c)) for i, c in made.items()], "file_id long, format string, content binary")
+    dropped = ("signature-dropped", "The signature is dropped in the reviewed copy.")
+    image = ("not-analysed", "Image: word/media/image2.emf: Image format not analysed")
+    for fields in ((), ("file_id", "not_analysed", "signed")):
+        notes = documents.document_notes(documents.extract_documents(files, fields=fields))
+        assert sorted(map(tuple, notes.collect())) == [(1, *image), (3, *image), (3, *dropped)]
+        assert notes.columns == ["file_id", "kind", "note"]
+        assert notes._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
