@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from veilspark.functions import spans
-from veilspark.operators import rules, terms
+from veilspark.operators import package, rules, terms
 
 MANY = [
     " ".join(f"u{i}@x.org" for i in range(70)) + " +49 30 1234567," * 60 + " 4111 1111 1111 1111," * 60,
@@ -42,6 +42,11 @@ def test_apply_profile_has_every_term_and_range(spark, tables):
     assert {1001, 1999, 10000, 10001, 19000, 19100} <= {r[1] for r in terms_found}
 
 
+def test_layer_scores_counts_every_hit(spark, tables):
+    got = {r[0]: r for r in equal_to_sql(spark, tables, "layer_scores")}
+    assert sum(r[1] + r[2] for r in got.values()) == 2100 + 70 + 70 + 1 + 4
+
+
 def test_whole_scans(spark):
     text = "a@b.co " * 300
     df = spark.createDataFrame([(1, text), (2, "x")], "file_id long, text string")
@@ -58,3 +63,11 @@ def test_long_lists_of_spans(spark):
     r = spark.createDataFrame([(lots,)], "s array<struct<start:bigint,end:bigint>>").select(spans.islands(F.col("s")).alias("i"), spans.islands(F.col("s"), touch=True).alias("t")).first()
     assert [(x.start, x.end) for x in r.i] == lots[:1000] + [(5000, 5009)]
     assert len(r.t) == 502
+
+
+def test_scores_take_the_first_label_left():
+    span = lambda q, kind="text-span", **box: {"type": kind, "quote": q, **{k: box.get(k) for k in "xywh"}}
+    found = [{"ordinal": i, "method": "rule", "evidence": e} for i, e in enumerate([[span("b"), span("a")], [span("a")], [span("a")], [span(None, "image-region", x=0.0, y=0.0, w=2.0, h=2.0), span("b")]])]
+    box = {"x": 0.0, "y": 0.0, "w": 2.0, "h": 2.0}
+    labels = [{"ordinal": i, "quote": q, "box": b} for i, (q, b) in enumerate([("a", None), ("b", None), ("a", None), (None, box)])]
+    assert next(r for r in package._score((1, "c"), found, labels) if r[0] == "rule") == ("rule", 3, 1, 1)
