@@ -47,6 +47,10 @@ def test_layer_scores_counts_every_hit(spark, tables):
     assert sum(r[1] + r[2] for r in got.values()) == 2100 + 70 + 70 + 1 + 4
 
 
+def test_redact_env_leaves_no_later_value(spark, tables):
+    equal_to_sql(spark, tables, "redact_env")
+
+
 def test_whole_scans(spark):
     text = "a@b.co " * 300
     df = spark.createDataFrame([(1, text), (2, "x")], "file_id long, text string")
