@@ -1,5 +1,7 @@
 """Queries that keep every hit of a text, however many there are."""
 
+import hashlib
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from veilspark.functions import spans
 from veilspark.operators import package, rules, terms
+from veilspark.plans import inputs, package_flow
 
 MANY = [
     " ".join(f"u{i}@x.org" for i in range(70)) + " +49 30 1234567," * 60 + " 4111 1111 1111 1111," * 60,
@@ -51,6 +54,14 @@ def test_redact_env_leaves_no_later_value(spark, tables):
     equal_to_sql(spark, tables, "redact_env")
 
 
+def test_export_package_redacts_every_hit(spark, tables):
+    got = {r.file_id: r.digest for r in package_flow.export_package(spark, tables).collect()}
+    text = MANY[3] + "\n" + inputs.SNIPPETS[22]
+    for i in range(90):
+        text = text.replace(f"AKIA{i:016d}", "[REDACTED]")
+    assert "AKIA" not in text and got[22] == hashlib.md5(text.replace("heron", "[REDACTED]").encode()).hexdigest()
+
+
 def test_whole_scans(spark):
     text = "a@b.co " * 300
     df = spark.createDataFrame([(1, text), (2, "x")], "file_id long, text string")
