@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from veilspark.functions import spans
-from veilspark.operators import package, rules, terms
+from veilspark.operators import documents, package, rules, terms
 from veilspark.plans import inputs, package_flow
 
 MANY = [
@@ -62,6 +62,17 @@ def test_export_package_redacts_every_hit(spark, tables):
     assert "AKIA" not in text and got[22] == hashlib.md5(text.replace("heron", "[REDACTED]").encode()).hexdigest()
 
 
+@pytest.mark.parametrize("fmt", ["docx", "xlsx", "pptx"])
+def test_documents_are_redacted_at_every_hit(spark, tables, fmt, monkeypatch):
+    monkeypatch.setattr(documents, "redact_documents", lambda plan: plan.select("file_id", F.encode(F.size("spans").cast("string"), "utf-8").alias("redacted"), F.array().alias("notes"), F.array().alias("residue"), F.lit(None).alias("error")))
+    seen = []
+    of = documents.redact_documents
+    monkeypatch.setattr(documents, "redact_documents", lambda plan: seen.append(plan) or of(plan))
+    entry.queries()[f"{fmt}_redact"](spark, tables)
+    count = {r.file_id: len(r.spans) for r in seen[0].select("file_id", "spans").collect()}
+    assert count[19] >= 70 + 60  # no less than the addresses and the cards
+
+
 def test_whole_scans(spark):
     text = "a@b.co " * 300
     df = spark.createDataFrame([(1, text), (2, "x")], "file_id long, text string")
