@@ -67,49 +67,108 @@ def assign_lines(words: DataFrame) -> DataFrame:
     return words.join(lines, ["file_id", "n"])
 
 
-def lay_out(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and which there are; in a sort by both, nulls come first, as in a sort of rows."""
+    return column.fill_null(0).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
+
+
+def _in_order(lists: pa.ListArray) -> tuple[dict[str, pa.Array], np.ndarray, np.ndarray, np.ndarray]:
+    """The words of some files in reading order, field by field, with the line and file of each and where each file's begin."""
+    word, owner = lists.flatten(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    some = pc.and_(pc.not_equal(pc.utf8_trim(word.field("text"), " "), ""), word.field("n").is_valid()).fill_null(False)
+    if not pc.all(some, min_count=0).as_py():
+        word, owner = word.filter(some), owner[some.to_numpy(zero_copy_only=False)]
+    at = np.searchsorted(owner, np.arange(len(lists) + 1))
+    (n, _), (x, has_x), (y, has_y), (h, has_h) = (_numbers(word.field(k)) for k in ("n", "x", "y", "h"))
+    center, centered = y + h / 2, has_y & has_h
+    down = np.lexsort((h, has_h, n, np.where(centered, center, 0), centered, owner))
+    none = lambda values, there: np.where(there, values, None).tolist() if not there.all() else values.tolist()
+    centers, heights = none(center[down], centered[down]), none(h[down], has_h[down])
+    line = np.empty(len(down), np.int32)
+    line[down] = [v for a, b in zip(at.tolist(), at[1:].tolist()) for v in fold_lines(centers[a:b], heights[a:b])]
+    order = np.lexsort((n, x, has_x, line, owner))
+    if (order[1:] < order[:-1]).any():
+        word = word.take(pa.array(order))
+    return dict(zip([f.name for f in word.type], word.flatten())), line[order], owner, at
+
+
+def _held(confidence: pa.Array) -> pa.Array:
+    return pc.max_element_wise(pc.min_element_wise(confidence, 100.0), 0.0)
+
+
+def _joined(text: pa.Array, line: np.ndarray, at: np.ndarray, lines: bool) -> pa.Array:
+    """The text of each file's words, as ``file_text``."""
+    mark = np.ones(len(line), np.int8)
+    mark[1:] += (lines & (line[1:] != line[:-1])).astype(np.int8)
+    mark[at[:-1][at[:-1] < at[1:]]] = 0
+    marks = pa.DictionaryArray.from_arrays(pa.array(mark), pa.array(["", " ", "\n"])).dictionary_decode()
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pc.binary_join_element_wise(marks, text, "")), "")
+
+
+def _as_lists(files: DataFrame) -> DataFrame:
+    """Files with a list of words each, in small batches; a null list is an empty one."""
+    empty = F.array().cast(files.schema["words"].dataType)
+    return small_batches(files).withColumn("words", F.coalesce("words", empty))
+
+
+def lay_out(files: DataFrame, keep: tuple[str, ...] = (), fields: tuple[str, ...] = (), text: bool = False) -> DataFrame:
     """Files (file_id, words), the words of each as a list, without blank ones and in reading order; columns to ``keep`` stay.
 
     A word (n, text, x, y, w, h, confidence, ...) gets its ``line``, its place ``seq`` and its offsets
     ``start`` and ``end`` in the text of all words joined by single characters; confidence is held
-    within 0 to 100.  Nothing is shuffled: words that stand in one row stay there.
+    within 0 to 100.  Nothing is shuffled: words that stand in one row stay there.  ``fields``: those of a word
+    that are wanted, if not all, as each takes its time to hand over.  ``text``: with that text, parted by blanks.
     """
-    kind = files.schema["words"].dataType.elementType
-    names = kind.names
-    empty = F.array().cast(files.schema["words"].dataType)
-
-    def numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Values and which there are; in a sort by both, nulls come first, as in a sort of rows."""
-        return column.fill_null(0).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
+    types = {f.name: f.dataType.simpleString() for f in files.schema["words"].dataType.elementType} | {"line": "int", "seq": "int", "start": "bigint", "end": "bigint"}
+    wanted = [f for f in types if not fields or f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            offsets = lists.offsets.to_numpy()
-            word, owner = lists.flatten(), np.repeat(np.arange(len(batch)), np.diff(offsets))
-            some = pc.and_(pc.not_equal(pc.utf8_trim(word.field("text"), " "), ""), word.field("n").is_valid()).fill_null(False)
-            word, owner = word.filter(some), owner[some.to_numpy(zero_copy_only=False)]
-            at = np.searchsorted(owner, np.arange(len(batch) + 1))
-            (n, _), (x, has_x), (y, has_y), (h, has_h) = (numbers(word.field(k)) for k in ("n", "x", "y", "h"))
-            center, centered = y + h / 2, has_y & has_h
-            down = np.lexsort((h, has_h, n, np.where(centered, center, 0), centered, owner))
-            none = lambda values, there: np.where(there, values, None).tolist() if not there.all() else values.tolist()
-            centers, heights = none(center[down], centered[down]), none(h[down], has_h[down])
-            line = np.empty(len(down), np.int32)
-            line[down] = [v for a, b in zip(at.tolist(), at[1:].tolist()) for v in fold_lines(centers[a:b], heights[a:b])]
-            order = np.lexsort((n, x, has_x, line, owner))
-            found = dict(zip(names, word.take(pa.array(order)).flatten()))
-            found["confidence"] = pc.max_element_wise(pc.min_element_wise(found["confidence"], 100.0), 0.0)
+            found, line, owner, at = _in_order(batch.column(1))
+            if "confidence" in wanted:
+                found["confidence"] = _held(found["confidence"])
             length = pc.utf8_length(found["text"]).to_numpy(zero_copy_only=False)
             before = np.concatenate(([0], np.cumsum(length + 1, dtype=np.int64)))
             start = before[:-1] - before[at][owner]
-            found |= {"line": pa.array(line[order]), "seq": pa.array((np.arange(len(order)) - at[owner]).astype(np.int32)), "start": pa.array(start), "end": pa.array(start + length)}
-            out = pa.StructArray.from_arrays(list(found.values()), names=list(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), out), *batch.columns[2:]], names=["file_id", "words", *keep])
+            found |= {"line": pa.array(line), "seq": pa.array((np.arange(len(line)) - at[owner]).astype(np.int32)), "start": pa.array(start), "end": pa.array(start + length)}
+            words = pa.StructArray.from_arrays([found[f] for f in wanted], names=wanted)
+            whole = [_joined(found["text"], line, at, False)] if text else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), words), *batch.columns[2:], *whole], names=["file_id", "words", *keep, *["text"][: len(whole)]])
 
-    more = "".join(f", {c} {dict(files.dtypes)[c]}" for c in keep)
-    schema = f"file_id {dict(files.dtypes)['file_id']}, words array<{kind.simpleString()[:-1]},line:int,seq:int,start:bigint,end:bigint>>{more}"
-    return small_batches(files).select("file_id", F.coalesce("words", empty).alias("words"), *keep).mapInArrow(run, schema)
+    more = "".join(f", {c} {dict(files.dtypes)[c]}" for c in keep) + ", text string" * text
+    schema = f"file_id {dict(files.dtypes)['file_id']}, words array<struct<{','.join(f'{f}:{types[f]}' for f in wanted)}>>{more}"
+    return _as_lists(files).select("file_id", "words", *keep).mapInArrow(run, schema)
+
+
+def file_texts(files: DataFrame) -> DataFrame:
+    """(file_id, text) of files (file_id, words) as ``lay_out`` takes them: words in reading order, lines parted by line feeds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, line, _, at = _in_order(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), _joined(found["text"], line, at, True)], names=["file_id", "text"])
+
+    return _as_lists(files).select("file_id", "words").mapInArrow(run, f"file_id {dict(files.dtypes)['file_id']}, text string")
+
+
+def file_low_confidence(files: DataFrame) -> DataFrame:
+    """As ``low_confidence``, for files (file_id, words) as ``lay_out`` takes them; those without words have no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, line, owner, at = _in_order(batch.column(1))
+            confidence = _held(found["confidence"]).to_numpy(zero_copy_only=False)
+            weak = np.concatenate(([0], np.cumsum(confidence < LOW_WORD)))
+            ends = np.arange(LOW_RUN - 1, len(line))
+            begins = ends - (LOW_RUN - 1)
+            run_there = (weak[ends + 1] - weak[begins] == LOW_RUN) & (line[ends] == line[begins]) & (owner[ends] == owner[begins])
+            low = np.zeros(len(batch), bool)
+            low[owner[ends[run_there]]] = True
+            some = at[:-1] < at[1:]
+            low[some] |= np.add.reduceat(confidence, at[:-1][some]) / np.diff(at)[some] < LOW_MEAN if some.any() else False
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(some)), pa.array(low[some])], names=["file_id", "low"])
+
+    return _as_lists(files).select("file_id", "words").mapInArrow(run, f"file_id {dict(files.dtypes)['file_id']}, low boolean")
 
 
 def words_of(laid: DataFrame) -> DataFrame:
@@ -131,29 +190,34 @@ def file_text(words: Column, lines: bool = True) -> Column:
 
 
 def touched(files: DataFrame) -> DataFrame:
-    """Files (file_id, words, hits) with the words that each hit (start, end, ...) overlaps as its list ``words``.
+    """(file_id, hits) of files (file_id, words, hits), with the words that each hit (start, end, ...) overlaps as its list ``words``.
 
-    Both ends are found by bisection in the words as ``lay_out`` orders them.
+    Both ends are found by bisection in the words as ``lay_out`` orders them.  Only the words found come back.
     """
-    kind = files.schema["hits"].dataType.simpleString()
+    kind, same = (files.schema[c].dataType.simpleString() for c in ("hits", "words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (words, hits), (w, h) = batch.columns[1:], (c.flatten() for c in batch.columns[1:])
+            (words, hits), (w, h) = batch.columns[1:], [c.flatten() for c in batch.columns[1:]]
             wa, ha = (c.offsets.to_numpy() - c.offsets.to_numpy()[0] for c in (words, hits))
             starts, ends, s, e = (c.field(k).to_numpy(zero_copy_only=False) for c in (w, h) for k in ("start", "end"))
-            first, stop = np.zeros(len(s), np.int32), np.zeros(len(s), np.int32)
+            first, stop = np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
             for a, b, c, d in zip(wa, wa[1:], ha, ha[1:]):
-                first[c:d] = np.searchsorted(ends[a:b], s[c:d], "right")
-                stop[c:d] = np.searchsorted(starts[a:b], e[c:d], "left")
-            out = pa.StructArray.from_arrays([*h.flatten(), pa.array(first), pa.array(np.maximum(stop - first, 0))], names=[*[f.name for f in h.type], "first", "count"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), words, pa.ListArray.from_arrays(pa.array(ha.astype(np.int32)), out)], names=["file_id", "words", "hits"])
-
-    same = files.schema["words"].dataType.simpleString()
-    schema = f"file_id {dict(files.dtypes)['file_id']}, words {same}, hits array<{kind[6:-2]},first:int,count:int>>"
-    found = small_batches(files).select("file_id", "words", "hits").mapInArrow(run, schema)
-    own = F.transform("hits", lambda h: h.withField("words", F.slice("words", h["first"] + 1, h["count"])).dropFields("first", "count"))
-    return found.select("file_id", own.alias("hits"))
+                first[c:d] = a + np.searchsorted(ends[a:b], s[c:d], "right")
+                stop[c:d] = a + np.searchsorted(starts[a:b], e[c:d], "left")
+            out = pa.StructArray.from_arrays([*h.flatten(), slices(w, first, stop - first)], names=[*[f.name for f in h.type], "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ha.astype(np.int32)), out)], names=["file_id", "hits"])
+
+    schema = f"file_id {dict(files.dtypes)['file_id']}, hits array<{kind[6:-2]},words:{same}>>"
+    return small_batches(files).select("file_id", "words", "hits").mapInArrow(run, schema)
+
+
+def slices(values: pa.Array, first: np.ndarray, count: np.ndarray) -> pa.ListArray:
+    """Runs of values, each by its first place and how many there are."""
+    count = np.maximum(count, 0)
+    ends = np.cumsum(count)
+    at = np.repeat(first - (ends - count), count) + np.arange(count.sum())
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), values.take(pa.array(at)))
 
 
 def file_evidence(files: DataFrame) -> DataFrame:
